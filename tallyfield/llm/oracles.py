@@ -1,5 +1,10 @@
 """SQL for the queries of the training-data operators that SQL can express."""
 
+from __future__ import annotations
+
+from tallyfield.llm.common import SPACE
+from tallyfield.llm.quality import CHAR_LIMIT, CLASSES, COMMON_WORDS, MIN_LIST_WORDS, MIN_WORDS, WORD_LIMIT
+
 OP1 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -28,4 +33,50 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op8_exact_dedup": OP8}
+_LISTS = {k: "[" + ", ".join(f"'{w}'" for w in ws) + "]" for k, ws in COMMON_WORDS.items()}
+_CLASS_COUNTS = ", ".join(f"length(r{k}) - length(r{k + 1})" for k in range(len(CLASSES)))
+_STRIPPED = "".join(f", s{k + 1} AS (SELECT *, regexp_replace(r{k}, '{p}', '', 'g') AS r{k + 1} FROM s{k})" for k, p in enumerate(CLASSES.values()))
+
+
+def _near(k: str) -> str:
+    parts = "list_sum(list_transform(list_zip({p}, {q}), lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END))"
+    chars = parts.format(p="list_transform(chars, lambda c: c / list_sum(chars))", q=f"(SELECT list_transform(chars_{k}, lambda c: c / list_sum(chars_{k})) FROM refs)")
+    words = parts.format(
+        p=f"list_transform(list_append(common_{k}, n_words - list_sum(common_{k})), lambda c: c / n_words)",
+        q=f"(SELECT list_transform(list_append(words_{k}, n_{k} - list_sum(words_{k})), lambda c: c / n_{k}) FROM refs)",
+    )
+    return f"((SELECT n_{k} FROM refs) > 0 AND sqrt(greatest(0, {chars} / 2)) <= {CHAR_LIMIT} AND (n_words < {MIN_LIST_WORDS} OR sqrt(greatest(0, {words} / 2)) <= {WORD_LIMIT}))"
+
+
+_SUMS = ", ".join(
+    f"[{', '.join(f'coalesce(sum(chars[{i + 1}]) FILTER ({own}), 0)' for i in range(len(CLASSES) + 2))}] AS chars_{k}, "
+    f"[{', '.join(f'coalesce(sum(common_{k}[{i + 1}]) FILTER ({own}), 0)' for i in range(len(ws)))}] AS words_{k}, coalesce(sum(n_words) FILTER ({own}), 0) AS n_{k}"
+    for k, ws in COMMON_WORDS.items()
+    for own in [f"lang = '{k}' AND n_words >= {MIN_WORDS}"]
+)
+OP2 = rf"""
+WITH s0 AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[{SPACE}]+', '', 'g') AS r0,
+    list_filter(string_split_regex(coalesce(text, ''), '[{SPACE}]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) AS lines
+  FROM documents
+){_STRIPPED}, tri AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM s0)
+), covered AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE n > 1) GROUP BY rid
+), f AS (
+  SELECT doc_id, lang, len(w) AS n_words, length(r0) AS word_chars, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+    [length(t) - length(r0), {_CLASS_COUNTS}, length(r{len(CLASSES)})] AS chars, length(r4) - length(r5) AS n_symbols,
+    {", ".join(f"list_transform({ws}, lambda c: len(list_filter(w, lambda x: x = c))) AS common_{k}" for k, ws in _LISTS.items())}
+  FROM s{len(CLASSES)} LEFT JOIN covered USING (rid)
+), refs AS (SELECT {_SUMS} FROM f), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    n_words < {MIN_WORDS} OR {" OR ".join(map(_near, COMMON_WORDS))} OR {" AND ".join(f"(SELECT n_{k} FROM refs) = 0" for k in COMMON_WORDS)} AS near
+  FROM f
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND near AS kept
+FROM judged
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op2_quality_divergence": OP2, "op8_exact_dedup": OP8}
