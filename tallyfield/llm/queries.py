@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import bpe, chat, exact_dedup, mixing, quality
+from tallyfield.llm import bpe, chat, exact_dedup, mixing, quality, urls
 from tallyfield.llm.common import ship, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -45,6 +45,16 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the document that the number in its path names: bad if that is of low quality."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    named = F.regexp_extract(urls.host_and_path(F.col("url"))[1], "/([0-9]{1,18})(?:[/.]|$)", 1)
+    numbers = pages.select("page_id", F.when(named != "", named).cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
+    good = table(spark, sf_dir, "labels").where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labels = numbers.join(good, "doc_id").groupBy("page_id").agg((F.min("quality") == 0).alias("bad"))
+    return urls.judge_urls(pages, labels)
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_pareto_mixing,
         op8_exact_dedup,
         op9_byte_bpe,
+        op10_url_templates,
     )
 }
