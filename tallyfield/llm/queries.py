@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import bpe, chat, exact_dedup, mixing, quality, substring_dedup, toxicity, urls
+from tallyfield.llm import bpe, chat, exact_dedup, mixing, near_dedup, quality, substring_dedup, toxicity, urls
 from tallyfield.llm.common import ship, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -46,6 +46,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_pareto_mixing,
         op5_substring_dedup,
         op6_toxicity,
+        op7_near_dedup,
         op8_exact_dedup,
         op9_byte_bpe,
         op10_url_templates,
