@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import bpe, chat, exact_dedup, mixing, near_dedup, quality, substring_dedup, toxicity, urls
+from tallyfield.llm import bpe, chat, exact_dedup, licences, mixing, near_dedup, quality, substring_dedup, toxicity, urls
 from tallyfield.llm.common import ship, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -37,6 +37,10 @@ def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_chat_formatting,
         op2_quality_divergence,
         op3_pareto_mixing,
+        op4_licence_scan,
         op5_substring_dedup,
         op6_toxicity,
         op7_near_dedup,
