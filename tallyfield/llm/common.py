@@ -37,16 +37,18 @@ def ship(spark: SparkSession) -> None:
     context._tallyfield_sent = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, without its lineage.
-
-    A cluster names the folder in spark.checkpoint.dir; only where that is unset, as in tests, a temporary folder is
-    used.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share. A cluster names it in spark.checkpoint.dir; only where that is unset, as in
+    tests, a temporary folder is used."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
