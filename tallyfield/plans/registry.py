@@ -4,7 +4,521 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallyfield import config as C
+from tallyfield.functions import rates as R
+from tallyfield.functions import text as X
+from tallyfield.operators import catalog, claims, evals, filtering, ledger, pool, publish, sourcing, verdict
+from tallyfield.plans import oracles as O
+from tallyfield.sources import adapters as A
+from tallyfield.sources.files import memo_key
+from tallyfield.streaming import limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Words of the test texts that stand in for the side-input lists.
+BLOCKED, SOFT = ["scum", "moron"], ["idiot", "trash", "clown", "stupid"]
+NOW = "1998-06-01"
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"WITH {O.RATES}, {O.MEAN} SELECT game, mean_pct, {O.WORD} AS word FROM means")
+def verdict_words(spark, d):
+    return verdict.post_refund_mean(pool.pool_rates(A.fact_reviews(spark, d)))
+
+
+@query(f"WITH {O.FACT}, {O.COUNTS} SELECT g.game, b.bucket, coalesce(pool_n, 0) AS pool_n FROM (SELECT DISTINCT game FROM fact) g CROSS JOIN (VALUES ('refund_window'), ('early'), ('mid'), ('veteran')) b(bucket) LEFT JOIN counts USING (game, bucket)")
+def bucket_counts(spark, d):
+    return pool.bucket_counts(A.fact_reviews(spark, d))
+
+
+@query(f"WITH {O.RATES} SELECT * FROM rates")
+def pool_rates(spark, d):
+    return pool.pool_rates(A.fact_reviews(spark, d))
+
+
+@query(f"WITH {O.POOL} SELECT game, rid, minutes, voted_up, created, n_seen, array_to_string(source_filters, '+') AS source_filters FROM firsts JOIN pool USING (game, rid) WHERE rn = 1")
+def pool_dedup(spark, d):
+    rows = pool.dedup_pool(A.fact_reviews(spark, d))
+    return rows.select("game", "rid", "minutes", "voted_up", "created", "n_seen", F.array_join("source_filters", "+").alias("source_filters"))
+
+
+@query(f"WITH {O.POOL} SELECT array_to_string(source_filters, '+') AS source_filters, count(*) AS n FROM pool GROUP BY 1")
+def source_histogram(spark, d):
+    rows = pool.dedup_pool(A.fact_reviews(spark, d))
+    return rows.groupBy(F.array_join("source_filters", "+").alias("source_filters")).agg(F.count("*").alias("n"))
+
+
+_SPLIT = f"""split AS (SELECT game, count(*) FILTER (recent) AS recent_n, round(100e0 * count(*) FILTER (recent AND voted_up) / nullif(count(*) FILTER (recent), 0), 1) AS recent_pct,
+ count(*) FILTER (NOT recent) AS older_n, round(100e0 * count(*) FILTER (NOT recent AND voted_up) / nullif(count(*) FILTER (NOT recent), 0), 1) AS older_pct
+ FROM (SELECT *, created >= TIMESTAMP '{NOW}' - INTERVAL 365 DAY AS recent FROM fact) GROUP BY 1)"""
+
+
+def _split(spark, d):
+    return pool.temporal_split(A.fact_reviews(spark, d), F.lit(NOW).cast("timestamp_ntz"))
+
+
+@query(f"WITH {O.FACT}, {_SPLIT} SELECT *, round(recent_pct - older_pct, 1) AS delta_pts FROM split")
+def temporal_split(spark, d):
+    return _split(spark, d)
+
+
+_LIFE = "CASE WHEN game % 2 = 0 THEN 50e0 ELSE 75e0 END"
+
+
+@query(f"""WITH {O.FACT}, {_SPLIT} SELECT game, CASE WHEN recent_pct - {_LIFE} > 0 THEN 'improved' ELSE 'declined' END AS direction, round(recent_pct - {_LIFE}, 1) AS delta_pts,
+ CASE WHEN older_n >= 100 THEN older_pct END AS older_pct FROM split WHERE recent_n >= 150 AND abs(round(recent_pct - {_LIFE}, 1)) >= 8""")
+def recency_shift(spark, d):
+    split = _split(spark, d).drop("delta_pts")
+    return verdict.recency_shift(split, split.select("game", F.when(F.col("game") % 2 == 0, 50.0).otherwise(75.0).alias("lifetime_pct")))
+
+
+def _primary(spark, d):
+    rows = pool.dedup_pool(A.fact_reviews(spark, d))
+    return rows.select("game", "rid", "bucket", F.element_at("source_filters", 1).alias("primary"), F.col("rid").alias("seq"))
+
+
+_QUOTA = f"""{O.FACT}, p AS (SELECT game, rid, min(bucket) AS any_b, min(source_filter) AS prim FROM fact GROUP BY 1, 2),
+ pb AS (SELECT p.game, p.rid, f.bucket, p.prim FROM p JOIN (SELECT *, row_number() OVER (PARTITION BY game, rid ORDER BY {O.ORDER}) AS rn FROM fact) f ON f.game = p.game AND f.rid = p.rid AND f.rn = 1),
+ q AS (SELECT *, CASE prim WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS queue, row_number() OVER (PARTITION BY game, bucket, prim ORDER BY rid) AS turn FROM pb),
+ k AS (SELECT *, row_number() OVER (PARTITION BY game, bucket ORDER BY turn, queue, prim) <= 40 AS chosen FROM q),
+ l AS (SELECT *, row_number() OVER (PARTITION BY game, bucket, chosen ORDER BY queue, prim, turn) AS lt, 150 - sum(CAST(chosen AS INTEGER)) OVER (PARTITION BY game) AS short FROM k),
+ e AS (SELECT *, row_number() OVER (PARTITION BY game, chosen ORDER BY lt, {O.RANK.format(b="bucket")}) AS extra FROM l),
+ s AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY rid) AS place FROM e WHERE chosen OR extra <= short), sample AS (SELECT game, rid, bucket, rid AS seq FROM s WHERE place <= 150)"""
+
+
+@query(f"WITH {_QUOTA} SELECT * FROM sample")
+def quota_sample(spark, d):
+    return pool.quota_sample(_primary(spark, d), 150, 40, ["R", "A"])
+
+
+@query(f"""WITH {_QUOTA}, i AS (SELECT game, bucket, count(*) AS in_pool FROM pb GROUP BY 1, 2), k2 AS (SELECT game, bucket, count(*) AS kept FROM sample GROUP BY 1, 2)
+ SELECT game, bucket, coalesce(kept, 0) AS kept, in_pool, CAST(floor(coalesce(kept, 0) * 100 / in_pool) AS BIGINT) AS kept_pct FROM i LEFT JOIN k2 USING (game, bucket)""")
+def sample_report(spark, d):
+    rows = _primary(spark, d)
+    return pool.sample_report(pool.quota_sample(rows, 150, 40, ["R", "A"]), rows)
+
+
+@query(f"""WITH {O.FACT}, {O.COUNTS} SELECT g.game, min(coalesce(pool_n, 0)) >= 10 AS quotas_met, sum(CASE WHEN b.bucket = 'refund_window' THEN coalesce(pool_n, 0) ELSE 0 END) > 0 AS has_refunds
+ FROM (SELECT DISTINCT game FROM fact) g CROSS JOIN (VALUES ('refund_window'), ('early'), ('mid'), ('veteran')) b(bucket) LEFT JOIN counts USING (game, bucket) GROUP BY 1""")
+def quotas_met(spark, d):
+    return pool.quotas_met(A.fact_reviews(spark, d), 10)
+
+
+@query(f"""WITH {O.FACT}, s AS (SELECT game, count(*) AS n, count(*) FILTER (bucket = 'refund_window') AS r, count(*) FILTER (bucket = 'early') AS e, count(*) FILTER (bucket = 'mid') AS m, count(*) FILTER (bucket = 'veteran') AS v FROM fact GROUP BY 1),
+ t AS (SELECT game, round(v / n, 3) AS veteran_share, r AS refund_n, (r >= 20)::INT + (e >= 20)::INT + (m >= 20)::INT + (v >= 20)::INT AS eligible FROM s)
+ SELECT *, eligible < 2 OR veteran_share > 0.60 AS thin FROM t""")
+def cohort_structure(spark, d):
+    return pool.cohort_structure(A.fact_reviews(spark, d))
+
+
+@query(f"""WITH {O.RATES}, q AS (SELECT game, list(bucket ORDER BY {O.RANK.format(b="bucket")}) AS names, list(pct_positive ORDER BY {O.RANK.format(b="bucket")}) AS p FROM rates WHERE pool_n >= 30 GROUP BY 1 HAVING count(*) >= 2),
+ s AS (SELECT *, list_transform(range(1, len(p)), lambda i: round(p[i + 1] - p[i], 1)) AS steps, list_position(p, list_max(p)) AS hi, list_position(p, list_min(p)) AS lo FROM q WHERE round(list_max(p) - list_min(p), 1) >= 25),
+ u AS (SELECT *, len(list_filter(steps, lambda x: x > 3)) > 0 AS up, len(list_filter(steps, lambda x: x < -3)) > 0 AS down FROM s)
+ SELECT game, array_to_string(names, ',') AS cohorts, round(list_max(p) - list_min(p), 1) AS gap_pts, CASE WHEN NOT up AND NOT down THEN 'flat' WHEN up AND NOT down THEN 'monotonic_increase' WHEN down AND NOT up THEN 'monotonic_decrease'
+ WHEN hi > 1 AND hi < len(p) THEN 'rise_then_fall' WHEN lo > 1 AND lo < len(p) THEN 'fall_then_rise' ELSE 'mixed' END AS shape, names[lo] AS low_cohort, names[hi] AS high_cohort FROM u""".replace("fact AS (", "fact0 AS (").replace("FROM fact GROUP", "FROM (SELECT * REPLACE ((l_x * 31) % 100 < 95 - minutes // 90 AS voted_up) FROM (SELECT *, rid AS l_x FROM fact0)) GROUP"))
+def cohort_divergence(spark, d):
+    rows = A.fact_reviews(spark, d).withColumn("voted_up", (F.col("rid") * 31) % 100 < 95 - F.floor(F.col("minutes") / 90))
+    return verdict.cohort_divergence(pool.pool_rates(rows))
+
+
+_CLASS = O.classified(BLOCKED, SOFT)
+
+
+def _classified(spark, d):
+    return filtering.classify(A.text_reviews(spark, d), BLOCKED, SOFT)
+
+
+@query(f"WITH {_CLASS} SELECT rid, reason FROM c")
+def classify_reviews(spark, d):
+    return _classified(spark, d).select("rid", "reason")
+
+
+@query(f"""WITH {_CLASS} SELECT rid, array_to_string(list_sort(list_filter([CASE WHEN hearts > 0 THEN 'hearts_present' END, CASE WHEN length(text) > 30 AND letters > 0 AND upper / letters > 0.7 THEN 'all_caps' END,
+ CASE WHEN soft THEN 'profanity_soft' END, CASE WHEN reason = 'blocked_term' THEN 'blocked_term' END], lambda x: x IS NOT NULL)), ',') AS annotations FROM c""")
+def annotations(spark, d):
+    return _classified(spark, d).select("rid", F.array_join(F.array_sort("annotations"), ",").alias("annotations"))
+
+
+_REASONS = ", ".join(f"count(*) FILTER (reason = '{r}') AS {r}" for r in ("heart_density", "blocked_term", "joke_review", "low_information"))
+
+
+@query(f"""WITH {_CLASS}, s AS (SELECT game, CASE WHEN grouping(bucket) = 1 THEN 'all' ELSE bucket END AS bucket, count(*) AS n_in, count(*) FILTER (reason IS NULL) AS kept, {_REASONS} FROM c GROUP BY GROUPING SETS ((game, bucket), (game))),
+ p AS (SELECT *, n_in - kept AS dropped, round(100e0 * (n_in - kept) / n_in, 1) AS drop_pct FROM s)
+ SELECT p.*, p.kept < 20 AS muted, p.bucket <> 'all' AND round(p.drop_pct - o.drop_pct, 1) > 10 AS disproportionate FROM p JOIN p o ON o.game = p.game AND o.bucket = 'all'""")
+def filter_report(spark, d):
+    return filtering.filter_report(_classified(spark, d))
+
+
+def _pct(part: str, whole: str) -> str:
+    return f"round(100e0 * {part} / nullif({whole}, 0), 1)"
+
+
+@query(f"""WITH {_CLASS}, s AS (SELECT game, bucket, count(*) AS n_pre, count(*) FILTER (voted_up) AS a, count(*) FILTER (reason IS NULL) AS n_post, count(*) FILTER (reason IS NULL AND voted_up) AS b,
+ count(*) FILTER (reason = 'low_information') AS n_low_information, count(*) FILTER (reason = 'low_information' AND voted_up) AS l FROM c GROUP BY 1, 2),
+ t AS (SELECT game, bucket, n_pre, {_pct('a', 'n_pre')} AS pct_pre, n_post, {_pct('b', 'n_post')} AS pct_post, {_pct('(a - b)', '(n_pre - n_post)')} AS pct_dropped, n_low_information, {_pct('l', 'n_low_information')} AS pct_low_information FROM s)
+ SELECT *, round(pct_post - pct_pre, 1) AS delta_pts, coalesce(abs(round(pct_post - pct_pre, 1)) > 3 AND least(n_pre, n_post) >= 30, false) AS warn FROM t""")
+def sentiment_shift(spark, d):
+    return filtering.sentiment_shift(_classified(spark, d))
+
+
+_STRIPPED = r"regexp_replace(text, '(?i)\bthe most\b|\bmost\s+(?:polished|fun|important|common\s+complaint)', ' ', 'g')"
+_LABELS = ", ".join(f"CASE WHEN regexp_matches({_STRIPPED if chr(92) + 'bmost' in p else 'text'}, '(?i){p}') THEN '{label}' END" for p, label in O.PREVALENCE)
+
+
+@query(f"SELECT doc_id AS rid, array_to_string(list_sort(list_distinct(list_filter([{_LABELS}], lambda x: x IS NOT NULL))), ',') AS labels FROM documents WHERE lang = 'en'")
+def prevalence_guard(spark, d):
+    docs = A.table(spark, d, "documents").where("lang = 'en'")
+    return docs.select(F.col("doc_id").alias("rid"), F.array_join(X.prevalence(F.col("text")), ",").alias("labels"))
+
+
+@query(r"SELECT doc_id AS rid, regexp_matches(regexp_replace(text, '(?i)\b(?:Windows|DirectX|OpenGL|Vulkan|macOS|OS\s?X|iOS|Android|Linux|RTX|GTX|Radeon|GeForce|Ryzen|Core\s+i|Steam\s+Deck|DLSS|FSR|PlayStation|PS|Xbox)\s?\d+[a-z]*\b', '', 'g'), '\d') AS digit FROM documents WHERE lang = 'en'")
+def bare_digits(spark, d):
+    docs = A.table(spark, d, "documents").where("lang = 'en'")
+    return docs.select(F.col("doc_id").alias("rid"), X.has_bare_digit(F.col("text")).alias("digit"))
+
+
+def _cited(spark, d):
+    """Claims from the benchmark with the documents that hold their first 60 characters. Keys are 60-character starts of
+    the documents' lines, so the two sides meet by equality."""
+    items = A.table(spark, d, "benchmark").select(F.col("item_id").alias("claim_key"), F.col("text").alias("claim"), F.substring("text", 1, 60).alias("start"))
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("rid"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.substring(x, 1, 60)))).alias("line_start"))
+    cited = items.join(docs, F.col("start") == F.col("line_start")).groupBy("claim_key").agg(F.array_sort(F.collect_set("rid")).alias("ids"))
+    return items.join(cited, "claim_key", "left").select("claim_key", "claim", F.lit("mid").alias("bucket"), F.concat(F.coalesce("ids", F.array().cast("array<bigint>")), F.array(F.col("claim_key") * 3)).alias("ids"))
+
+
+_GROUND = f"""i AS (SELECT item_id, text AS claim, text[:60] AS start FROM benchmark), dl AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10)))[:60] AS ls FROM documents),
+ cid AS (SELECT item_id, doc_id AS rid FROM i JOIN dl ON start = ls UNION ALL SELECT item_id, item_id * 3 FROM i),
+ ct AS (SELECT item_id, claim, {O.tokens("claim")} AS ct FROM i), rt AS (SELECT doc_id, {O.BUCKET.format(m="n_chars")} AS bucket, {O.tokens("text")} AS rt FROM documents WHERE doc_id IN (SELECT rid FROM cid)),
+ h AS (SELECT cid.item_id, cid.rid, rt.doc_id, rt.bucket, ct.ct, rt.rt, CASE WHEN len(ct.ct) > 0 THEN round(len(list_filter(ct.ct, lambda c: len(list_filter(coalesce(rt.rt, []), lambda r: {O.ALIKE})) > 0)) / len(ct.ct), 3) ELSE 0 END AS share
+   FROM cid JOIN ct USING (item_id) LEFT JOIN rt ON rt.doc_id = cid.rid)"""
+
+
+@query(f"WITH {_GROUND} SELECT item_id AS claim_key, rid, share FROM h WHERE doc_id IS NOT NULL")
+def token_coverage(spark, d):
+    rows = _cited(spark, d).select("claim_key", X.tokens(F.col("claim")).alias("ct"), F.explode("ids").alias("rid"))
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("of"), X.tokens(F.col("text")).alias("rt"))
+    return rows.join(docs, F.col("rid") == F.col("of")).select("claim_key", "rid", F.round(X.coverage(F.col("ct"), F.col("rt")), 3).alias("share"))
+
+
+_ITEM_LABELS = _LABELS.replace("text", "i.claim")
+
+
+@query(f"""WITH {_GROUND}, u AS (SELECT item_id, string_agg(DISTINCT CASE WHEN bucket <> 'mid' THEN CAST(rid AS VARCHAR) END, ',' ORDER BY CASE WHEN bucket <> 'mid' THEN CAST(rid AS VARCHAR) END) AS outside,
+   string_agg(DISTINCT CASE WHEN doc_id IS NULL THEN CAST(rid AS VARCHAR) END, ',' ORDER BY CASE WHEN doc_id IS NULL THEN CAST(rid AS VARCHAR) END) AS missing,
+   list_distinct(flatten(list(coalesce(rt, [])))) AS un, count(*) FILTER (doc_id IS NOT NULL AND share >= 0.10) AS supporting FROM h GROUP BY 1),
+ v AS (SELECT u.*, CASE WHEN len(ct) > 0 THEN round(len(list_filter(ct, lambda c: len(list_filter(un, lambda r: {O.ALIKE})) > 0)) / len(ct), 3) ELSE 0 END AS uc,
+   array_to_string(list_sort(list_distinct(list_filter([{_ITEM_LABELS}], lambda x: x IS NOT NULL))), ',') AS people FROM u JOIN ct USING (item_id) JOIN i USING (item_id)),
+ f AS (SELECT item_id, uc, supporting, array_to_string(list_filter(['ids_not_in_corpus:' || missing, 'cited_outside_bucket:' || outside, CASE WHEN uc < 0.25 THEN 'low_union_coverage' END,
+   CASE WHEN supporting < 2 THEN 'only_' || supporting || '_supporting_citations' END, CASE WHEN people <> '' THEN 'prevalence_language:' || people END], lambda x: x IS NOT NULL), ';') AS failures FROM v)
+ SELECT item_id AS claim_key, uc AS union_coverage, supporting, failures, failures = '' AS passed FROM f""")
+def grounding(spark, d):
+    return claims.ground(_cited(spark, d), A.text_reviews(spark, d))
+
+
+@query(f"""WITH {O.TEXT}, k AS (SELECT item_id, trim(text) AS claim, [CAST(item_id AS VARCHAR), CAST(item_id * 7 AS VARCHAR), CAST(item_id * 90 AS VARCHAR), CAST(item_id AS VARCHAR)] AS raw FROM benchmark),
+ e AS (SELECT DISTINCT ON (item_id, rid) item_id, claim, rid, pos FROM (SELECT item_id, claim, unnest(raw) AS rid, unnest(range(4)) AS pos FROM k) ORDER BY item_id, rid, pos),
+ j AS (SELECT e.*, t.rid IS NOT NULL AS known, t.voted_up FROM e LEFT JOIN texts t ON CAST(t.rid AS VARCHAR) = e.rid),
+ g AS (SELECT claim, coalesce(string_agg(rid, ',' ORDER BY pos) FILTER (known), '') AS ids, count(*) FILTER (known) AS n, count(*) FILTER (NOT known) AS un, count(*) FILTER (voted_up) AS positive, count(*) FILTER (NOT voted_up) AS negative FROM j GROUP BY item_id, claim)
+ SELECT 'ear-' || sha1(claim)[:6] AS claim_id, CASE WHEN un > 0 AND n = 0 THEN 'all_ids_unknown' WHEN n < 2 THEN 'under_two_supporting_reviews' END AS reason, ids, positive, negative,
+ CASE WHEN positive + negative = 0 THEN 'unknown' WHEN 3 * positive >= 2 * (positive + negative) THEN 'positive' WHEN 3 * negative >= 2 * (positive + negative) THEN 'negative' ELSE 'mixed' END AS citation_verdict FROM g""")
+def claim_enforce(spark, d):
+    key = F.col("item_id")
+    ids = F.array(*[F.concat(F.lit(" "), (key * k).cast("string")) for k in (1, 7, 90, 1)])
+    rows = A.table(spark, d, "benchmark").select(F.lit("g").alias("game"), F.lit("early").alias("bucket"), F.col("text").alias("claim"), ids.alias("ids"))
+    out = claims.enforce(rows, A.text_reviews(spark, d).withColumn("game", F.lit("g")))
+    return out.select("claim_id", "reason", F.array_join("supporting_ids", ",").alias("ids"), "positive", "negative", "citation_verdict")
+
+
+@query()
+def fuzzy_merge(spark, d):
+    rows = A.table(spark, d, "benchmark").select((F.col("item_id") % 5).alias("group"), F.col("item_id").alias("seq"), F.col("text").alias("claim"), (F.col("item_id") % 4).alias("n_ids"))
+    return claims.merge_similar(rows)
+
+
+@query(r"""WITH t AS (SELECT source AS game, d.doc_id AS rid, CASE WHEN n_chars < 120 THEN 'refund_window' WHEN n_chars < 1200 THEN 'early' WHEN n_chars < 6000 THEN 'mid' ELSE 'veteran' END AS bucket,
+ '[' || d.doc_id || '] (' || CASE WHEN quality = 1 THEN 'recommends' WHEN quality = 0 THEN 'does not recommend' ELSE 'no vote' END || ') ' || substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 1500) AS line FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+ SELECT game, bucket, sha256(string_agg(line, chr(10) || chr(10) ORDER BY rid)) AS prompt_sha256 FROM t GROUP BY 1, 2""")
+def extraction_prompts(spark, d):
+    return claims.prompts(A.text_reviews(spark, d)).select("game", "bucket", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+_CITE = "fact.rid % 37 = 0"
+
+
+def _citations(spark, d):
+    return A.fact_reviews(spark, d).where("rid % 37 = 0")
+
+
+@query(f"""WITH {O.RATES}, o AS (SELECT game, bucket, rid, max(voted_up) AS up FROM fact WHERE {_CITE} GROUP BY 1, 2, 3), s AS (SELECT game, bucket, count(*) AS n, count(*) FILTER (up) AS k FROM o GROUP BY 1, 2),
+ t AS (SELECT s.*, pct_positive / 100 AS p FROM s JOIN rates USING (game, bucket)),
+ q AS (SELECT game, bucket, n, k, p, least(1, CASE WHEN p <= 0 THEN 1 WHEN p >= 1 THEN (k >= n)::INT ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))) END) AS dp FROM t)
+ SELECT game, bucket, n AS cited_reviews, k AS cited_recommend, CASE WHEN dp = 0 THEN 0 ELSE round(dp * pow(10, 2 - floor(log10(dp)))) / pow(10, 2 - floor(log10(dp))) END AS divergence_p,
+ CASE WHEN n <= 4 AND dp < 0.05 / 1077 THEN 'thin,divergent' WHEN n <= 4 THEN 'thin' WHEN dp < 0.05 / 1077 THEN 'divergent' ELSE '' END AS triggers, CASE WHEN n <= 4 OR dp < 0.05 / 1077 THEN 'escalated' ELSE 'baseline' END AS level FROM q""")
+def binomial_sourcing(spark, d):
+    return sourcing.sourcing(_citations(spark, d), pool.pool_rates(A.fact_reviews(spark, d)))
+
+
+@query(f"""WITH {O.FACT}, a AS (SELECT game, CASE WHEN grouping(bucket) = 1 THEN 'all' ELSE bucket END AS bucket, count(*) AS na, 100e0 * count(*) FILTER (voted_up) / count(*) AS pa FROM fact GROUP BY GROUPING SETS ((game, bucket), (game))),
+ c AS (SELECT game, CASE WHEN grouping(bucket) = 1 THEN 'all' ELSE bucket END AS bucket, count(*) AS nc, 100e0 * count(*) FILTER (voted_up) / count(*) AS pc FROM fact WHERE {_CITE} GROUP BY GROUPING SETS ((game, bucket), (game)))
+ SELECT game, bucket, round(pa, 1) AS available_pct, round(pc, 1) AS cited_pct, round(pc - pa, 1) + 0 AS delta, na AS n_available, nc AS n_cited FROM a JOIN c USING (game, bucket)
+ WHERE na >= CASE WHEN bucket = 'all' THEN 20 ELSE 10 END AND nc >= CASE WHEN bucket = 'all' THEN 10 ELSE 5 END""")
+def claim_balance(spark, d):
+    return sourcing.claim_balance(A.fact_reviews(spark, d), _citations(spark, d))
+
+
+_DELTA = f"""{O.RATES}, o AS (SELECT game, bucket, rid, max(voted_up) AS up FROM fact WHERE {_CITE} GROUP BY 1, 2, 3),
+ s AS (SELECT game, bucket, count(*) AS cited_n, round(100e0 * count(*) FILTER (up) / count(*), 1) AS cited_pct FROM o GROUP BY 1, 2),
+ dl AS (SELECT game, bucket, cited_n, cited_pct, pct_positive AS pool_pct, round(cited_pct - pct_positive, 1) + 0 AS delta_pool FROM s JOIN rates USING (game, bucket))"""
+
+
+def _deltas(spark, d):
+    return sourcing.source_delta(_citations(spark, d), pool.pool_rates(A.fact_reviews(spark, d)))
+
+
+@query(f"WITH {_DELTA} SELECT * FROM dl")
+def source_delta(spark, d):
+    return _deltas(spark, d)
+
+
+@query(f"""WITH {_DELTA}, r AS (SELECT delta_pool AS x, row_number() OVER (ORDER BY delta_pool) AS i, count(*) OVER () AS n FROM dl), z AS (SELECT *, floor((n + 1) * 0.1) AS lo, (n + 1) * 0.1 - floor((n + 1) * 0.1) AS fr FROM r)
+ SELECT n, round(avg(x), 3) AS mean, round(median(x), 3) AS median, min(x) AS least, round(sum(CASE WHEN i = greatest(lo, 1) THEN x * CAST(1 - fr AS DOUBLE) WHEN i = lo + 1 THEN x * CAST(fr AS DOUBLE) ELSE 0 END), 3) AS p10, count(*) FILTER (x < -40) AS below_40 FROM z GROUP BY n""")
+def delta_summary(spark, d):
+    return sourcing.delta_summary(_deltas(spark, d))
+
+
+_HTML = r"""chunk AS (SELECT page_id, unnest(string_split(html, '<a ')[2:]) AS c, unnest(range(0, len(string_split(html, '<a ')) - 1)) AS pos FROM pages),
+ hr AS (SELECT page_id, pos, regexp_extract(c, 'href="([^"]*)"', 1) AS href, trim(replace(replace(replace(replace(replace(regexp_extract(c, '>([^<]*)</a>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS title FROM chunk),
+ ho AS (SELECT *, CASE WHEN href = '' THEN 'no_address' WHEN title = '' THEN 'empty_title' WHEN NOT starts_with(href, '/') THEN 'external' ELSE 'parsed' END AS outcome FROM hr)"""
+
+
+@query(f"WITH {_HTML} SELECT * FROM ho")
+def html_rows(spark, d):
+    return catalog.html_rows(A.table(spark, d, "pages"))
+
+
+@query(f"WITH {_HTML} SELECT outcome, count(*) AS n FROM ho GROUP BY 1")
+def row_accounting(spark, d):
+    return catalog.row_accounting(catalog.html_rows(A.table(spark, d, "pages")))
+
+
+_RANKED = "ranked AS (SELECT p_partkey AS appid, p_name AS title, CAST(trunc(p_retailprice) AS INTEGER) AS reviews, p_type AS kind, p_size AS size, row_number() OVER (ORDER BY trunc(p_retailprice) DESC, p_partkey) AS rank, CASE WHEN trunc(p_retailprice) >= 1000 THEN 'core' ELSE 'tail' END AS shard FROM part WHERE trunc(p_retailprice) >= 70)"
+
+
+@query(f"WITH {_RANKED} SELECT appid, title, reviews, rank, shard FROM ranked")
+def catalog_rank(spark, d):
+    return catalog.rank_entries(catalog.best_per_key(A.catalog_entries(spark, d)))
+
+
+@query(f"""WITH {_RANKED}, f AS (SELECT appid, rank, size % 3 = 0 AS live, appid % 11 = 0 AS have, appid % 13 = 0 AS duplicate FROM ranked),
+ a AS (SELECT *, coalesce(sum((NOT duplicate AND NOT have AND live)::INT) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lb FROM f),
+ b AS (SELECT *, NOT duplicate AND NOT have AND (NOT live OR lb < 15) AS fits FROM a), c AS (SELECT *, coalesce(sum(fits::INT) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
+ SELECT appid, rank, live, CASE WHEN duplicate THEN 'dropped' WHEN fits THEN 'chosen' ELSE 'skipped' END AS outcome, CASE WHEN fits THEN CASE WHEN before < 40 THEN 1 ELSE 2 END END AS night FROM c WHERE before < 100 AND (duplicate OR NOT have)""")
+def catalog_select(spark, d):
+    entries = A.catalog_entries(spark, d)
+    ranked = catalog.rank_entries(entries).join(entries.select("appid", "size"), "appid")
+    flagged = ranked.select("appid", "rank", (F.col("size") % 3 == 0).alias("live"), (F.col("appid") % 11 == 0).alias("have"), (F.col("appid") % 13 == 0).alias("duplicate"))
+    return catalog.select_capped(flagged, 100, 15, 40)
+
+
+@query(f"""WITH {_RANKED}, n AS (SELECT appid, title, rank, trim(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', ' ', 'g')) AS t FROM ranked),
+ m AS (SELECT *, CASE WHEN t = 'part 1' THEN 0 WHEN starts_with(t, 'part 1') THEN 1 WHEN strpos(t, 'part 1') > 1 THEN CASE WHEN t[strpos(t, 'part 1') - 1] = ' ' THEN 2 ELSE 3 END END AS tier FROM n)
+ SELECT appid, title, rank, tier FROM m WHERE tier IS NOT NULL ORDER BY tier, rank LIMIT 8""")
+def search_topk(spark, d):
+    return catalog.search(catalog.rank_entries(A.catalog_entries(spark, d)), "Part  1")
+
+
+@query("SELECT unnest(['duplicate_ids', 'below_floor', 'wrong_shard', 'rank_gaps', 'out_of_order', 'unaccounted']) AS problem, CAST(0 AS BIGINT) AS n")
+def index_verify(spark, d):
+    entries = A.catalog_entries(spark, d)
+    return catalog.verify_index(catalog.rank_entries(entries), entries)
+
+
+_SNAP = """b AS (SELECT o_orderkey AS key, o_orderdate AS generated FROM orders WHERE o_orderkey % 3 <> 0), m AS (SELECT o_orderkey AS key, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate WHEN 1 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate + INTERVAL 1 DAY END AS generated FROM orders WHERE o_orderkey % 5 <> 0),
+ y AS (SELECT b.key, CASE WHEN m.key IS NULL THEN 'absent' WHEN b.generated > m.generated THEN 'newer' WHEN b.generated = m.generated THEN 'same' ELSE 'older' END AS why FROM b LEFT JOIN m USING (key))"""
+
+
+def _snapshots(spark, d):
+    o = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("generated"))
+    day = F.expr("INTERVAL 1 DAY")
+    moved = F.when(F.col("key") % 4 == 0, F.col("generated")).when(F.col("key") % 4 == 1, F.col("generated") - day).otherwise(F.col("generated") + day)
+    return o.where("key % 3 <> 0"), o.where("key % 5 <> 0").withColumn("generated", moved)
+
+
+@query(f"WITH {_SNAP} SELECT key, why IN ('absent', 'newer') AS take, why FROM y")
+def publish_select(spark, d):
+    return publish.select_publishable(*_snapshots(spark, d))
+
+
+@query(f"WITH {_SNAP} SELECT key, coalesce(why IN ('same', 'older') AND o.o_orderdate <= TIMESTAMP '1996-01-01' - INTERVAL 48 HOUR, false) AS prune FROM y LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 7 <> 0) o ON o.o_orderkey = key")
+def prune(spark, d):
+    branch, main = _snapshots(spark, d)
+    seen = A.table(spark, d, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("ts"))
+    return publish.prune(branch, main, seen, F.lit("1996-01-01").cast("timestamp_ntz"))
+
+
+@query(f"WITH {_CLASS} SELECT game, count(*) AS citations, count(*) FILTER (h) AS hits, bool_or(h) AS withheld FROM (SELECT game, " + r"regexp_matches(translate(lower(text), '013457@$', 'oieastas'), '(?i)(^|[^\p{L}\p{N}_])(?:" + O._bodies(BLOCKED) + r")($|[^\p{L}\p{N}_])') AS h FROM c) GROUP BY 1")
+def qr4_gate(spark, d):
+    return publish.safety_gate(A.text_reviews(spark, d), BLOCKED)
+
+
+@query(f"SELECT {O.pacific('ts', '%Y-%m-%d')} AS day, event_type AS ledger, count(*) AS requests, round(sum(value), 2) AS cost FROM events GROUP BY 1, 2")
+def ledger_daily(spark, d):
+    return ledger.daily(A.request_log(spark, d))
+
+
+@query(f"SELECT user_id AS key, {O.pacific('ts', '%Y-%m-%d %H')} AS hour, count(*) AS requests, count(*) > 5 AS over_limit FROM events GROUP BY 1, 2")
+def hourly_tally(spark, d):
+    return ledger.hourly(A.request_log(spark, d))
+
+
+@query(f"SELECT {O.pacific('ts', '%Y-%m-%d')} AS day, true AS conserved FROM events GROUP BY 1")
+def ledger_conserved(spark, d):
+    log = A.request_log(spark, d)
+    return ledger.conserved(ledger.daily(log), log)
+
+
+@query(f"""WITH t AS (SELECT {O.pacific('ts', '%Y-%m-%d')} AS day, event_id AS place, event_id % 14 AS calls FROM events), s AS (SELECT *, CAST(coalesce(sum(calls) OVER (PARTITION BY day ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent_before FROM t)
+ SELECT *, 400 - spent_before >= 13 AS admitted FROM s""")
+def budget_stop(spark, d):
+    titles = A.request_log(spark, d).select(R.pacific_day(F.col("ts")).alias("day"), F.col("id").alias("place"), (F.col("id") % 14).alias("calls"))
+    return ledger.budget_stop(titles, C.DAILY_BUDGET)
+
+
+@query("""WITH e AS (SELECT event_id AS id, event_type AS ledger, epoch_us(ts) AS us FROM events) SELECT id, ledger, count(*) OVER w AS in_window, count(*) OVER w > 12 AS over FROM e WINDOW w AS (PARTITION BY ledger ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)""")
+def trailing_rate(spark, d):
+    return ledger.trailing(A.request_log(spark, d), 3600)
+
+
+@query(f"SELECT {O.pacific('ts', '%Y-%m-%d')} AS day, CAST(greatest(0, sum(13) - sum(CASE WHEN event_id % 3 <> 0 THEN 13 - event_id % 17 ELSE 0 END)) AS BIGINT) AS effective FROM events GROUP BY 1")
+def effective_used(spark, d):
+    rows = A.request_log(spark, d).select(R.pacific_day(F.col("ts")).alias("day"), F.lit(C.RESERVED).alias("used"), F.when(F.col("id") % 3 != 0, F.col("id") % 17).alias("actual"))
+    return ledger.effective_used(rows)
+
+
+@query(f"SELECT {O.pacific('ts', '%Y-%m-%d')} AS day, count(*) AS attempted, count(*) FILTER (event_type = 'purchase') AS published, CAST(sum(event_id % 14) AS BIGINT) AS calls, round(avg(event_id % 40), 3) AS mean_seconds FROM events GROUP BY 1")
+def batch_summary(spark, d):
+    ok = F.when(F.col("ledger") == "purchase", "ok").otherwise("stopped")
+    rows = A.request_log(spark, d).select(R.pacific_day(F.col("ts")).alias("day"), ok.alias("outcome"), (F.col("id") % 14).alias("calls"), (F.col("id") % 40).alias("seconds"))
+    return ledger.batch_summary(rows)
+
+
+_SAMPLES = "s AS (SELECT r AS round, doc_id AS rid FROM documents CROSS JOIN (VALUES (2), (3), (5)) v(r) WHERE doc_id % r = 0)"
+
+
+@query(f"WITH {_SAMPLES} SELECT x.round AS a, y.round AS b, count(*) AS shared FROM s x JOIN s y USING (rid) WHERE x.round < y.round GROUP BY 1, 2")
+def overlap_rounds(spark, d):
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("rid"), F.explode(F.array(*map(F.lit, (2, 3, 5)))).alias("round"))
+    return evals.overlap(docs.where("rid % round = 0"))
+
+
+@query(f"""WITH {O.TEXT}, t AS (SELECT rid, bucket, row_number() OVER (PARTITION BY bucket ORDER BY sha256('audit:' || rid), rid) AS turn FROM texts), p AS (SELECT rid, bucket, row_number() OVER (ORDER BY turn, bucket) AS place FROM t WHERE turn <= 20)
+ SELECT * FROM p WHERE place <= 20""")
+def stratified_audit(spark, d):
+    return evals.stratified_sample(A.text_reviews(spark, d), 20, "audit")
+
+
+_TITLES = f"{O.RATES}, {O.MEAN}, tn AS (SELECT game, sum(pool_n) AS pool_n FROM rates GROUP BY 1), titles AS (SELECT game, game % 3 + 1 AS night, mean_pct AS pct, {O.WORD} AS word, pool_n, CASE WHEN mean_pct < 80 THEN 0 WHEN mean_pct < 86 THEN 1 WHEN mean_pct < 90 THEN 2 WHEN mean_pct < 101 THEN 3 END AS band FROM means JOIN tn USING (game))"
+
+
+def _titles(spark, d):
+    rates = pool.pool_rates(A.fact_reviews(spark, d))
+    sums = rates.groupBy("game").agg(F.sum("pool_n").alias("pool_n"))
+    return verdict.post_refund_mean(rates).join(sums, "game").select("game", (F.col("game") % 3 + 1).alias("night"), F.col("mean_pct").alias("pct"), "word", "pool_n")
+
+
+@query(f"WITH {_TITLES} SELECT night, band, count(*) AS n, round(100e0 * count(*) FILTER (word = 'Buy') / count(*), 1) AS buy_pct, round(sum(pct * pool_n) / sum(pool_n), 3) AS weighted_pct FROM titles GROUP BY 1, 2")
+def night_bands(spark, d):
+    return evals.night_bands(_titles(spark, d))
+
+
+@query(f"""WITH {_TITLES}, r AS (SELECT band, count(*) FILTER (word = 'Buy') / count(*) AS rate FROM titles WHERE night = 1 GROUP BY 1), g AS (SELECT night, band, count(*) AS n, count(*) FILTER (word = 'Buy') AS b FROM titles GROUP BY 1, 2)
+ SELECT night, CAST(sum(n) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS actual, round(sum(n * coalesce(rate, 0)), 4) AS expected FROM g LEFT JOIN r USING (band) GROUP BY 1""")
+def standardised_share(spark, d):
+    return evals.standardised(_titles(spark, d), 1)
+
+
+_CASES = """lv AS (SELECT doc_id // 3 AS case_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'full' WHEN quality = 1 THEN 'partial' ELSE 'none' END AS level FROM labels),
+ cs AS (SELECT case_id, count(*) FILTER (level = 'full') AS f, count(*) FILTER (level = 'partial') AS p FROM lv GROUP BY 1), sc AS (SELECT case_id, CASE WHEN f >= 2 THEN 2 WHEN f = 1 THEN 1 WHEN p >= 2 THEN 1 ELSE 0 END AS score, f = 0 AND p = 1 AS gap FROM cs)"""
+
+
+def _cases(spark, d):
+    level = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "full").when(F.col("quality") == 1, "partial").otherwise("none")
+    return evals.case_scores(A.table(spark, d, "labels").select(F.floor(F.col("doc_id") / 3).alias("case_id"), level.alias("level")))
+
+
+@query(f"WITH {_CASES} SELECT * FROM sc")
+def eval_scores(spark, d):
+    return _cases(spark, d)
+
+
+@query(f"""WITH {_CASES}, x AS (SELECT score, 'g' || case_id % 4 AS game, 'c' || case_id % 3 AS cohort FROM sc)
+ SELECT CASE WHEN grouping(game) = 0 THEN 'game' WHEN grouping(cohort) = 0 THEN 'cohort' ELSE 'all' END AS by, coalesce(game, cohort, 'all') AS name, count(*) AS n, round(avg(score), 3) AS mean, count(*) FILTER (score = 2) AS twos, count(*) FILTER (score = 1) AS ones, count(*) FILTER (score = 0) AS zeros
+ FROM x GROUP BY GROUPING SETS ((game), (cohort), ())""")
+def eval_breakdown(spark, d):
+    part = lambda letter, n: F.concat(F.lit(letter), (F.col("case_id") % n).cast("string"))
+    return evals.score_breakdown(_cases(spark, d).select("score", part("g", 4).alias("game"), part("c", 3).alias("cohort")))
+
+
+def _documents(spark, d):
+    rates = pool.pool_rates(A.fact_reviews(spark, d)).withColumn("muted", F.col("pool_n") < C.MIN_SURVIVORS)
+    cited = A.fact_reviews(spark, d).where("rid % 211 = 0").groupBy("game", "bucket", "rid").agg(F.min("source_filter").alias("theme"))
+    rows = cited.select("game", "bucket", "theme", F.col("rid").alias("seq"), F.concat(F.lit("c"), F.col("rid").cast("string")).alias("claim_id"), F.lit("").alias("claim"))
+    return verdict.assemble(rates, verdict.post_refund_mean(rates), rows)
+
+
+@query(f"WITH {O.RATES} SELECT DISTINCT game, bucket, theme, 'c' || rid AS claim_id FROM (SELECT game, bucket, rid, min(source_filter) AS theme FROM fact WHERE rid % 211 = 0 GROUP BY 1, 2, 3) JOIN rates USING (game, bucket) WHERE pool_n >= 20")
+def document_claims(spark, d):
+    return verdict.citations_of(_documents(spark, d))
+
+
+@query(f"""WITH {O.RATES}, {O.MEAN} SELECT game, {O.WORD} AS word, s.pool_n, s.cohort_count FROM means JOIN (SELECT game, CAST(sum(pool_n) AS BIGINT) AS pool_n, count(*) FILTER (pool_n >= 20) AS cohort_count FROM rates GROUP BY 1) s USING (game)""")
+def document_footers(spark, d):
+    return _documents(spark, d).select("game", "verdict.word", "footer.pool_n", "footer.cohort_count")
+
+
+@query("SELECT doc_id AS rid, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '…' ELSE text END AS review_text, length(text) > 2000 AS truncated, strftime(make_timestamp(1700000000000000 + doc_id * 3600000000), '%Y-%m-%d') AS date FROM documents")
+def citations(spark, d):
+    docs = A.table(spark, d, "documents")
+    built = verdict.build_citation(F.col("text"), F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") * 3600))
+    return docs.select(F.col("doc_id").alias("rid"), built.alias("c")).select("rid", "c.*")
+
+
+@query("SELECT doc_id AS rid, substr(sha256('claims' || chr(0) || lang || chr(0) || text), 1, 16) AS key FROM documents")
+def memo_keys(spark, d):
+    return A.table(spark, d, "documents").select(F.col("doc_id").alias("rid"), memo_key("claims", "lang", "text").alias("key"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type AS ledger, count(*) AS requests FROM events GROUP BY 1, 2")
+def stream_windows(spark, d):
+    rows = limits.run_to_end(limits.windows(limits.log_stream(spark, d)), "complete", "stream_windows_out")
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT DISTINCT event_id AS id FROM events")
+def stream_dedup(spark, d):
+    return limits.run_to_end(limits.first_seen(limits.log_stream(spark, d)).select("id"), "append", "stream_dedup_out")
+
+
+@query()
+def stateful_limiter(spark, d):
+    return limits.run_to_end(limits.limiter(limits.log_stream(spark, d)), "append", "stateful_limiter_out")
+
+
+@query(r"SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'flash' WHEN event_type = 'click' THEN 'live' ELSE 'batch' END AS ledger, CASE event_id % 4 WHEN 0 THEN 'abort' WHEN 1 THEN 'stop_for_the_day' WHEN 2 THEN 'lower_the_ceiling' ELSE 'retry' END AS class FROM events")
+def routing(spark, d):
+    log = A.request_log(spark, d)
+    model = F.when(F.col("id") % 2 == 0, "model-flash").otherwise("model-flash-lite")
+    message = F.element_at(F.array(*map(F.lit, ("API key not valid", "429 quota PerDay", "429 quota PerMinute", "503 unavailable"))), (F.col("id") % 4 + 1).cast("int"))
+    return log.select("id", R.ledger_for(model, F.when(F.col("ledger") == "click", "live")).alias("ledger"), R.error_class(message).alias("class"))
