@@ -26,14 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import partitions
+from tallyfield.llm.common import partitions, spread_keys
 from tallyfield.llm.word_hashes import WordHashes, by_range, pack, rolling, unpack
 
 WINDOW = 50
 BLOCK = 25
-#: Words of a chunk of documents; ranges of hashes for each shuffle partition; bits that a range keeps of an anchor.
+#: Words of a chunk of documents; low bits that an anchor's hash loses.
 CHUNK_WORDS = 1_500_000
-RANGES = 4
 ANCHOR_BITS = np.uint64(24)
 
 BLOBS = "part int, blob binary"
@@ -42,7 +41,7 @@ HITS = "hit_id bigint, hits binary"
 _HITS = pa.schema([("hit_id", pa.int64()), ("hits", pa.binary())])
 
 
-def _blobs(hashes: list[np.ndarray], docs: list[np.ndarray], flags: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+def _blobs(hashes: list[np.ndarray], docs: list[np.ndarray], flags: list[np.ndarray], parts: list[int]) -> Iterator[pa.RecordBatch]:
     """One row for each range of hashes; a hash that a document has several times counts once."""
     if not hashes:
         return
@@ -52,11 +51,11 @@ def _blobs(hashes: list[np.ndarray], docs: list[np.ndarray], flags: list[np.ndar
     first = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
     f = np.logical_or.reduceat(f, np.flatnonzero(first))
     h, d = h[first], d[first]
-    rows = [(k, pack(h[s], d[s], f[s])) for k, s in by_range(h, parts)]
+    rows = [(parts[k], pack(h[s], d[s], f[s])) for k, s in by_range(h, len(parts))]
     yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), _BLOBS)], schema=_BLOBS)
 
 
-def _anchors(parts: int) -> Callable:
+def _anchors(parts: list[int]) -> Callable:
     """All runs of BLOCK words of every document, flagged where they lie on its grid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +80,7 @@ def _anchors(parts: int) -> Callable:
     return run
 
 
-def _windows(parts: int) -> Callable:
+def _windows(parts: list[int]) -> Callable:
     """The windows that hold an anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +120,7 @@ def not_first(docs: np.ndarray, flags: np.ndarray, starts: np.ndarray, group: np
     return docs > np.minimum.reduceat(docs, starts)[group]
 
 
-def _grouped(rule: Callable, parts: int) -> Callable:
+def _grouped(rule: Callable, parts: list[int]) -> Callable:
     def reduce(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         entries = [unpack(b) for b in blobs]
         h, d, f = (np.concatenate(x) for x in zip(*entries))
@@ -133,11 +132,11 @@ def _grouped(rule: Callable, parts: int) -> Callable:
         h, d = h[kept], d[kept]
         if not len(h):
             return
-        owner = (d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
+        owner = (d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(len(parts))
         order = np.argsort(owner, kind="stable")
         h, d, owner = h[order], d[order], owner[order]
         edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
-        rows = [(int(owner[a]), pack(h[a:b], d[a:b], np.zeros(b - a, bool))) for a, b in zip(edges[:-1], edges[1:])]
+        rows = [(parts[owner[a]], pack(h[a:b], d[a:b], np.zeros(b - a, bool))) for a, b in zip(edges[:-1], edges[1:])]
         yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), _BLOBS)], schema=_BLOBS)
 
     return _part_by_part(reduce)
@@ -172,11 +171,11 @@ def _part_by_part(reduce: Callable[[list[bytes]], Iterator[pa.RecordBatch]]) ->
     return run
 
 
-def matches(blobs: DataFrame, rule: Callable, parts: int) -> DataFrame:
+def matches(blobs: DataFrame, rule: Callable, parts: list[int]) -> DataFrame:
     """hit_id and the sorted hashes that `rule` picks for it, from packed sets dealt by range of hashes."""
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(partitions(df.sparkSession), "part").sortWithinPartitions("part")
+        return df.repartition(len(parts), "part").sortWithinPartitions("part")
 
     picked = dealt(blobs).mapInArrow(_grouped(rule, parts), BLOBS)
     return dealt(picked).mapInArrow(_part_by_part(_by_document), HITS)
@@ -211,7 +210,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     The documents are dealt by doc_id once; both joins read that one exchange.
     """
-    parts = RANGES * partitions(docs.sparkSession)
+    parts = spread_keys(partitions(docs.sparkSession))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     anchors = matches(rows.mapInArrow(_anchors(parts), BLOBS), shared_anchors, parts)
     probed = rows.join(anchors, F.col("doc_id") == F.col("hit_id"), "left").select("doc_id", "text", "hits")
