@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import cut
+from tallyfield.llm.common import without
 
 SLOTS = 4
 KICKS = 200
@@ -198,6 +198,4 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that `exact_dedup` keeps, with their own columns."""
-    columns = [f"d.`{c}`" for c in docs.columns]
-    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.alias("d").join(cut(gone), F.col("d.doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select(*columns)
+    return without(docs, exact_dedup(docs).where(~F.col("kept")))

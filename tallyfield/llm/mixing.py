@@ -186,8 +186,7 @@ def mix(docs: DataFrame, most: int = MOST, seed: int = SEED) -> DataFrame:
 def repeat_documents(docs: DataFrame, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The rows of `docs`, with their own columns, as often as `mix` takes them. Rows that share a doc_id share the
     largest number of copies of any of them."""
-    copies = mix(docs, most, seed).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies"))
-    columns = [f"d.`{c}`" for c in docs.columns]
-    rows = docs.alias("d").join(cut(copies), F.col("d.doc_id").eqNullSafe(F.col("mixed_id")))
-    repeated = rows.withColumn("copy_number", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*columns)
+    copies = mix(docs, most, seed).where("copies > 0").groupBy(F.col("doc_id").alias("__mixed_id")).agg(F.max("copies").alias("__copies"))
+    times = F.sequence(F.lit(1), F.col("__copies").cast("int"))
+    rows = docs.alias("d").join(cut(copies), F.col("d.doc_id").eqNullSafe(F.col("__mixed_id")))
+    return rows.select(*[f"d.`{c}`" for c in docs.columns], F.explode(times).alias("__copy")).drop("__copy")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import cut
+from tallyfield.llm.common import cut, without
 from tallyfield.llm.word_hashes import WordHashes, rolling
 
 WIDTH = 5
@@ -281,6 +281,4 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that `near_dedup` keeps, with their own columns."""
-    columns = [f"d.`{c}`" for c in docs.columns]
-    gone = near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.alias("d").join(cut(gone), F.col("d.doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select(*columns)
+    return without(docs, near_dedup(docs).where(~F.col("kept")))

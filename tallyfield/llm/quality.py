@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import SPACE, cut
+from tallyfield.llm.common import SPACE, cut, without
 
 #: Common words by language.
 COMMON_WORDS = {
@@ -143,6 +143,4 @@ def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = W
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that `judge` keeps, with their own columns. Rows that share a doc_id go if one of them does."""
-    columns = [f"d.`{c}`" for c in docs.columns]
-    gone = judge(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.alias("d").join(cut(gone), F.col("d.doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select(*columns)
+    return without(docs, judge(docs).where(~F.col("kept")))
