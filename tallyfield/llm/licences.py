@@ -124,7 +124,7 @@ def normalise(sentence: str) -> str:
 
 def identifier(sentence: str) -> str | None:
     plain = normalise(sentence)
-    return _KNOWN.get(plain) or (COPYRIGHT if _NOTICE.match(plain) else None)
+    return _KNOWN.get(plain) or (COPYRIGHT if "\n" not in sentence.strip() and _NOTICE.match(plain) else None)
 
 
 def identifiers(text: str) -> list[str]:
