@@ -99,7 +99,7 @@ def templates(pages: DataFrame) -> DataFrame:
         pages.groupBy("host", "route").agg(F.first("parts").alias("parts"), F.count("*").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     )
     whole = routes.agg(F.coalesce(F.max(F.size("parts")), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    prior = (whole[2] + 1) / (whole[1] + 2)
+    prior = whole[2] / max(whole[1], 1)
     rows = routes.withColumn("prefix", F.lit(""))
     for depth in range(whole[0]):
         rows = rows.withColumn("segment", F.get("parts", F.lit(depth)))
