@@ -60,6 +60,10 @@ def recency_shift(split: DataFrame, lifetime: DataFrame) -> DataFrame:
     return both.where(fits).select("game", F.when(F.col("delta_pts") > 0, "improved").otherwise("declined").alias("direction"), "delta_pts", older.alias("older_pct"))
 
 
+def _any_like(items: Column, pattern: str) -> Column:
+    return F.exists(items, lambda s: s.rlike(pattern))
+
+
 def check_header(headers: DataFrame) -> DataFrame:
     """`headers` (tagline, for_you_if, not_for_you_if, word) with failures, the codes of all rules that they break."""
     text = F.coalesce("tagline", F.lit(""))
@@ -82,7 +86,7 @@ def check_header(headers: DataFrame) -> DataFrame:
             F.when((F.size(items) < 2) | (F.size(items) > 4), F.format_string(f"{name}_out_of_bounds:%d", F.size(items))),
             F.when(F.exists(items, lambda s: F.trim(s) == ""), f"empty_fit_clause:{name}"),
             F.when(F.exists(items, lambda s: F.length(s) > 80), f"fit_clause_too_long:{name}"),
-            F.when((F.col("word") == word) & F.exists(items, lambda s, p=pattern: s.rlike(p)), f"fit_list_contradicts_verdict:{name}"),
+            F.when((F.col("word") == word) & _any_like(items, pattern), f"fit_list_contradicts_verdict:{name}"),
             F.when(F.exists(items, has_bare_digit), f"digit_in_prose:{name}"),
             F.when(F.exists(items, lambda s: F.size(prevalence(s)) > 0), f"prevalence:{name}"),
         ]
