@@ -10,10 +10,10 @@ from tallyfield.functions.rates import bucket_rank, verdict_word
 from tallyfield.functions.text import has_bare_digit, prevalence
 
 
-def post_refund_mean(rates: DataFrame) -> DataFrame:
-    """game, mean_pct (of the rounded rates, weighted by pool), word. Only the later cohorts of MEAN_MIN_POOL reviews or
+def post_refund_mean(rates: DataFrame, min_pool: int = C.MEAN_MIN_POOL) -> DataFrame:
+    """game, mean_pct (of the rounded rates, weighted by pool), word. Only the later cohorts of `min_pool` reviews or
     more count; without any the mean and the word are null."""
-    counts = F.col("bucket").isin(C.MEAN_BUCKETS) & (F.col("pool_n") >= C.MEAN_MIN_POOL) & F.col("pct_positive").isNotNull()
+    counts = F.col("bucket").isin(C.MEAN_BUCKETS) & (F.col("pool_n") >= min_pool) & F.col("pct_positive").isNotNull()
     if "muted" in rates.columns:
         counts &= ~F.col("muted")
     sums = rates.groupBy("game").agg(

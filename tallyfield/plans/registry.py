@@ -333,10 +333,10 @@ def catalog_select(spark, d):
 
 
 @query(f"""WITH {_RANKED}, n AS (SELECT appid, title, rank, trim(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', ' ', 'g')) AS t FROM ranked),
- m AS (SELECT *, CASE WHEN t = 'part 1' THEN 0 WHEN starts_with(t, 'part 1') THEN 1 WHEN strpos(t, 'part 1') > 1 THEN CASE WHEN t[strpos(t, 'part 1') - 1] = ' ' THEN 2 ELSE 3 END END AS tier FROM n)
+ m AS (SELECT *, CASE WHEN t = 'red ring' THEN 0 WHEN starts_with(t, 'red ring') THEN 1 WHEN strpos(t, 'red ring') > 1 THEN CASE WHEN t[strpos(t, 'red ring') - 1] = ' ' THEN 2 ELSE 3 END END AS tier FROM n)
  SELECT appid, title, rank, tier FROM m WHERE tier IS NOT NULL ORDER BY tier, rank LIMIT 8""")
 def search_topk(spark, d):
-    return catalog.search(catalog.rank_entries(A.catalog_entries(spark, d)), "Part  1")
+    return catalog.search(catalog.rank_entries(A.catalog_entries(spark, d)), " RED  ring")
 
 
 @query("SELECT unnest(['duplicate_ids', 'below_floor', 'wrong_shard', 'rank_gaps', 'out_of_order', 'unaccounted']) AS problem, CAST(0 AS BIGINT) AS n")
@@ -522,3 +522,6 @@ def routing(spark, d):
     model = F.when(F.col("id") % 2 == 0, "model-flash").otherwise("model-flash-lite")
     message = F.element_at(F.array(*map(F.lit, ("API key not valid", "429 quota PerDay", "429 quota PerMinute", "503 unavailable"))), (F.col("id") % 4 + 1).cast("int"))
     return log.select("id", R.ledger_for(model, F.when(F.col("ledger") == "click", "live")).alias("ledger"), R.error_class(message).alias("class"))
+
+
+from tallyfield.plans import serving  # noqa: E402, F401  registers its queries here
