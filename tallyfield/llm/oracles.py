@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyfield.llm.common import SPACE
+from tallyfield.llm.mixing import FILL, MOST, SEED
 from tallyfield.llm.quality import CHAR_LIMIT, CLASSES, COMMON_WORDS, MIN_LIST_WORDS, MIN_WORDS, WORD_LIMIT
 
 OP1 = r"""
@@ -79,6 +80,36 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM judged
 """
 
+OP3 = rf"""
+WITH s AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[{SPACE}]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+s1 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY 1),
+s2 AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w FROM s1),
+s3 AS (SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS ws, coalesce(sum(source_size * {MOST}) OVER f, 0) AS filled, coalesce(sum(w) OVER f, 0) AS passed FROM s2
+  WINDOW f AS (ORDER BY CAST(source_size AS DOUBLE) * {MOST} / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s4 AS (SELECT *, source_size * {MOST} * (ws - passed) <= (total - filled) * w AS full_ FROM s3),
+t AS (SELECT source, source_size, CASE WHEN full_ THEN CAST(source_size * {MOST} AS DOUBLE) ELSE CAST(total - sum(CASE WHEN full_ THEN source_size * {MOST} ELSE 0 END) OVER () AS DOUBLE) * w / sum(CASE WHEN full_ THEN 0 ELSE w END) OVER () END AS target FROM s4),
+c1 AS (SELECT source, CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) - 1 END AS k, sum(size) AS words FROM s GROUP BY 1, 2),
+c2 AS (SELECT c1.*, t.target, CAST(floor(1048576e0 / (k + 16)) AS BIGINT) AS factor FROM c1 JOIN t ON t.source IS NOT DISTINCT FROM c1.source),
+c3 AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * {MOST} AS filled, sum(words * factor) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS moved FROM c2),
+c4 AS (SELECT *, words = 0 OR CAST(moved AS DOUBLE) * {MOST} <= (target - filled) * factor AS full_ FROM c3),
+c5 AS (SELECT *, sum(CASE WHEN full_ THEN words * {MOST} ELSE 0 END) OVER (PARTITION BY source) AS taken, sum(CASE WHEN full_ THEN 0 ELSE words * factor END) OVER (PARTITION BY source) AS open_ FROM c4),
+c AS (SELECT source, k, words, target, CASE WHEN words = 0 THEN 0e0 WHEN full_ THEN {MOST}e0 ELSE least({MOST}e0, greatest(0e0, target - taken) * factor / open_) END AS e FROM c5),
+d AS (SELECT source AS ds, max(target) - sum(CAST(floor(e) AS BIGINT) * words) AS due FROM c GROUP BY 1),
+u AS (SELECT s.*, floor(e) AS whole, e - floor(e) AS p, (CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u
+  FROM s JOIN c ON c.source IS NOT DISTINCT FROM s.source AND c.k = CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) - 1 END),
+o AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM u),
+r AS (SELECT *, row_number() OVER q AS place, sum(size) OVER (q ROWS UNBOUNDED PRECEDING) AS reached FROM o WHERE odds IS NOT NULL WINDOW q AS (PARTITION BY source ORDER BY odds, doc_id NULLS FIRST, size)),
+x AS (SELECT r.*, reached <= due AS fits, due FROM r JOIN d ON ds IS NOT DISTINCT FROM source),
+y AS (SELECT source AS ys, max(due) - coalesce(sum(CASE WHEN fits THEN size END), 0) AS gap, count(*) FILTER (fits) AS n FROM x GROUP BY 1),
+z AS (SELECT ys, gap, list({{'gap': 0e0, 'picked': CAST([] AS BIGINT[]), 'size': size, 'place': place}} ORDER BY place) AS next FROM x JOIN y ON ys IS NOT DISTINCT FROM source WHERE NOT fits AND place <= n + {FILL} GROUP BY 1, 2),
+g AS (SELECT ys, next, list_reduce(next, lambda a, b: CASE WHEN b.size <= a.gap THEN {{'gap': a.gap - b.size, 'picked': list_append(a.picked, b.place), 'size': a.size, 'place': a.place}} ELSE a END,
+  {{'gap': gap, 'picked': CAST([] AS BIGINT[]), 'size': CAST(0 AS BIGINT), 'place': CAST(0 AS BIGINT)}}) AS a FROM z),
+h AS (SELECT ys, a, list_min(list_transform(list_filter(next, lambda b: NOT list_contains(a.picked, b.place)), lambda b: {{'size': b.size, 'place': b.place}})) AS least_ FROM g),
+v AS (SELECT ys, unnest(CASE WHEN coalesce(least_.size < 2 * a.gap, false) THEN list_append(a.picked, least_.place) ELSE a.picked END) AS place FROM h),
+e AS (SELECT rid FROM x WHERE fits UNION SELECT rid FROM x JOIN v ON ys IS NOT DISTINCT FROM source AND v.place = x.place)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN rid IN (SELECT rid FROM e) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM o JOIN t ON t.source IS NOT DISTINCT FROM o.source
+"""
+
 OP5 = rf"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[{SPACE}]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
@@ -105,4 +136,4 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d
 FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.x = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op2_quality_divergence": OP2, "op5_substring_dedup": OP5, "op7_near_dedup": OP7, "op8_exact_dedup": OP8}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op2_quality_divergence": OP2, "op3_pareto_mixing": OP3, "op5_substring_dedup": OP5, "op7_near_dedup": OP7, "op8_exact_dedup": OP8}
