@@ -442,6 +442,79 @@ def test_url_templates_against_labels(spark):
     assert {got[k][0] for k, _, _ in many} == {"/u/*/page"}
 
 
+def brute_templates(rows, bad_of):
+    """template and verdict by (host, path) of the urls, as plain loops over one host's tree at a time."""
+    routes, places = defaultdict(lambda: [0, 0, 0]), {}
+    for k, url in rows:
+        rest = url.split("://", 1)[1]
+        host, path = re.match("([^/?#]*)([^?#]*)", rest).groups()
+        parts = []
+        for seg in filter(None, path.split("/")):
+            stem, ending = re.fullmatch(r"(.*?)(\.[A-Za-z]{1,5})?", seg).groups()
+            wild = re.search("^[0-9]+$|^[0-9a-fA-F-]{8,}$|[0-9].*[0-9].*[0-9]", stem) or len(stem) > 32
+            parts.append("*" + (ending or "") if wild else seg)
+        places[k] = key = (host.lower(), tuple(parts))
+        counts = routes[key]
+        counts[0] += 1
+        counts[1] += k in bad_of
+        counts[2] += bad_of.get(k, False)
+    labelled, bad = (sum(v[i] for v in routes.values()) for i in (1, 2))
+    prior = bad / max(labelled, 1)
+    prefix = dict.fromkeys(routes, "")
+    for depth in range(max(len(parts) for _, parts in routes)):
+        nodes = defaultdict(lambda: [0, 0, 0])
+        for (host, parts), v in routes.items():
+            if depth < len(parts):
+                node = nodes[host, prefix[host, parts], parts[depth]]
+                for i in range(3):
+                    node[i] += v[i]
+        name = {}
+        for host, at in {n[:2] for n in nodes}:
+            children = {n[2]: v for n, v in nodes.items() if n[:2] == (host, at)}
+            whole, tested = sum(v[0] for v in children.values()), []
+            for seg, (n, m, b) in children.items():
+                if seg.startswith("*") or len(children) > urls.FANOUT and n < urls.FREQUENT * whole:
+                    name[host, at, seg] = "*"
+                elif m < urls.MIN_LABELS:
+                    name[host, at, seg] = seg
+                else:
+                    tested.append(((b + urls.STRENGTH * prior) / (m + urls.STRENGTH), seg, m, b))
+            groups = []
+            for _, seg, m, b in sorted(tested):
+                if groups:
+                    m0, b0 = groups[-1][-1][1:]
+                    share = (b + b0) / (m + m0)
+                if groups and not abs(b / m - b0 / m0) > urls.MOST_Z * (share * (1 - share) * (1 / m + 1 / m0)) ** 0.5:
+                    groups[-1].append((seg, m, b))
+                else:
+                    groups.append([(seg, m, b)])
+            for g in groups:
+                for seg, _, _ in g:
+                    name[host, at, seg] = "|".join(sorted(x for x, _, _ in g))
+        prefix = {(h, p): at + "/" + name[h, at, p[depth]] if depth < len(p) else at for (h, p), at in prefix.items()}
+    sums = defaultdict(lambda: [0, 0])
+    for (h, p), v in routes.items():
+        sums[h, prefix[h, p]][0] += v[1]
+        sums[h, prefix[h, p]][1] += v[2]
+    share = {t: (b + urls.STRENGTH * prior) / (m + urls.STRENGTH) for t, (m, b) in sums.items()}
+    return {k: (prefix[r], "block" if share[r[0], prefix[r]] >= urls.REJECT else "allow") for k, r in places.items()}
+
+
+def test_url_templates_against_brute_force(spark):
+    r = random.Random(6)
+    rows, bad_of = [], {}
+    for i in range(1500):
+        host = r.choice(["one.test", "two.test", "Three.test"])
+        first = r.choice(["en", "fr", "shop", "tag", "w" + "abcdefghijklmnopqrstuvwxyz"[r.randrange(26)] + "q"])
+        second = r.choice([str(r.randrange(9999)), f"item{r.randrange(3)}", "deadbeef01", f"{r.randrange(99)}.html", ""])
+        rows.append((i, f"http://{host}/{first}/{second}{r.choice(['', '?a=1', '#t', '/x'])}"))
+        if r.random() < 0.6:
+            bad_of[i] = r.random() < {"en": 0.1, "fr": 0.15, "shop": 0.9}.get(first, 0.5)
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    got = urls.judge_urls(pages, spark.createDataFrame(list(bad_of.items()), "page_id bigint, bad boolean"), rules=[])
+    assert {x.page_id: (x.template, x.verdict) for x in got.collect()} == brute_templates(rows, bad_of)
+
+
 # --- all
 
 
