@@ -156,7 +156,8 @@ def _ties(classes: DataFrame) -> DataFrame:
     own = rows.groupBy("class_id").agg(F.sort_array(F.collect_set("band")).alias("own"))  # at most BANDS
     pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, BANDS), lambda y: F.xxhash64(x, y))))
     keys = rows.select("class_id", F.col("band").alias("key")).unionByName(own.select("class_id", F.explode(pairs).alias("key")))
-    first = F.min_by("class_id", F.struct(F.xxhash64("class_id", "key"), F.col("class_id")))
+    # by one order for all keys, so that a class meets the same few heads again and again
+    first = F.min_by("class_id", F.struct(F.xxhash64("class_id"), F.col("class_id")))
     heads = keys.groupBy("key").agg(first.alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("head_key"), "head")
     tied = keys.join(heads, F.col("key") == F.col("head_key")).where("class_id != head")
     return tied.select(F.col("class_id").alias("a"), F.col("head").alias("b")).distinct()
