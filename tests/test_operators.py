@@ -230,3 +230,70 @@ def test_files(spark, tmp_path):
     assert {r.n: (r.s, r.origin) for r in best.collect()} == {1: ("a", "local"), 2: ("c", "remote")}
     memo = spark.createDataFrame([("k", "seen")], "key string, response string")
     assert [r.response for r in files.replay(spark.createDataFrame([("k",), ("z",)], "key string"), memo).orderBy("key").collect()] == ["seen", None]
+
+
+def test_releases_are_refused(spark):
+    from tallyfield.operators import review_tools as tools
+
+    prunes = spark.createDataFrame([("a", True), ("b", False)], "key string, prune boolean")
+    waiting, none = spark.createDataFrame([("c", True)], "key string, take boolean"), spark.createDataFrame([("c", False)], "key string, take boolean")
+    keys = lambda *x: [r.key for r in tools.releasable(prunes, *x).collect()]
+    assert keys(waiting, False, "origin/x") == [] and keys(waiting, True, "origin/x") == ["a"] and keys(none, False, "origin/x") == ["a"]
+    with pytest.raises(ValueError):
+        tools.releasable(prunes, none, True, "x")
+
+
+def test_banned_words():
+    from tallyfield.operators import review_tools as tools
+
+    assert {"majority", "most", "consensus", "numerous"} <= set(tools.banned_words()) and "players" not in tools.banned_words()
+
+
+def test_remote_ledger_fails_closed(spark, tmp_path):
+    from tallyfield.operators import review_tools as tools
+
+    def used(text):
+        (tmp_path / "ledger.json").write_text(text)
+        return tools.remote_ledger(spark, str(tmp_path / "ledger.json"), "2026-08-02")
+
+    assert used('{"date": "2026-08-02", "used": 37}') == 37 and used('{"date": "2026-08-01", "used": 13}') == 0
+    for bad in ("", "[]", "{}", "x", '{"date": "2026-08-02"}', '{"used": 3}', '{"date": "2026-08-02", "used": -1}', '{"date": "2026-08-02", "used": "many"}'):
+        with pytest.raises(ValueError):
+            used(bad)
+
+
+def test_sweep_stops_and_retries(spark):
+    from tallyfield.sources import paged
+
+    pages = {"*": {"reviews": [{"recommendationid": "1"}], "cursor": "b"}, "b": {"reviews": [{"recommendationid": "2"}], "cursor": "b"}}
+    got = list(paged.sweep(lambda appid, f, cursor: pages[cursor], "9", "recent", 10))
+    assert [(x[2], x[3], x[4]) for x in got] == [(0, "*", "b"), (1, "b", "b")]
+    waits, failures = [], [paged.TransportError(429, 7.0), paged.TransportError(503), paged.TransportError(0)]
+
+    def call():
+        if failures:
+            raise failures.pop(0)
+        return {"ok": 1}
+
+    assert paged.with_backoff(call, waits.append, lambda: 0.0) == {"ok": 1} and waits == [7.0, 4.0, 8.0]
+    with pytest.raises(paged.TransportError):
+        paged.with_backoff(lambda: (_ for _ in ()).throw(paged.TransportError(404)), waits.append)
+    cached = spark.createDataFrame([("9", "r", 0, "*", "b", "{}"), ("9", "r", 1, "b", "c", "{}"), ("9", "r", 2, "old", "d", "{}")], paged.PAGES)
+    assert sorted(r.page for r in paged.replay_pages(cached).collect()) == [0, 1]
+
+
+def test_prices(spark):
+    from tallyfield.operators import ingest
+
+    rows = [("Free To Play", "499"), ("<i>2,999</i>", "0"), ("", "0"), ("", None)]
+    assert values(spark, ingest.is_free(F.col("t"), F.col("a")), rows, "t string, a string") == [True, False, True, False]
+
+
+def test_extraction_rounds(spark):
+    from tallyfield.operators import serving
+
+    def ask(rows, attempt):
+        return rows.select("key", F.lit(attempt).alias("claim"))
+
+    got = serving.extract(spark.createDataFrame([(i,) for i in range(5)], "key long"), lambda c: c.where("key <= claim"), ask)
+    assert sorted((r.key, r.claim) for r in got.collect()) == [(0, 0), (1, 1), (2, 2)]
