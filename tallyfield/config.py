@@ -83,3 +83,13 @@ PLATFORM = (
 LEET_FROM, LEET_TO = "013457@$", "oieastas"
 #: Endings that a blocked stem may take.
 SUFFIX = r"(?:s|es|d|ed|ing|er|ers|y|ies)?"
+
+#: Limits of a document's header, and the phrases that argue with its verdict or make friction a condition.
+TAGLINE_CHARS, CLAUSE_CHARS, FIT_CLAUSES = 90, 80, (2, 4)
+SKIP_LANGUAGE = r"(?i)\b(?:should\s+skip|skip\s+(?:it|this)|avoid\s+(?:it|this)|should\s+avoid|steer\s+clear)\b"
+BUY_LANGUAGE = r"(?i)\b(?:should\s+buy|buy\s+(?:it|this|in)|pick\s+(?:it|this)\s+up|worth\s+buying)\b"
+FRICTION_VERBS = r"tolerate|overlook|navigate|manage|troubleshoot|weather|endure|put\s+up\s+with"
+FRICTION = (
+    rf"(?i)\b(?:(?:willing|prepared|happy)\s+to\s+(?:{FRICTION_VERBS})|(?:must|have\s+to|need\s+to)\s+(?:{FRICTION_VERBS}|accept)|"
+    r"can\s+tolerate|if\s+you\s+can\s+overlook|provided\s+you\s+(?:accept|can))\b"
+)

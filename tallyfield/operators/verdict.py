@@ -67,25 +67,21 @@ def _any_like(items: Column, pattern: str) -> Column:
 def check_header(headers: DataFrame) -> DataFrame:
     """`headers` (tagline, for_you_if, not_for_you_if, word) with failures, the codes of all rules that they break."""
     text = F.coalesce("tagline", F.lit(""))
-    skip = r"(?i)\b(?:should\s+skip|skip\s+(?:it|this)|avoid\s+(?:it|this)|should\s+avoid|steer\s+clear)\b"
-    buy = r"(?i)\b(?:should\s+buy|buy\s+(?:it|this|in)|pick\s+(?:it|this)\s+up|worth\s+buying)\b"
-    verbs = r"tolerate|overlook|navigate|manage|troubleshoot|weather|endure|put\s+up\s+with"
-    friction = rf"(?i)\b(?:(?:willing|prepared|happy)\s+to\s+(?:{verbs})|(?:must|have\s+to|need\s+to)\s+(?:{verbs}|accept)|can\s+tolerate|if\s+you\s+can\s+overlook|provided\s+you\s+(?:accept|can))\b"
     codes = [
-        F.when(F.trim(text) == "", "missing_tagline").when(F.length(text) > 90, F.format_string("tagline_too_long:%d", F.length(text))),
-        F.when((F.col("word") == "Buy") & text.rlike(skip) | (F.col("word") == "Skip") & text.rlike(buy), "tagline_contradicts_verdict"),
-        F.when(text.rlike(friction), "tagline_frames_friction_as_a_condition"),
+        F.when(F.trim(text) == "", "missing_tagline").when(F.length(text) > C.TAGLINE_CHARS, F.format_string("tagline_too_long:%d", F.length(text))),
+        F.when((F.col("word") == "Buy") & text.rlike(C.SKIP_LANGUAGE) | (F.col("word") == "Skip") & text.rlike(C.BUY_LANGUAGE), "tagline_contradicts_verdict"),
+        F.when(text.rlike(C.FRICTION), "tagline_frames_friction_as_a_condition"),
         F.when(has_bare_digit(text), "digit_in_prose:tagline"),
         F.when(F.size(prevalence(text)) > 0, F.concat(F.lit("prevalence:tagline:"), F.array_join(prevalence(text), ","))),
     ]
     plain = {}
-    for name, word, pattern in (("for_you_if", "Skip", buy), ("not_for_you_if", "Buy", skip)):
+    for name, word, pattern in (("for_you_if", "Skip", C.BUY_LANGUAGE), ("not_for_you_if", "Buy", C.SKIP_LANGUAGE)):
         items = F.coalesce(name, F.array().cast("array<string>"))
         plain[name] = F.transform(items, lambda s: F.regexp_replace(F.lower(F.trim(s)), r"\.+$", ""))
         codes += [
-            F.when((F.size(items) < 2) | (F.size(items) > 4), F.format_string(f"{name}_out_of_bounds:%d", F.size(items))),
+            F.when((F.size(items) < C.FIT_CLAUSES[0]) | (F.size(items) > C.FIT_CLAUSES[1]), F.format_string(f"{name}_out_of_bounds:%d", F.size(items))),
             F.when(F.exists(items, lambda s: F.trim(s) == ""), f"empty_fit_clause:{name}"),
-            F.when(F.exists(items, lambda s: F.length(s) > 80), f"fit_clause_too_long:{name}"),
+            F.when(F.exists(items, lambda s: F.length(s) > C.CLAUSE_CHARS), f"fit_clause_too_long:{name}"),
             F.when((F.col("word") == word) & _any_like(items, pattern), f"fit_list_contradicts_verdict:{name}"),
             F.when(F.exists(items, has_bare_digit), f"digit_in_prose:{name}"),
             F.when(F.exists(items, lambda s: F.size(prevalence(s)) > 0), f"prevalence:{name}"),
