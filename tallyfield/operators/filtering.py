@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield import config as C
@@ -50,10 +50,10 @@ def filter_report(classified: DataFrame) -> DataFrame:
     )
     rows = sums.withColumn("bucket", F.when(F.col("whole") == 1, "all").otherwise(F.col("bucket"))).withColumn("dropped", F.col("n_in") - F.col("kept"))
     rows = rows.withColumn("drop_pct", percent(F.col("dropped"), F.col("n_in")))
-    overall = rows.where("whole = 1").select(F.col("game").alias("of"), F.col("drop_pct").alias("overall"))
-    rows = rows.join(overall, F.col("game") == F.col("of")).withColumn("muted", F.col("kept") < C.MIN_SURVIVORS)
-    uneven = (F.col("whole") == 0) & (F.round(F.col("drop_pct") - F.col("overall"), 1) > C.DISPROPORTIONATE)
-    return rows.withColumn("disproportionate", uneven).drop("whole", "of", "overall")
+    # a game has five rows here at most
+    overall = F.max(F.when(F.col("whole") == 1, F.col("drop_pct"))).over(Window.partitionBy("game"))
+    uneven = (F.col("whole") == 0) & (F.round(F.col("drop_pct") - overall, 1) > C.DISPROPORTIONATE)
+    return rows.withColumn("muted", F.col("kept") < C.MIN_SURVIVORS).withColumn("disproportionate", uneven).drop("whole")
 
 
 def sentiment_shift(classified: DataFrame) -> DataFrame:
