@@ -66,18 +66,18 @@ def search(ranked: DataFrame, query: str, limit: int = 8) -> DataFrame:
 def verify_index(ranked: DataFrame, source: DataFrame) -> DataFrame:
     """problem, n: duplicate ids, entries below the floor, ranks out of order, a shard on the wrong side, and source rows
     that neither the index nor the floor accounts for."""
-    s = ranked.agg(
+    checks = ranked.agg(
         (F.count("*") - F.count_distinct("appid")).alias("duplicate_ids"),
         count_where(F.col("reviews") < C.REVIEW_FLOOR).alias("below_floor"),
         count_where((F.col("shard") == "core") != (F.col("reviews") >= C.CORE_FLOOR)).alias("wrong_shard"),
         (F.max("rank") - F.count("*")).alias("rank_gaps"),
-        F.count("*").alias("n"),
+        (-F.count("*")).alias("unaccounted"),
     )
-    after = F.lag("reviews").over(Window.orderBy("rank"))
-    order = ranked.select((F.col("reviews") > after).alias("bad")).agg(count_where(F.col("bad")).alias("out_of_order"))
-    whole = source.agg(F.count("*").alias("seen"), count_where(F.col("reviews") < C.REVIEW_FLOOR).alias("low"))
-    both = s.join(order).join(whole)  # three rows of sums
-    names = ["duplicate_ids", "below_floor", "wrong_shard", "rank_gaps", "out_of_order"]
-    pairs = [F.struct(F.lit(n).alias("problem"), F.col(n).cast("long").alias("n")) for n in names]
-    pairs.append(F.struct(F.lit("unaccounted").alias("problem"), (F.col("seen") - F.col("low") - F.col("n")).cast("long").alias("n")))
-    return both.select(F.explode(F.array(*pairs)).alias("x")).select("x.problem", "x.n")
+    before = F.lag("reviews").over(Window.orderBy("rank"))
+    order = ranked.select((F.col("reviews") > before).alias("bad")).agg(count_where(F.col("bad")).alias("out_of_order"))
+    whole = source.agg(count_where(F.col("reviews") >= C.REVIEW_FLOOR).alias("unaccounted"))
+    parts = []
+    for sums in (checks, order, whole):
+        pairs = [F.struct(F.lit(n).alias("problem"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("n")) for n in sums.columns]
+        parts.append(sums.select(F.explode(F.array(*pairs)).alias("x")).select("x.problem", "x.n"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("problem").agg(F.sum("n").alias("n"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfield import config as C
+from tallyfield.functions import rates as R
+from tallyfield.functions import text as X
 from tallyfield.operators import evals, filtering, ingest, ledger, pool, serving, sourcing, verdict
-from tallyfield.operators import publish as P
 from tallyfield.plans import oracles as O
 from tallyfield.plans.registry import BLOCKED, query
 from tallyfield.sources import adapters as A
@@ -188,11 +189,16 @@ def stored_drift(spark, d):
 def generate(spark, d):
     """The whole chain for every game at once: filter, pool rates with muted cohorts, verdict, gates."""
     rows = filtering.classify(A.text_reviews(spark, d), BLOCKED, ["idiot"])
-    kept = rows.where("reason IS NULL").groupBy("game", "bucket").agg(F.count("*").alias("kept"))
-    rates = pool.pool_rates(rows).join(kept, ["game", "bucket"], "left").withColumn("muted", F.coalesce("kept", F.lit(0)) < C.MIN_SURVIVORS)
-    sums = rates.groupBy("game").agg(F.sum("pool_n").alias("n"), F.sum((~F.col("muted")).cast("int")).alias("eligible"), F.max(F.when(F.col("bucket") == "veteran", F.col("pool_n")).otherwise(0)).alias("v"))
+    # one pass over the texts; what follows has a row for each game and cohort
+    kept, hit = F.col("reason").isNull(), X.leet(F.coalesce("text", F.lit(""))).rlike(X.block_pattern(BLOCKED))
+    cells = rows.groupBy("game", "bucket").agg(
+        F.count("*").alias("pool_n"), R.count_where(F.col("voted_up")).alias("up"), R.count_where(kept).alias("kept"), R.count_where(kept & hit).alias("hits")
+    )
+    rate = R.percent(F.col("up"), F.col("pool_n")).alias("pct_positive")
+    rates = cells.select("game", "bucket", "pool_n", rate, (F.col("kept") < C.MIN_SURVIVORS).alias("muted"), "hits")
+    veterans = F.max(F.when(F.col("bucket") == "veteran", F.col("pool_n")).otherwise(0))
+    sums = rates.groupBy("game").agg(F.sum("pool_n").alias("n"), F.sum((~F.col("muted")).cast("int")).alias("eligible"), veterans.alias("v"), (F.sum("hits") > 0).alias("withheld"))
     means = verdict.post_refund_mean(rates, 15)
-    gate = P.safety_gate(rows.where("reason IS NULL"), BLOCKED).select("game", "withheld")
     thin = (F.col("eligible") < C.MIN_ELIGIBLE) | (F.col("v") / F.col("n") > C.VETERAN_SHARE_MAX)
     outcome = F.when(thin, "thin_segmentation").when(F.col("withheld"), "qr4_failed").otherwise("ok")
-    return means.join(sums, "game").join(gate, "game", "left").select("game", "mean_pct", "word", outcome.alias("outcome"))
+    return means.join(sums, "game").select("game", "mean_pct", "word", outcome.alias("outcome"))
