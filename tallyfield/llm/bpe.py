@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of the table of known pieces, characters of a piece that may enter it, characters of a chunk of documents.
-KNOWN, KNOWN_CHARS, CHUNK_CHARS = 400_000, 64, 8_000_000
+KNOWN, KNOWN_CHARS, CHUNK_CHARS = 200_000, 64, 8_000_000
 NEVER = 1 << 62
 
 
@@ -241,6 +241,8 @@ def _per_document(docs: DataFrame, vocabulary: str, pattern: str, row, fields: l
                 columns = [pa.array(c, t) for c, (_, t, _) in zip(zip(*rows), fields)]
                 yield pa.record_batch([keys.slice(at, len(some)), *columns], schema=schema)
                 at += len(some)
+        # a worker lives on for other stages: it keeps the vocabulary, not the pieces
+        encoder.known.clear()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} {s}" for n, _, s in fields))

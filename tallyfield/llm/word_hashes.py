@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 import zstandard
 
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
