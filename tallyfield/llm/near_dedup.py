@@ -7,10 +7,12 @@ than independent hashes.
 
 Documents of equal sets become one class first. Classes meet in bands of ROWS slots; only bands with several classes go
 on. In each such band, and in each pair of such bands, the classes are tied to one of them, whichever a hash puts first;
-ties whose signatures agree too little to be links are dropped, and what remains falls into families. A family's full
-sets then meet once, in blocks of bounded size, where every link between different components is found on the sets, and
-only a spanning forest of the links leaves. Families larger than a block are compared block by block. Union by hooking to
-the neighbour of least hash, round by round, gives the components of both graphs without gathering them.
+ties whose signatures agree too little to be links are dropped. Where the classes of a band aren't all close to one head,
+those of different heads are compared by signature, in blocks of bounded size, so that no pair that shares a band is left
+out because of its head. What remains falls into families. A family's full sets then meet once, in blocks of bounded
+size, where every link between different components is found on the sets, and only a spanning forest of the links leaves.
+Families larger than a block are compared block by block. Union by hooking to the neighbour of least hash, round by round,
+gives the components of both graphs without gathering them.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and are their own component; rows with a
 null doc_id are their own component, too, and are kept; rows that repeat a doc_id are linked if their texts are; an
@@ -37,8 +39,8 @@ BANDS = SLOTS // ROWS
 #: standard deviations below that, are no link.
 LINK = 100, 75
 LEAST = 0.6
-#: Elements of a batch of documents; elements of a family's block.
-BATCH, BLOCK = 200_000, 2_000_000
+#: Elements of a batch of documents; elements of a family's block; classes of a band's block.
+BATCH, BLOCK, CROWD = 200_000, 2_000_000, 2_000
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -148,11 +150,15 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def _ties(classes: DataFrame) -> DataFrame:
-    """(a, b): each class with the first, by hash, of every band and pair of bands that it shares with others."""
+def _shared(classes: DataFrame) -> DataFrame:
+    """class_id, band: the bands of each class that others have, too."""
     rows = classes.select("class_id", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("shared_band"))
-    rows = cut(rows.join(shared, F.col("band") == F.col("shared_band")).select("class_id", "band"))
+    return cut(rows.join(shared, F.col("band") == F.col("shared_band")).select("class_id", "band"))
+
+
+def _ties(rows: DataFrame) -> DataFrame:
+    """(a, b): each class with the first, by hash, of every band and pair of bands that it shares with others."""
     own = rows.groupBy("class_id").agg(F.sort_array(F.collect_set("band")).alias("own"))  # at most BANDS
     pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, BANDS), lambda y: F.xxhash64(x, y))))
     keys = rows.select("class_id", F.col("band").alias("key")).unionByName(own.select("class_id", F.explode(pairs).alias("key")))
@@ -178,6 +184,58 @@ def _close(ties: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "one", "two").mapInArrow(run, "a bigint, b bigint")
 
 
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def crossing(keys: np.ndarray, heads: np.ndarray, side: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+    """Close ties that join what the close pairs of different heads join; where there are two sides, pairs between them."""
+    _, label = np.unique(heads, return_inverse=True)
+    both = side.any() and not side.all()
+    edges: list[tuple[int, int]] = []
+    for x in np.flatnonzero(~side) if both else range(len(keys)):
+        others = np.flatnonzero(side & (label != label[x])) if both else x + 1 + np.flatnonzero(label[x + 1 :] != label[x])
+        others = others[(sketches[others] == sketches[x]).mean(axis=1) >= LEAST]
+        for k in np.unique(label[others]).tolist():
+            edges.append((int(keys[x]), int(keys[others[label[others] == k][0]])))
+            label[label == k] = label[x]
+    return edges
+
+
+def _across(rows: DataFrame, close: DataFrame, classes: DataFrame) -> DataFrame:
+    """Close ties between the classes that meet in a band and aren't close to one head, the first of those that a class is
+    close to. A band of two classes has no pair but its tie."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                keys, heads, side, sketch = zip(*held)
+                found = crossing(np.array(keys), np.array(heads), np.array(side), np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, SLOTS))
+                if found:
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], schema=_EDGES)
+
+        for batch in batches:
+            for band, one, two, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (band, one, two) != current:
+                    yield from sent()
+                    current, held = (band, one, two), []
+                held.append(row)
+        yield from sent()
+
+    heads = close.groupBy("a").agg(F.min_by("b", F.struct(F.xxhash64("b"), F.col("b"))).alias("head"))
+    named = rows.join(heads, F.col("class_id") == F.col("a"), "left").select("class_id", "band", F.coalesce("head", "class_id").alias("head"))
+    several = named.groupBy("band").agg(F.count("*").alias("n"), F.min("head").alias("least"), F.max("head").alias("most")).where("n > 2 AND least != most")
+    several = several.select(F.col("band").alias("open_band"), F.ceil(F.col("n") / CROWD).cast("long").alias("blocks"))
+    sketches = classes.select(F.col("class_id").alias("of"), "sketch")
+    open_rows = named.join(several, F.col("band") == F.col("open_band")).join(sketches, F.col("class_id") == F.col("of"))
+    block = F.pmod(F.xxhash64("class_id"), F.col("blocks"))
+    placed = open_rows.select("*", block.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    placed = placed.select("band", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "class_id", "head", (F.col("own") > F.col("other")).alias("side"), "sketch")
+    dealt = placed.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
+    return dealt.mapInArrow(join, "a bigint, b bigint")
+
+
 def forest(keys: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the links between sets. Sets outside the largest component are compared with all the others
     by an inverted index; those inside are connected already."""
@@ -217,9 +275,6 @@ def forest(keys: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return edges
 
 
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
 def _links(families: DataFrame, docs: DataFrame) -> DataFrame:
     """Links that connect what the links of each family connect."""
 
@@ -265,8 +320,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     known = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("size"))
     classes = cut(classes)
-    close = _close(_ties(classes), classes)
-    families = cut(components(close))
+    shared = _shared(classes)
+    close = cut(_close(_ties(shared), classes))
+    families = cut(components(close.unionByName(_across(shared, close, classes))))
     sizes = families.join(classes.select("class_id", "size"), F.col("node") == F.col("class_id")).groupBy("root").agg(F.sum("size").alias("elements"))
     sizes = sizes.select(F.col("root").alias("family"), F.ceil(F.col("elements") / BLOCK).cast("long").alias("blocks"))
     members = families.join(sizes, F.col("root") == F.col("family")).select("family", "blocks", F.col("node").alias("class_id"))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -313,6 +314,28 @@ def test_near_copies_in_blocks(spark, monkeypatch):
     assert sorted(rows_of(near_dedup.near_dedup(docs_of(spark, rows))), key=str) == brute_near(rows)
 
 
+def test_near_copies_in_a_crowded_bucket(spark, monkeypatch):
+    """Pairs whose buckets are filled, and headed, by heavier edits of the same text."""
+
+    def one_bucket(batches):
+        for batch in near_dedup._sketch(batches):
+            bands = pa.array([None if b is None else [1] for b in batch.column("bands").to_pylist()], batch.schema.field("bands").type)
+            yield batch.set_column(batch.schema.get_field_index("bands"), batch.schema.field("bands"), bands)
+
+    r = random.Random(5)
+    base, rows = prose(1, 150, 5000).split(), []
+    for _ in range(30):
+        heavy = [x if r.random() > 0.12 else f"n{r.randrange(10**6)}" for x in base]
+        light = heavy[:70] + ["changed"] + heavy[71:]
+        rows += [(len(rows), " ".join(heavy), "s"), (len(rows) + 1, " ".join(light), "s")]
+    want = brute_near(rows)
+    assert Counter(kept for *_, kept in want) == {True: 30, False: 30}
+    monkeypatch.setattr(near_dedup, "_sketch", one_bucket)
+    for crowd in (1000, 7):
+        monkeypatch.setattr(near_dedup, "CROWD", crowd, raising=False)
+        assert sorted(rows_of(near_dedup.near_dedup(docs_of(spark, rows))), key=str) == want
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(1)
     one = r.integers(0, 2**63, 400).astype(np.uint64)
