@@ -3,7 +3,8 @@
 A character language model (trigrams over a to z and a word edge, counted over the whole corpus, so of a fixed size)
 decodes obfuscated words: every observed character becomes the letters it may stand for, at a channel cost, or nothing
 if it is a separator or repeats the letter before it, and Viterbi finds the cheapest path through that lattice. Words of
-letters only pass unchanged; runs of single characters are joined first.
+letters only pass unchanged; runs of single characters are joined first. Tokens of several parts are looked up by runs of
+their parts, too, and tokens too long for one lattice by overlapping stretches.
 
 The restored words of at most TRAIN_ROWS labelled rows, near copies among them counted once, give a lexicon: words and
 first letters of words whose share of toxic documents is high and significantly so. A text's score joins the shares of the lexicon words it holds, as
@@ -136,15 +137,67 @@ def restore(token: str, model: CharModel) -> str:
     return decode(core, model)
 
 
+def _stretches(run: str, model: CharModel) -> Iterator[str]:
+    """What overlapping stretches of a run of characters decode to, and the parts of that."""
+    for start in range(0, len(run), LONGEST // 2):
+        made = decode(run[start : start + LONGEST], model)
+        for a in range(len(made)):
+            for b in range(a + 4, min(len(made), a + 14) + 1):
+                yield made[a:b]
+
+
 def spaced_words(text: str, model: CharModel) -> Iterator[str]:
     """Words spelled with spaces between their characters: what such a run decodes to, and the parts of that."""
     for m in _SPACED.finditer(text):
-        run = "".join(m[0].split())
-        for start in range(0, len(run), LONGEST // 2):
-            made = decode(run[start : start + LONGEST], model)
-            for a in range(len(made)):
-                for b in range(a + 4, min(len(made), a + 14) + 1):
-                    yield made[a:b]
+        yield from _stretches("".join(m[0].split()), model)
+
+
+_PART = re.compile("[^" + re.escape("".join(sorted(SEPARATORS))) + "]+")
+_ONLY_SEPARATES = str.maketrans("", "", "".join(SEPARATORS - set(STANDS_FOR)))
+_LONG_RUN = re.compile(r"(.)\1{3,}")
+#: Parts of one character in a row that spell words.
+SPELLED = 4
+
+
+def joined_words(token: str, model: CharModel) -> Iterator[tuple[str, bool]]:
+    """(word, whether its first letters count, too): the words that runs of the parts of a lower-case token stand for,
+    short runs first, and those spelled by parts of one character or hidden in a part too long to decode at once."""
+    core = _JUNK_END.sub("", token.strip(OUTER)).strip(OUTER)
+    long = len(core) > LONGEST
+    if long:
+        core = _LONG_RUN.sub(r"\1\1\1", core)
+    parts = [m.span() for m in _PART.finditer(core)]
+    if len(parts) < 2 and not long:
+        return
+    spelled = [False] * len(parts)
+    first = 0
+    while first < len(parts):
+        last = first
+        while last < len(parts) and parts[last][1] - parts[last][0] == 1:
+            last += 1
+        if last - first >= SPELLED:
+            spelled[first:last] = [True] * (last - first)
+            # with the parts beside it, which may hold a word's first or last letters
+            run = core[parts[max(first - 1, 0)][0] : parts[min(last, len(parts) - 1)][1]]
+            yield from ((w, False) for w in _stretches(run.translate(_ONLY_SEPARATES), model))
+        first = max(last, first + 1)
+    for n in range(len(parts)):
+        some = False
+        for i in range(len(parts) - n):
+            start, end = parts[i][0], parts[i + n][1]
+            if end - start > LONGEST:
+                if not n:
+                    yield from ((w, False) for w in _stretches(core[start:end], model))
+                continue
+            some = True
+            if n and (spelled[i] or spelled[i + n]):
+                continue
+            word = restore(core[start:end], model)
+            beside = core[max(start - 1, 0) : start] + core[end : end + 1]
+            if len(word) >= 4 or len(word) > 1 and not any(c in STANDS_FOR for c in beside):
+                yield word, True
+        if not some and n:
+            break
 
 
 _FOLD = str.maketrans({k: v for k, v in STANDS_FOR.items() if len(v) == 1 and k.isalpha() and not k.isascii()})
@@ -157,7 +210,13 @@ def features_of(word: str) -> list[str]:
     return [plain, *(plain[:k] + "-" for k in STEMS if len(plain) >= k)] if plain else []
 
 
-def _text_words(text: str, model: CharModel, known: dict[str, list[str]]) -> set[str]:
+def token_features(token: str, model: CharModel) -> list[list[str]]:
+    """The features of each word that a lower-case token holds, as a whole last."""
+    joined = dict.fromkeys(joined_words(token, model))
+    return [*(features_of(w)[: None if stems else 1] for w, stems in joined), features_of(restore(token, model))]
+
+
+def _text_words(text: str, model: CharModel, known: dict[str, set[str]]) -> set[str]:
     """The features of the restored words of a whole text."""
     lower = text.lower()
     found = set()
@@ -166,7 +225,7 @@ def _text_words(text: str, model: CharModel, known: dict[str, list[str]]) -> set
         if r is None:
             if len(known) > 200_000:
                 known.clear()
-            r = known[t] = features_of(restore(t, model))
+            r = known[t] = {f for features in token_features(t, model) for f in features}
         found.update(r)
     for w in spaced_words(lower, model):
         found.update(features_of(w)[:1])
@@ -184,7 +243,7 @@ def _sample_words(docs: DataFrame, rows: list[tuple[int, int]], model: CharModel
     """doc_id, toxic, words and keys (eight least hashes of runs of three words) of the sample, of a bounded number."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
+        known: dict[str, set[str]] = {}
         hashes = WordHashes()
         for batch in batches:
             words, keys = [], []
@@ -253,11 +312,19 @@ def score(docs: DataFrame, model: CharModel, lexicon: dict[str, float], base: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, lexicon = sent.value
-        hit: dict[str, str] = {}
+        hit: dict[str, list[str]] = {}
 
         def best(features: list[str]) -> str:
             return max((f for f in features if f in lexicon), key=lambda f: (lexicon[f], f), default="")
 
+        def hits(token: str) -> list[str]:
+            """The best of each word's features, without those that go on or begin like one found already."""
+            taken: list[str] = []
+            for f in filter(None, map(best, token_features(token, model))):
+                if not any(f.rstrip("-").startswith(g.rstrip("-")) or g.startswith(f.rstrip("-")) for g in taken):
+                    taken.append(f)
+            return taken
+
         for batch in batches:
             scores, found = [], []
             for text in batch.column(2):
@@ -268,9 +335,8 @@ def score(docs: DataFrame, model: CharModel, lexicon: dict[str, float], base: fl
                     if r is None:
                         if len(hit) > 300_000:
                             hit.clear()
-                        r = hit[t] = best(features_of(restore(t, model)))
-                    if r:
-                        words.add(r)
+                        r = hit[t] = hits(t)
+                    words.update(r)
                 words.update(best(features_of(w)[:1]) for w in spaced_words(lower, model))
                 words.discard("")
                 clean = 1 - base
