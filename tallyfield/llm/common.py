@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import zipfile
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfield.package import ship
+
+__all__ = ["SPACE", "WORD", "cut", "own_columns", "partitions", "shared_folder", "ship", "spread_keys", "table", "text_mark", "unused", "without", "word_count", "words"]
+
 #: White space that separates words: space and U+0009 to U+000D.
 SPACE = "\\x20\\x09-\\x0D"
 #: A word, for Java's and Python's regular expressions.
@@ -21,29 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors by Spark's own file service, once for each application."""
-    context = spark.sparkContext
-    if getattr(context, "_tallyfield_sent", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="package-"), "tallyfield_package.zip")
-    with zipfile.ZipFile(path, "w") as archive:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    file = os.path.join(folder, name)
-                    archive.write(file, os.path.relpath(file, os.path.dirname(top)))
-    context.addPyFile(path)
-    context._tallyfield_sent = True
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share. A cluster names it in spark.checkpoint.dir; only where that is unset, as in
-    tests, a temporary folder is used."""
+    """The folder that all executors share. A cluster names it in spark.checkpoint.dir; only where that is unset and all
+    runs on one machine, as in tests, a temporary folder is used."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -53,10 +41,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of `df` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame, alias: str) -> list[Column]:
+    """The columns of `df` under an alias, whatever their names; two of one name are refused by Spark itself."""
+    return [F.col(f"{alias}.`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def text_mark(text: Column) -> Column:
+    """Tells apart the texts of rows that share a doc_id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of `docs`, with their own columns whatever their names, whose doc_id isn't in `gone`."""
-    out = cut(gone.select(F.col("doc_id").alias("__gone_id")).distinct())
-    return docs.alias("d").join(out, F.col("d.doc_id").eqNullSafe(F.col("__gone_id")), "left_anti").select(*[f"d.`{c}`" for c in docs.columns])
+    """The rows of `docs`, with their own columns whatever their names, whose doc_id and text aren't in `gone` (doc_id,
+    mark), so that a row goes by its own verdict even where its doc_id is null or repeated."""
+    out = cut(gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct())
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.gone_id")) & (text_mark(F.col("d.text")) == F.col("g.gone_mark"))
+    return docs.alias("d").join(out.alias("g"), same, "left_anti").select(*own_columns(docs, "d"))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -6,17 +6,23 @@ all of its slots are filled: a few steps for long texts. The slots' correlated r
 than independent hashes.
 
 Documents of equal sets become one class first. Classes meet in bands of ROWS slots; only bands with several classes go
-on. In each such band, and in each pair of such bands, the classes are tied to one of them, whichever a hash puts first;
-ties whose signatures agree too little to be links are dropped. Where the classes of a band aren't all close to one head,
-those of different heads are compared by signature, in blocks of bounded size, so that no pair that shares a band is left
-out because of its head. What remains falls into families. A family's full sets then meet once, in blocks of bounded
-size, where every link between different components is found on the sets, and only a spanning forest of the links leaves.
-Families larger than a block are compared block by block. Union by hooking to the neighbour of least hash, round by round,
-gives the components of both graphs without gathering them.
+on. In each such band the classes are tied to the most popular of them, the one whose bands are the fullest; ties whose
+signatures agree too little to be links are dropped, and the rest make families. In a band that still holds several
+families, the classes outside its largest family are compared by signature with all classes of other families, so that
+every pair that shares a band is compared or in one family.
+
+A family's full sets then meet in blocks of bounded size, with a few popular classes of the family as guests in all of
+its blocks; every link inside a block is found on the sets, and only a spanning forest of the links leaves. Where a
+family of several blocks isn't one component yet, the classes outside its largest component visit all other blocks and
+are compared there with whatever isn't connected to them. So work beyond one pass over the blocks depends on what stays
+unconnected, not on the size of the group. Union by hooking to the neighbour of least hash, round by round, gives the
+components without gathering them.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and are their own component; rows with a
-null doc_id are their own component, too, and are kept; rows that repeat a doc_id are linked if their texts are; an
-empty table gives no rows; other columns are ignored by `near_dedup` and kept by `drop_near_copies`.
+null doc_id are their own component, too, and are kept; rows that repeat a doc_id are judged each by their own
+text, but texts that have one least doc_id are one document; an empty table gives no rows; very long texts are hashed and sketched a slice at a time, so a text's memory
+is that of its words and the hashes of its shingles; other columns are ignored by `near_dedup` and kept by
+`drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -26,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import cut, without
+from tallyfield.llm.common import cut, text_mark, without
 from tallyfield.llm.word_hashes import WordHashes, rolling
 
 WIDTH = 5
@@ -39,8 +45,8 @@ BANDS = SLOTS // ROWS
 #: standard deviations below that, are no link.
 LINK = 100, 75
 LEAST = 0.6
-#: Elements of a batch of documents; elements of a family's block; classes of a band's block.
-BATCH, BLOCK, CROWD = 200_000, 2_000_000, 2_000
+#: Elements of a batch of documents, or of a slice of one; elements and classes of a block; guests of a family.
+BATCH, BLOCK, MEMBERS, HUBS = 200_000, 2_000_000, 200, 4
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -51,8 +57,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def superminhash(elements: np.ndarray, owner: np.ndarray, sets: int, slots: int = SLOTS) -> np.ndarray:
-    """The signatures of `sets` non-empty sets; `owner` is the set of each element."""
+    """The signatures of `sets` non-empty sets; `owner` is the set of each element. A slot keeps a least value, so slices
+    of BATCH elements follow one another, each until no later step can lower a slot."""
     signature = np.full(sets * slots, NONE)
+    for at in range(0, len(elements), BATCH):
+        _lower(signature, elements[at : at + BATCH], owner[at : at + BATCH], slots)
+    return signature.reshape(sets, slots)
+
+
+def _lower(signature: np.ndarray, elements: np.ndarray, owner: np.ndarray, slots: int) -> None:
     order = np.tile(np.arange(slots, dtype=np.uint8), (len(elements), 1))
     with np.errstate(over="ignore"):
         for step in range(slots):
@@ -65,13 +78,12 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, sets: int, slots: int
             free = signature[place] >= np.uint64(step << 52)
             np.minimum.at(signature, place[free], np.uint64(step << 52) | (x[free] >> np.uint64(12)))
             if step < 4 or step % 4 == 0:
-                done = (signature.reshape(sets, slots) != NONE).all(axis=1)
-                if done.all():
-                    break
-                going = ~done[owner]
+                final = (signature.reshape(-1, slots) < np.uint64(step + 1 << 52)).all(axis=1)
+                going = ~final[owner]
+                if not going.any():
+                    return
                 if going.sum() < 0.7 * len(going):
                     elements, owner, order = elements[going], owner[going], order[going]
-    return signature.reshape(sets, slots)
 
 
 def band_hashes(signature: np.ndarray) -> np.ndarray:
@@ -82,16 +94,16 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return h
 
 
-def shingles(text: str, known: WordHashes) -> np.ndarray:
+def shingles(text: bytes, known: WordHashes) -> np.ndarray:
     """The sorted hashes of a text's shingles."""
-    h = known.array(text.encode("utf-8", "surrogatepass").lower().split())
+    h = known.of_text(text.lower())
     if 0 < len(h) < WIDTH:
         return rolling(h, len(h)) ^ np.uint64(len(h))
     return np.unique(rolling(h, WIDTH))
 
 
-SKETCHES = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary"
-_SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+SKETCHES = "doc_id bigint, mark bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary"
+_SKETCHES = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +117,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = iter([s.tobytes() for s in (signatures & np.uint64(0xFF)).astype(np.uint8)])
         some = [bool(len(s)) for s in sets]
         columns = [
-            keys,
+            *zip(*keys),
             [len(s) for s in sets],
             [xxhash.xxh3_128_digest(s.tobytes()) if k else None for s, k in zip(sets, some)],
             [next(bands) if k else None for k in some],
@@ -115,8 +127,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         keys, sets, size = [], [], 0
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            s = shingles(text.as_py(), known)
+        for *key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            s = shingles(text.as_buffer().to_pybytes(), known)
             keys.append(key)
             sets.append(s)
             size += len(s)
@@ -132,9 +144,10 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour of least hash, or itself, and puts the edges between those; it takes about log(nodes) rounds."""
     least = lambda x: F.min_by(x, F.struct(F.xxhash64(x), x))
     edges = cut(edges.where("a != b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    ends = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
     roots = None
     while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(edges.selectExpr("a", "a AS b")).unionByName(edges.selectExpr("b AS a", "b"))
+        both = edges.select(F.inline(F.array(ends("a", "b"), ends("b", "a"), ends("a", "a"), ends("b", "b"))))
         hooks = cut(both.groupBy("a").agg(least(F.col("b")).alias("to")))
         if roots is None:
             roots = hooks.select(F.col("a").alias("node"), F.col("to").alias("root"))
@@ -151,21 +164,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _shared(classes: DataFrame) -> DataFrame:
-    """class_id, band: the bands of each class that others have, too."""
+    """class_id, band, popularity: the bands of each class that others have, too, and how many classes its bands hold."""
     rows = classes.select("class_id", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("shared_band"))
-    return cut(rows.join(shared, F.col("band") == F.col("shared_band")).select("class_id", "band"))
-
-
-def _ties(rows: DataFrame) -> DataFrame:
-    """(a, b): each class with the first, by hash, of every band and pair of bands that it shares with others."""
-    own = rows.groupBy("class_id").agg(F.sort_array(F.collect_set("band")).alias("own"))  # at most BANDS
-    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, BANDS), lambda y: F.xxhash64(x, y))))
-    keys = rows.select("class_id", F.col("band").alias("key")).unionByName(own.select("class_id", F.explode(pairs).alias("key")))
-    # by one order for all keys, so that a class meets the same few heads again and again
-    first = F.min_by("class_id", F.struct(F.xxhash64("class_id"), F.col("class_id")))
-    heads = keys.groupBy("key").agg(first.alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("head_key"), "head")
-    tied = keys.join(heads, F.col("key") == F.col("head_key")).where("class_id != head")
+    full = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("full_band"), "n")
+    shared = cut(rows.join(full, F.col("band") == F.col("full_band")).select("class_id", "band", "n"))
+    sums = shared.groupBy("class_id").agg(F.sum("n").alias("popularity")).withColumnRenamed("class_id", "of")
+    return cut(shared.join(sums, F.col("class_id") == F.col("of")).select("class_id", "band", "popularity"))
+
+
+def _ties(shared: DataFrame) -> DataFrame:
+    """(a, b): each class with the most popular of every band that it shares with others."""
+    first = F.max_by("class_id", F.struct("popularity", "class_id"))
+    heads = shared.groupBy("band").agg(first.alias("head")).select(F.col("band").alias("head_band"), "head")
+    tied = shared.join(heads, F.col("band") == F.col("head_band")).where("class_id != head")
     return tied.select(F.col("class_id").alias("a"), F.col("head").alias("b")).distinct()
 
 
@@ -184,156 +195,209 @@ def _close(ties: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "one", "two").mapInArrow(run, "a bigint, b bigint")
 
 
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+class Sketches:
+    """A block of classes, each with a label; `inside` and `guest` give edges that join what the close pairs of different
+    labels join."""
+
+    def __init__(self, keys: list[int], labels: list[int], payloads: list[bytes]) -> None:
+        self.keys, self.label = np.array(keys), np.array(labels)
+        self.rows = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, SLOTS)
+
+    def _join(self, key: int, label: int, others: np.ndarray) -> list[tuple[int, int]]:
+        edges = []
+        for k in np.unique(self.label[others]).tolist():
+            edges.append((key, int(self.keys[others[self.label[others] == k][0]])))
+            self.label[self.label == k] = label
+        return edges
+
+    def _near(self, row: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return others[(self.rows[others] == row).mean(axis=1) >= LEAST]
+
+    def inside(self) -> list[tuple[int, int]]:
+        edges = []
+        for x, key in enumerate(self.keys.tolist()):
+            later = x + 1 + np.flatnonzero(self.label[x + 1 :] != self.label[x])
+            if len(later):
+                edges += self._join(key, self.label[x], self._near(self.rows[x], later))
+        return edges
+
+    def guest(self, key: int, label: int, payload: bytes) -> list[tuple[int, int]]:
+        return self._join(key, label, self._near(np.frombuffer(payload, np.uint8), np.flatnonzero(self.label != label)))
+
+
+class Sets(Sketches):
+    """The same with full sets and exact links, by an inverted index."""
+
+    def __init__(self, keys: list[int], labels: list[int], payloads: list[bytes]) -> None:
+        self.keys, self.label = np.array(keys), np.array(labels)
+        sets = [np.frombuffer(p, np.uint64) for p in payloads]
+        self.sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.tokens, token = np.unique(np.concatenate(sets), return_inverse=True)
+        self.posting = owner[np.argsort(token, kind="stable")]
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(token))))
+        self.frequency = np.diff(self.starts)
+        self.token, self.offsets = token, np.concatenate(([0], np.cumsum(self.sizes)))
+
+    def _linked(self, tokens: np.ndarray, size: int) -> np.ndarray:
+        common = np.zeros(len(self.keys), np.int64)
+        if len(tokens):
+            common = np.bincount(np.concatenate([self.posting[self.starts[t] : self.starts[t + 1]] for t in tokens.tolist()]), minlength=len(self.keys))
+        return np.flatnonzero(LINK[0] * common >= LINK[1] * (self.sizes + size - common))
+
+    def _compare(self, x: int) -> list[tuple[int, int]]:
+        own = self.token[self.offsets[x] : self.offsets[x + 1]]
+        others = self._linked(own[self.frequency[own] > 1], self.sizes[x])
+        return self._join(int(self.keys[x]), self.label[x], others[self.label[others] != self.label[x]])
+
+    def inside(self) -> list[tuple[int, int]]:
+        """The most central sets are compared with all others, then those outside the component that is the largest then;
+        those inside are connected already."""
+        central = np.argsort(-np.add.reduceat(self.frequency[self.token], self.offsets[:-1]) / self.sizes, kind="stable").tolist()
+        edges = []
+        for x in central[:16]:
+            edges += self._compare(x)
+        labels, counts = np.unique(self.label, return_counts=True)
+        largest = int(np.flatnonzero(self.label == labels[counts.argmax()])[0])
+        for x in central[16:]:
+            if self.label[x] != self.label[largest]:
+                edges += self._compare(x)
+        return edges
+
+    def guest(self, key: int, label: int, payload: bytes) -> list[tuple[int, int]]:
+        own = np.frombuffer(payload, np.uint64)
+        at = np.searchsorted(self.tokens, own)
+        at = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == own]
+        others = self._linked(at, len(own))
+        return self._join(key, label, others[self.label[others] != label])
 
 
-def crossing(keys: np.ndarray, heads: np.ndarray, side: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
-    """Close ties that join what the close pairs of different heads join; where there are two sides, pairs between them."""
-    _, label = np.unique(heads, return_inverse=True)
-    both = side.any() and not side.all()
-    edges: list[tuple[int, int]] = []
-    for x in np.flatnonzero(~side) if both else range(len(keys)):
-        others = np.flatnonzero(side & (label != label[x])) if both else x + 1 + np.flatnonzero(label[x + 1 :] != label[x])
-        others = others[(sketches[others] == sketches[x]).mean(axis=1) >= LEAST]
-        for k in np.unique(label[others]).tolist():
-            edges.append((int(keys[x]), int(keys[others[label[others] == k][0]])))
-            label[label == k] = label[x]
-    return edges
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _across(rows: DataFrame, close: DataFrame, classes: DataFrame) -> DataFrame:
-    """Close ties between the classes that meet in a band and aren't close to one head, the first of those that a class is
-    close to. A band of two classes has no pair but its tie."""
+def _compared(rows: DataFrame, kind: type, inside: bool = True) -> DataFrame:
+    """Edges (a, b) between the rows (grp, blocks, class_id, label, loose, payload) of a group. Each row belongs to one of
+    the group's blocks, loose rows are guests in all the others; a task holds one block and streams its guests."""
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, block = None, [], None
 
-        def sent() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                keys, heads, side, sketch = zip(*held)
-                found = crossing(np.array(keys), np.array(heads), np.array(side), np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, SLOTS))
-                if found:
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], schema=_EDGES)
+        def opened() -> tuple[object, list[tuple[int, int]]]:
+            block = kind(*map(list, zip(*held))) if held else None
+            return block, block.inside() if block is not None and inside and len(held) > 1 else []
 
         for batch in batches:
-            for band, one, two, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (band, one, two) != current:
-                    yield from sent()
-                    current, held = (band, one, two), []
-                held.append(row)
-        yield from sent()
-
-    heads = close.groupBy("a").agg(F.min_by("b", F.struct(F.xxhash64("b"), F.col("b"))).alias("head"))
-    named = rows.join(heads, F.col("class_id") == F.col("a"), "left").select("class_id", "band", F.coalesce("head", "class_id").alias("head"))
-    several = named.groupBy("band").agg(F.count("*").alias("n"), F.min("head").alias("least"), F.max("head").alias("most")).where("n > 2 AND least != most")
-    several = several.select(F.col("band").alias("open_band"), F.ceil(F.col("n") / CROWD).cast("long").alias("blocks"))
-    sketches = classes.select(F.col("class_id").alias("of"), "sketch")
-    open_rows = named.join(several, F.col("band") == F.col("open_band")).join(sketches, F.col("class_id") == F.col("of"))
-    block = F.pmod(F.xxhash64("class_id"), F.col("blocks"))
-    placed = open_rows.select("*", block.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("band", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "class_id", "head", (F.col("own") > F.col("other")).alias("side"), "sketch")
-    dealt = placed.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
-    return dealt.mapInArrow(join, "a bigint, b bigint")
-
-
-def forest(keys: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets. Sets outside the largest component are compared with all the others
-    by an inverted index; those inside are connected already."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(n), sizes)
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(token, kind="stable")
-    posting = owner[order]
-    starts = np.concatenate(([0], np.cumsum(np.bincount(token))))
-    offsets = np.concatenate(([0], np.cumsum(sizes)))
-    frequency = np.diff(starts)
-    spread = np.add.reduceat(frequency[token], offsets[:-1]) / sizes
-    label = np.arange(n)
-    edges: list[tuple[int, int]] = []
-
-    def compare(x: int) -> None:
-        own = token[offsets[x] : offsets[x + 1]]
-        own = own[frequency[own] > 1]
-        if not len(own):
-            return
-        common = np.bincount(np.concatenate([posting[starts[t] : starts[t + 1]] for t in own.tolist()]), minlength=n)
-        linked = LINK[0] * common >= LINK[1] * (sizes + sizes[x] - common)
-        linked[x] = False
-        for k in np.unique(label[linked]).tolist():
-            if k != label[x]:
-                edges.append((int(keys[x]), int(keys[np.flatnonzero(linked & (label == k))[0]])))
-                label[label == k] = label[x]
-
-    central = np.argsort(-spread, kind="stable")
-    for x in central[: min(n, 16)].tolist():
-        compare(x)
-    largest = np.bincount(label, minlength=n).argmax()
-    for x in central[16:].tolist():
-        if label[x] != label[largest]:
-            compare(x)
-    return edges
-
-
-def _links(families: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links that connect what the links of each family connect."""
+            edges: list[tuple[int, int]] = []
+            *columns, payloads = batch.columns
+            for grp, at, guest, key, label, payload in zip(*(c.to_pylist() for c in columns), payloads):
+                if (grp, at) != current:
+                    if block is None and held:
+                        edges += opened()[1]
+                    current, held, block = (grp, at), [], None
+                if not guest:
+                    held.append((key, label, payload.as_py()))
+                    continue
+                if block is None and held:
+                    block, found = opened()
+                    edges += found
+                if block is not None:
+                    edges += block.guest(key, label, payload.as_py())
+            if edges:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*edges)], schema=_EDGES)
+        if block is None and held:
+            edges = opened()[1]
+            if edges:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*edges)], schema=_EDGES)
+
+    place = lambda block, guest: F.struct(block.alias("block"), F.lit(guest).alias("guest"))
+    own = F.pmod(F.xxhash64("class_id"), F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != own)
+    places = F.when(F.col("loose") & (F.col("blocks") > 1), F.concat(F.array(place(own, False)), F.transform(others, lambda b: place(b, True)))).otherwise(F.array(place(own, False)))
+    placed = rows.select("grp", "class_id", "label", "payload", F.explode(places).alias("at")).select("grp", "at.block", "at.guest", "class_id", "label", "payload")
+    dealt = placed.repartition("grp", "block").sortWithinPartitions("grp", "block", "guest", "class_id")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """`rows` with the component of their class as label; a class without one is its own."""
+    return rows.join(roots, F.col("class_id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "class_id")).drop("node", "root")
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """open_grp, n, main: the groups of rows (grp, label) with several labels, and the label that most rows have."""
+    counts = rows.groupBy("grp", "label").agg(F.count("*").alias("k"))
+    return counts.groupBy(F.col("grp").alias("open_grp")).agg(F.sum("k").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).where("labels > 1").drop("labels")
+
+
+def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """Close pairs between the families of a band. A band of two classes has no pair but its tie."""
+    named = _labelled(shared.select("class_id", F.col("band").alias("grp")), roots)
+    several = _several(named).where("n > 2").select("open_grp", "main", F.ceil(F.col("n") / MEMBERS).cast("long").alias("blocks"))
+    sketches = classes.select(F.col("class_id").alias("of"), F.col("sketch").alias("payload"))
+    rows = named.join(several, F.col("grp") == F.col("open_grp")).join(sketches, F.col("class_id") == F.col("of"))
+    return _compared(rows.withColumn("loose", F.col("label") != F.col("main")), Sketches)
+
+
+def _members(families: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """grp (the family), blocks, class_id, loose: whether a class is a guest of its family's other blocks."""
+    known = families.join(classes.groupBy("class_id").agg(F.sum("size").alias("size")), F.col("node") == F.col("class_id"))
+    sizes = known.groupBy(F.col("root").alias("grp")).agg(F.greatest(F.ceil(F.sum("size") / BLOCK), F.ceil(F.count("*") / MEMBERS)).cast("long").alias("blocks"))
+    members = families.join(sizes, F.col("root") == F.col("grp")).select("grp", "blocks", F.col("node").alias("class_id"))
+    popular = shared.groupBy("class_id").agg(F.max("popularity").alias("popularity")).withColumnRenamed("class_id", "of")
+    ranked = members.where("blocks > 1").join(popular, F.col("class_id") == F.col("of"))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("popularity"), "class_id"))
+    hubs = ranked.withColumn("place", place).where(F.col("place") <= HUBS).select(F.col("class_id").alias("hub"))
+    return members.join(hubs, F.col("class_id") == F.col("hub"), "left").select("grp", "blocks", "class_id", F.col("hub").isNotNull().alias("loose"))
+
+
+def _sets(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """`members` with their full sets; a class whose doc_id has several texts has a row for each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            blobs = [shingles(t.as_py(), known).tobytes() for t in batch.column(3)]
-            yield pa.record_batch([*batch.columns[:3], pa.array(blobs, pa.binary())], names=["family", "blocks", "class_id", "elements"])
+            blobs = [shingles(t.as_buffer().to_pybytes(), known).tobytes() for t in batch.column(4)]
+            full = pa.record_batch([*batch.columns[:4], pa.array(blobs, pa.binary())], names=["grp", "blocks", "class_id", "loose", "payload"])
+            yield full.filter(pa.array([bool(b) for b in blobs], pa.bool_()))
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, keys, held = None, [], []
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = own.join(members, F.col("doc_id") == F.col("class_id")).select("grp", "blocks", "class_id", "loose", "text")
+    return texts.mapInArrow(sets, "grp bigint, blocks bigint, class_id bigint, loose boolean, payload binary")
 
-        def sent() -> Iterator[pa.RecordBatch]:
-            if len(keys) > 1:
-                found = forest(np.array(keys), held)
-                if found:
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], schema=_EDGES)
 
-        for batch in batches:
-            for family, one, two, key, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if (family, one, two) != current:
-                    yield from sent()
-                    current, keys, held = (family, one, two), [], []
-                if not keys or keys[-1] != key:
-                    keys.append(key)
-                    held.append(np.frombuffer(blob, np.uint64))
-        yield from sent()
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = own.join(families, F.col("doc_id") == F.col("class_id")).select("family", "blocks", "class_id", "text")
-    rows = texts.mapInArrow(sets, "family bigint, blocks bigint, class_id bigint, elements binary")
-    block = F.pmod(F.xxhash64("class_id"), F.col("blocks"))
-    placed = rows.select("*", block.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("family", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "class_id", "elements")
-    dealt = placed.repartition("family", "one", "two").sortWithinPartitions("family", "one", "two", "class_id")
-    return dealt.mapInArrow(join, "a bigint, b bigint")
+def _links(sets: DataFrame) -> DataFrame:
+    """Links that connect what the links of each family connect."""
+    found = cut(_compared(sets.withColumn("label", F.col("class_id")), Sets))
+    large = sets.where("blocks > 1")
+    if large.isEmpty():
+        return found
+    roots = cut(components(found))
+    named = _labelled(large, roots)
+    several = _several(named.select("grp", "label")).select("open_grp", "main")
+    rest = named.drop("loose").join(several, F.col("grp") == F.col("open_grp")).withColumn("loose", F.col("label") != F.col("main"))
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return stars.unionByName(_compared(rest, Sets, inside=False))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, mark (of the text), n_shingles, component_id, kept of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
     sketches = cut(rows.mapInArrow(_sketch, SKETCHES))
     known = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("size"))
     classes = cut(classes)
     shared = _shared(classes)
-    close = cut(_close(_ties(shared), classes))
-    families = cut(components(close.unionByName(_across(shared, close, classes))))
-    sizes = families.join(classes.select("class_id", "size"), F.col("node") == F.col("class_id")).groupBy("root").agg(F.sum("size").alias("elements"))
-    sizes = sizes.select(F.col("root").alias("family"), F.ceil(F.col("elements") / BLOCK).cast("long").alias("blocks"))
-    members = families.join(sizes, F.col("root") == F.col("family")).select("family", "blocks", F.col("node").alias("class_id"))
-    found = components(_links(members, docs))
+    roots = cut(components(_close(_ties(shared), classes)))
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    families = cut(components(stars.unionByName(_across(shared, roots, classes))))
+    found = components(_links(cut(_sets(_members(families, classes, shared), docs))))
     least = found.groupBy("root").agg(F.min("node").alias("component_id")).select(F.col("root").alias("least_root"), "component_id")
     linked = cut(found.join(least, F.col("root") == F.col("least_root")).select(F.col("node"), F.col("component_id")))
     named = classes.select(F.col("digest").alias("class_digest"), "class_id").join(linked, F.col("class_id") == F.col("node"), "left")
     named = named.select("class_digest", F.coalesce("component_id", "class_id").alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", "digest").join(named, F.col("digest") == F.col("class_digest"), "left")
+    out = sketches.select("doc_id", "mark", "n_shingles", "digest").join(named, F.col("digest") == F.col("class_digest"), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "mark", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

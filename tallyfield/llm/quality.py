@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import SPACE, cut, without
+from tallyfield.llm.common import SPACE, cut, text_mark, without
 
 #: Common words by language.
 COMMON_WORDS = {
@@ -34,10 +34,10 @@ MIN_BASE_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the counts of every document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    """doc_id, mark, lang and the counts of every document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     chars (by class) and, by language, common (by word)."""
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.coalesce("text", F.lit("")).alias("t"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), lang.alias("lang"), F.coalesce("text", F.lit("")).alias("t"))
     # layers, so that each costly expression is evaluated once
     rows = rows.select("*", F.btrim("t", F.lit(" \t\n\x0b\x0c\r")).alias("inner"), F.regexp_replace("t", f"[{SPACE}]+", "").alias("left0"))
     for k, pattern in enumerate(CLASSES.values()):
@@ -47,6 +47,7 @@ def features(docs: DataFrame) -> DataFrame:
     chars = F.array(*[c.cast("long") for c in [F.length("t") - F.length("left0"), *counts, F.length(f"left{size}")]])
     rows = rows.select(
         "doc_id",
+        "mark",
         "lang",
         chars.alias("chars"),
         F.length("left0").cast("long").alias("word_chars"),
@@ -64,6 +65,7 @@ def features(docs: DataFrame) -> DataFrame:
     ]
     rows = rows.select(
         "doc_id",
+        "mark",
         "lang",
         "n_words",
         "word_chars",
@@ -128,7 +130,7 @@ def distances(counts: DataFrame, reference: Row) -> dict[str, tuple[Column, Colu
 
 
 def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept of every row."""
+    """doc_id, mark (of the text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row."""
     counts = cut(features(docs))
     near = F.lit(False)
     known = distances(counts, references(counts))
@@ -137,10 +139,10 @@ def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = W
     passed = (F.col("n_words") < MIN_WORDS) | near if known else F.lit(True)
     failed = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return counts.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & passed).alias("kept")
+        "doc_id", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & passed).alias("kept")
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that `judge` keeps, with their own columns. Rows that share a doc_id go if one of them does."""
+    """The rows of `docs` that `judge` keeps, with their own columns."""
     return without(docs, judge(docs).where(~F.col("kept")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -9,7 +10,9 @@ import numpy as np
 import xxhash
 import zstandard
 
-KNOWN_WORDS = 200_000
+#: Words whose hashes are kept; bytes of a text that are split into words at once.
+KNOWN_WORDS, PIECE = 200_000, 1 << 20
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -26,6 +29,18 @@ class WordHashes(dict):
     def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+    def of_text(self, text: bytes) -> np.ndarray:
+        """The hashes of a text's words, however long it is."""
+        if len(text) <= PIECE:
+            return self.array(text.split())
+        found, start = [], 0
+        while start < len(text):
+            space = _SPACE.search(text, start + PIECE)
+            end = space.start() if space else len(text)
+            found.append(self.array(text[start:end].split()))
+            start = end
+        return np.concatenate(found)
+
 
 _POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
 

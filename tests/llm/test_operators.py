@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tallyfield.llm import bpe, chat, exact_dedup, licences, mixing, near_dedup, quality, substring_dedup, toxicity, urls
+from tallyfield.llm import bpe, chat, exact_dedup, licences, mixing, near_dedup, quality, substring_dedup, toxicity, urls, word_hashes
 from tallyfield.llm.common import spread_keys, table
 from tallyfield.llm.queries import QUERIES, VOCABULARY
 
@@ -289,6 +289,10 @@ def brute_near(rows):
     return sorted(((k, len(s), None if k is None else find(k), k is None or find(k) == k) for k, s in sets), key=str)
 
 
+def near_of(docs):
+    return sorted(rows_of(near_dedup.near_dedup(docs).drop("mark")), key=str)
+
+
 def near_rows():
     r = random.Random(11)
     rows = []
@@ -302,16 +306,59 @@ def near_rows():
 
 def test_near_copies_against_brute_force(spark):
     rows = [*near_rows(), (900, "One  TWO\tthree", "s"), (901, "one two three", "s"), (902, "one two", "s"), (1003, None, "s"), (1002, "", "s"), (1001, " \n", "s"), (None, "no id", "s"), (None, "no id", "s"), (5, near_rows()[5][1], "s")]
-    got = near_dedup.near_dedup(docs_of(spark, rows))
-    assert sorted(rows_of(got), key=str) == brute_near(rows)
+    assert near_of(docs_of(spark, rows)) == brute_near(rows)
     assert near_dedup.near_dedup(docs_of(spark, [])).count() == 0
     assert near_dedup.drop_near_copies(docs_of(spark, rows)).columns == docs_of(spark, []).columns
 
 
 def test_near_copies_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 300)
     rows = near_rows()
-    assert sorted(rows_of(near_dedup.near_dedup(docs_of(spark, rows))), key=str) == brute_near(rows)
+    monkeypatch.setattr(near_dedup, "BLOCK", 300)
+    assert near_of(docs_of(spark, rows)) == brute_near(rows)
+    monkeypatch.setattr(near_dedup, "MEMBERS", 3)
+    monkeypatch.setattr(near_dedup, "HUBS", 0)
+    assert near_of(docs_of(spark, rows)) == brute_near(rows)
+
+
+def test_near_copies_in_a_crowd_of_middling_similarity(spark):
+    """Documents that share a long passage, and planted pairs among them."""
+    r = random.Random(8)
+    rows, planted = [], []
+    for i in range(1500):
+        passage, own = prose(77, 120, 5000).split(), prose(5000 + i, r.randrange(40, 90), 10**6).split()
+        rows.append((len(rows), " ".join(passage + own), "s"))
+        if i % 10 == 0:
+            own[r.randrange(len(own))] = "changed"
+            planted.append(rows[-1][0])
+            rows.append((len(rows), " ".join(passage + own), "s"))
+    sets = {k: brute_shingles(t) for k, t, _ in rows[:40]}
+    apart = [len(a & b) / len(a | b) for i, a in sets.items() for j, b in sets.items() if j > i + 1]
+    assert 0.25 < min(apart) and max(apart) < 0.75
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs_of(spark, rows)).collect()}
+    assert all(got[k] == got[k + 1] == k for k in planted) and len(set(got.values())) == 1500
+
+
+def test_texts_that_share_a_doc_id_are_judged_each(spark):
+    rows = [(1, prose(1, 60), "s"), (5, prose(1, 60), "s"), (5, prose(2, 60), "s"), (7, prose(2, 60), "s"), (9, prose(3, 60), "s"), (9, prose(4, 60), "s"), (None, prose(9, 60), "s"), (None, prose(9, 60), "s")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(docs_of(spark, rows)).collect()}
+    assert got == {(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (9, 9, True), (None, None, True)}
+    kept = near_dedup.drop_near_copies(docs_of(spark, rows))
+    assert sorted(x[0] or 0 for x in rows_of(kept.select("doc_id"))) == [0, 0, 1, 5, 9, 9]
+
+
+def test_signatures_of_slices_are_those_of_the_whole(monkeypatch):
+    elements = np.random.default_rng(3).integers(0, 2**63, 5000).astype(np.uint64)
+    owner = np.repeat([0, 1, 2], [10, 4000, 990])
+    whole = near_dedup.superminhash(elements, owner, 3)
+    monkeypatch.setattr(near_dedup, "BATCH", 170)
+    assert (near_dedup.superminhash(elements, owner, 3) == whole).all()
+
+
+def test_hashes_of_long_texts(monkeypatch):
+    text = " \t".join(f"word{i}" for i in range(500)).encode() + b"\n "
+    whole = word_hashes.WordHashes().of_text(text)
+    monkeypatch.setattr(word_hashes, "PIECE", 37)
+    assert len(whole) == 500 and (word_hashes.WordHashes().of_text(text) == whole).all()
 
 
 def test_near_copies_in_a_crowded_bucket(spark, monkeypatch):
@@ -331,9 +378,9 @@ def test_near_copies_in_a_crowded_bucket(spark, monkeypatch):
     want = brute_near(rows)
     assert Counter(kept for *_, kept in want) == {True: 30, False: 30}
     monkeypatch.setattr(near_dedup, "_sketch", one_bucket)
-    for crowd in (1000, 7):
-        monkeypatch.setattr(near_dedup, "CROWD", crowd, raising=False)
-        assert sorted(rows_of(near_dedup.near_dedup(docs_of(spark, rows))), key=str) == want
+    for members in (1000, 7):
+        monkeypatch.setattr(near_dedup, "MEMBERS", members)
+        assert near_of(docs_of(spark, rows)) == want
 
 
 def test_signatures_estimate_similarity():
