@@ -1,12 +1,14 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, line by line and over the lines of a paragraph; each is normalised and looked up among the
-known licence sentences, which gives its identifier. The identifiers in the order of the text are then matched against
-ordered rules: at each place the first rule whose sequence of identifiers stands there is taken, and the scan goes on
-after it; copyright lines may stand between the sentences of a rule. Identifiers that no rule takes are counted.
-
-Defined results: null texts count as empty; texts without a known sentence give empty strings and zeros; rows that repeat
-are scanned each; an empty table gives no rows; other columns are ignored.
+A text is cut into sentences at marks that white space follows and at empty lines; a sentence that isn't known is cut
+into its lines. Each is normalised, whatever its length, and looked up among the known licence sentences, which gives its
+identifier. The identifiers in the order of the text are then matched against ordered rules: at each place the first rule
+whose sequence of identifiers stands there is taken, and the scan goes on after it; copyright lines may stand between the
+sentences of a rule. Identifiers that no rule takes are counted.
+
+Defined results: null texts count as empty; texts without a known sentence give empty strings and zeros; letters are told
+apart by case and looked up in ASCII only, and white space is space and U+0009 to U+000D; rows that repeat are scanned
+each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,7 +65,7 @@ SENTENCES = {
     ],
     "bsd3-name": ["licensed under the bsd 3 clause license", "spdx license identifier bsd 3 clause"],
     "bsd2-name": ["licensed under the bsd 2 clause license", "spdx license identifier bsd 2 clause"],
-    "mpl-name": ["this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license version 2.0", "spdx license identifier mpl 2.0"],
+    "mpl-name": ["this source code form is subject to the terms of the mozilla public license v", "licensed under the mozilla public license version 2.0", "spdx license identifier mpl 2.0"],
     "isc-grant": [
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
     ],
@@ -106,47 +108,41 @@ RULES = [
     ("Unlicense", ["unlicense"]),
     ("all-rights-reserved", ["reserved"]),
 ]
-#: Every known sentence holds one of these.
-TRIGGERS = ("licen", "copyright", "permission", "redistribut", "warrant", "reserved", "public domain", "spdx", "cc0")
-
 _KNOWN = {text: name for name, texts in SENTENCES.items() for text in texts}
-_SPLIT = re.compile(r"[.;:!?]+(?=\s|$)|[\n\r]+")
-_JOIN = re.compile(r"[.;:!?]+(?=\s|$)|(?:\r?\n[^\S\n]*){2,}")
-_WORD = re.compile(r"[a-z0-9]+(?:\.[a-z0-9]+)*\.?(?=[^\w.]|$)|[a-z0-9]+")
-_NOTICE = re.compile(r"copyright (?:c )?(?:[0-9]{4}|the )")
-
-
-def normalise(sentence: str) -> str:
-    """Lower-case words of letters and digits; dots stay inside them."""
-    words = [w.rstrip(".") for w in _WORD.findall(sentence.lower())]
-    return " ".join(w + "." if w == "v" else w for w in words if w)
-
-
-def identifier(sentence: str) -> str | None:
+#: Patterns of Python and RE2: where sentences and lines end, words, and copyright notices in normalised form.
+MARKS, GAPS, LINES, WORDS, NOTICE = r"[.;:!?]+", r"\n[ \t\x0b-\r]*\n[ \t-\r]*", r"[\n\r]+", r"[a-z0-9.]+", r"copyright (?:c )?(?:[0-9]{4}|the )"
+_SENTENCE = re.compile(rf"{MARKS}(?=[ \t-\r]|\Z)|{GAPS}".encode())
+_LINE, _WORD, _NOTICE = (re.compile(x.encode()) for x in (LINES, WORDS, NOTICE))
+_FIRST = re.compile(rb"[a-z0-9][a-z0-9.]*")
+#: Every known sentence and notice begins with one of these words.
+_BEGINS = {text.split(" ")[0].encode() for text in (*_KNOWN, COPYRIGHT)}
+
+
+def normalise(sentence: bytes) -> str:
+    """Words of lower-case letters, digits and dots that aren't at their ends."""
+    words = (w.strip(b".") for w in _WORD.findall(sentence))
+    return b" ".join(w for w in words if w).decode()
+
+
+def identifier(sentence: bytes) -> str | None:
+    """The identifier of a lower-case sentence; of its first word first, as nearly all go by that."""
+    first = _FIRST.search(sentence)
+    if first is None or first[0].rstrip(b".") not in _BEGINS:
+        return None
     plain = normalise(sentence)
-    return _KNOWN.get(plain) or (COPYRIGHT if "\n" not in sentence.strip() and _NOTICE.match(plain) else None)
+    return _KNOWN.get(plain) or (COPYRIGHT if b"\n" not in sentence.strip() and _NOTICE.match(plain.encode()) else None)
 
 
 def identifiers(text: str) -> list[str]:
-    """The identifiers of a text's known sentences, in order; of two that overlap the longer, else the first."""
-    lower = text.lower()
-    if not any(t in lower for t in TRIGGERS):
-        return []
-    found = set()
-    for cut in (_SPLIT, _JOIN):
-        start = 0
-        for end, after in [*((m.start(), m.end()) for m in cut.finditer(text)), (len(text), len(text))]:
-            piece = text[start:end]
-            if len(piece) < 2000 and (name := identifier(piece)):
-                lead = len(piece) - len(piece.lstrip())
-                found.add((start + lead, start + len(piece.rstrip()), name))
-            start = after
-    out, taken = [], []
-    for a, b, name in sorted(found, key=lambda x: (x[0] - x[1], x[0], x[2])):
-        if all(b <= c or a >= d for c, d in taken):
-            taken.append((a, b))
-            out.append((a, name))
-    return [name for _, name in sorted(out)]
+    """The identifiers of a text's known sentences, in order."""
+    found = []
+    for sentence in _SENTENCE.split(text.encode("utf-8", "surrogatepass").lower()):
+        name = identifier(sentence)
+        if name is not None:
+            found.append(name)
+        elif b"\n" in sentence or b"\r" in sentence:
+            found += filter(None, map(identifier, _LINE.split(sentence)))
+    return found
 
 
 def match(names: list[str], rules: list[tuple[str, list[str]]] = RULES) -> tuple[list[str], int]:

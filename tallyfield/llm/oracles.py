@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import string
+
 from tallyfield.llm.common import SPACE
+from tallyfield.llm.licences import COPYRIGHT, GAPS, LINES, MARKS, NOTICE, RULES, SENTENCES, WORDS
 from tallyfield.llm.mixing import FILL, MOST, SEED
 from tallyfield.llm.quality import CHAR_LIMIT, CLASSES, COMMON_WORDS, MIN_LIST_WORDS, MIN_WORDS, WORD_LIMIT
 
@@ -110,6 +113,28 @@ e AS (SELECT rid FROM x WHERE fits UNION SELECT rid FROM x JOIN v ON ys IS NOT D
 SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN rid IN (SELECT rid FROM e) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM o JOIN t ON t.source IS NOT DISTINCT FROM o.source
 """
 
+_PLAIN = "array_to_string(list_filter(list_transform(regexp_extract_all({x}, '" + WORDS + "'), lambda w: trim(w, '.')), lambda w: w <> ''), ' ')"
+_ONE_LINE = "NOT contains(trim(piece, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), chr(10))"
+_NOTICED = f"CASE WHEN {_ONE_LINE} AND regexp_matches(plain, '^{NOTICE}') THEN '{COPYRIGHT}' END"
+_SEQUENCES = {"".join(f"{n}," for n in names): licence for licence, names in RULES}
+OP4 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(replace(coalesce(text, ''), chr(1), chr(2)), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS t FROM documents),
+known AS (SELECT * FROM (VALUES {", ".join(f"('{t}', '{k}')" for k, texts in SENTENCES.items() for t in texts)}) v(sentence, name)),
+p AS (SELECT rid, string_split(regexp_replace(regexp_replace(t, '{MARKS}([ \t-\r]|$)', chr(1) || '\1', 'g'), '{GAPS}', chr(1), 'g'), chr(1)) AS pieces FROM d),
+s AS (SELECT rid, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM p),
+s1 AS (SELECT *, {_PLAIN.format(x="piece")} AS plain FROM s),
+s2 AS (SELECT rid, i, piece, coalesce(name, {_NOTICED}) AS name FROM s1 LEFT JOIN known ON plain = sentence),
+l AS (SELECT rid, i, unnest(lines) AS piece, unnest(range(len(lines))) AS k FROM (SELECT rid, i, string_split_regex(piece, '{LINES}') AS lines FROM s2 WHERE name IS NULL AND regexp_matches(piece, '{LINES}'))),
+l1 AS (SELECT *, {_PLAIN.format(x="piece")} AS plain FROM l),
+a AS (SELECT rid, i, 0 AS k, name FROM s2 UNION ALL SELECT rid, i, k, coalesce(name, {_NOTICED}) AS name FROM l1 LEFT JOIN known ON plain = sentence),
+n AS (SELECT rid, list(name ORDER BY i, k) AS names FROM a WHERE name IS NOT NULL GROUP BY rid),
+m AS (SELECT rid, names, regexp_extract_all(array_to_string(list_transform(list_filter(names, lambda x: x <> '{COPYRIGHT}'), lambda x: x || ','), ''), '{"|".join(_SEQUENCES)}|[^,]+,') AS found FROM n),
+f AS (SELECT *, list_transform(found, lambda x: CASE x {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SEQUENCES.items())} END) AS licences FROM m)
+SELECT doc_id, coalesce(array_to_string(names, ','), '') AS identifiers, coalesce(array_to_string(list_sort(list_distinct(list_filter(licences, lambda x: x IS NOT NULL))), ','), '') AS licences,
+  CAST(coalesce(len(names), 0) AS BIGINT) AS n_sentences, CAST(coalesce(len(list_filter(licences, lambda x: x IS NULL)), 0) AS BIGINT) AS n_loose
+FROM d LEFT JOIN f USING (rid)
+"""
+
 OP5 = rf"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[{SPACE}]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
@@ -136,4 +161,4 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d
 FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.x = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op2_quality_divergence": OP2, "op3_pareto_mixing": OP3, "op5_substring_dedup": OP5, "op7_near_dedup": OP7, "op8_exact_dedup": OP8}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op2_quality_divergence": OP2, "op3_pareto_mixing": OP3, "op4_licence_scan": OP4, "op5_substring_dedup": OP5, "op7_near_dedup": OP7, "op8_exact_dedup": OP8}

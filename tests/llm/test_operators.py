@@ -183,10 +183,71 @@ def test_licence_tables():
     names = [*licences.SENTENCES]
     for name, texts in licences.SENTENCES.items():
         for t in texts:
-            assert licences.identifier(t.upper() + ".") == name and any(k in t for k in licences.TRIGGERS)
+            assert licences.identifiers(t.upper() + ".") == [name]
     assert all(n in names for _, sequence in licences.RULES for n in sequence)
 
 
+def brute_licences(text):
+    """Characters one by one; sentences by their words among all known ones; rules by their whole list."""
+    t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    space, sentences, part, i = " \t\n\x0b\x0c\r", [], "", 0
+    while i < len(t):
+        j = i
+        while j < len(t) and t[j] in ".;:!?":
+            j += 1
+        blank = i
+        while blank < len(t) and t[blank] in space:
+            blank += 1
+        if j > i and (j == len(t) or t[j] in space):
+            sentences.append(part)
+            part, i = "", j
+        elif t[i] == "\n" and t[i:blank].count("\n") > 1:
+            sentences.append(part)
+            part, i = "", blank
+        else:
+            part, i = part + t[i : max(j, i + 1)], max(j, i + 1)
+
+    def name(x):
+        plain = " ".join(filter(None, (w.strip(".") for w in re.sub("[^a-z0-9.]", " ", x).split(" "))))
+        for k, texts in licences.SENTENCES.items():
+            if plain in texts:
+                return k
+        return "copyright" if "\n" not in x.strip(space) and re.match("copyright (c )?([0-9]{4}|the )", plain) else None
+
+    names = [n for x in [*sentences, part] for n in ([name(x)] if name(x) else map(name, re.split("[\n\r]+", x))) if n]
+    rest, found, loose = [n for n in names if n != "copyright"], set(), 0
+    while rest:
+        rule = next((r for r in licences.RULES if rest[: len(r[1])] == r[1]), None)
+        loose += rule is None
+        found |= {rule[0]} if rule else set()
+        rest = rest[len(rule[1]) if rule else 1 :]
+    return ",".join(names), ",".join(sorted(found)), len(names), loose
+
+
+def test_licences_against_brute_force(spark):
+    r = random.Random(12)
+    known = [t for texts in licences.SENTENCES.values() for t in texts]
+    joints = [".", "\n", ". ", ".\n", "\n\n", "\n \t\n", "; ", "\r\n", " ", "...", ": ", "\x0b", "!?\n", "\x01", "\x85"]
+    rows = []
+    for i in range(400):
+        parts = []
+        for _ in range(r.randrange(9)):
+            sentence = r.choice([*known, "Copyright (c) 2020 Some One", "copyright the authors", prose(r.randrange(99), 8)])
+            words = [w.upper() if r.random() < 0.1 else w for w in sentence.split()]
+            parts += ["".join(w + r.choice([" ", " ", " ", "\n", ", ", "  "]) for w in words).strip(), r.choice(joints)]
+        rows.append((i, "".join(parts), "s"))
+    got = {x.doc_id: (x.identifiers, x.licences, x.n_sentences, x.n_loose) for x in licences.scan(docs_of(spark, rows)).collect()}
+    assert got == {k: brute_licences(t) for k, t, _ in rows}
+    assert sum(bool(v[1]) for v in got.values()) > 100
+
+
+def test_licence_sentences_of_any_length_and_over_line_ends():
+    notice = licences.SENTENCES["mit-notice"][0]
+    assert licences.identifiers(notice.replace(" ", " " * 5000)) == ["mit-notice"]
+    assert licences.identifiers("This is free and unencumbered software released into the public\ndomain.") == ["unlicense"]
+    assert licences.identifiers("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.") == ["mpl-name"]
+
+
 def test_licences_find_every_line_of_the_test_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     lines = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only"}
