@@ -5,11 +5,14 @@ is shared again by weight. Within a source a document's expected number of copie
 that falls slowly with the document's length class, at most MOST; the level is set so that the expected words equal the
 target. The whole part of that number is allocated for certain. The fraction is the document's inclusion probability p
 in a fixed-size sample: documents are ranked by their random odds u / (1 - u) divided by their inclusion odds p / (1 - p),
-and taken in that order until the words still due are reached. The last gap is filled from the next FILL documents in
-the same order, each taken if it still fits, then the smallest of them if that brings the total nearer.
+and taken in that order until the words still due are reached. What is still due then, less than a document, is evened
+out by the documents next to the cut: of each length class, from the longest, up to NEXT documents behind the cut are
+added and up to NEXT before it are left out, each only if that brings the source nearer to its target. Both are the ones
+of their class whose rank is nearest to the cut.
 
 Nothing is gathered by source but sums: the cut is found first among BINS classes of the rank, then inside the class that
-holds it, and only FILL documents of a source ever meet. The random number is a hash of seed and doc_id, so reruns agree.
+holds it, and only NEXT documents of a source and length class on each side ever meet. The random number is a hash of seed
+and doc_id, so reruns agree.
 
 Defined results: null texts have size 0 and are never needed; a null source is a source of its own, the last; rows that
 repeat a doc_id are sampled each, and tie in a defined order; an empty table gives no rows; other columns are ignored by
@@ -21,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import cut, word_count
+from tallyfield.llm.common import cut, own_columns, unused, word_count
 
 MOST = 3
 BINS = 4096
-FILL = 64
+NEXT = 2
 SEED = 17
 
 
@@ -112,9 +115,28 @@ def _random(doc_id: Column, seed: int) -> Column:
     return (bits.cast("double") + 0.5) / float(2**52)
 
 
+def _evened(beside: DataFrame) -> DataFrame:
+    """(changed, change): the documents beside the cut that are added or left out. `beside` has rid, source, size, change
+    (1 or -1), turn (the nearest to the cut first) and gap (the words still due); a source has at most 64 length classes
+    with 2 * NEXT rows each."""
+    steps = F.sort_array(F.collect_list(F.struct((-_length_class(F.col("size"))).alias("longest"), (-F.col("change")).alias("adds"), "turn", "size", "rid", "change")))
+    listed = beside.groupBy("source").agg(steps.alias("steps"), F.max("gap").alias("gap"))
+    none = F.array().cast("array<struct<changed:bigint,change:int>>")
+    state = F.aggregate(
+        "steps",
+        F.struct(F.col("gap").alias("left"), none.alias("picked")),
+        lambda a, x: F.when(
+            F.abs(a["left"] - x["change"] * x["size"]) < F.abs(a["left"]),
+            F.struct((a["left"] - x["change"] * x["size"]).alias("left"), F.array_append(a["picked"], F.struct(x["rid"].alias("changed"), x["change"].alias("change"))).alias("picked")),
+        ).otherwise(a),
+    )
+    return listed.select(F.inline(state["picked"]))
+
+
 def mix(docs: DataFrame, most: int = MOST, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies of every row."""
-    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    sizes = cut(sizes.withColumn("rid", F.monotonically_increasing_id()))
     cells = cut(copies_by_class(sizes, source_targets(sizes, most), most))
     due = cells.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("words"))).alias("due"))
     due = due.select(F.col("source").alias("due_source"), "due")
@@ -123,70 +145,49 @@ def mix(docs: DataFrame, most: int = MOST, seed: int = SEED) -> DataFrame:
     same = F.col("source").eqNullSafe(F.col("of")) & (_length_class(F.col("size")) == F.col("of_class"))
     u, p = _random(F.col("doc_id"), seed), F.col("p")
     odds = F.when((p > 0) & (F.col("size") > 0), (u / (1 - u)) / (p / (1 - p)))
-    ranked = sizes.join(known, same).select("doc_id", "source", "size", "source_size", "target", "whole", odds.alias("odds"))
+    ranked = sizes.join(known, same).select("rid", "doc_id", "source", "size", "source_size", "target", "whole", odds.alias("odds"))
     # the rank's class; without a rank none
     ranked = cut(ranked.withColumn("bin", F.floor(F.col("odds") / (F.col("odds") + 1) * BINS)))
 
+    # the last class that fits, and the one with the cut; at most BINS classes a source
     up_to = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = ranked.where("bin IS NOT NULL").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
-    bins = bins.select("*", F.sum("words").over(up_to).alias("reached"), F.sum("rows").over(up_to).alias("passed"))
+    bins = ranked.where("bin IS NOT NULL").groupBy("source", "bin").agg(F.sum("size").alias("words"))
+    bins = bins.select("*", F.sum("words").over(up_to).alias("reached"))
     fits = F.col("reached") <= F.col("due")
     ends = due.join(bins, F.col("due_source").eqNullSafe(F.col("source")), "left").groupBy("due_source", "due").agg(
         F.coalesce(F.max(F.when(fits, F.col("bin"))), F.lit(-1)).alias("last"),
         F.coalesce(F.max(F.when(fits, F.col("reached"))), F.lit(0)).alias("reached"),
-        F.sort_array(F.collect_list(F.when(~fits, F.struct("bin", "passed")))).alias("later"),
-    )
-    # the class with the cut, and as many after it as hold FILL more documents; at most BINS classes a source
-    first = F.element_at("later", 1)["passed"]
-    enough = F.filter("later", lambda x: x["passed"] >= first + FILL)
-    until = F.when(F.size(enough) > 0, F.element_at(enough, 1)["bin"]).otherwise(F.lit(BINS + 1))
-    ends = cut(
-        ends.select(
-            "due_source",
-            (F.col("due") - F.col("reached")).alias("gap"),
-            "last",
-            F.when(F.size("later") > 0, until).otherwise(F.lit(-1)).cast("long").alias("until"),
-        )
-    )
-    placed = ranked.join(ends, F.col("source").eqNullSafe(F.col("due_source"))).drop("due_source")
-    at_cut = F.coalesce((F.col("bin") > F.col("last")) & (F.col("bin") <= F.col("until")), F.lit(False))
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "extra"]
-    clear = placed.where(~at_cut).withColumn("extra", F.coalesce(F.col("bin") <= F.col("last"), F.lit(False)).cast("long"))
-
-    order = Window.partitionBy("source").orderBy("odds", "doc_id", "size")
-    near = placed.where(at_cut).withColumn("place", F.row_number().over(order))
-    near = cut(near.withColumn("sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))))
-    near = near.withColumn("fits", F.col("sum") <= F.col("gap"))
-    behind = Window.partitionBy("source", "fits").orderBy("place")
-    tail = near.withColumn("behind", F.row_number().over(behind)).where(~F.col("fits") & (F.col("behind") <= FILL))
-    taken = near.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("reached"), F.max("gap").alias("gap"))
-    listed = tail.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("place", "size"))).alias("next"))
-    filled = listed.join(taken.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    none = F.array().cast("array<int>")
-    state = F.aggregate(
-        "next",
-        F.struct((F.col("gap") - F.col("reached")).alias("left"), none.alias("picked")),
-        lambda a, x: F.when(
-            x["size"] <= a["left"], F.struct((a["left"] - x["size"]).alias("left"), F.array_append(a["picked"], x["place"]).alias("picked"))
-        ).otherwise(a),
+        F.min(F.when(~fits, F.col("bin"))).alias("next"),
     )
-    filled = filled.select("source", "next", state.alias("state"))
-    rest = F.filter("next", lambda x: ~F.array_contains(F.col("state.picked"), x["place"]))
-    least = F.array_min(F.transform(rest, lambda x: F.struct(x["size"].alias("size"), x["place"].alias("place"))))
-    nearer = F.coalesce(least["size"] < 2 * F.col("state.left"), F.lit(False))
-    picked = F.when(nearer, F.array_append(F.col("state.picked"), least["place"])).otherwise(F.col("state.picked"))
-    chosen = filled.select(F.col("source").alias("of"), F.explode(picked).alias("of_place"))
-    match = F.col("source").eqNullSafe(F.col("of")) & (F.col("place") == F.col("of_place"))
-    near = near.join(chosen, match, "left").withColumn("extra", (F.col("fits") | F.col("of_place").isNotNull()).cast("long"))
-
-    rows = clear.select(*columns).unionByName(near.select(*columns)).withColumn("copies", F.col("whole") + F.col("extra"))
+    ends = cut(ends.select("due_source", (F.col("due") - F.col("reached")).alias("gap"), "last", "next"))
+    placed = ranked.where("bin IS NOT NULL").join(ends, F.col("source").eqNullSafe(F.col("due_source"))).drop("due_source")
+    inside = Window.partitionBy("source").orderBy("odds", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)
+    at_cut = cut(placed.where("bin = next").withColumn("sum", F.sum("size").over(inside)))
+    taken = at_cut.where(F.col("sum") <= F.col("gap")).groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("more"))
+    columns = ["rid", "doc_id", "source", "size", "odds", "gap"]
+    before = placed.where("bin <= last").select(*columns).unionByName(at_cut.where(F.col("sum") <= F.col("gap")).select(*columns))
+    behind = at_cut.where(F.col("sum") > F.col("gap")).select(*columns).unionByName(placed.where("bin > next").select(*columns))
+    alike = Window.partitionBy("source", _length_class(F.col("size")))
+    last = before.withColumn("turn", F.row_number().over(alike.orderBy(F.desc("odds"), F.desc("doc_id"), F.desc("size"), F.desc("rid"))))
+    first = behind.withColumn("turn", F.row_number().over(alike.orderBy("odds", "doc_id", "size", "rid")))
+    beside = last.where(F.col("turn") <= NEXT).withColumn("change", F.lit(-1)).unionByName(first.where(F.col("turn") <= NEXT).withColumn("change", F.lit(1)))
+    beside = beside.join(taken, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("gap", F.col("gap") - F.coalesce("more", F.lit(0)))
+    changes = cut(_evened(beside))
+
+    cut_in = at_cut.where(F.col("sum") <= F.col("gap")).select(F.col("rid").alias("changed"), F.lit(1).alias("change"))
+    changes = changes.unionByName(cut_in).groupBy("changed").agg(F.sum("change").alias("change"))
+    ends = ends.select(F.col("due_source").alias("end_source"), "last")
+    rows = ranked.join(ends, F.col("source").eqNullSafe(F.col("end_source"))).join(changes, F.col("rid") == F.col("changed"), "left")
+    extra = F.coalesce(F.col("bin") <= F.col("last"), F.lit(False)).cast("long") + F.coalesce("change", F.lit(0))
+    rows = rows.withColumn("copies", F.col("whole") + extra)
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def repeat_documents(docs: DataFrame, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The rows of `docs`, with their own columns, as often as `mix` takes them. Rows that share a doc_id share the
     largest number of copies of any of them."""
-    copies = mix(docs, most, seed).where("copies > 0").groupBy(F.col("doc_id").alias("__mixed_id")).agg(F.max("copies").alias("__copies"))
-    times = F.sequence(F.lit(1), F.col("__copies").cast("int"))
-    rows = docs.alias("d").join(cut(copies), F.col("d.doc_id").eqNullSafe(F.col("__mixed_id")))
-    return rows.select(*[f"d.`{c}`" for c in docs.columns], F.explode(times).alias("__copy")).drop("__copy")
+    copies = cut(mix(docs, most, seed).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies")))
+    copy = unused(docs, "copy")
+    times = F.sequence(F.lit(1), F.col("m.copies").cast("int"))
+    rows = docs.alias("d").join(copies.alias("m"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.mixed_id")))
+    return rows.select(*own_columns(docs, "d"), F.explode(times).alias(copy)).drop(copy)

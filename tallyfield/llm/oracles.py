@@ -6,7 +6,7 @@ import string
 
 from tallyfield.llm.common import SPACE
 from tallyfield.llm.licences import COPYRIGHT, GAPS, LINES, MARKS, NOTICE, RULES, SENTENCES, WORDS
-from tallyfield.llm.mixing import FILL, MOST, SEED
+from tallyfield.llm.mixing import MOST, NEXT, SEED
 from tallyfield.llm.quality import CHAR_LIMIT, CLASSES, COMMON_WORDS, MIN_LIST_WORDS, MIN_WORDS, WORD_LIMIT
 
 OP1 = r"""
@@ -101,15 +101,15 @@ d AS (SELECT source AS ds, max(target) - sum(CAST(floor(e) AS BIGINT) * words) A
 u AS (SELECT s.*, floor(e) AS whole, e - floor(e) AS p, (CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u
   FROM s JOIN c ON c.source IS NOT DISTINCT FROM s.source AND c.k = CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) - 1 END),
 o AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM u),
-r AS (SELECT *, row_number() OVER q AS place, sum(size) OVER (q ROWS UNBOUNDED PRECEDING) AS reached FROM o WHERE odds IS NOT NULL WINDOW q AS (PARTITION BY source ORDER BY odds, doc_id NULLS FIRST, size)),
-x AS (SELECT r.*, reached <= due AS fits, due FROM r JOIN d ON ds IS NOT DISTINCT FROM source),
-y AS (SELECT source AS ys, max(due) - coalesce(sum(CASE WHEN fits THEN size END), 0) AS gap, count(*) FILTER (fits) AS n FROM x GROUP BY 1),
-z AS (SELECT ys, gap, list({{'gap': 0e0, 'picked': CAST([] AS BIGINT[]), 'size': size, 'place': place}} ORDER BY place) AS next FROM x JOIN y ON ys IS NOT DISTINCT FROM source WHERE NOT fits AND place <= n + {FILL} GROUP BY 1, 2),
-g AS (SELECT ys, next, list_reduce(next, lambda a, b: CASE WHEN b.size <= a.gap THEN {{'gap': a.gap - b.size, 'picked': list_append(a.picked, b.place), 'size': a.size, 'place': a.place}} ELSE a END,
-  {{'gap': gap, 'picked': CAST([] AS BIGINT[]), 'size': CAST(0 AS BIGINT), 'place': CAST(0 AS BIGINT)}}) AS a FROM z),
-h AS (SELECT ys, a, list_min(list_transform(list_filter(next, lambda b: NOT list_contains(a.picked, b.place)), lambda b: {{'size': b.size, 'place': b.place}})) AS least_ FROM g),
-v AS (SELECT ys, unnest(CASE WHEN coalesce(least_.size < 2 * a.gap, false) THEN list_append(a.picked, least_.place) ELSE a.picked END) AS place FROM h),
-e AS (SELECT rid FROM x WHERE fits UNION SELECT rid FROM x JOIN v ON ys IS NOT DISTINCT FROM source AND v.place = x.place)
+r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id NULLS FIRST, size, rid ROWS UNBOUNDED PRECEDING) AS reached FROM o WHERE odds IS NOT NULL),
+x AS (SELECT r.*, CASE WHEN reached <= due THEN -1 ELSE 1 END AS change, due, CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) - 1 END AS k FROM r JOIN d ON ds IS NOT DISTINCT FROM source),
+y AS (SELECT *, due - coalesce(sum(CASE WHEN change < 0 THEN size END) OVER (PARTITION BY source), 0) AS gap,
+  row_number() OVER (PARTITION BY source, k, change ORDER BY -change * odds DESC, -change * doc_id DESC NULLS LAST, -change * size DESC, -change * rid DESC) AS turn FROM x),
+z AS (SELECT source AS zs, gap, list({{'gap': 0e0, 'picked': CAST([] AS BIGINT[]), 'step': CAST(change * size AS BIGINT), 'rid': rid}} ORDER BY k DESC, change DESC, turn) AS next FROM y WHERE turn <= {NEXT} GROUP BY 1, 2),
+g AS (SELECT list_reduce(next, lambda a, b: CASE WHEN abs(a.gap - b.step) < abs(a.gap) THEN {{'gap': a.gap - b.step, 'picked': list_append(a.picked, b.rid), 'step': a.step, 'rid': a.rid}} ELSE a END,
+  {{'gap': gap, 'picked': CAST([] AS BIGINT[]), 'step': CAST(0 AS BIGINT), 'rid': CAST(0 AS BIGINT)}}) AS a FROM z),
+v AS (SELECT unnest(a.picked) AS rid FROM g),
+e AS (SELECT rid FROM x WHERE (change < 0) <> (rid IN (SELECT rid FROM v)))
 SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN rid IN (SELECT rid FROM e) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM o JOIN t ON t.source IS NOT DISTINCT FROM o.source
 """
 
