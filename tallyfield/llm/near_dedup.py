@@ -46,7 +46,7 @@ BANDS = SLOTS // ROWS
 LINK = 100, 75
 LEAST = 0.6
 #: Elements of a batch of documents, or of a slice of one; elements and classes of a block; guests of a family.
-BATCH, BLOCK, MEMBERS, HUBS = 200_000, 2_000_000, 200, 4
+BATCH, BLOCK, MEMBERS, HUBS = 200_000, 2_000_000, 128, 4
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
