@@ -613,7 +613,7 @@ def brute_templates(rows, bad_of):
             groups = []
             for _, seg, m, b in sorted(tested):
                 if groups:
-                    m0, b0 = groups[-1][-1][1:]
+                    m0, b0 = (sum(x[i] for x in groups[-1]) for i in (1, 2))
                     share = (b + b0) / (m + m0)
                 if groups and not abs(b / m - b0 / m0) > urls.MOST_Z * (share * (1 - share) * (1 / m + 1 / m0)) ** 0.5:
                     groups[-1].append((seg, m, b))
@@ -631,6 +631,20 @@ def brute_templates(rows, bad_of):
     return {k: (prefix[r], "block" if share[r[0], prefix[r]] >= urls.REJECT else "allow") for k, r in places.items()}
 
 
+def test_url_branches_are_compared_with_all_of_a_branch(spark):
+    """Small steps from a clean to a bad child, none of which tells neighbours apart."""
+    rows, bad_of = [], {}
+    for step in range(11):
+        for i in range(40):
+            rows.append((len(rows), f"http://h.test/{'abcdefghijk'[step]}kind/x"))
+            bad_of[len(rows) - 1] = i < 4 * step
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    got = urls.judge_urls(pages, spark.createDataFrame(list(bad_of.items()), "page_id bigint, bad boolean"), rules=[])
+    found = {x.page_id: (x.template, x.verdict) for x in got.collect()}
+    assert found == brute_templates(rows, bad_of)
+    assert found[0][1] == "allow" and found[len(rows) - 1][1] == "block" and len({t for t, _ in found.values()}) > 2
+
+
 def test_url_templates_against_brute_force(spark):
     r = random.Random(6)
     rows, bad_of = [], {}
@@ -638,7 +652,8 @@ def test_url_templates_against_brute_force(spark):
         host = r.choice(["one.test", "two.test", "Three.test"])
         first = r.choice(["en", "fr", "shop", "tag", "w" + "abcdefghijklmnopqrstuvwxyz"[r.randrange(26)] + "q"])
         second = r.choice([str(r.randrange(9999)), f"item{r.randrange(3)}", "deadbeef01", f"{r.randrange(99)}.html", ""])
-        rows.append((i, f"http://{host}/{first}/{second}{r.choice(['', '?a=1', '#t', '/x'])}"))
+        deep = r.choice(["", "", "/x", "/a" * r.randrange(4), "/a/b/c/d/e/f/g/h/i/j/k/l/m/n/" + r.choice("op"), "/" + "long" * 500])
+        rows.append((i, f"http://{host}/{first}/{second}{deep}{r.choice(['', '?a=1', '#t'])}"))
         if r.random() < 0.6:
             bad_of[i] = r.random() < {"en": 0.1, "fr": 0.15, "shop": 0.9}.get(first, 0.5)
     pages = spark.createDataFrame(rows, "page_id bigint, url string")
