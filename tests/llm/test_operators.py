@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -298,22 +299,55 @@ def test_keys_go_to_partitions_of_their_own(spark):
 def test_deobfuscation(spark):
     model = toxicity.CharModel(toxicity.trigram_counts(table(spark, "/root/testdata/sf0.01", "documents")))
     for seen, word in {"1d10t": "idiot", "m.o.r.o.n": "moron", "l0s3r": "loser", "tr4sh": "trash", "cl0wnnnn": "clown", "stupid$$$": "stupid", "the!!": "the", "words": "words"}.items():
-        assert toxicity.restore(seen, model) == word
-    assert "scum" in set(toxicity.spaced_words("what s c u m here", model))
+        assert toxicity.restore(toxicity.core_of(seen), model) == word
+    found = [toxicity.hidden_words(r, {"scum": 0.9}) for r in toxicity.spaced_runs("what s c u m here and " + "x y z w " * 30 + "s c u m", model)]
+    assert found and all(f == {"scum"} for f in found)
     assert toxicity.restore("4532-1111", model) == ""
 
 
+def test_overlong_words_are_decoded(spark):
+    model = toxicity.CharModel(toxicity.trigram_counts(spark.createDataFrame([("you idiot " * 90,)], "text string")))
+    for token in ("1" * 50 + "d" * 50 + "1" * 30 + "0" * 30 + "t" * 40, "id" + "-" * 60 + "iot", "i" + "_-" * 40 + "diot", ".".join("idiot" * 30)):
+        words, runs = toxicity.words_in(token, model)
+        assert "idiot" in {w for w, _ in words} or any(toxicity.hidden_words(r, {"idiot": 0.9}) for r in runs), token
+    assert toxicity.decode("x" + "ab" * 20_000, model).startswith("xab")
+
+
+def test_viterbi_against_all_paths():
+    r = random.Random(9)
+    counts = np.array([r.randrange(50) for _ in range(27**3)])
+    model = toxicity.CharModel(counts)
+
+    def paths(token, i, a, b, spent, made):
+        if i == len(token):
+            yield spent + model.cost[a][b][toxicity.EDGE], made
+            return
+        x = token[i]
+        stands = ([(x, 0.0)] if x in toxicity.LETTERS else []) + [(c, toxicity.V_FOR_U if x == "v" else toxicity.SWAP) for c in toxicity.STANDS_FOR.get(x, "")]
+        for c, channel in stands:
+            k = ord(c) - 97
+            yield from paths(token, i + 1, b, k, spent + channel + model.cost[a][b][k], made + c)
+        again = i > 0 and token[i - 1] == x
+        triple = again and (token[i + 1 : i + 2] == x or i > 1 and token[i - 2] == x)
+        if x in toxicity.SEPARATORS or not stands:
+            yield from paths(token, i + 1, a, b, spent + (toxicity.DROP_SIGN if stands else toxicity.DROP), made)
+        elif again and made:
+            yield from paths(token, i + 1, a, b, spent + (toxicity.DROP if triple else toxicity.UNDOUBLE) + 1.0, made)
+
+    for _ in range(300):
+        token = "".join(r.choice("abiotv1!0@$.-_é") * r.choice([1, 1, 1, 2, 3]) for _ in range(r.randrange(1, 6)))
+        best = min(paths(token, 0, toxicity.EDGE, toxicity.EDGE, 0.0, ""))
+        assert toxicity.decode(token, model) == best[1], token
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
     got = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id").collect()
-    scores = sorted((r.score, r.toxic) for r in got)
-    pairs = hits = seen = 0
-    for s, t in scores:
-        seen += not t
-        pairs += (not t) * 0
-        hits += seen * t
-    positive = sum(t for _, t in scores)
-    assert hits / (positive * (len(scores) - positive)) > 0.8
+    scores = [(r.score, r.toxic) for r in got]
+    clean = sorted(s for s, t in scores if not t)
+    wins = [(bisect.bisect_left(clean, s) + bisect.bisect_right(clean, s)) / 2 for s, t in scores if t]
+    positive = len(wins)
+    assert sum(wins) / (positive * len(clean)) > 0.8
     flagged = [t for s, t in scores if s >= toxicity.THRESHOLD]
     assert sum(flagged) > 0.9 * len(flagged) and sum(flagged) > 0.6 * positive
 
@@ -322,6 +356,10 @@ def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (None, 1, 1), (3, 1, None)], "doc_id bigint, quality int, toxic int")
     got = toxicity.toxicity(docs_of(spark, ODD), labels).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
+    many = [(i % 40, f"you are a {'scum' if i % 2 else 'friend'} number{i % 7}", "s") for i in range(400)]
+    labels40 = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    again = [sorted(rows_of(toxicity.toxicity(docs_of(spark, x), labels40)), key=str) for x in (many, many[::-1])]
+    assert again[0] == again[1]
     assert toxicity.toxicity(docs_of(spark, []), labels.limit(0)).count() == 0
 
 
