@@ -3,10 +3,11 @@
 Each index owns the digests of one hash partition. A cuckoo filter (two candidate buckets of four 16-bit fingerprints)
 answers most probes for new digests without a look at the stored keys; a hit is verified against the bucketed content,
 which holds the whole SHA-256 digests. When an insertion evicts too often the filter is rebuilt at twice the size from
-the stored keys. Removal takes the fingerprint out when the last live copy of a digest goes.
+the stored keys. An update deletes the digests of which a copy goes, and inserts again what is still live of them.
 
 Defined results: null texts count as empty texts; rows that repeat a doc_id and a text are counted each and share one
-decision; null doc_ids rank below all others; an empty table gives no rows; other columns are ignored.
+decision, and `drop_copies` leaves one of them, the one of least hash; null doc_ids rank below all others; an empty table
+gives no rows; other columns are ignored by `exact_dedup` and kept by `drop_copies`.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import without
+from tallyfield.llm.common import cut, text_mark, unused, without
 
 SLOTS = 4
 KICKS = 200
@@ -97,15 +98,12 @@ class LiveDigests:
             entry[0] = doc_id
         entry[1] += rows
 
-    def delete(self, digest: bytes, rows: int) -> bool:
-        """Takes away copies of a digest, and the digest with the last; False if it isn't live."""
-        entry = self.get(digest)
-        if entry is None:
+    def delete(self, digest: bytes) -> bool:
+        """Takes a digest away; False if it isn't live."""
+        if self.get(digest) is None:
             return False
-        entry[1] -= rows
-        if entry[1] <= 0:
-            del self.content[digest[31]][digest]
-            self.filter.discard(digest)
+        del self.content[digest[31]][digest]
+        self.filter.discard(digest)
         return True
 
     def _resize(self) -> None:
@@ -139,56 +137,66 @@ def _batches(index: LiveDigests) -> Iterator[pa.RecordBatch]:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (digest, keep_id, group_size): positive sizes are inserted, negative ones deleted."""
+    """Rows (digest, keep_id, group_size) are inserted; a size of 0 deletes the digest."""
     index = LiveDigests()
     for batch in batches:
         for digest, doc_id, rows in zip(*(c.to_pylist() for c in batch.columns)):
             if rows > 0:
                 index.insert(digest, doc_id, rows)
             else:
-                index.delete(digest, -rows)
+                index.delete(digest)
     yield from _batches(index)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest) of every row."""
+    """(doc_id, mark, digest) of every row."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        text_mark(F.col("text")).alias("mark"),
         F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"),
     )
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """(digest, keep_id, group_size) of the rows (doc_id, digest) of each task."""
+    return rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).mapInArrow(_index, GROUPS)
+
+
 def build_index(docs: DataFrame) -> DataFrame:
     """(digest, keep_id, group_size) of every live digest.
 
     Each task first merges the rows it reads in an index of its own, so a text that a third of all rows share sends one
     row per task to the index that owns its digest.
     """
-    rows = digests(docs).select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    return rows.mapInArrow(_index, GROUPS).repartition("digest").mapInArrow(_index, GROUPS)
+    return _merged(digests(docs)).repartition("digest").mapInArrow(_index, GROUPS)
 
 
-def update_index(index: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
-    """`index` after the rows of `inserted` came and those of `deleted` (doc_id, text) went.
+def update_index(index: DataFrame, inserted: DataFrame, deleted: DataFrame, live: DataFrame) -> DataFrame:
+    """`index` after the rows of `inserted` came and those of `deleted` (doc_id, text) went; `live` has the documents as
+    they are then.
 
-    Deleting copies lowers group_size; keep_id stays the largest doc_id that was ever live with the digest.
+    A digest of which a copy went is deleted and inserted again with its live copies, so keep_id always names a live
+    document; rows of `deleted` that never were change nothing.
     """
-    gone = digests(deleted).groupBy("digest").agg((-F.count("*")).alias("group_size"))
+    touched = cut(digests(deleted).select("digest").distinct())
+    left = _merged(digests(live).join(touched, "digest", "left_semi"))
+    came = _merged(digests(inserted).join(touched, "digest", "left_anti"))
     steps = (
-        index.select("digest", "keep_id", "group_size")
-        .unionByName(build_index(inserted))
-        .unionByName(gone.select("digest", F.lit(None).cast("long").alias("keep_id"), "group_size"))
+        index.select("digest", "keep_id", "group_size", F.lit(0).alias("step"))
+        .unionByName(touched.select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(1).alias("step")))
+        .unionByName(left.unionByName(came).withColumn("step", F.lit(2)))
     )
-    sign = F.signum("group_size")
-    return steps.repartition("digest").sortWithinPartitions(sign.desc(), "digest").mapInArrow(_index, GROUPS)
+    return steps.repartition("digest").sortWithinPartitions("step", "digest").drop("step").mapInArrow(_index, GROUPS)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row; of equal texts the largest doc_id is kept."""
+    """doc_id, mark (of the text), keep_id, group_size, kept, text_sha256 of every row; of equal texts the largest doc_id is
+    kept."""
     groups = build_index(docs)
     rows = digests(docs).join(groups, "digest")
     return rows.select(
         "doc_id",
+        "mark",
         "keep_id",
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -197,5 +205,18 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that `exact_dedup` keeps, with their own columns."""
-    return without(docs, exact_dedup(docs).where(~F.col("kept")))
+    """The rows of `docs` that `exact_dedup` keeps, with their own columns, and of rows that repeat a doc_id and a text
+    one."""
+    judged = exact_dedup(docs)
+    kept = without(docs, judged.where(~F.col("kept")))
+    repeated = judged.where("kept").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "mark")
+    repeated = cut(repeated)
+    if repeated.isEmpty():
+        return kept
+    id_, mark, place = (unused(docs, x) for x in ("own_id", "own_mark", "own_place"))
+    marked = kept.withColumns({id_: F.col("doc_id").cast("long"), mark: text_mark(F.col("text"))})
+    same = marked[id_].eqNullSafe(repeated["doc_id"]) & (marked[mark] == repeated["mark"])
+    plain = [f"`{c.replace('`', '``')}`" for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    several = Window.partitionBy(id_, mark).orderBy(F.xxhash64(*plain))
+    first = marked.join(repeated, same, "left_semi").withColumn(place, F.row_number().over(several)).where(F.col(place) == 1).drop(place)
+    return marked.join(repeated, same, "left_anti").unionByName(first).drop(id_, mark)

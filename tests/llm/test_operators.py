@@ -27,7 +27,7 @@ ODD = [(1, None, None), (2, "", "s"), (3, "one two", "s"), (3, "one two", "s"),
 def docs_of(spark, rows):
     """Documents with columns whose names the operators use inside."""
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, source string, lang string")
-    extra = ("kept", "digest", "size", "hits", "node", "copies", "gone_id", "band", "class_id", "target", "words", "key")
+    extra = ("kept", "digest", "size", "hits", "node", "copies", "gone_id", "gone_mark", "mixed_id", "copy", "mark", "rid", "band", "class_id", "target", "words", "key", "odd `name`", "a.b")
     return df.select("*", *[F.lit(7).alias(c) for c in extra])
 
 
@@ -507,7 +507,7 @@ def test_components(spark):
 
 def test_exact_copies(spark):
     rows = [*ODD, (9, "one two", "s"), (8, "One two", "s"), (7, "one two ", "s")]
-    got = sorted(rows_of(exact_dedup.exact_dedup(docs_of(spark, rows))), key=str)
+    got = sorted(rows_of(exact_dedup.exact_dedup(docs_of(spark, rows)).drop("mark")), key=str)
     groups = defaultdict(list)
     for k, t, _ in rows:
         groups[t or ""].append(k)
@@ -521,11 +521,33 @@ def test_exact_copies(spark):
 
 
 def test_index_inserts_and_deletes(spark):
-    old = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id bigint, text string")
-    index = exact_dedup.build_index(old)
-    now = exact_dedup.update_index(index, spark.createDataFrame([(4, "c"), (5, "a")], "doc_id bigint, text string"), spark.createDataFrame([(3, "b"), (1, "a"), (9, "never")], "doc_id bigint, text string"))
-    digest = lambda t: hashlib.sha256(t.encode()).digest()
-    assert {bytes(r.digest): (r.keep_id, r.group_size) for r in now.collect()} == {digest("a"): (5, 2), digest("c"): (4, 1)}
+    def frame(rows):
+        return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def state(index):
+        return {bytes(r.digest): (r.keep_id, r.group_size) for r in index.collect()}
+
+    before = [(1, "a"), (2, "a"), (3, "b"), (None, "c"), (7, "c"), (8, "d"), (8, "d"), (None, "e")]
+    came, went = [(4, "x"), (5, "b"), (9, "y"), (6, "a")], [(2, "a"), (7, "c"), (8, "d"), (3, "b"), (99, "never"), (98, "b"), (None, "e"), (9, "y")]
+    after = Counter(before + came) - Counter(went)
+    index = exact_dedup.build_index(frame(before))
+    live = frame(list(after.elements()))
+    now = exact_dedup.update_index(index, frame(came), frame(went), live)
+    assert state(now) == state(exact_dedup.build_index(live))
+    sha = lambda t: hashlib.sha256(t.encode()).digest()
+    assert state(now) == {sha("a"): (6, 2), sha("b"): (5, 1), sha("c"): (None, 1), sha("d"): (8, 1), sha("x"): (4, 1)}
+    again = exact_dedup.update_index(now, frame([]), frame([(6, "a"), (1, "a")]), live.where("text <> 'a'"))
+    assert sha("a") not in state(again) and len(state(again)) == 4
+
+
+def test_dropping_copies_leaves_one_of_each_text(spark):
+    rows = [(1, "a", "s"), (2, "a", "s"), (2, "a", "t"), (3, "b", "s"), (None, "b", "s"), (None, "c", "s"), (None, "c", "u"), (None, "d", "s"), (5, None, "s"), (4, "", "s"), (5, "e", "s")]
+    docs = docs_of(spark, rows).withColumnRenamed("band", "own_id")
+    for order in (docs, docs.repartition(3)):
+        kept = exact_dedup.drop_copies(order)
+        assert kept.columns == docs.columns
+        got = sorted((r.text or "", r.doc_id or 0) for r in kept.collect())
+        assert got == [("", 5), ("a", 2), ("b", 3), ("c", 0), ("d", 0), ("e", 5)]
 
 
 def test_cuckoo_filter_resizes_and_forgets():
@@ -534,7 +556,7 @@ def test_cuckoo_filter_resizes_and_forgets():
     for i, d in enumerate(digests):
         index.insert(d, i, 1)
     assert index.resized and all(index.get(d) == [i, 1] for i, d in enumerate(digests))
-    assert all(index.delete(d, 1) for d in digests[:1500]) and not index.delete(digests[0], 1)
+    assert all(index.delete(d) for d in digests[:1500]) and not index.delete(digests[0])
     assert all(index.get(d) is None for d in digests[:1500]) and all(index.get(d) for d in digests[1500:])
 
 
