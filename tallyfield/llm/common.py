@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.package import ship
 
-__all__ = ["SPACE", "WORD", "cut", "own_columns", "partitions", "shared_folder", "ship", "spread_keys", "table", "text_mark", "unused", "without", "word_count", "words"]
+__all__ = ["SPACE", "WORD", "cut", "own_columns", "partitions", "shared_folder", "ship", "table", "text_mark", "unused", "without", "word_count", "words"]
 
 #: White space that separates words: space and U+0009 to U+000D.
 SPACE = "\\x20\\x09-\\x0D"
@@ -72,21 +71,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_keys(n: int) -> list[int]:
-    """`n` numbers that repartition(n, column of int) deals to `n` different partitions: Spark takes the Murmur3 hash
-    with seed 42 modulo n."""
-    k = np.arange(max(64, 32 * n), dtype=np.uint32)
-    with np.errstate(over="ignore"):
-        turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
-        h = np.uint32(42) ^ (turn(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
-        h = (turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
-        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-        h = h ^ (h >> np.uint32(16))
-    found = np.unique(h.view(np.int32) % n, return_index=True)[1].tolist()
-    return found + list(range(len(k), len(k) + n - len(found)))
-
-
 def words(text: Column) -> Column:
     """The words of a text (null: none) as an array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")

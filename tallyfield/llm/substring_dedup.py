@@ -2,205 +2,200 @@
 
 A window is WINDOW consecutive words. Any two documents that share one share a block of BLOCK words that lies on the
 grid of the first of them, since every WINDOW words hold a whole block of the grid. So the non-overlapping blocks of
-every document are the index, and all rolling runs of BLOCK words of every document probe it: both go, as packed sorted
-hash sets per chunk of documents, to the task that owns their range of hashes. A run found in two documents or more, and
-on the grid in at least one, is an anchor.
+every document are the index, and all rolling runs of BLOCK words of every document probe it. A run found in two
+documents or more, and on the grid in at least one, is an anchor.
 
-Hits are extended to maximal exact repeats: every window that holds an anchor is compared, as one hash, with the windows
-of the other documents that do; it goes if it also starts in a document with a smaller doc_id, and the windows that go
-one after another make up the maximal repeat. A group of any size costs its members only, never its pairs. Anchors are
-told by 64-bit hashes cut to 40 bits, which only adds windows to compare; windows are told by 64-bit hashes.
+Hits are extended to maximal exact repeats: every window that holds an anchor is compared with the windows of the other
+documents that do; it goes if it also starts in a document with a smaller doc_id, and the windows that go one after
+another make up the maximal repeat.
+
+Documents are dealt into chunks of about CHUNK_CHARS characters by their doc_id, and both comparisons are between chunks:
+a chunk sends each of its distinct hashes once, whatever the number of its documents that have it, to the task that owns
+the hash's range, and gets back what holds for it. There are as many ranges as chunks, so a task's memory is that of one
+chunk or one range, and a passage that a third of all documents share costs an entry for each chunk. Anchors are told by
+64-bit hashes cut to 40 bits, which only adds windows to compare; windows are told by two independent 64-bit hashes of
+their words.
 
 Defined results: null texts have no words; documents of fewer than WINDOW words stay whole; rows with a null doc_id stay
 whole and remove nothing; rows that repeat a doc_id are one document and never remove each other's words; an empty table
-gives no rows; other columns are ignored.
+gives no rows; very long texts are whole, in one chunk; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import partitions, spread_keys
+from tallyfield.llm.common import text_mark
 from tallyfield.llm.word_hashes import WordHashes, by_range, pack, rolling, unpack
 
 WINDOW = 50
 BLOCK = 25
-#: Words of a chunk of documents; low bits that an anchor's hash loses.
-CHUNK_WORDS = 1_500_000
+#: Characters of a chunk of documents on average; low bits that an anchor's hash loses; seed of the second hash.
+CHUNK_CHARS = 4_000_000
 ANCHOR_BITS = np.uint64(24)
+SECOND = 1
 
-BLOBS = "part int, blob binary"
-_BLOBS = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
-HITS = "hit_id bigint, hits binary"
-_HITS = pa.schema([("hit_id", pa.int64()), ("hits", pa.binary())])
+SENT = "part bigint, chunk bigint, blob binary"
+_SENT = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("blob", pa.binary())])
+FOUND = "chunk bigint, blob binary"
+_FOUND = pa.schema([("chunk", pa.int64()), ("blob", pa.binary())])
+_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 
 
-def _blobs(hashes: list[np.ndarray], docs: list[np.ndarray], flags: list[np.ndarray], parts: list[int]) -> Iterator[pa.RecordBatch]:
-    """One row for each range of hashes; a hash that a document has several times counts once."""
-    if not hashes:
-        return
-    h, d, f = np.concatenate(hashes), np.concatenate(docs), np.concatenate(flags)
-    order = np.lexsort((d, h))
-    h, d, f = h[order], d[order], f[order]
-    first = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
-    f = np.logical_or.reduceat(f, np.flatnonzero(first))
-    h, d = h[first], d[first]
-    rows = [(parts[k], pack(h[s], d[s], f[s])) for k, s in by_range(h, len(parts))]
-    yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), _BLOBS)], schema=_BLOBS)
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
 
 
-def _anchors(parts: list[int]) -> Callable:
-    """All runs of BLOCK words of every document, flagged where they lie on its grid."""
+def _texts(table: pa.Table) -> list[tuple[int | None, bytes]]:
+    return [(k, t.as_buffer().to_pybytes()) for k, t in zip(table.column("doc_id").to_pylist(), table.column("text"))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        held: tuple[list, list, list] = ([], [], [])
-        size = 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = text.as_py().encode("utf-8", "surrogatepass").split()
-                if len(words) < WINDOW or doc_id is None:
-                    continue
-                h = rolling(known.array(words), BLOCK) >> ANCHOR_BITS << ANCHOR_BITS
-                held[0].append(h)
-                held[1].append(np.full(len(h), doc_id))
-                held[2].append(np.arange(len(h)) % BLOCK == 0)
-                size += len(h)
-                if size >= CHUNK_WORDS:
-                    yield from _blobs(*held, parts)
-                    held, size = ([], [], []), 0
-        yield from _blobs(*held, parts)
 
-    return run
+def _anchors(known: WordHashes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's words and, of texts that have a window, of its runs of BLOCK words."""
+    h = known.of_text(text)
+    return h, rolling(h, BLOCK) >> ANCHOR_BITS << ANCHOR_BITS if len(h) >= WINDOW else np.zeros(0, np.uint64)
 
 
-def _windows(parts: list[int]) -> Callable:
-    """The windows that hold an anchor."""
+def _chunk_anchors(ranges: int) -> Callable:
+    """A chunk's distinct runs of BLOCK words: whether several of its documents have one, and whether one lies on a grid."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
         known = WordHashes()
-        held: tuple[list, list, list] = ([], [], [])
-        size = 0
-        for batch in batches:
-            for doc_id, text, hits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                if hits is None:
-                    continue
-                h = known.array(text.as_py().encode("utf-8", "surrogatepass").split())
-                if len(h) < WINDOW:
-                    continue
-                found = np.isin(rolling(h, BLOCK) >> ANCHOR_BITS << ANCHOR_BITS, np.frombuffer(hits, np.uint64))
-                sums = np.concatenate(([0], np.cumsum(found)))
-                starts = np.flatnonzero(sums[WINDOW - BLOCK + 1 :] > sums[: len(h) - WINDOW + 1])
-                held[0].append(rolling(h, WINDOW)[starts])
-                held[1].append(np.full(len(starts), doc_id))
-                held[2].append(np.zeros(len(starts), bool))
-                size += len(starts)
-                if size >= CHUNK_WORDS:
-                    yield from _blobs(*held, parts)
-                    held, size = ([], [], []), 0
-        yield from _blobs(*held, parts)
+        hashes, owners, grid = [], [], []
+        ids: dict[int, int] = {}
+        for doc_id, text in _texts(docs):
+            if doc_id is None:
+                continue
+            _, h = _anchors(known, text)
+            hashes.append(h)
+            owners.append(np.full(len(h), ids.setdefault(doc_id, len(ids)), np.int32))
+            grid.append(np.arange(len(h)) % BLOCK == 0)
+        if not sum(map(len, hashes)):
+            return _SENT.empty_table()
+        h, d, g = np.concatenate(hashes), np.concatenate(owners), np.concatenate(grid)
+        order = np.argsort(h, kind="stable")
+        h, d, g = h[order], d[order], g[order]
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        several = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
+        bits = several.astype(np.uint8) + 2 * np.logical_or.reduceat(g, starts).astype(np.uint8)
+        h = h[starts]
+        return _table([(k, key[0].as_py(), pack(h[s], bits[s])) for k, s in by_range(h, ranges)], _SENT)
 
     return run
 
 
-def shared_anchors(docs: np.ndarray, flags: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Of entries sorted by hash and document: those of a hash that several documents have and a grid has."""
-    several = np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts)
-    return (several & np.logical_or.reduceat(flags, starts))[group]
-
-
-def not_first(docs: np.ndarray, flags: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Of entries sorted by hash and document: those with a smaller document of the same hash."""
-    return docs > np.minimum.reduceat(docs, starts)[group]
-
-
-def _grouped(rule: Callable, parts: list[int]) -> Callable:
-    def reduce(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        entries = [unpack(b) for b in blobs]
-        h, d, f = (np.concatenate(x) for x in zip(*entries))
-        del entries
-        order = np.lexsort((d, h))
-        h, d, f = h[order], d[order], f[order]
-        new = np.concatenate(([True], h[1:] != h[:-1]))
-        kept = rule(d, f, np.flatnonzero(new), np.cumsum(new) - 1)
-        h, d = h[kept], d[kept]
-        if not len(h):
-            return
-        owner = (d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(len(parts))
-        order = np.argsort(owner, kind="stable")
-        h, d, owner = h[order], d[order], owner[order]
-        edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
-        rows = [(parts[owner[a]], pack(h[a:b], d[a:b], np.zeros(b - a, bool))) for a, b in zip(edges[:-1], edges[1:])]
-        yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), _BLOBS)], schema=_BLOBS)
-
-    return _part_by_part(reduce)
-
-
-def _by_document(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    entries = [unpack(b) for b in blobs]
-    h, d = (np.concatenate(x) for x in list(zip(*entries))[:2])
-    order = np.lexsort((h, d))
-    h, d = h[order], d[order]
-    edges = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1], [True])))
-    for k in range(0, len(edges) - 1, 5000):
-        pairs = list(zip(edges[k : k + 5000], edges[k + 1 : k + 5001]))
-        yield pa.record_batch([pa.array(d[[a for a, _ in pairs]]), pa.array([h[a:b].tobytes() for a, b in pairs], pa.binary())], schema=_HITS)
-
-
-def _part_by_part(reduce: Callable[[list[bytes]], Iterator[pa.RecordBatch]]) -> Callable:
-    """Rows sorted by part; memory holds one part at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, blobs = None, []
-        for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if k != part and blobs:
-                    yield from reduce(blobs)
-                    blobs = []
-                part = k
-                blobs.append(blob)
-        if blobs:
-            yield from reduce(blobs)
+def _returned(chunks: list[int], owner: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    """The columns, sorted by the first, of each chunk."""
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else [0]
+    return _table([(chunks[owner[a]], pack(*(c[order[a:b]] for c in columns))) for a, b in zip(edges[:-1], edges[1:])], _FOUND)
+
+
+def _shared_anchors(sent: pa.Table) -> pa.Table:
+    """To each chunk its hashes that several documents have and a grid has."""
+    chunks = sent.column("chunk").to_pylist()
+    parts = [unpack(b, np.uint8) for b in sent.column("blob").to_pylist()]
+    owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    h, bits = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(h, kind="stable")
+    h, bits, owner = h[order], bits[order], owner[order]
+    new = np.concatenate(([True], h[1:] != h[:-1]))
+    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    several = (np.diff(np.concatenate((starts, [len(h)]))) > 1) | (np.maximum.reduceat(bits & 1, starts) > 0)
+    kept = (several & (np.maximum.reduceat(bits & 2, starts) > 0))[group]
+    return _returned(chunks, owner[kept], h[kept])
+
+
+def _chunk_windows(ranges: int) -> Callable:
+    """A chunk's distinct windows that hold an anchor, with the first and the last of its documents that have one."""
+
+    def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
+        blobs = found.column("blob").to_pylist()
+        if not blobs or not len(docs):
+            return _SENT.empty_table()
+        anchors = np.unique(np.concatenate([unpack(b)[0] for b in blobs]))
+        known, second = WordHashes(), WordHashes(SECOND)
+        held: tuple[list, list, list] = ([], [], [])
+        for doc_id, text in _texts(docs):
+            if doc_id is None:
+                continue
+            h, runs = _anchors(known, text)
+            hit = np.isin(runs, anchors)
+            if not hit.any():
+                continue
+            sums = np.concatenate(([0], np.cumsum(hit)))
+            starts = np.flatnonzero(sums[WINDOW - BLOCK + 1 :] > sums[: len(h) - WINDOW + 1])
+            held[0].append(rolling(h, WINDOW)[starts])
+            held[1].append(rolling(second.of_text(text), WINDOW)[starts])
+            held[2].append(np.full(len(starts), doc_id))
+        if not held[0]:
+            return _SENT.empty_table()
+        one, two, d = map(np.concatenate, held)
+        order = np.lexsort((d, two, one))
+        one, two, d = one[order], two[order], d[order]
+        starts = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+        last = d[np.concatenate((starts[1:], [len(d)])) - 1]
+        one, two, first = one[starts], two[starts], d[starts]
+        return _table([(k, key[0].as_py(), pack(one[s], two[s], first[s], last[s])) for k, s in by_range(one, ranges)], _SENT)
 
     return run
 
 
-def matches(blobs: DataFrame, rule: Callable, parts: list[int]) -> DataFrame:
-    """hit_id and the sorted hashes that `rule` picks for it, from packed sets dealt by range of hashes."""
-
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(len(parts), "part").sortWithinPartitions("part")
+def _first_documents(sent: pa.Table) -> pa.Table:
+    """To each chunk its windows that a document before its last one has, with the first of all that have one."""
+    chunks = sent.column("chunk").to_pylist()
+    parts = [unpack(b, np.uint64, np.int64, np.int64) for b in sent.column("blob").to_pylist()]
+    owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    one, two, first, last = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((two, one))
+    one, two, first, last, owner = one[order], two[order], first[order], last[order], owner[order]
+    new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+    first = np.minimum.reduceat(first, np.flatnonzero(new))[np.cumsum(new) - 1]
+    kept = last > first
+    return _returned(chunks, owner[kept], one[kept], two[kept], first[kept])
 
-    picked = dealt(blobs).mapInArrow(_grouped(rule, parts), BLOBS)
-    return dealt(picked).mapInArrow(_part_by_part(_by_document), HITS)
 
-
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
+def _covered(doc_id: int, one: np.ndarray, two: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
+    """Where windows start that a document with a smaller doc_id has, too; `known` has both hashes and that document."""
+    low, high = (np.searchsorted(known[0], one, side=side) for side in ("left", "right"))
+    gone = np.zeros(len(one), bool)
+    while (open_ := low < high).any():
+        at = low[open_]
+        gone[open_] |= (known[1][at] == two[open_]) & (known[2][at] < doc_id)
+        low = low + open_
+    return np.flatnonzero(gone)
 
 
 def _remove(with_text: bool) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            rows = []
-            for doc_id, text, hits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                words = text.as_py().encode("utf-8", "surrogatepass").split()
-                kept = words
-                if hits is not None and len(words) >= WINDOW:
-                    found = np.flatnonzero(np.isin(rolling(known.array(words), WINDOW), np.frombuffer(hits, np.uint64)))
+    def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
+        parts = [unpack(b, np.uint64, np.int64) for b in found.column("blob").to_pylist()]
+        known = None
+        if parts:
+            known = [np.concatenate(x) for x in zip(*parts)]
+            order = np.argsort(known[0], kind="stable")
+            known = [x[order] for x in known]
+        hashes, second = WordHashes(), WordHashes(SECOND)
+        rows = []
+        for doc_id, text in _texts(docs):
+            kept = words = text.split()
+            if known is not None and doc_id is not None and len(words) >= WINDOW:
+                one = rolling(hashes.array(words), WINDOW)
+                if np.isin(one, known[0]).any():
+                    starts = _covered(doc_id, one, rolling(second.array(words), WINDOW), known)
                     change = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(change, found, 1)
-                    np.add.at(change, found + WINDOW, -1)
+                    np.add.at(change, starts, 1)
+                    np.add.at(change, starts + WINDOW, -1)
                     kept = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
-                joined = b" ".join(kept)
-                rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if with_text else None))
-            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * 5, _KEPT)], schema=_KEPT)
+            joined = b" ".join(kept)
+            rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if with_text else None))
+        return _table(rows, _KEPT)
 
     return run
 
@@ -208,13 +203,15 @@ def _remove(with_text: bool) -> Callable:
 def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, text (the kept words, joined by spaces) of every row.
 
-    The documents are dealt by doc_id once; both joins read that one exchange.
+    The documents are dealt by chunk once; all three steps read that one exchange.
     """
-    parts = spread_keys(partitions(docs.sparkSession))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    anchors = matches(rows.mapInArrow(_anchors(parts), BLOBS), shared_anchors, parts)
-    probed = rows.join(anchors, F.col("doc_id") == F.col("hit_id"), "left").select("doc_id", "text", "hits")
-    repeats = matches(probed.mapInArrow(_windows(parts), BLOBS), not_first, parts)
-    judged = rows.join(repeats, F.col("doc_id") == F.col("hit_id"), "left").select("doc_id", "text", "hits")
-    out = judged.mapInArrow(_remove(with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, text string")
+    chunks = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // CHUNK_CHARS))
+    spread = F.when(F.col("doc_id").isNull(), text_mark(F.col("text"))).otherwise(F.xxhash64("doc_id"))
+    rows = rows.withColumn("chunk", F.pmod(spread, F.lit(chunks)))
+    by_chunk = rows.groupBy("chunk")
+    anchors = by_chunk.applyInArrow(_chunk_anchors(chunks), SENT).groupBy("part").applyInArrow(_shared_anchors, FOUND)
+    windows = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(_chunk_windows(chunks), SENT)
+    repeats = windows.groupBy("part").applyInArrow(_first_documents, FOUND)
+    out = by_chunk.cogroup(repeats.groupBy("chunk")).applyInArrow(_remove(with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, text string")
     return out if with_text else out.drop("text")

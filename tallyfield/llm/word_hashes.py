@@ -1,4 +1,4 @@
-"""Hashes of words and of runs of words, as arrays, and packed sets of (hash, document) for shuffles."""
+"""Hashes of words and of runs of words, as arrays, and packed sorted hashes with columns for shuffles."""
 
 from __future__ import annotations
 
@@ -20,10 +20,14 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a bounded number."""
 
+    def __init__(self, seed: int = 0) -> None:
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
 
     def array(self, words: list[bytes]) -> np.ndarray:
@@ -82,24 +86,23 @@ def _undeltas(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def pack(hashes: np.ndarray, docs: np.ndarray, flags: np.ndarray) -> bytes:
-    """Sorted hashes with a doc_id and a flag each."""
-    own, at = np.unique(docs, return_inverse=True)
-    at = at.astype(np.uint32)
-    head = struct.pack("<II", len(hashes), len(own))
-    body = _deltas(hashes) + _deltas(own.view(np.uint64)) + at.view(np.uint8).reshape(-1, 4).T.tobytes() + np.packbits(flags).tobytes()
-    return head + zstandard.ZstdCompressor(level=1).compress(body)
-
-
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m = struct.unpack_from("<II", blob)
-    body = zstandard.ZstdDecompressor().decompress(blob[8:])
-    hashes = _undeltas(body[: 8 * n], n)
-    own = _undeltas(body[8 * n : 8 * (n + m)], m).view(np.int64)
-    planes = np.frombuffer(body, np.uint8, 4 * n, 8 * (n + m)).reshape(4, n)
-    at = np.ascontiguousarray(planes.T).view(np.uint32).ravel()
-    flags = np.unpackbits(np.frombuffer(body, np.uint8, -1, 8 * (n + m) + 4 * n), count=n).astype(bool)
-    return hashes, own[at], flags
+def pack(hashes: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Sorted hashes with columns of numbers."""
+    planes = [c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in map(np.ascontiguousarray, columns)]
+    return struct.pack("<I", len(hashes)) + zstandard.ZstdCompressor(level=1).compress(_deltas(hashes) + b"".join(planes))
+
+
+def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    """The hashes and columns of these kinds."""
+    (n,) = struct.unpack_from("<I", blob)
+    body = zstandard.ZstdDecompressor().decompress(blob[4:])
+    found, at = [_undeltas(body[: 8 * n], n)], 8 * n
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(body, np.uint8, n * size, at).reshape(size, n)
+        found.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * size
+    return found
 
 
 def by_range(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:

@@ -11,12 +11,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from tallyfield.llm import bpe, chat, exact_dedup, licences, mixing, near_dedup, quality, substring_dedup, toxicity, urls, word_hashes
-from tallyfield.llm.common import spread_keys, table
+from tallyfield.llm.common import table
 from tallyfield.llm.queries import QUERIES, VOCABULARY
 
 SMALL = "/root/testdata/sf0.001"
@@ -287,10 +288,30 @@ def test_substrings_against_brute_force(spark):
     assert substring_dedup.substring_dedup(docs_of(spark, [])).count() == 0
 
 
-def test_keys_go_to_partitions_of_their_own(spark):
-    for n in (1, 7, 50):
-        keys = spark.createDataFrame([(k,) for k in spread_keys(n)], "part int").repartition(n, "part")
-        assert keys.select(F.spark_partition_id().alias("p")).distinct().count() == n
+def test_substrings_in_many_chunks_with_hashes_that_collide(spark, monkeypatch):
+    """One hash for all words leaves the telling apart to the other; a passage that all documents share is in all chunks."""
+    passage = prose(70, 80)
+    rows = [(i, " ".join([prose(i, 30), passage, prose(i + 900, 60)]), "s") for i in range(90)]
+    monkeypatch.setattr(substring_dedup, "CHUNK_CHARS", 3000)
+    assert sorted(rows_of(substring_dedup.substring_dedup(docs_of(spark, rows))), key=str) == brute_substrings(rows)
+
+    class Colliding(word_hashes.WordHashes):
+        def __missing__(self, word):
+            return super().__missing__(word if self.seed else b"same")
+
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup, "WordHashes", Colliding)
+        run = [substring_dedup._chunk_anchors(2), substring_dedup._chunk_windows(2), substring_dedup._remove(False)]
+        docs = pa.table({"doc_id": [k for k, *_ in rows[:30]], "text": [t for _, t, *_ in rows[:30]]})
+        key = (pa.scalar(0),)
+        found = [substring_dedup._shared_anchors(t) for t in by_part(run[0](key, docs))]
+        firsts = [substring_dedup._first_documents(t) for t in by_part(run[1](key, docs, pa.concat_tables(found)))]
+        out = run[2](key, docs, pa.concat_tables(firsts)).drop_columns("text")
+    assert sorted((tuple(r.values()) for r in out.to_pylist()), key=str) == brute_substrings(rows[:30])
+
+
+def by_part(sent):
+    return [sent.filter(pa.compute.equal(sent.column("part"), k)) for k in set(sent.column("part").to_pylist())]
 
 
 # --- toxicity
