@@ -42,14 +42,22 @@ def citation_verdict(positive: Column, negative: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
-    """P(X <= k) of n draws at p, by the recurrence of its terms; null without draws."""
-    step = lambda a, i: F.struct(
-        (a["term"] * (n - i + 1) / i * (p / (1 - p))).alias("term"), (a["sum"] + a["term"] * (n - i + 1) / i * (p / (1 - p))).alias("sum")
-    )
-    first = F.pow(1 - p, n)
-    start = F.struct(first.alias("term"), first.alias("sum"))
-    terms = F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
-    total = F.aggregate(terms, start, step, lambda a: a["sum"])
+    """P(X <= k) of n draws at p; null without draws. The terms are summed from the largest of them, found by logarithms,
+    both ways by their ratios, so that neither end underflows."""
+    top = F.least(k, F.floor((n + 1) * p)).cast("int")
+    upto = lambda first, last, step=1: F.when((last - first) * step >= 0, F.sequence(first, last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    one = F.lit(1)
+    ways = F.aggregate(upto(one, top), F.lit(0.0), lambda a, j: a + F.log((n - top + j) / j))
+    largest = F.exp(ways + top * F.log(p) + (n - top) * F.log(1 - p))
+
+    def rest(places: Column, ratio) -> Column:
+        start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
+        step = lambda a, i: F.struct((a["term"] * ratio(i)).alias("term"), (a["sum"] + a["term"] * ratio(i)).alias("sum"))
+        return F.aggregate(places, start, step, lambda a: a["sum"])
+
+    down = rest(upto(top, one, -1), lambda i: i / (n - i + 1) * ((1 - p) / p))
+    up = rest(upto(top + 1, k.cast("int")), lambda i: (n - i + 1) / i * (p / (1 - p)))
+    total = largest * (1 + down + up)
     return F.when(n == 0, None).when(p <= 0, 1.0).when(p >= 1, F.when(k >= n, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), total))
 
 

@@ -79,6 +79,16 @@ def prevalence(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(text.rlike("(?i)" + p), label) for p, label in C.PREVALENCE]))))
 
 
+def prevalence_hits(text: Column) -> Column:
+    """All matches of the statements about how many people, with their labels, pattern by pattern."""
+
+    def found(pattern: str, label: str) -> Column:
+        matches = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?i)({pattern})"), F.lit(0))
+        return F.transform(matches, lambda m: F.struct(F.trim(m).alias("match"), F.lit(label).alias("label")))
+
+    return F.concat(*[found(p, label) for p, label in C.PREVALENCE])
+
+
 def has_bare_digit(text: Column) -> Column:
     """A digit outside the names of platforms."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), C.PLATFORM, "").rlike(r"\d")

@@ -13,7 +13,7 @@ from tallyfield.functions.text import normal_title, unescape
 def html_rows(pages: DataFrame) -> DataFrame:
     """page_id, pos, href, title, outcome of every link of the pages: each is parsed on its own, from one anchor to the
     next, so that titles and addresses never pair across rows."""
-    chunks = pages.select("page_id", F.posexplode(F.slice(F.split("html", "<a "), 2, 1 << 20)).alias("pos", "chunk"))
+    chunks = pages.select("page_id", F.posexplode(F.slice(F.split("html", "<a "), F.lit(2), F.greatest(F.size(F.split("html", "<a ")) - 1, F.lit(0)))).alias("pos", "chunk"))
     href = F.regexp_extract("chunk", 'href="([^"]*)"', 1)
     title = F.trim(unescape(F.regexp_replace(F.regexp_extract("chunk", ">([^<]*)</a>", 1), "<[^>]*>", "")))
     rows = chunks.select("page_id", F.col("pos").cast("long").alias("pos"), href.alias("href"), title.alias("title"))
@@ -71,9 +71,9 @@ def verify_index(ranked: DataFrame, source: DataFrame) -> DataFrame:
         count_where(F.col("reviews") < C.REVIEW_FLOOR).alias("below_floor"),
         count_where((F.col("shard") == "core") != (F.col("reviews") >= C.CORE_FLOOR)).alias("wrong_shard"),
         (F.max("rank") - F.count("*")).alias("rank_gaps"),
-        (-F.count("*")).alias("unaccounted"),
+        (-F.count_distinct("appid")).alias("unaccounted"),
     )
-    before = F.lag("reviews").over(Window.orderBy("rank"))
+    before = F.lag("reviews").over(Window.orderBy("rank", "appid", F.desc("reviews")))
     order = ranked.select((F.col("reviews") > before).alias("bad")).agg(count_where(F.col("bad")).alias("out_of_order"))
     whole = source.agg(count_where(F.col("reviews") >= C.REVIEW_FLOOR).alias("unaccounted"))
     parts = []

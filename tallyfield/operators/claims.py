@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield import config as C
+from tallyfield.functions.broadcasts import small
 from tallyfield.functions.rates import citation_verdict, count_where
 from tallyfield.functions.text import collapse, coverage, fuzzy_hits, prevalence, tokens
 
@@ -49,7 +50,10 @@ def ground(claims: DataFrame, reviews: DataFrame) -> DataFrame:
     """claim_key, union_coverage, supporting, failures and passed of every claim (claim_key, claim, bucket, ids). The
     claims' few ids are exploded and joined; tokens meet only within a claim and the reviews that it cites."""
     rows = claims.select("claim_key", "claim", "bucket", tokens(F.col("claim")).alias("claim_tokens"), F.explode_outer("ids").alias("rid"))
-    corpus = reviews.select(F.col("rid").alias("known"), F.col("bucket").alias("found_bucket"), tokens(F.col("text")).alias("review_tokens"))
+    # only the reviews that are cited are tokenised
+    cited = small(rows.where("rid IS NOT NULL").select(F.col("rid").alias("cited")).distinct())
+    corpus = reviews.join(cited, F.col("rid") == F.col("cited"), "left_semi")
+    corpus = corpus.select(F.col("rid").alias("known"), F.col("bucket").alias("found_bucket"), tokens(F.col("text")).alias("review_tokens"))
     found = rows.join(corpus, F.col("rid") == F.col("known"), "left").withColumn("share", F.round(coverage(F.col("claim_tokens"), F.coalesce("review_tokens", F.array().cast("array<string>"))), 3))
     missing, outside = F.col("rid").isNotNull() & F.col("known").isNull(), F.col("known").isNotNull() & (F.col("found_bucket") != F.col("bucket"))
     sums = found.groupBy("claim_key", "claim", "claim_tokens").agg(
@@ -93,9 +97,12 @@ def merge_similar(claims: DataFrame) -> DataFrame:
     return merged.select("group", F.col("x.seq").alias("seq"), F.col("x.claim").alias("claim"), F.col("x.n_ids").alias("n_ids"))
 
 
-def prompts(reviews: DataFrame) -> DataFrame:
-    """game, bucket, prompt: one line per review in the order of rid, white space collapsed and cut."""
-    says = F.when(F.col("voted_up"), "recommends").when(~F.col("voted_up"), "does not recommend").otherwise("no vote")
-    line = F.concat(F.lit("["), F.col("rid").cast("string"), F.lit("] ("), says, F.lit(") "), F.substring(collapse(F.coalesce("text", F.lit(""))), 1, C.PROMPT_CHARS))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("rid", line.alias("line")))), lambda x: x["line"])
-    return reviews.groupBy("game", "bucket").agg(F.array_join(lines, "\n\n").alias("prompt"))
+def prompts(sample: DataFrame) -> DataFrame:
+    """game, bucket, prompt: a line per review (game, bucket, rid, seq, hours, voted_up, text) in the order of seq, white
+    space collapsed, long ones marked where they are cut. `sample` is a quota sample: a game's rows are of bounded number."""
+    plain = collapse(F.coalesce("text", F.lit("")))
+    shown = F.when(F.length(plain) > C.PROMPT_CHARS, F.concat(F.substring(plain, 1, C.PROMPT_CHARS), F.lit(" ...[truncated]"))).otherwise(plain)
+    says = F.when(F.col("voted_up"), "recommends").otherwise("does not recommend")
+    line = F.concat(F.lit("["), F.col("rid").cast("string"), F.lit("] ("), F.format_string("%.1f", F.coalesce("hours", F.lit(0.0))), F.lit("h, "), says, F.lit(") "), shown)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "rid", line.alias("line")))), lambda x: x["line"])
+    return sample.groupBy("game", "bucket").agg(F.array_join(lines, "\n\n").alias("prompt"))

@@ -55,8 +55,7 @@ def conserved(daily_rows: DataFrame, log: DataFrame) -> DataFrame:
 
 def unsettled(runs: DataFrame, reserved: DataFrame, known: DataFrame, limit: int = 5) -> DataFrame:
     """The oldest runs (appid, run, created, status) that have ended, hold a reservation and aren't settled yet."""
-    active = ~F.col("status").isin("completed", "failure", "cancelled", "success")
-    rows = runs.where(~active).join(reserved.select("appid"), "appid", "left_semi").join(known.select("appid", "run"), ["appid", "run"], "left_anti")
+    rows = runs.where(F.col("status").isin(C.ENDED)).join(reserved.select("appid"), "appid", "left_semi").join(known.select("appid", "run"), ["appid", "run"], "left_anti")
     return rows.orderBy("created", "run").limit(limit)
 
 

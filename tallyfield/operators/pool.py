@@ -10,12 +10,26 @@ from tallyfield.functions.rates import bucket_rank, count_where, percent
 
 
 def dedup_pool(reviews: DataFrame) -> DataFrame:
-    """One row per (game, rid), the first of `order`; source_filters has all the sweeps that saw it, n_seen how often."""
-    kept = [c for c in reviews.columns if c not in ("game", "rid", "source_filter", "order")]
-    best = reviews.where("rid IS NOT NULL").groupBy("game", "rid").agg(
-        F.min_by(F.struct(*kept), F.col("order")).alias("first"), F.array_sort(F.collect_set("source_filter")).alias("source_filters"), F.count("*").alias("n_seen")
-    )
-    return best.select("game", "rid", "first.*", "source_filters", "n_seen")
+    """One row per (game, rid), the first of `order`; source_filters has the sweeps that saw it, as they came, n_seen how
+    often. The rows of a review meet by one exchange; of each sweep only the first goes on."""
+    by_sweep = Window.partitionBy("game", "rid", "source_filter")
+    rows = reviews.where("rid IS NOT NULL").repartition("game", "rid")
+    rows = rows.withColumn("place", F.row_number().over(by_sweep.orderBy("order"))).withColumn("seen", F.count("*").over(by_sweep)).where("place = 1")
+    first = Window.partitionBy("game", "rid").orderBy("order")
+    whole = first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("place", F.row_number().over(first)).withColumn("source_filters", F.collect_list("source_filter").over(whole)).withColumn("n_seen", F.sum("seen").over(whole))
+    return rows.where("place = 1").drop("place", "seen", "source_filter")
+
+
+def numbered(pool: DataFrame, slices: Column) -> DataFrame:
+    """`pool` with seq, the place of a review in its game in the order of `order`, from 0. `slices` is a leading part of
+    `order` (a date, a page): a slice is numbered on its own and begins after the sum of those before."""
+    rows = pool.withColumn("slice", slices)
+    counts = rows.groupBy(F.col("game").alias("g"), F.col("slice").alias("s")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(counts.select("g", "s", before.alias("before")), F.col("game").eqNullSafe(F.col("g")) & F.col("slice").eqNullSafe(F.col("s")))
+    own = F.row_number().over(Window.partitionBy("game", "slice").orderBy("order", "rid"))
+    return placed.withColumn("seq", F.col("before") + own - 1).drop("g", "s", "before", "slice")
 
 
 def _cohorts(games: DataFrame) -> DataFrame:

@@ -7,12 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfield import config as C
 from tallyfield.functions.rates import count_where
 
-#: Statuses of a run that has ended; any other counts as active, so that new ones do.
-ENDED = ["completed"]
-TERMINAL = ["success", "failure", "cancelled", "timed_out"]
-
 
 def art(header: Column, capsule: Column, grid: Column, fallback: Column) -> tuple[Column, Column]:
     """(tile, card): a tile may use the grid image before the fallback, a card never does."""
@@ -61,9 +58,9 @@ def request_state(requests: DataFrame, published: DataFrame, runs: DataFrame, lo
     """appid, state, ahead of each request (appid, waited): a document settles it, then a run of its own that goes on,
     then how the latest one ended, then whether the request was lost. `runs` has appid, run, created, status, outcome,
     started. The runs that are active are as few as the service runs at once, so they are counted in one window."""
-    active = runs.where(~F.col("status").isin(ENDED)).withColumn("ahead", F.row_number().over(Window.orderBy("created", "run")) - 1)
+    active = runs.where(~F.col("status").isin(C.ENDED)).withColumn("ahead", F.row_number().over(Window.orderBy("created", "run")) - 1)
     mine = active.groupBy("appid").agg(F.min_by(F.struct("ahead", "started"), F.struct("created", "run")).alias("mine"))
-    ended = runs.where(F.col("status").isin(ENDED)).groupBy("appid").agg(F.max_by("outcome", F.struct("created", "run")).alias("ended"), F.count("*").alias("n_ended"))
+    ended = runs.where(F.col("status").isin(C.ENDED)).groupBy("appid").agg(F.max_by("outcome", F.struct("created", "run")).alias("ended"), F.count("*").alias("n_ended"))
     there = published.select("appid", F.lit(True).alias("there")).distinct()
     rows = requests.join(there, "appid", "left").join(mine, "appid", "left").join(ended, "appid", "left")
     going = F.when(F.col("mine.started") & (F.col("mine.ahead") == 0), "running").otherwise("queued")

@@ -9,11 +9,17 @@ from tallyfield import config as C
 from tallyfield.functions.rates import binomial_tail, count_where, percent, significant
 
 
+def _once(citations: DataFrame) -> DataFrame:
+    """Each cited review of a cohort once, with its last vote in the order of `order`, or without that column its best; a
+    null vote is none for the game."""
+    vote = F.coalesce("voted_up", F.lit(False))
+    return citations.groupBy("game", "bucket", "rid").agg(F.max_by(vote, "order" if "order" in citations.columns else vote).alias("voted_up"))
+
+
 def sourcing(citations: DataFrame, rates: DataFrame) -> DataFrame:
     """game, bucket, cited_reviews, cited_recommend, divergence_p, triggers, level: distinct cited reviews of a cohort
     against its pool rate."""
-    once = citations.groupBy("game", "bucket", "rid").agg(F.max("voted_up").alias("voted_up"))
-    sums = once.groupBy("game", "bucket").agg(F.count("*").alias("cited_reviews"), count_where(F.col("voted_up")).alias("cited_recommend"))
+    sums = _once(citations).groupBy("game", "bucket").agg(F.count("*").alias("cited_reviews"), count_where(F.col("voted_up")).alias("cited_recommend"))
     both = sums.join(rates.select("game", "bucket", "pct_positive"), ["game", "bucket"])
     p = binomial_tail(F.col("cited_recommend"), F.col("cited_reviews"), F.col("pct_positive") / 100)
     rows = both.withColumn("p", p)
@@ -46,8 +52,7 @@ def claim_balance(available: DataFrame, cited: DataFrame) -> DataFrame:
 
 def source_delta(citations: DataFrame, rates: DataFrame) -> DataFrame:
     """game, bucket, cited_n, cited_pct, pool_pct, delta_pool over distinct cited reviews."""
-    once = citations.groupBy("game", "bucket", "rid").agg(F.max("voted_up").alias("voted_up"))
-    sums = once.groupBy("game", "bucket").agg(F.count("*").alias("cited_n"), count_where(F.col("voted_up")).alias("up"))
+    sums = _once(citations).groupBy("game", "bucket").agg(F.count("*").alias("cited_n"), count_where(F.col("voted_up")).alias("up"))
     cited = percent(F.col("up"), F.col("cited_n"))
     both = sums.join(rates.select("game", "bucket", F.col("pct_positive").alias("pool_pct")), ["game", "bucket"])
     return both.select("game", "bucket", "cited_n", cited.alias("cited_pct"), "pool_pct", F.round(cited - F.col("pool_pct"), 1).alias("delta_pool"))

@@ -1,4 +1,4 @@
-"""The library's own code for the executors."""
+"""The library's own code for the executors, and the folder that they share."""
 
 from __future__ import annotations
 
@@ -24,3 +24,15 @@ def ship(spark: SparkSession) -> None:
                     archive.write(file, os.path.relpath(file, os.path.dirname(top)))
     context.addPyFile(path)
     context._tallyfield_sent = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share. A cluster names it in spark.checkpoint.dir; only where that is unset and all
+    runs on one machine, as in tests, a temporary folder is used."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()

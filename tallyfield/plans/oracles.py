@@ -17,8 +17,9 @@ MEAN = """means AS (SELECT game, round(sum(pct_positive * pool_n) FILTER (bucket
   FROM rates GROUP BY 1)"""
 WORD = "CASE WHEN mean_pct >= 89 THEN 'Buy' WHEN mean_pct < 64 THEN 'Skip' WHEN mean_pct IS NOT NULL THEN 'Wait' END"
 ORDER = "created, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, source_filter, l_linestatus"
-POOL = f"""{FACT}, pool AS (SELECT game, rid, arg_min(minutes, row(l_quantity)) AS any_minutes, count(*) AS n_seen, list_sort(list_distinct(list(source_filter))) AS source_filters FROM fact GROUP BY 1, 2),
-  firsts AS (SELECT *, row_number() OVER (PARTITION BY game, rid ORDER BY {ORDER}) AS rn FROM fact)"""
+POOL = f"""{FACT}, firsts AS (SELECT *, row_number() OVER (PARTITION BY game, rid ORDER BY {ORDER}) AS rn FROM fact),
+  sweeps AS (SELECT game, rid, source_filter, min(rn) AS first_rn, count(*) AS k FROM firsts GROUP BY 1, 2, 3),
+  pool AS (SELECT game, rid, CAST(sum(k) AS BIGINT) AS n_seen, list(source_filter ORDER BY first_rn) AS source_filters FROM sweeps GROUP BY 1, 2)"""
 _D = "documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 TEXT = f"""texts AS (SELECT d.doc_id AS rid, source AS game, n_chars AS minutes, {BUCKET.format(m="n_chars")} AS bucket, quality = 1 AS voted_up, text, d.doc_id % 7 AS votes_up, d.doc_id % 11 AS votes_funny, lang FROM {_D})"""
 _LEET = "translate(lower(text), '013457@$', 'oieastas')"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyfield import config as C
 from tallyfield.functions import rates as R
 from tallyfield.functions import text as X
+from tallyfield.functions.broadcasts import small
 from tallyfield.operators import catalog, claims, evals, filtering, ledger, pool, publish, sourcing, verdict
 from tallyfield.plans import oracles as O
 from tallyfield.sources import adapters as A
@@ -86,16 +87,27 @@ def recency_shift(spark, d):
 
 def _primary(spark, d):
     rows = pool.dedup_pool(A.fact_reviews(spark, d))
-    return rows.select("game", "rid", "bucket", F.element_at("source_filters", 1).alias("primary"), F.col("rid").alias("seq"))
+    rows = pool.numbered(rows, F.col("created"))
+    return rows.select("game", "rid", "bucket", F.element_at("source_filters", 1).alias("primary"), "seq")
 
 
-_QUOTA = f"""{O.FACT}, p AS (SELECT game, rid, min(bucket) AS any_b, min(source_filter) AS prim FROM fact GROUP BY 1, 2),
- pb AS (SELECT p.game, p.rid, f.bucket, p.prim FROM p JOIN (SELECT *, row_number() OVER (PARTITION BY game, rid ORDER BY {O.ORDER}) AS rn FROM fact) f ON f.game = p.game AND f.rid = p.rid AND f.rn = 1),
- q AS (SELECT *, CASE prim WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS queue, row_number() OVER (PARTITION BY game, bucket, prim ORDER BY rid) AS turn FROM pb),
- k AS (SELECT *, row_number() OVER (PARTITION BY game, bucket ORDER BY turn, queue, prim) <= 40 AS chosen FROM q),
- l AS (SELECT *, row_number() OVER (PARTITION BY game, bucket, chosen ORDER BY queue, prim, turn) AS lt, 150 - sum(CAST(chosen AS INTEGER)) OVER (PARTITION BY game) AS short FROM k),
+def _quota_sql(target: int, quota: int, filters: list[str]) -> str:
+    """sample, from pb (game, rid, bucket, prim, seq)."""
+    queue = " ".join(f"WHEN '{f}' THEN {i + 1}" for i, f in enumerate(filters))
+    return f"""q AS (SELECT *, CASE prim {queue} ELSE {len(filters) + 1} END AS queue, row_number() OVER (PARTITION BY game, bucket, prim ORDER BY seq) AS turn FROM pb),
+ k AS (SELECT *, row_number() OVER (PARTITION BY game, bucket ORDER BY turn, queue, prim) <= {quota} AS chosen FROM q),
+ l AS (SELECT *, row_number() OVER (PARTITION BY game, bucket, chosen ORDER BY queue, prim, turn) AS lt, {target} - sum(CAST(chosen AS INTEGER)) OVER (PARTITION BY game) AS short FROM k),
  e AS (SELECT *, row_number() OVER (PARTITION BY game, chosen ORDER BY lt, {O.RANK.format(b="bucket")}) AS extra FROM l),
- s AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY rid) AS place FROM e WHERE chosen OR extra <= short), sample AS (SELECT game, rid, bucket, rid AS seq FROM s WHERE place <= 150)"""
+ s AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY seq) AS place FROM e WHERE chosen OR extra <= short), sample AS (SELECT game, rid, bucket, seq FROM s WHERE place <= {target})"""
+
+
+_SEQ = f"pb AS (SELECT game, rid, bucket, source_filter AS prim, row_number() OVER (PARTITION BY game ORDER BY {O.ORDER}, rid) - 1 AS seq FROM firsts WHERE rn = 1)"
+_QUOTA = f"{O.POOL}, {_SEQ}, {_quota_sql(150, 40, ['R', 'A'])}"
+
+
+@query(f"WITH {O.POOL}, {_SEQ} SELECT game, rid, prim AS \"primary\", seq FROM pb")
+def first_seen_order(spark, d):
+    return _primary(spark, d).select("game", "rid", "primary", "seq")
 
 
 @query(f"WITH {_QUOTA} SELECT * FROM sample")
@@ -177,29 +189,42 @@ _STRIPPED = r"regexp_replace(text, '(?i)\bthe most\b|\bmost\s+(?:polished|fun|im
 _LABELS = ", ".join(f"CASE WHEN regexp_matches({_STRIPPED if chr(92) + 'bmost' in p else 'text'}, '(?i){p}') THEN '{label}' END" for p, label in O.PREVALENCE)
 
 
-@query(f"SELECT doc_id AS rid, array_to_string(list_sort(list_distinct(list_filter([{_LABELS}], lambda x: x IS NOT NULL))), ',') AS labels FROM documents WHERE lang = 'en'")
+_MATCHES = " + ".join(f"len(regexp_extract_all({_STRIPPED if chr(92) + 'bmost' in p else 'text'}, '(?i){p}'))" for p, _ in O.PREVALENCE)
+
+
+@query(f"SELECT doc_id AS rid, array_to_string(list_sort(list_distinct(list_filter([{_LABELS}], lambda x: x IS NOT NULL))), ',') AS labels, CAST({_MATCHES} AS INTEGER) AS matches FROM documents")
 def prevalence_guard(spark, d):
-    docs = A.table(spark, d, "documents").where("lang = 'en'")
-    return docs.select(F.col("doc_id").alias("rid"), F.array_join(X.prevalence(F.col("text")), ",").alias("labels"))
+    hits = A.table(spark, d, "documents").select(F.col("doc_id").alias("rid"), X.prevalence_hits(F.col("text")).alias("hits"))
+    return hits.select("rid", F.array_join(F.array_sort(F.array_distinct("hits.label")), ",").alias("labels"), F.size("hits").alias("matches"))
 
 
-@query(r"SELECT doc_id AS rid, regexp_matches(regexp_replace(text, '(?i)\b(?:Windows|DirectX|OpenGL|Vulkan|macOS|OS\s?X|iOS|Android|Linux|RTX|GTX|Radeon|GeForce|Ryzen|Core\s+i|Steam\s+Deck|DLSS|FSR|PlayStation|PS|Xbox)\s?\d+[a-z]*\b', '', 'g'), '\d') AS digit FROM documents WHERE lang = 'en'")
+@query(rf"SELECT doc_id AS rid, regexp_matches(regexp_replace(text, '{C.PLATFORM}', '', 'g'), '\d') AS digit FROM documents")
 def bare_digits(spark, d):
-    docs = A.table(spark, d, "documents").where("lang = 'en'")
-    return docs.select(F.col("doc_id").alias("rid"), X.has_bare_digit(F.col("text")).alias("digit"))
+    return A.table(spark, d, "documents").select(F.col("doc_id").alias("rid"), X.has_bare_digit(F.col("text")).alias("digit"))
 
 
-def _cited(spark, d):
-    """Claims from the benchmark with the documents that hold their first 60 characters. Keys are 60-character starts of
-    the documents' lines, so the two sides meet by equality."""
-    items = A.table(spark, d, "benchmark").select(F.col("item_id").alias("claim_key"), F.col("text").alias("claim"), F.substring("text", 1, 60).alias("start"))
-    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("rid"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.substring(x, 1, 60)))).alias("line_start"))
-    cited = items.join(docs, F.col("start") == F.col("line_start")).groupBy("claim_key").agg(F.array_sort(F.collect_set("rid")).alias("ids"))
-    return items.join(cited, "claim_key", "left").select("claim_key", "claim", F.lit("mid").alias("bucket"), F.concat(F.coalesce("ids", F.array().cast("array<bigint>")), F.array(F.col("claim_key") * 3)).alias("ids"))
+#: Words of the run by which a claim is looked for in a text.
+_RUN = 8
 
 
-_GROUND = f"""i AS (SELECT item_id, text AS claim, text[:60] AS start FROM benchmark), dl AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10)))[:60] AS ls FROM documents),
- cid AS (SELECT item_id, doc_id AS rid FROM i JOIN dl ON start = ls UNION ALL SELECT item_id, item_id * 3 FROM i),
+def _cited(spark, d):
+    """Claims from the benchmark with the documents that hold them, word by word: those that have the hash of a claim's
+    first words among the hashes of their runs, then by the whole claim."""
+    spaced = lambda c: F.array_join(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != ""), " ")
+    items = A.table(spark, d, "benchmark").select(F.col("item_id").alias("claim_key"), F.col("text").alias("claim"), spaced(F.col("text")).alias("words"))
+    first = items.select(F.col("claim_key").alias("key"), "words", F.xxhash64(F.slice(F.split("words", " "), 1, _RUN)).alias("run"))
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("rid"), spaced(F.col("text")).alias("body")).withColumn("w", F.split("body", " "))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - _RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, _RUN)))
+    found = docs.select("rid", "body", F.explode(F.array_distinct(runs)).alias("at")).join(small(first), F.col("at") == F.col("run"))
+    found = found.where(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "words", F.lit(" "))))
+    cited = found.groupBy("key").agg(F.array_sort(F.collect_set("rid")).alias("ids"))
+    rows = items.join(cited, F.col("claim_key") == F.col("key"), "left")
+    return rows.select("claim_key", "claim", F.lit("mid").alias("bucket"), F.concat(F.coalesce("ids", F.array().cast("array<bigint>")), F.array(F.col("claim_key") * 3)).alias("ids"))
+
+
+_SPACED = "array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), ' ')"
+_GROUND = f"""i AS (SELECT item_id, text AS claim, ' ' || {_SPACED} || ' ' AS words FROM benchmark), dl AS (SELECT doc_id, ' ' || {_SPACED} || ' ' AS body FROM documents),
+ cid AS (SELECT item_id, doc_id AS rid FROM i JOIN dl ON contains(body, words) UNION ALL SELECT item_id, item_id * 3 FROM i),
  ct AS (SELECT item_id, claim, {O.tokens("claim")} AS ct FROM i), rt AS (SELECT doc_id, {O.BUCKET.format(m="n_chars")} AS bucket, {O.tokens("text")} AS rt FROM documents WHERE doc_id IN (SELECT rid FROM cid)),
  h AS (SELECT cid.item_id, cid.rid, rt.doc_id, rt.bucket, ct.ct, rt.rt, CASE WHEN len(ct.ct) > 0 THEN round(len(list_filter(ct.ct, lambda c: len(list_filter(coalesce(rt.rt, []), lambda r: {O.ALIKE})) > 0)) / len(ct.ct), 3) ELSE 0 END AS share
    FROM cid JOIN ct USING (item_id) LEFT JOIN rt ON rt.doc_id = cid.rid)"""
@@ -208,7 +233,8 @@ _GROUND = f"""i AS (SELECT item_id, text AS claim, text[:60] AS start FROM bench
 @query(f"WITH {_GROUND} SELECT item_id AS claim_key, rid, share FROM h WHERE doc_id IS NOT NULL")
 def token_coverage(spark, d):
     rows = _cited(spark, d).select("claim_key", X.tokens(F.col("claim")).alias("ct"), F.explode("ids").alias("rid"))
-    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("of"), X.tokens(F.col("text")).alias("rt"))
+    docs = A.table(spark, d, "documents").join(small(rows.select(F.col("rid").alias("cited")).distinct()), F.col("doc_id") == F.col("cited"), "left_semi")
+    docs = docs.select(F.col("doc_id").alias("of"), X.tokens(F.col("text")).alias("rt"))
     return rows.join(docs, F.col("rid") == F.col("of")).select("claim_key", "rid", F.round(X.coverage(F.col("ct"), F.col("rt")), 3).alias("share"))
 
 
@@ -247,21 +273,32 @@ def fuzzy_merge(spark, d):
     return claims.merge_similar(rows)
 
 
-@query(r"""WITH t AS (SELECT source AS game, d.doc_id AS rid, CASE WHEN n_chars < 120 THEN 'refund_window' WHEN n_chars < 1200 THEN 'early' WHEN n_chars < 6000 THEN 'mid' ELSE 'veteran' END AS bucket,
- '[' || d.doc_id || '] (' || CASE WHEN quality = 1 THEN 'recommends' WHEN quality = 0 THEN 'does not recommend' ELSE 'no vote' END || ') ' || substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 1500) AS line FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
- SELECT game, bucket, sha256(string_agg(line, chr(10) || chr(10) ORDER BY rid)) AS prompt_sha256 FROM t GROUP BY 1, 2""")
+_TEXT_SAMPLE = f"""{O.TEXT}, pb AS (SELECT game, rid, bucket, lang AS prim, rid AS seq FROM texts), {_quota_sql(60, 20, ['en', 'de'])}"""
+
+
+@query(rf"""WITH {_TEXT_SAMPLE}, t AS (SELECT s.game, s.bucket, s.seq, s.rid, trim(regexp_replace(text, '\s+', ' ', 'g')) AS plain, voted_up, minutes FROM sample s JOIN texts USING (rid)),
+ u AS (SELECT *, '[' || rid || '] (' || printf('%.1f', round(minutes / 60e0, 1)) || 'h, ' || CASE WHEN voted_up THEN 'recommends' ELSE 'does not recommend' END || ') '
+   || CASE WHEN length(plain) > 1500 THEN plain[:1500] || ' ...[truncated]' ELSE plain END AS line FROM t)
+ SELECT game, bucket, sha256(string_agg(line, chr(10) || chr(10) ORDER BY seq)) AS prompt_sha256 FROM u GROUP BY 1, 2""")
 def extraction_prompts(spark, d):
-    return claims.prompts(A.text_reviews(spark, d)).select("game", "bucket", F.sha2("prompt", 256).alias("prompt_sha256"))
+    reviews = A.text_reviews(spark, d)
+    chosen = pool.quota_sample(reviews.select("game", "rid", "bucket", F.col("lang").alias("primary"), F.col("rid").alias("seq")), 60, 20, ["en", "de"])
+    texts = reviews.select(F.col("rid").alias("of"), "text", "voted_up", F.round(F.col("minutes") / 60, 1).alias("hours"))
+    return claims.prompts(chosen.join(texts, F.col("rid") == F.col("of"))).select("game", "bucket", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+#: The reviews that count as cited are those that one of the sweeps saw.
+_CITE = "fact.source_filter = 'R'"
 
 
-_CITE = "fact.rid % 37 = 0"
+_LAST = ", ".join(f"{x} DESC" for x in O.ORDER.split(", "))
 
 
 def _citations(spark, d):
-    return A.fact_reviews(spark, d).where("rid % 37 = 0")
+    return A.fact_reviews(spark, d).where("source_filter = 'R'")
 
 
-@query(f"""WITH {O.RATES}, o AS (SELECT game, bucket, rid, max(voted_up) AS up FROM fact WHERE {_CITE} GROUP BY 1, 2, 3), s AS (SELECT game, bucket, count(*) AS n, count(*) FILTER (up) AS k FROM o GROUP BY 1, 2),
+@query(f"""WITH {O.RATES}, o AS (SELECT game, bucket, rid, voted_up AS up FROM (SELECT *, row_number() OVER (PARTITION BY game, bucket, rid ORDER BY {_LAST}) AS back FROM fact WHERE {_CITE}) WHERE back = 1), s AS (SELECT game, bucket, count(*) AS n, count(*) FILTER (up) AS k FROM o GROUP BY 1, 2),
  t AS (SELECT s.*, pct_positive / 100 AS p FROM s JOIN rates USING (game, bucket)),
  q AS (SELECT game, bucket, n, k, p, least(1, CASE WHEN p <= 0 THEN 1 WHEN p >= 1 THEN (k >= n)::INT ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))) END) AS dp FROM t)
  SELECT game, bucket, n AS cited_reviews, k AS cited_recommend, CASE WHEN dp = 0 THEN 0 ELSE round(dp * pow(10, 2 - floor(log10(dp)))) / pow(10, 2 - floor(log10(dp))) END AS divergence_p,
@@ -278,7 +315,7 @@ def claim_balance(spark, d):
     return sourcing.claim_balance(A.fact_reviews(spark, d), _citations(spark, d))
 
 
-_DELTA = f"""{O.RATES}, o AS (SELECT game, bucket, rid, max(voted_up) AS up FROM fact WHERE {_CITE} GROUP BY 1, 2, 3),
+_DELTA = f"""{O.RATES}, o AS (SELECT game, bucket, rid, voted_up AS up FROM (SELECT *, row_number() OVER (PARTITION BY game, bucket, rid ORDER BY {_LAST}) AS back FROM fact WHERE {_CITE}) WHERE back = 1),
  s AS (SELECT game, bucket, count(*) AS cited_n, round(100e0 * count(*) FILTER (up) / count(*), 1) AS cited_pct FROM o GROUP BY 1, 2),
  dl AS (SELECT game, bucket, cited_n, cited_pct, pct_positive AS pool_pct, round(cited_pct - pct_positive, 1) + 0 AS delta_pool FROM s JOIN rates USING (game, bucket))"""
 
@@ -339,10 +376,23 @@ def search_topk(spark, d):
     return catalog.search(catalog.rank_entries(A.catalog_entries(spark, d)), " RED  ring")
 
 
-@query("SELECT unnest(['duplicate_ids', 'below_floor', 'wrong_shard', 'rank_gaps', 'out_of_order', 'unaccounted']) AS problem, CAST(0 AS BIGINT) AS n")
+_DAMAGED = f"""{_RANKED}, dm AS (SELECT appid, CASE WHEN size = 13 THEN 10 ELSE reviews END AS reviews, rank + CASE WHEN size = 19 THEN 1 ELSE 0 END AS rank, CASE WHEN size = 11 THEN 'tail' ELSE shard END AS shard FROM ranked WHERE size <> 17
+ UNION ALL SELECT appid, reviews, rank, shard FROM ranked WHERE size = 7)"""
+
+
+@query(f"""WITH {_DAMAGED}, o AS (SELECT reviews > lag(reviews) OVER (ORDER BY rank, appid, reviews DESC) AS bad FROM dm)
+ SELECT 'duplicate_ids' AS problem, count(*) - count(DISTINCT appid) AS n FROM dm UNION ALL SELECT 'below_floor', count(*) FILTER (reviews < 70) FROM dm
+ UNION ALL SELECT 'wrong_shard', count(*) FILTER ((shard = 'core') <> (reviews >= 1000)) FROM dm UNION ALL SELECT 'rank_gaps', max(rank) - count(*) FROM dm
+ UNION ALL SELECT 'out_of_order', count(*) FILTER (bad) FROM o UNION ALL SELECT 'unaccounted', (SELECT count(*) FROM part WHERE trunc(p_retailprice) >= 70) - count(DISTINCT appid) FROM dm""")
 def index_verify(spark, d):
+    """An index with doubled rows, a row without its reviews, a wrong shard, a shifted rank and rows that are missing."""
     entries = A.catalog_entries(spark, d)
-    return catalog.verify_index(catalog.rank_entries(entries), entries)
+    size = F.col("size")
+    ranked = catalog.rank_entries(entries).join(entries.select("appid", "size"), "appid")
+    damaged = ranked.where(size != 17).select(
+        "appid", F.when(size == 13, 10).otherwise(F.col("reviews")).alias("reviews"), (F.col("rank") + (size == 19).cast("int")).alias("rank"), F.when(size == 11, "tail").otherwise(F.col("shard")).alias("shard")
+    )
+    return catalog.verify_index(damaged.unionByName(ranked.where(size == 7).select("appid", "reviews", "rank", "shard")), entries)
 
 
 _SNAP = """b AS (SELECT o_orderkey AS key, o_orderdate AS generated FROM orders WHERE o_orderkey % 3 <> 0), m AS (SELECT o_orderkey AS key, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate WHEN 1 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate + INTERVAL 1 DAY END AS generated FROM orders WHERE o_orderkey % 5 <> 0),
@@ -383,10 +433,11 @@ def hourly_tally(spark, d):
     return ledger.hourly(A.request_log(spark, d))
 
 
-@query(f"SELECT {O.pacific('ts', '%Y-%m-%d')} AS day, true AS conserved FROM events GROUP BY 1")
+@query(f"SELECT {O.pacific('ts', '%Y-%m-%d')} AS day, count(*) FILTER (event_type = 'click' AND value > 499) = 0 AS conserved FROM events GROUP BY 1")
 def ledger_conserved(spark, d):
+    """Ledgers that missed the dearest clicks."""
     log = A.request_log(spark, d)
-    return ledger.conserved(ledger.daily(log), log)
+    return ledger.conserved(ledger.daily(log.where("NOT (ledger = 'click' AND cost > 499)")), log)
 
 
 @query(f"""WITH t AS (SELECT {O.pacific('ts', '%Y-%m-%d')} AS day, event_id AS place, event_id % 14 AS calls FROM events), s AS (SELECT *, CAST(coalesce(sum(calls) OVER (PARTITION BY day ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent_before FROM t)
@@ -473,12 +524,12 @@ def eval_breakdown(spark, d):
 
 def _documents(spark, d):
     rates = pool.pool_rates(A.fact_reviews(spark, d)).withColumn("muted", F.col("pool_n") < C.MIN_SURVIVORS)
-    cited = A.fact_reviews(spark, d).where("rid % 211 = 0").groupBy("game", "bucket", "rid").agg(F.min("source_filter").alias("theme"))
+    cited = A.fact_reviews(spark, d).groupBy("game", "bucket", "rid").agg(F.min("source_filter").alias("theme"))
     rows = cited.select("game", "bucket", "theme", F.col("rid").alias("seq"), F.concat(F.lit("c"), F.col("rid").cast("string")).alias("claim_id"), F.lit("").alias("claim"))
     return verdict.assemble(rates, verdict.post_refund_mean(rates), rows)
 
 
-@query(f"WITH {O.RATES} SELECT DISTINCT game, bucket, theme, 'c' || rid AS claim_id FROM (SELECT game, bucket, rid, min(source_filter) AS theme FROM fact WHERE rid % 211 = 0 GROUP BY 1, 2, 3) JOIN rates USING (game, bucket) WHERE pool_n >= 20")
+@query(f"WITH {O.RATES} SELECT DISTINCT game, bucket, theme, 'c' || rid AS claim_id FROM (SELECT game, bucket, rid, min(source_filter) AS theme FROM fact GROUP BY 1, 2, 3) JOIN rates USING (game, bucket) WHERE pool_n >= 20")
 def document_claims(spark, d):
     return verdict.citations_of(_documents(spark, d))
 
@@ -495,25 +546,25 @@ def citations(spark, d):
     return docs.select(F.col("doc_id").alias("rid"), built.alias("c")).select("rid", "c.*")
 
 
-@query("SELECT doc_id AS rid, substr(sha256('claims' || chr(0) || lang || chr(0) || text), 1, 16) AS key FROM documents")
+@query("SELECT doc_id AS rid, substr(sha256('claims' || chr(0) || coalesce(lang, chr(0) || chr(0)) || chr(0) || coalesce(text, chr(0) || chr(0))), 1, 16) AS key FROM documents")
 def memo_keys(spark, d):
     return A.table(spark, d, "documents").select(F.col("doc_id").alias("rid"), memo_key("claims", "lang", "text").alias("key"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type AS ledger, count(*) AS requests FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
-    rows = limits.run_to_end(limits.windows(limits.log_stream(spark, d)), "complete", "stream_windows_out")
+    rows = limits.run_to_end(limits.windows(limits.log_stream(spark, d)), "complete")
     return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT DISTINCT event_id AS id FROM events")
 def stream_dedup(spark, d):
-    return limits.run_to_end(limits.first_seen(limits.log_stream(spark, d)).select("id"), "append", "stream_dedup_out")
+    return limits.run_to_end(limits.first_seen(limits.log_stream(spark, d)).select("id"), "append")
 
 
 @query()
 def stateful_limiter(spark, d):
-    return limits.run_to_end(limits.limiter(limits.log_stream(spark, d)), "append", "stateful_limiter_out")
+    return limits.run_to_end(limits.limiter(limits.log_stream(spark, d)), "append")
 
 
 @query(r"SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'flash' WHEN event_type = 'click' THEN 'live' ELSE 'batch' END AS ledger, CASE event_id % 4 WHEN 0 THEN 'abort' WHEN 1 THEN 'stop_for_the_day' WHEN 2 THEN 'lower_the_ceiling' ELSE 'retry' END AS class FROM events")

@@ -39,8 +39,9 @@ def write_report(lines: DataFrame, path: str) -> None:
 
 
 def memo_key(tag: str, *parts) -> F.Column:
-    """The key of a remembered response: 16 hexadecimal digits of a hash of its parts."""
-    return F.substring(F.sha2(F.concat_ws("\x00", F.lit(tag), *parts), 256), 1, 16)
+    """The key of a remembered response: 16 hexadecimal digits of a hash of its parts; a null part is no empty one."""
+    told = [F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("\x00\x00")) for p in parts]
+    return F.substring(F.sha2(F.concat_ws("\x00", F.lit(tag), *told), 256), 1, 16)
 
 
 def replay(requests: DataFrame, memo: DataFrame) -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyfield import config as C
-from tallyfield.package import ship
+from tallyfield.package import shared_folder, ship
 
 
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +65,21 @@ def limiter(log: DataFrame, ceiling: int = C.REQUESTS_PER_MINUTE) -> DataFrame:
     return rows.groupBy("ledger").applyInPandasWithState(run, "id bigint, ledger string, wait_seconds double", "stamps string", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """The rows of a stream over what is there now, from a table in memory."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
+    """The rows of a stream over what is there now. Each micro-batch writes files of its own to the shared folder, which
+    holds the query's checkpoint, too; a batch that runs again writes the same ones anew. In complete mode the last batch
+    has all rows."""
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/log").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if query.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")

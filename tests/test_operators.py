@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,7 +215,7 @@ def test_merge_keeps_the_better_cited(spark):
 def test_first_seen_pool(spark):
     rows = [("g", 1, 5, "A", 2), ("g", 1, 7, "R", 1), ("g", None, 1, "A", 3)]
     got = pool.dedup_pool(spark.createDataFrame(rows, "game string, rid long, minutes int, source_filter string, order int")).collect()
-    assert [(r.rid, r.minutes, r.source_filters, r.n_seen) for r in got] == [(1, 7, ["A", "R"], 2)]
+    assert [(r.rid, r.minutes, r.source_filters, r.n_seen) for r in got] == [(1, 7, ["R", "A"], 2)]
 
 
 def test_files(spark, tmp_path):
@@ -297,3 +298,51 @@ def test_extraction_rounds(spark):
 
     got = serving.extract(spark.createDataFrame([(i,) for i in range(5)], "key long"), lambda c: c.where("key <= claim"), ask)
     assert sorted((r.key, r.claim) for r in got.collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_binomial_tail_of_many_draws(spark):
+    cases = [(285, 300, 0.95), (0, 300, 0.95), (300, 300, 0.95), (1, 3000, 0.5), (1500, 3000, 0.5), (2990, 3000, 0.99), (0, 1, 0.3), (7, 10, 0.7), (3, 3, 1.0), (2, 3, 1.0), (0, 4, 0.0), (0, 0, 0.5)]
+    df = spark.createDataFrame(cases, "k int, n int, p double")
+    got = [r[0] for r in df.select(R.binomial_tail(F.col("k"), F.col("n"), F.col("p"))).collect()]
+    for (k, n, p), x in zip(cases, got):
+        if not n:
+            assert x is None
+            continue
+        q = Decimal(p)  # with 28 digits
+        want = float(min(1, sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k + 1)))) if 0 < p < 1 else float(p <= 0 or k >= n)
+        assert x == pytest.approx(want, rel=1e-9, abs=1e-300)
+
+
+def test_sweeps_in_the_order_they_came(spark):
+    rows = [("g", 1, "recent", 5), ("g", 1, "all", 9), ("g", 1, "recent", 11), ("g", 2, "all", 2), ("g", None, "all", 1), ("h", 1, "z", 4), ("h", 1, "a", 4)]
+    df = spark.createDataFrame(rows, "game string, rid long, source_filter string, at int")
+    got = pool.dedup_pool(df.withColumn("order", F.struct("at", F.col("source_filter").alias("sweep"))))
+    assert {(r.game, r.rid): (r.source_filters, r.n_seen, r["at"]) for r in got.collect()} == {("g", 1): (["recent", "all"], 3, 5), ("g", 2): (["all"], 1, 2), ("h", 1): (["a", "z"], 2, 4)}
+    numbers = {(r.game, r.rid): r.seq for r in pool.numbered(got, F.col("at") % 2).collect()}
+    assert set(numbers) == {("g", 1), ("g", 2), ("h", 1)}
+    assert {(r.game, r.rid): r.seq for r in pool.numbered(got, F.col("order.at")).collect()} == {("g", 2): 0, ("g", 1): 1, ("h", 1): 0}
+
+
+def test_prompt_lines(spark):
+    rows = [("g", "mid", 7, 1, 21.5, None, " a \n b "), ("g", "mid", 3, 0, None, True, "x" * 1600), ("g", "mid", 9, 2, 2.0, False, None)]
+    df = spark.createDataFrame(rows, "game string, bucket string, rid long, seq long, hours double, voted_up boolean, text string")
+    assert claims.prompts(df).first().prompt.split("\n\n") == ["[3] (0.0h, recommends) " + "x" * 1500 + " ...[truncated]", "[7] (21.5h, does not recommend) a b", "[9] (2.0h, does not recommend) "]
+
+
+def test_last_vote_counts(spark):
+    rows = [("g", "mid", 1, True, 1), ("g", "mid", 1, False, 2), ("g", "mid", 2, False, 1), ("g", "mid", 2, True, 5), ("g", "mid", 3, None, 1)]
+    cited = spark.createDataFrame(rows, "game string, bucket string, rid long, voted_up boolean, order int")
+    pooled = spark.createDataFrame([("g", "mid", 90.0)], "game string, bucket string, pct_positive double")
+    r = sourcing.sourcing(cited, pooled).first()
+    assert (r.cited_reviews, r.cited_recommend) == (3, 1)
+
+
+def test_all_statements_about_people_are_found(spark):
+    df = spark.createDataFrame([("90% of players like it, 80 % do not; most people and many players",), (None,)], "text string")
+    got = [[(h["match"], h["label"]) for h in r[0]] for r in df.select(X.prevalence_hits(F.col("text"))).collect()]
+    assert got == [[("90%", "percentage"), ("80 %", "percentage"), ("most", "quantifier over people"), ("many players", "quantifier over people")], []]
+
+
+def test_memo_keys_tell_nulls_apart(spark):
+    df = spark.createDataFrame([("a", None, "b"), ("a", "b", None), ("a", "", "b")], "x string, y string, z string")
+    assert len({r[0] for r in df.select(files.memo_key("t", "x", "y", "z")).collect()}) == 3
