@@ -41,10 +41,12 @@ CHUNK_CHARS = 4_000_000
 ANCHOR_BITS = np.uint64(24)
 SECOND = 1
 
-SENT = "part bigint, chunk bigint, blob binary"
-_SENT = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("blob", pa.binary())])
-FOUND = "chunk bigint, blob binary"
-_FOUND = pa.schema([("chunk", pa.int64()), ("blob", pa.binary())])
+#: What a chunk and a range send each other: hashes, or a chunk's own documents that take part.
+HASHES, OWN = 0, 1
+SENT = "part bigint, chunk bigint, kind int, blob binary"
+_SENT = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
+FOUND = "chunk bigint, kind int, blob binary"
+_FOUND = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 
 
@@ -56,6 +58,17 @@ def _texts(table: pa.Table) -> list[tuple[int | None, bytes]]:
     return [(k, t.as_buffer().to_pybytes()) for k, t in zip(table.column("doc_id").to_pylist(), table.column("text"))]
 
 
+def _blobs(table: pa.Table, kind: int = HASHES) -> list[bytes]:
+    return [b for k, b in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()) if k == kind]
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _anchors(known: WordHashes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of a text's words and, of texts that have a window, of its runs of BLOCK words."""
     h = known.of_text(text)
@@ -65,8 +78,9 @@ def _anchors(known: WordHashes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _chunk_anchors(ranges: int) -> Callable:
     """A chunk's distinct runs of BLOCK words: whether several of its documents have one, and whether one lies on a grid."""
 
+    known = WordHashes()
+
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        known = WordHashes()
         hashes, owners, grid = [], [], []
         ids: dict[int, int] = {}
         for doc_id, text in _texts(docs):
@@ -85,7 +99,7 @@ def _chunk_anchors(ranges: int) -> Callable:
         several = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
         bits = several.astype(np.uint8) + 2 * np.logical_or.reduceat(g, starts).astype(np.uint8)
         h = h[starts]
-        return _table([(k, key[0].as_py(), pack(h[s], bits[s])) for k, s in by_range(h, ranges)], _SENT)
+        return _table([(k, key[0].as_py(), HASHES, pack(h[s], bits[s])) for k, s in by_range(h, ranges)], _SENT)
 
     return run
 
@@ -95,13 +109,13 @@ def _returned(chunks: list[int], owner: np.ndarray, *columns: np.ndarray) -> pa.
     order = np.argsort(owner, kind="stable")
     owner = owner[order]
     edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else [0]
-    return _table([(chunks[owner[a]], pack(*(c[order[a:b]] for c in columns))) for a, b in zip(edges[:-1], edges[1:])], _FOUND)
+    return _table([(chunks[owner[a]], HASHES, pack(*(c[order[a:b]] for c in columns))) for a, b in zip(edges[:-1], edges[1:])], _FOUND)
 
 
 def _shared_anchors(sent: pa.Table) -> pa.Table:
     """To each chunk its hashes that several documents have and a grid has."""
     chunks = sent.column("chunk").to_pylist()
-    parts = [unpack(b, np.uint8) for b in sent.column("blob").to_pylist()]
+    parts = [unpack(b, np.uint8) for b in _blobs(sent)]
     owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     h, bits = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(h, kind="stable")
@@ -116,18 +130,19 @@ def _shared_anchors(sent: pa.Table) -> pa.Table:
 def _chunk_windows(ranges: int) -> Callable:
     """A chunk's distinct windows that hold an anchor, with the first and the last of its documents that have one."""
 
+    known, second = WordHashes(), WordHashes(SECOND)
+
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        blobs = found.column("blob").to_pylist()
+        blobs = _blobs(found)
         if not blobs or not len(docs):
             return _SENT.empty_table()
         anchors = np.unique(np.concatenate([unpack(b)[0] for b in blobs]))
-        known, second = WordHashes(), WordHashes(SECOND)
         held: tuple[list, list, list] = ([], [], [])
         for doc_id, text in _texts(docs):
             if doc_id is None:
                 continue
             h, runs = _anchors(known, text)
-            hit = np.isin(runs, anchors)
+            hit = _among(runs, anchors)
             if not hit.any():
                 continue
             sums = np.concatenate(([0], np.cumsum(hit)))
@@ -138,20 +153,27 @@ def _chunk_windows(ranges: int) -> Callable:
         if not held[0]:
             return _SENT.empty_table()
         one, two, d = map(np.concatenate, held)
+        part = int(one[0] % np.uint64(ranges))
+        own = (part, key[0].as_py(), OWN, np.unique(d).tobytes())
         order = np.lexsort((d, two, one))
         one, two, d = one[order], two[order], d[order]
         starts = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
         last = d[np.concatenate((starts[1:], [len(d)])) - 1]
         one, two, first = one[starts], two[starts], d[starts]
-        return _table([(k, key[0].as_py(), pack(one[s], two[s], first[s], last[s])) for k, s in by_range(one, ranges)], _SENT)
+        return _table([own, *((k, key[0].as_py(), HASHES, pack(one[s], two[s], first[s], last[s])) for k, s in by_range(one, ranges))], _SENT)
 
     return run
 
 
 def _first_documents(sent: pa.Table) -> pa.Table:
-    """To each chunk its windows that a document before its last one has, with the first of all that have one."""
+    """To each chunk its windows that a document before its last one has, with the first of all that have one, and its own
+    documents that take part."""
+    kinds = pa.array(np.equal(sent.column("kind").to_numpy(), OWN))
+    back, sent = sent.filter(kinds).select(["chunk", "kind", "blob"]), sent.filter(pa.array(np.not_equal(sent.column("kind").to_numpy(), OWN)))
     chunks = sent.column("chunk").to_pylist()
-    parts = [unpack(b, np.uint64, np.int64, np.int64) for b in sent.column("blob").to_pylist()]
+    parts = [unpack(b, np.uint64, np.int64, np.int64) for b in _blobs(sent)]
+    if not parts:
+        return back
     owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     one, two, first, last = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((two, one))
@@ -159,7 +181,7 @@ def _first_documents(sent: pa.Table) -> pa.Table:
     new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
     first = np.minimum.reduceat(first, np.flatnonzero(new))[np.cumsum(new) - 1]
     kept = last > first
-    return _returned(chunks, owner[kept], one[kept], two[kept], first[kept])
+    return pa.concat_tables([back, _returned(chunks, owner[kept], one[kept], two[kept], first[kept])])
 
 
 def _covered(doc_id: int, one: np.ndarray, two: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
@@ -174,20 +196,22 @@ def _covered(doc_id: int, one: np.ndarray, two: np.ndarray, known: list[np.ndarr
 
 
 def _remove(with_text: bool) -> Callable:
+    hashes, second = WordHashes(), WordHashes(SECOND)
+
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        parts = [unpack(b, np.uint64, np.int64) for b in found.column("blob").to_pylist()]
+        parts = [unpack(b, np.uint64, np.int64) for b in _blobs(found)]
+        taking_part = {k for b in _blobs(found, OWN) for k in np.frombuffer(b, np.int64).tolist()}
         known = None
         if parts:
             known = [np.concatenate(x) for x in zip(*parts)]
             order = np.argsort(known[0], kind="stable")
             known = [x[order] for x in known]
-        hashes, second = WordHashes(), WordHashes(SECOND)
         rows = []
         for doc_id, text in _texts(docs):
             kept = words = text.split()
-            if known is not None and doc_id is not None and len(words) >= WINDOW:
+            if known is not None and doc_id in taking_part:
                 one = rolling(hashes.array(words), WINDOW)
-                if np.isin(one, known[0]).any():
+                if _among(one, known[0]).any():
                     starts = _covered(doc_id, one, rolling(second.array(words), WINDOW), known)
                     change = np.zeros(len(words) + 1, np.int64)
                     np.add.at(change, starts, 1)
