@@ -35,6 +35,9 @@ CITATION_CHARS, PROMPT_CHARS = 2000, 1500
 
 #: Statuses of a run that has ended; any other counts as active, so that new ones do.
 ENDED = ["completed"]
+DAILY_REQUESTS, LIVE_RESERVE, FLASH_DAILY = 500, 100, 20
+#: Outcomes that settle a title.
+FINAL = ["ok", "thin_segmentation", "qr4_failed"]
 REQUESTS_PER_MINUTE, RESERVED, DAILY_BUDGET, HOURLY_PER_IP = 12, 13, 400, 5
 PRUNE_AFTER_HOURS = 48
 PACIFIC = "America/Los_Angeles"

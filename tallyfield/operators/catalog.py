@@ -26,9 +26,38 @@ def row_accounting(rows: DataFrame) -> DataFrame:
 
 
 def best_per_key(entries: DataFrame) -> DataFrame:
-    """Of entries that share an appid, the one with most reviews; the lower title on a tie."""
-    best = F.max_by(F.struct("title", "reviews"), F.struct("reviews", F.col("title")))
-    return entries.groupBy("appid").agg(best.alias("x")).select("appid", "x.title", "x.reviews")
+    """Of entries that share an appid, the one with most reviews; on a tie the first by place, or without one the lower
+    title."""
+    tie = -F.col("place") if "place" in entries.columns else F.lit(0)
+    rows = entries.withColumn("tie", tie)
+    best = F.max_by(F.struct("title", "reviews"), F.struct("reviews", "tie"))
+    if "place" not in entries.columns:
+        best = F.min_by(F.struct("title", "reviews"), F.struct((-F.col("reviews")).alias("least"), "title"))
+    return rows.groupBy("appid").agg(best.alias("x")).select("appid", "x.title", "x.reviews")
+
+
+def classify_titles(catalog: DataFrame, free: DataFrame, live: DataFrame, exempt: DataFrame) -> DataFrame:
+    """`catalog` with live and basis from the lists (appid, note): free titles and those on the live list are live, unless
+    an audit exempts them."""
+    mark = lambda df, name: df.groupBy("appid").agg(F.min("note").alias(name), F.lit(True).alias(f"is_{name}"))
+    rows = catalog.join(mark(free, "free"), "appid", "left").join(mark(live, "listed"), "appid", "left").join(mark(exempt, "exempt"), "appid", "left")
+    on = lambda n: F.coalesce(f"is_{n}", F.lit(False))
+    basis = (
+        F.when(on("exempt"), F.concat(F.lit("free, audited as single-player: "), "exempt"))
+        .when(on("free"), "free-to-play")
+        .when(on("listed"), F.concat(F.lit("audited: "), "listed"))
+        .otherwise("priced, not on the live-service list")
+    )
+    return rows.select(*catalog.columns, (on("free") & ~on("exempt") | on("listed")).alias("live"), basis.alias("basis"))
+
+
+def add_extra(chosen: DataFrame, extra: DataFrame, have: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """appid, title, basis: `chosen` and the audited extra titles (appid, note) that no other list has."""
+    rest = extra
+    for known in (chosen, have, duplicates):
+        rest = rest.join(known.select("appid"), "appid", "left_anti")
+    title = F.coalesce(F.nullif("note", F.lit("")), F.col("appid").cast("string"))
+    return chosen.select("appid", "title", "basis").unionByName(rest.select("appid", title.alias("title"), F.lit("audited list").alias("basis")))
 
 
 def rank_entries(entries: DataFrame, floor: int = C.REVIEW_FLOOR) -> DataFrame:

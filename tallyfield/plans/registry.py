@@ -575,4 +575,4 @@ def routing(spark, d):
     return log.select("id", R.ledger_for(model, F.when(F.col("ledger") == "click", "live")).alias("ledger"), R.error_class(message).alias("class"))
 
 
-from tallyfield.plans import serving, tools  # noqa: E402, F401  they register their queries here
+from tallyfield.plans import documents, serving, tools  # noqa: E402, F401  they register their queries here

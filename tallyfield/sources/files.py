@@ -27,6 +27,12 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_schedule(spark: SparkSession, path: str) -> DataFrame:
+    """appid, day: the day that a line's note names, else the first."""
+    day = F.nullif(F.regexp_extract("note", "day ([0-9]+)", 1), F.lit("")).cast("int")
+    return read_id_list(spark, path).select(F.col("appid").cast("long").alias("appid"), F.coalesce(day, F.lit(1)).alias("day"))
+
+
 def write_json_documents(df: DataFrame, path: str, pretty: bool = False) -> None:
     """One JSON object per line, or over several lines each."""
     options = {"pretty": "true"} if pretty else {}
