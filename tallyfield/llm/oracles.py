@@ -7,6 +7,7 @@ import string
 from tallyfield.llm.common import SPACE
 from tallyfield.llm.licences import COPYRIGHT, GAPS, LINES, MARKS, NOTICE, RULES, SENTENCES, WORDS
 from tallyfield.llm.mixing import MOST, NEXT, SEED
+from tallyfield.llm import urls
 from tallyfield.llm.quality import CHAR_LIMIT, CLASSES, COMMON_WORDS, MIN_LIST_WORDS, MIN_WORDS, WORD_LIMIT
 
 OP1 = r"""
@@ -161,4 +162,42 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d
 FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.x = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op2_quality_divergence": OP2, "op3_pareto_mixing": OP3, "op4_licence_scan": OP4, "op5_substring_dedup": OP5, "op7_near_dedup": OP7, "op8_exact_dedup": OP8}
+_VARIABLE = f"regexp_matches(stem, '^[0-9]+$|^[0-9a-fA-F-]{{8,}}$|[0-9].*[0-9].*[0-9]') OR length(stem) > {urls.LONG} OR stem = '*'"
+_ENDED = r"regexp_extract(s, '^(.*?)(\.[A-Za-z]{1,5})?$', "
+_GENERAL = "CASE WHEN " + _VARIABLE.replace("stem", _ENDED + "1)") + " THEN '*' || " + _ENDED + "2) ELSE s END"
+#: Levels of a path that the SQL follows; the given tables have two.
+LEVELS = 4
+
+
+def _level(k: int) -> str:
+    share = "(x.b + a.g[-1].b) / (x.m + a.g[-1].m)"
+    apart = f"abs(x.b / x.m - a.g[-1].b / a.g[-1].m) > {urls.MOST_Z} * sqrt({share} * (1 - {share}) * (1 / x.m + 1 / a.g[-1].m))"
+    group = "STRUCT(m BIGINT, b BIGINT, names VARCHAR[])[]"
+    return f"""n{k} AS (SELECT *, count(*) OVER w AS children, sum(pages) OVER w AS all_pages, (bad + {urls.STRENGTH} * prior) / (labelled + {urls.STRENGTH}) AS rate
+  FROM (SELECT host, prefix, parts[{k + 1}] AS seg, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(labelled) AS BIGINT) AS labelled, CAST(sum(bad) AS BIGINT) AS bad FROM r{k} WHERE len(parts) > {k} GROUP BY ALL) CROSS JOIN pr WINDOW w AS (PARTITION BY host, prefix)),
+w{k} AS (SELECT *, starts_with(seg, '*') OR children > {urls.FANOUT} AND pages < {urls.FREQUENT} * all_pages AS wild FROM n{k}),
+l{k} AS (SELECT host, prefix, list({{'g': CAST([] AS {group}), 'm': labelled, 'b': bad, 'seg': seg}} ORDER BY rate, seg) AS children FROM w{k} WHERE NOT wild AND labelled >= {urls.MIN_LABELS} GROUP BY 1, 2),
+g{k} AS (SELECT host, prefix, unnest(list_reduce(children, lambda a, x: {{'g': CASE WHEN len(a.g) = 0 THEN [{{'m': x.m, 'b': x.b, 'names': [x.seg]}}] WHEN {apart} THEN list_append(a.g, {{'m': x.m, 'b': x.b, 'names': [x.seg]}})
+  ELSE list_append(a.g[:-2], {{'m': a.g[-1].m + x.m, 'b': a.g[-1].b + x.b, 'names': list_append(a.g[-1].names, x.seg)}}) END, 'm': x.m, 'b': x.b, 'seg': x.seg}}, {{'g': CAST([] AS {group}), 'm': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'seg': ''}}).g) AS g FROM l{k}),
+b{k} AS (SELECT host, prefix, unnest(g.names) AS seg, array_to_string(list_sort(g.names), '|') AS name FROM g{k} UNION ALL SELECT host, prefix, seg, CASE WHEN wild THEN '*' ELSE seg END FROM w{k} WHERE wild OR labelled < {urls.MIN_LABELS}),
+r{k + 1} AS (SELECT r{k}.* REPLACE (CASE WHEN name IS NULL THEN r{k}.prefix ELSE r{k}.prefix || '/' || name END AS prefix) FROM r{k} LEFT JOIN b{k} ON b{k}.host = r{k}.host AND b{k}.prefix = r{k}.prefix AND b{k}.seg = r{k}.parts[{k + 1}])"""
+
+
+_FITS = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN " for _, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))]
+_BEST = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+OP10 = rf"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+p AS (SELECT *, array_to_string(parts, '/') AS route FROM (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda s: {_GENERAL}) AS parts FROM h)),
+q AS (SELECT page_id AS k, min(quality) = 0 AS bad FROM (SELECT page_id, TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:[/.]|$)', 1), '') AS BIGINT) AS doc_id FROM h) JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1) USING (doc_id) GROUP BY 1),
+r0 AS (SELECT host, route, any_value(parts) AS parts, '' AS prefix, count(*) AS pages, count(bad) AS labelled, count(*) FILTER (bad) AS bad FROM p LEFT JOIN q ON k = page_id GROUP BY 1, 2),
+pr AS (SELECT sum(bad) / greatest(sum(labelled), 1) AS prior FROM r0),
+{", ".join(map(_level, range(LEVELS)))},
+t AS (SELECT host, prefix, (sum(bad) + {urls.STRENGTH} * any_value(prior)) / (sum(labelled) + {urls.STRENGTH}) AS share FROM r{LEVELS} CROSS JOIN pr GROUP BY 1, 2),
+f AS (SELECT r{LEVELS}.host AS fh, route AS fr, r{LEVELS}.prefix AS template, share FROM r{LEVELS} JOIN t USING (host, prefix))
+SELECT page_id, host, path, CASE {" ".join(f"{c}'{h}{x}'" for c, (_, h, x) in zip(_FITS, _BEST))} END AS rule,
+  CASE {" ".join(f"{c}'{says}'" for c, (says, _, _) in zip(_FITS, _BEST))} WHEN share >= {urls.REJECT} THEN 'block' ELSE 'allow' END AS verdict, template
+FROM p JOIN f ON fh = host AND fr = route
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op2_quality_divergence": OP2, "op3_pareto_mixing": OP3, "op4_licence_scan": OP4, "op5_substring_dedup": OP5, "op7_near_dedup": OP7, "op8_exact_dedup": OP8, "op10_url_templates": OP10}
