@@ -267,7 +267,16 @@ def claim_enforce(spark, d):
     return out.select("claim_id", "reason", F.array_join("supporting_ids", ",").alias("ids"), "positive", "negative", "citation_verdict")
 
 
-@query()
+_LIKE = "len(k.t) > 0 AND len(x.t) > 0 AND len(list_filter(x.t, lambda c: len(list_filter(k.t, lambda r: {}))  > 0)) / greatest(len(k.t), len(x.t), 1) >= 0.5".format(O.ALIKE)
+_KEPT = "STRUCT(seq BIGINT, claim VARCHAR, n BIGINT, t VARCHAR[])[]"
+
+
+@query(f"""WITH c AS (SELECT item_id % 5 AS g, item_id AS seq, text AS claim, item_id % 4 AS n, {O.tokens("text")} AS t FROM benchmark),
+ l AS (SELECT g, list({{'kept': CAST([] AS {_KEPT}), 'seq': CAST(seq AS BIGINT), 'claim': claim, 'n': CAST(n AS BIGINT), 't': t}} ORDER BY seq) AS items FROM c GROUP BY 1),
+ m AS (SELECT g, unnest(list_reduce(items, lambda a, x: {{'kept': CASE WHEN coalesce(list_position(list_transform(a.kept, lambda k: {_LIKE}), true), 0) = 0 THEN list_append(a.kept, {{'seq': x.seq, 'claim': x.claim, 'n': x.n, 't': x.t}})
+   ELSE list_transform(a.kept, lambda k, i: CASE WHEN i = list_position(list_transform(a.kept, lambda k: {_LIKE}), true) AND x.n > k.n THEN {{'seq': x.seq, 'claim': x.claim, 'n': x.n, 't': x.t}} ELSE k END) END, 'seq': x.seq, 'claim': x.claim, 'n': x.n, 't': x.t}},
+   {{'kept': CAST([] AS {_KEPT}), 'seq': CAST(0 AS BIGINT), 'claim': '', 'n': CAST(0 AS BIGINT), 't': CAST([] AS VARCHAR[])}}).kept) AS k FROM l)
+ SELECT g AS "group", k.seq AS seq, k.claim AS claim, k.n AS n_ids FROM m""")
 def fuzzy_merge(spark, d):
     rows = A.table(spark, d, "benchmark").select((F.col("item_id") % 5).alias("group"), F.col("item_id").alias("seq"), F.col("text").alias("claim"), (F.col("item_id") % 4).alias("n_ids"))
     return claims.merge_similar(rows)
@@ -562,7 +571,12 @@ def stream_dedup(spark, d):
     return limits.run_to_end(limits.first_seen(limits.log_stream(spark, d)).select("id"), "append")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT event_id AS id, event_type AS ledger, epoch_us(ts) / 1e6 AS at_s, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+ r AS (SELECT ledger, k, id, CAST([at_s] AS DOUBLE[]) AS stamps, 0e0 AS wait FROM e WHERE k = 1
+  UNION ALL SELECT ledger, k, id, list_sort(list_append(recent, begins))[-{3 * C.REQUESTS_PER_MINUTE}:], begins - at_s FROM
+   (SELECT *, CASE WHEN len(recent) >= {C.REQUESTS_PER_MINUTE} THEN greatest(at_s, recent[-{C.REQUESTS_PER_MINUTE}] + 60) ELSE at_s END AS begins FROM
+    (SELECT e.ledger, e.k, e.id, e.at_s, list_sort(list_filter(r.stamps, lambda s: e.at_s - s < 60)) AS recent FROM r JOIN e ON e.ledger = r.ledger AND e.k = r.k + 1)))
+ SELECT id, ledger, round(wait, 6) AS wait_seconds FROM r""")
 def stateful_limiter(spark, d):
     return limits.run_to_end(limits.limiter(limits.log_stream(spark, d)), "append")
 
