@@ -16,7 +16,7 @@ def visible_words(text: Column) -> Column:
 
 
 def share_of(text: Column, pattern: str) -> Column:
-    """The share of a text's characters that match a class; 0 for an empty text."""
+    """The share of a text's characters that a pattern of runs matches; 0 for an empty text."""
     n = F.length(text)
     return F.when(n > 0, (n - F.length(F.regexp_replace(text, pattern, ""))) / n).otherwise(0.0)
 
@@ -29,15 +29,23 @@ def leet(text: Column) -> Column:
     return F.translate(F.lower(text), C.LEET_FROM, C.LEET_TO)
 
 
+#: A letter, digit or underscore; accents count as letters.
+_INSIDE = r"[\p{L}\p{N}_]"
+
+
+def _as_words(bodies: list[str], firsts: set[str]) -> str:
+    """Matches the bodies as whole words; places where none begins go by their first character."""
+    return rf"(?i)(?=[{''.join(map(re.escape, sorted(firsts)))}])(?<!{_INSIDE})(?:{'|'.join(bodies)})(?!{_INSIDE})"
+
+
 def block_pattern(terms: list[str]) -> str:
     """Matches the terms as words, whatever letters repeat, with the usual endings."""
-    bodies = ["".join(re.escape(c) + ("+" if c.isalpha() else "") for c in t) + C.SUFFIX for t in terms]
-    return r"(?i)(^|[^\p{L}\p{N}_])(?:" + "|".join(bodies) + r")($|[^\p{L}\p{N}_])"
+    return _as_words(["".join(re.escape(c) + ("+" if c.isalpha() else "") for c in t) + C.SUFFIX for t in terms], {t[0] for t in terms})
 
 
 def soft_pattern(terms: list[str], blocked: list[str]) -> str:
-    kept = [re.escape(t) for t in terms if t not in set(blocked)]
-    return r"(?i)(^|[^\p{L}\p{N}_])(?:" + "|".join(kept) + r")($|[^\p{L}\p{N}_])"
+    kept = [t for t in terms if t not in set(blocked)]
+    return _as_words([re.escape(t) for t in kept], {t[0] for t in kept})
 
 
 def tokens(text: Column) -> Column:

@@ -25,10 +25,10 @@ def classify(reviews: DataFrame, blocked: list[str], soft: list[str]) -> DataFra
         .when(F.col("_blocked"), "blocked_term")
         .when((funny > up) & (funny >= C.FUNNY_FLOOR), "joke_review")
         .when(n < C.MIN_WORDS, "low_information")
-        .when((length > 20) & (share_of(F.col("_text"), r"[\p{L}\s]") < C.ALPHA_RATIO), "low_information")
+        .when((length > 20) & (share_of(F.col("_text"), r"[\p{L}\s]+") < C.ALPHA_RATIO), "low_information")
         .when((n >= 5) & (distinct / F.greatest(n, F.lit(1)) < C.REPEAT_RATIO), "low_information")
     )
-    letters, upper = length - F.length(F.regexp_replace("_text", r"\p{L}", "")), length - F.length(F.regexp_replace("_text", r"\p{Lu}", ""))
+    letters, upper = length - F.length(F.regexp_replace("_text", r"\p{L}+", "")), length - F.length(F.regexp_replace("_text", r"\p{Lu}+", ""))
     known_soft = [t for t in soft if t not in set(blocked)]
     notes = F.array(
         F.when(F.col("_hearts") > 0, "hearts_present"),
