@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tallyfield import config as C
 from tallyfield.functions import rates as R
 from tallyfield.functions import text as X
-from tallyfield.operators import catalog, claims, evals, filtering, ledger, pool, publish, sourcing, verdict
+from tallyfield.operators import admission, audits, catalog, claims, documents, evals, filtering, ledger, pool, publish, sourcing, verdict
 from tallyfield.sources import files
 from tallyfield.streaming import limits
 
@@ -346,3 +346,61 @@ def test_all_statements_about_people_are_found(spark):
 def test_memo_keys_tell_nulls_apart(spark):
     df = spark.createDataFrame([("a", None, "b"), ("a", "b", None), ("a", "", "b")], "x string, y string, z string")
     assert len({r[0] for r in df.select(files.memo_key("t", "x", "y", "z")).collect()}) == 3
+
+
+def test_admission_names_the_first_limit(spark):
+    rows = [(88, "a", 0), (87, "a", 5), (87, "a", 4), (87, None, 9), (87, "", 9), (None, "a", None), (500, "a", 9)]
+    df = spark.createDataFrame(rows, "used int, ip string, seen int")
+    got = [tuple(r[0]) for r in df.select(admission.can_generate(F.col("used"), F.col("ip"), F.col("seen"))).collect()]
+    assert got == [(False, "reserve_exhausted", 12), (False, "ip_limited", 13), (True, "ok", 13), (True, "ok", 13), (True, "ok", 13), (True, "ok", 100), (False, "reserve_exhausted", 0)]
+    both = spark.createDataFrame([(380, 7), (380, 8), (None, None), (0, 400)], "batch int, live int")
+    assert [r[0].code for r in both.select(admission.can_batch(F.col("batch"), F.col("live"))).collect()] == ["ok", "batch_budget_exhausted", "ok", "batch_budget_exhausted"]
+    assert [r[0].allowed for r in both.select(admission.can_flash(F.col("live") + 12)).collect()] == [True, False, True, False]
+
+
+def test_stages_stop_a_title_and_no_other(spark):
+    titles = spark.createDataFrame([(1,), (2,), (3,), (4,)], "appid int")
+    stages = [("one", lambda t: t.where("appid <> 2").withColumn("code", F.when(F.col("appid") == 1, "thin"))), ("two", lambda t: t.withColumn("code", F.when(F.col("appid") == 4, "late")))]
+    assert {tuple(r) for r in admission.run_stages(titles, stages).collect()} == {(1, "thin"), (2, "one_failed"), (3, "ok"), (4, "late")}
+    assert admission.run_stages(titles.limit(0), stages).count() == 0
+
+
+def test_only_the_first_attempt_reads_the_memory(spark):
+    asked = []
+    memo = spark.createDataFrame([("a", "good"), ("b", "bad")], "key string, response string")
+    requests = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "key string")
+
+    def ask(rows, attempt):
+        asked.append((attempt, sorted(r.key for r in rows.collect())))
+        return rows.select("key", F.when(F.col("key") == "d", "bad").otherwise(f"good {attempt}").alias("response"))
+
+    got = admission.retry(requests, memo, ask, lambda r: r.withColumn("code", F.when(F.col("response") == "bad", "invalid")), retries=1)
+    assert {tuple(r) for r in got.collect()} == {("a", "good", 0, None), ("c", "good 0", 0, None), ("b", "good 1", 1, None), ("d", "bad", 1, "invalid")}
+    assert asked[0] == (0, ["c", "d"]) and asked[1] == (1, ["b", "d"])
+
+
+def test_titles_without_a_name_stop_everything(spark):
+    df = spark.createDataFrame([(1, "x"), (2, " ")], "appid int, name string")
+    assert documents.named_only(df.where("appid = 1")).count() == 1
+    with pytest.raises(Exception, match="no name for title 2"):
+        documents.named_only(df).collect()
+
+
+def test_documents_of_odd_rows(spark):
+    b = F.col("b")
+    df = spark.createDataFrame([("early",), ("veteran",), ("other",), (None,)], "b string")
+    assert [tuple(r) for r in df.select(documents.cohort_hours(b), documents.cohort_label(b)).collect()] == [("2-20 hours played", "2-20h"), ("100+ hours played", "100h+"), ("unknown playtime", "other"), ("unknown playtime", None)]
+    claims_ = spark.createDataFrame([("g", "mid", "t1", "c1", 1), ("g", "mid", "t2", "c2", 2), ("g", "mid", "t1", "c3", 3)], "game string, bucket string, theme string, claim_id string, seq int")
+    listed = spark.createDataFrame([("g", "mid", "c3", 0), ("g", "mid", "c2", 1), ("g", "mid", "c3", 2), ("g", "mid", "unknown", 3)], "game string, bucket string, claim_id string, pos int")
+    full = documents.ordered_claims(claims_, listed).withColumns({"claim": F.lit("x"), "citation_verdict": F.lit("mixed"), "positive": F.lit(1), "negative": F.lit(0), "citations": F.array(F.lit("r"))})
+    assert [(t.theme, [c.claim_id for c in t.claims]) for t in documents.themes(full).first().themes] == [("t1", ["c3", "c1"]), ("t2", ["c2"])]
+    first, second = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string")
+    assert {tuple(r) for r in documents.prefer(first, second, ["k"]).collect()} == {(1, "a"), (2, "c")}
+
+
+def test_schedules_and_responses(spark, tmp_path):
+    (tmp_path / "tier.txt").write_text("# head\n10 # day 3, big\n20\nx # day 4\n30 # later\n")
+    assert {tuple(r) for r in files.read_schedule(spark, str(tmp_path / "tier.txt")).collect()} == {(10, 3), (20, 1), (30, 1)}
+    df = spark.createDataFrame([('{"word": "Buy"}',), ('{"word": ',), ("[]",), (None,), ('{"x": 1}',)], "t string")
+    got = [(r[0].parsed.word if r[0].parsed else None, r[0].code) for r in df.select(audits.parse_response(F.col("t"), "word string", "word")).collect()]
+    assert got[0] == ("Buy", None) and got[1] == got[3] == (None, "invalid_json") and got[2][1] is not None and got[4] == (None, "missing:word")
