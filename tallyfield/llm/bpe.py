@@ -10,7 +10,7 @@ replayed together, and the ids of known ones are kept in a table of bounded size
 that table, and every partition is independent of the others.
 
 Defined results: null texts count as empty and give no ids; rows that repeat are encoded each; an empty table gives no
-rows; other columns are ignored by `encode` and kept by `encode_stage` unless their name is one it adds.
+rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -57,15 +57,18 @@ def brute_mix(rows):
             due -= ranked[at][3]
             copies[ranked[at][4]] += 1
             at += 1
-        rest = []
-        for *_, n, i in ranked[at : at + mixing.FILL]:
-            if n <= due:
-                due -= n
-                copies[i] += 1
-            else:
-                rest.append((n, i))
-        if rest and min(rest, key=lambda x: x[0])[0] < 2 * due:
-            copies[min(rest, key=lambda x: x[0])[1]] += 1
+        steps = []
+        for change, beside in ((1, ranked[at:]), (-1, ranked[:at][::-1])):
+            turns = Counter()
+            for *_, n, i in beside:
+                k = n.bit_length()
+                turns[k] += 1
+                if turns[k] <= mixing.NEXT:
+                    steps.append((-k, -change, turns[k], n, i))
+        for _, change, _, n, i in sorted(steps):
+            if abs(due + change * n) < abs(due):
+                due += change * n
+                copies[i] -= change
     return copies
 
 
