@@ -291,7 +291,7 @@ def extended_catalog(spark, d):
     return catalog.add_extra(chosen, extra, have, duplicates)
 
 
-@query("SELECT count(*) AS n, sha256('{\"v\":1,\"n\":' || count(*) || ',\"c\":{' || string_agg('\"' || p_partkey || '\":\"' || p_brand || '\"', ',' ORDER BY p_partkey) || '}}') AS payload_sha256 FROM part WHERE p_size > 25 AND p_retailprice > 950")
+@query("SELECT count(*) AS n, sha256('{\"v\":1,\"n\":' || count(*) || ',\"c\":{' || coalesce(string_agg('\"' || p_partkey || '\":\"' || p_brand || '\"', ',' ORDER BY p_partkey), '') || '}}') AS payload_sha256 FROM part WHERE p_size > 25 AND p_retailprice > 950")
 def art_shard(spark, d):
     p = A.table(spark, d, "part").withColumnRenamed("p_partkey", "appid")
     out = documents.art_payload(p.where("p_size > 25").select("appid", F.col("p_brand").alias("suffix")), p.where("p_retailprice > 950"))
