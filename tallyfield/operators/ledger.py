@@ -30,12 +30,12 @@ def budget_stop(titles: DataFrame, budget: int, reserved: int = C.RESERVED) -> D
 
 def trailing(log: DataFrame, seconds: int = 60, ceiling: int = C.REQUESTS_PER_MINUTE) -> DataFrame:
     """id, ledger, in_window, over: requests of a ledger in the `seconds` up to each, the lower end excluded. Windows are
-    by ledger and day, with the rows of the day before that still count."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    day, span = F.floor(micros / 86_400_000_000), seconds * 1_000_000
-    rows = log.select("id", "ledger", micros.alias("us"), F.explode(F.array_distinct(F.array(day, F.floor((micros + span) / 86_400_000_000)))).alias("day"), day.alias("own_day"))
-    frame = Window.partitionBy("ledger", "day").orderBy("us").rangeBetween(-(span - 1), 0)
-    counted = rows.withColumn("in_window", F.count("*").over(frame)).where("day = own_day")
+    by ledger and slices of four times that length, with the rows of the slice before that still count."""
+    micros, span = F.unix_micros(F.col("ts").cast("timestamp")), seconds * 1_000_000
+    own, last = F.floor(micros / (4 * span)), F.floor((micros + span - 1) / (4 * span))
+    rows = log.select("id", "ledger", micros.alias("us"), F.explode(F.array_distinct(F.array(own, last))).alias("slice"), own.alias("own"))
+    frame = Window.partitionBy("ledger", "slice").orderBy("us").rangeBetween(-(span - 1), 0)
+    counted = rows.withColumn("in_window", F.count("*").over(frame)).where("slice = own")
     return counted.select("id", "ledger", "in_window", (F.col("in_window") > ceiling).alias("over"))
 
 

@@ -72,6 +72,8 @@ def quota_sample(pool: DataFrame, target: int, quota: int, filters: list[str]) -
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, filters)), F.col("primary")), F.lit(0)), F.lit(len(filters) + 1))
     rows = pool.where(F.col("bucket").isin(C.BUCKET_NAMES)).withColumn("queue", place)
     rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("game", "bucket", "primary").orderBy("seq")))
+    # no queue gives more than its cohort's quota and all that can be short; this is cut before the rows meet
+    rows = rows.where(F.col("turn") <= target + quota)
     rows = rows.withColumn("pick", F.row_number().over(Window.partitionBy("game", "bucket").orderBy("turn", "queue", "primary")))
     rows = rows.withColumn("chosen", F.col("pick") <= quota)
     # what is left of a cohort stays queue by queue
