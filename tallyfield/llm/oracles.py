@@ -76,7 +76,8 @@ WITH s0 AS (
   FROM s{len(CLASSES)} LEFT JOIN covered USING (rid)
 ), refs AS (SELECT {_SUMS} FROM f), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    n_words < {MIN_WORDS} OR {" OR ".join(map(_near, COMMON_WORDS))} OR {" AND ".join(f"(SELECT n_{k} FROM refs) = 0" for k in COMMON_WORDS)} AS near
+    n_words < {MIN_WORDS} OR {" OR ".join(map(_near, COMMON_WORDS))} OR {" AND ".join(f"(SELECT n_{k} FROM refs) = 0" for k in COMMON_WORDS)}
+      OR lang IS NOT NULL AND NOT ({" OR ".join(f"lang = '{k}' AND (SELECT n_{k} FROM refs) > 0" for k in COMMON_WORDS)}) AS near
   FROM f
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,

@@ -4,11 +4,11 @@ Every document gives two histograms: its characters by class and, for each langu
 words by list entry, with one class for all other words. The references are the same histograms summed over all
 documents of a language that are long enough. A document diverges from a language if the Jensen-Shannon distance (base
 2, from 0 to 1) of either histogram to its reference passes the limit, and is rejected if it diverges from every
-language. Guards: with fewer than MIN_WORDS words the method rejects nothing, and with fewer than MIN_LIST_WORDS the
+language; one in a language of which there is no reference isn't judged by the method. Guards: with fewer than MIN_WORDS words the method rejects nothing, and with fewer than MIN_LIST_WORDS the
 words by list entry are not compared, as short histograms lie far from any reference by chance.
 
 Defined results: null texts count as empty and fail the base rules; without a reference nothing is rejected by the
-method; languages without a list, null among them, give no reference; rows that repeat are judged each; an empty table
+method; languages without a list give no reference, and their documents stay; null is compared with all; rows that repeat are judged each; an empty table
 gives no rows; other columns are ignored by `judge` and kept by `keep_good`.
 """
 
@@ -136,7 +136,8 @@ def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = W
     known = distances(counts, references(counts))
     for chars, words in known.values():
         near = near | ((chars <= char_limit) & ((F.col("n_words") < MIN_LIST_WORDS) | (words <= word_limit)))
-    passed = (F.col("n_words") < MIN_WORDS) | near if known else F.lit(True)
+    foreign = F.coalesce(~F.col("lang").isin(list(known)), F.lit(False))
+    passed = (F.col("n_words") < MIN_WORDS) | near | foreign if known else F.lit(True)
     failed = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return counts.select(
         "doc_id", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & passed).alias("kept")

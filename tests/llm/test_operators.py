@@ -106,6 +106,16 @@ def test_quality_rejects_what_lies_far_from_every_language(spark):
     assert all(good) and sum(bad) < 0.25 * len(bad)
 
 
+def test_quality_leaves_languages_without_a_reference_alone(spark):
+    english = "the of and to in is it that was for are on " * 20
+    rows = [(1, english, "en"), (2, prose(5, 300), "it"), (3, prose(5, 300), "en"), (4, prose(5, 300), None), (5, prose(5, 300), "de")]
+    rows = [(k, " ".join(w + f" u{k}x{i}" for i, w in enumerate(t.split())), lang) for k, t, lang in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r.doc_id: r.kept for r in quality.judge(docs.where("doc_id < 5")).collect() if not r.base_failed}[2]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(docs.where("doc_id in (1, 2, 4)")).collect()}
+    assert got[1] == (False, True) and got[2] == (False, True) and got[4] == (False, False)
+
+
 # --- mixing
 
 
