@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.package import shared_folder, ship
 
-__all__ = ["SPACE", "WORD", "cut", "own_columns", "partitions", "shared_folder", "ship", "table", "text_mark", "unused", "without", "word_count", "words"]
+__all__ = ["SPACE", "WORD", "cut", "own_columns", "partitions", "shared_folder", "ship", "spread_keys", "table", "text_mark", "unused", "without", "word_count", "words"]
 
 #: White space that separates words: space and U+0009 to U+000D.
 SPACE = "\\x20\\x09-\\x0D"
@@ -57,6 +58,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_keys(n: int, partitions: int) -> list[int]:
+    """`n` ints that hash partitioning deals evenly to so many partitions: Spark takes the Murmur3 hash with seed 42
+    modulo their number."""
+    k = np.arange(64 * max(n, partitions), dtype=np.uint32)
+    with np.errstate(over="ignore"):
+        turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+        h = np.uint32(42) ^ (turn(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+        h = (turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h = h ^ (h >> np.uint32(16))
+    part = h.view(np.int32) % partitions
+    order = np.argsort(part, kind="stable")
+    first = np.searchsorted(part[order], part[order])
+    turns = np.arange(len(order)) - first  # a partition's first key, its second, and so on
+    return order[np.lexsort((part[order], turns))][:n].tolist()
+
+
 def words(text: Column) -> Column:
     """The words of a text (null: none) as an array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")

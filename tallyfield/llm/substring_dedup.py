@@ -24,29 +24,31 @@ gives no rows; very long texts are whole, in one chunk; other columns are ignore
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import text_mark
+from tallyfield.llm.common import partitions, spread_keys, text_mark
 from tallyfield.llm.word_hashes import WordHashes, by_range, pack, rolling, unpack
 
 WINDOW = 50
 BLOCK = 25
 #: Characters of a chunk of documents on average; low bits that an anchor's hash loses; seed of the second hash.
 CHUNK_CHARS = 4_000_000
+#: So many chunks are dealt evenly to the partitions by keys chosen for that; more fall evenly enough by chance.
+EVEN = 4096
 ANCHOR_BITS = np.uint64(24)
 SECOND = 1
 
 #: What a chunk and a range send each other: hashes, or a chunk's own documents that take part.
 HASHES, OWN = 0, 1
-SENT = "part bigint, chunk bigint, kind int, blob binary"
-_SENT = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
-FOUND = "chunk bigint, kind int, blob binary"
-_FOUND = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
+SENT = "part int, chunk int, kind int, blob binary"
+_SENT = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+FOUND = "chunk int, kind int, blob binary"
+_FOUND = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 
 
@@ -75,7 +77,7 @@ def _anchors(known: WordHashes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h, rolling(h, BLOCK) >> ANCHOR_BITS << ANCHOR_BITS if len(h) >= WINDOW else np.zeros(0, np.uint64)
 
 
-def _chunk_anchors(ranges: int) -> Callable:
+def _chunk_anchors(ranges: Sequence[int]) -> Callable:
     """A chunk's distinct runs of BLOCK words: whether several of its documents have one, and whether one lies on a grid."""
 
     known = WordHashes()
@@ -99,7 +101,7 @@ def _chunk_anchors(ranges: int) -> Callable:
         several = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
         bits = several.astype(np.uint8) + 2 * np.logical_or.reduceat(g, starts).astype(np.uint8)
         h = h[starts]
-        return _table([(k, key[0].as_py(), HASHES, pack(h[s], bits[s])) for k, s in by_range(h, ranges)], _SENT)
+        return _table([(ranges[k], key[0].as_py(), HASHES, pack(h[s], bits[s])) for k, s in by_range(h, len(ranges))], _SENT)
 
     return run
 
@@ -127,7 +129,7 @@ def _shared_anchors(sent: pa.Table) -> pa.Table:
     return _returned(chunks, owner[kept], h[kept])
 
 
-def _chunk_windows(ranges: int) -> Callable:
+def _chunk_windows(ranges: Sequence[int]) -> Callable:
     """A chunk's distinct windows that hold an anchor, with the first and the last of its documents that have one."""
 
     known, second = WordHashes(), WordHashes(SECOND)
@@ -153,14 +155,14 @@ def _chunk_windows(ranges: int) -> Callable:
         if not held[0]:
             return _SENT.empty_table()
         one, two, d = map(np.concatenate, held)
-        part = int(one[0] % np.uint64(ranges))
+        part = ranges[int(one[0] % np.uint64(len(ranges)))]
         own = (part, key[0].as_py(), OWN, np.unique(d).tobytes())
         order = np.lexsort((d, two, one))
         one, two, d = one[order], two[order], d[order]
         starts = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
         last = d[np.concatenate((starts[1:], [len(d)])) - 1]
         one, two, first = one[starts], two[starts], d[starts]
-        return _table([own, *((k, key[0].as_py(), HASHES, pack(one[s], two[s], first[s], last[s])) for k, s in by_range(one, ranges))], _SENT)
+        return _table([own, *((ranges[k], key[0].as_py(), HASHES, pack(one[s], two[s], first[s], last[s])) for k, s in by_range(one, len(ranges)))], _SENT)
 
     return run
 
@@ -232,10 +234,15 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chunks = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // CHUNK_CHARS))
     spread = F.when(F.col("doc_id").isNull(), text_mark(F.col("text"))).otherwise(F.xxhash64("doc_id"))
-    rows = rows.withColumn("chunk", F.pmod(spread, F.lit(chunks)))
+    if chunks <= EVEN:
+        keys = spread_keys(chunks, partitions(docs.sparkSession))
+        chunk = F.element_at(F.array(*map(F.lit, keys)), (F.pmod(spread, F.lit(chunks)) + 1).cast("int"))
+    else:
+        keys, chunk = range(chunks), F.pmod(spread, F.lit(chunks)).cast("int")
+    rows = rows.withColumn("chunk", chunk)
     by_chunk = rows.groupBy("chunk")
-    anchors = by_chunk.applyInArrow(_chunk_anchors(chunks), SENT).groupBy("part").applyInArrow(_shared_anchors, FOUND)
-    windows = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(_chunk_windows(chunks), SENT)
+    anchors = by_chunk.applyInArrow(_chunk_anchors(keys), SENT).groupBy("part").applyInArrow(_shared_anchors, FOUND)
+    windows = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(_chunk_windows(keys), SENT)
     repeats = windows.groupBy("part").applyInArrow(_first_documents, FOUND)
     out = by_chunk.cogroup(repeats.groupBy("chunk")).applyInArrow(_remove(with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, text string")
     return out if with_text else out.drop("text")

@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tallyfield.llm import bpe, chat, exact_dedup, licences, mixing, near_dedup, quality, substring_dedup, toxicity, urls, word_hashes
-from tallyfield.llm.common import table
+from tallyfield.llm.common import spread_keys, table
 from tallyfield.llm.queries import QUERIES, VOCABULARY
 
 SMALL = "/root/testdata/sf0.001"
@@ -311,7 +311,7 @@ def test_substrings_in_many_chunks_with_hashes_that_collide(spark, monkeypatch):
 
     with monkeypatch.context() as m:
         m.setattr(substring_dedup, "WordHashes", Colliding)
-        run = [substring_dedup._chunk_anchors(2), substring_dedup._chunk_windows(2), substring_dedup._remove(False)]
+        run = [substring_dedup._chunk_anchors([5, 3]), substring_dedup._chunk_windows([5, 3]), substring_dedup._remove(False)]
         docs = pa.table({"doc_id": [k for k, *_ in rows[:30]], "text": [t for _, t, *_ in rows[:30]]})
         key = (pa.scalar(0),)
         found = [substring_dedup._shared_anchors(t) for t in by_part(run[0](key, docs))]
@@ -320,6 +320,13 @@ def test_substrings_in_many_chunks_with_hashes_that_collide(spark, monkeypatch):
     assert sorted((tuple(r.values()) for r in out.to_pylist()), key=str) == brute_substrings(rows[:30])
 
 
+def test_keys_are_dealt_evenly(spark):
+    for n, parts in ((1, 7), (7, 7), (50, 7), (30, 211)):
+        keys = spark.createDataFrame([(k,) for k in spread_keys(n, parts)], "part int").repartition(parts, "part")
+        counts = [r["count"] for r in keys.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(counts) == n and max(counts) == -(-n // parts)
+
+
 def by_part(sent):
     return [sent.filter(pa.compute.equal(sent.column("part"), k)) for k in set(sent.column("part").to_pylist())]
 
