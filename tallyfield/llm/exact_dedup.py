@@ -207,7 +207,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that `exact_dedup` keeps, with their own columns, and of rows that repeat a doc_id and a text
     one."""
-    judged = exact_dedup(docs)
+    judged = cut(exact_dedup(docs).select("doc_id", "mark", "kept"))
     kept = without(docs, judged.where(~F.col("kept")))
     repeated = judged.where("kept").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "mark")
     repeated = cut(repeated)
