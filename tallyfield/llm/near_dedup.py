@@ -196,17 +196,16 @@ def _close(ties: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 class Sketches:
-    """A block of classes, each with a label; `inside` and `guest` give edges that join what the close pairs of different
-    labels join."""
+    """A block of classes, each with a label; `inside` and `guest` give edges between labels that join what the close pairs
+    of different labels join."""
 
-    def __init__(self, keys: list[int], labels: list[int], payloads: list[bytes]) -> None:
-        self.keys, self.label = np.array(keys), np.array(labels)
+    def __init__(self, labels: list[int], payloads: list[bytes]) -> None:
+        self.label = np.array(labels)
         self.rows = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, SLOTS)
 
-    def _join(self, key: int, label: int, others: np.ndarray) -> list[tuple[int, int]]:
-        edges = []
-        for k in np.unique(self.label[others]).tolist():
-            edges.append((key, int(self.keys[others[self.label[others] == k][0]])))
+    def _join(self, label: int, others: np.ndarray) -> list[tuple[int, int]]:
+        edges = [(int(label), k) for k in np.unique(self.label[others]).tolist()]
+        for _, k in edges:
             self.label[self.label == k] = label
         return edges
 
@@ -215,21 +214,21 @@ class Sketches:
 
     def inside(self) -> list[tuple[int, int]]:
         edges = []
-        for x, key in enumerate(self.keys.tolist()):
+        for x in range(len(self.label)):
             later = x + 1 + np.flatnonzero(self.label[x + 1 :] != self.label[x])
             if len(later):
-                edges += self._join(key, self.label[x], self._near(self.rows[x], later))
+                edges += self._join(self.label[x], self._near(self.rows[x], later))
         return edges
 
-    def guest(self, key: int, label: int, payload: bytes) -> list[tuple[int, int]]:
-        return self._join(key, label, self._near(np.frombuffer(payload, np.uint8), np.flatnonzero(self.label != label)))
+    def guest(self, label: int, payload: bytes) -> list[tuple[int, int]]:
+        return self._join(label, self._near(np.frombuffer(payload, np.uint8), np.flatnonzero(self.label != label)))
 
 
 class Sets(Sketches):
     """The same with full sets and exact links, by an inverted index."""
 
-    def __init__(self, keys: list[int], labels: list[int], payloads: list[bytes]) -> None:
-        self.keys, self.label = np.array(keys), np.array(labels)
+    def __init__(self, labels: list[int], payloads: list[bytes]) -> None:
+        self.label = np.array(labels)
         sets = [np.frombuffer(p, np.uint64) for p in payloads]
         self.sizes = np.array([len(s) for s in sets])
         owner = np.repeat(np.arange(len(sets)), self.sizes)
@@ -240,15 +239,15 @@ class Sets(Sketches):
         self.token, self.offsets = token, np.concatenate(([0], np.cumsum(self.sizes)))
 
     def _linked(self, tokens: np.ndarray, size: int) -> np.ndarray:
-        common = np.zeros(len(self.keys), np.int64)
+        common = np.zeros(len(self.label), np.int64)
         if len(tokens):
-            common = np.bincount(np.concatenate([self.posting[self.starts[t] : self.starts[t + 1]] for t in tokens.tolist()]), minlength=len(self.keys))
+            common = np.bincount(np.concatenate([self.posting[self.starts[t] : self.starts[t + 1]] for t in tokens.tolist()]), minlength=len(self.label))
         return np.flatnonzero(LINK[0] * common >= LINK[1] * (self.sizes + size - common))
 
     def _compare(self, x: int) -> list[tuple[int, int]]:
         own = self.token[self.offsets[x] : self.offsets[x + 1]]
         others = self._linked(own[self.frequency[own] > 1], self.sizes[x])
-        return self._join(int(self.keys[x]), self.label[x], others[self.label[others] != self.label[x]])
+        return self._join(self.label[x], others[self.label[others] != self.label[x]])
 
     def inside(self) -> list[tuple[int, int]]:
         """The most central sets are compared with all others, then those outside the component that is the largest then;
@@ -264,19 +263,19 @@ class Sets(Sketches):
                 edges += self._compare(x)
         return edges
 
-    def guest(self, key: int, label: int, payload: bytes) -> list[tuple[int, int]]:
+    def guest(self, label: int, payload: bytes) -> list[tuple[int, int]]:
         own = np.frombuffer(payload, np.uint64)
         at = np.searchsorted(self.tokens, own)
         at = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == own]
         others = self._linked(at, len(own))
-        return self._join(key, label, others[self.label[others] != label])
+        return self._join(label, others[self.label[others] != label])
 
 
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _compared(rows: DataFrame, kind: type, inside: bool = True) -> DataFrame:
-    """Edges (a, b) between the rows (grp, blocks, class_id, label, loose, payload) of a group. Each row belongs to one of
+    """Edges (a, b) between the labels of the rows (grp, blocks, class_id, label, loose, payload) of a group. Each row belongs to one of
     the group's blocks, loose rows are guests in all the others; a task holds one block and streams its guests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,19 +288,19 @@ def _compared(rows: DataFrame, kind: type, inside: bool = True) -> DataFrame:
         for batch in batches:
             edges: list[tuple[int, int]] = []
             *columns, payloads = batch.columns
-            for grp, at, guest, key, label, payload in zip(*(c.to_pylist() for c in columns), payloads):
+            for grp, at, guest, label, payload in zip(*(c.to_pylist() for c in columns), payloads):
                 if (grp, at) != current:
                     if block is None and held:
                         edges += opened()[1]
                     current, held, block = (grp, at), [], None
                 if not guest:
-                    held.append((key, label, payload.as_py()))
+                    held.append((label, payload.as_py()))
                     continue
                 if block is None and held:
                     block, found = opened()
                     edges += found
                 if block is not None:
-                    edges += block.guest(key, label, payload.as_py())
+                    edges += block.guest(label, payload.as_py())
             if edges:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*edges)], schema=_EDGES)
         if block is None and held:
@@ -315,7 +314,15 @@ def _compared(rows: DataFrame, kind: type, inside: bool = True) -> DataFrame:
     places = F.when(F.col("loose") & (F.col("blocks") > 1), F.concat(F.array(place(own, False)), F.transform(others, lambda b: place(b, True)))).otherwise(F.array(place(own, False)))
     placed = rows.select("grp", "class_id", "label", "payload", F.explode(places).alias("at")).select("grp", "at.block", "at.guest", "class_id", "label", "payload")
     dealt = placed.repartition("grp", "block").sortWithinPartitions("grp", "block", "guest", "class_id")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.drop("class_id").mapInArrow(run, "a bigint, b bigint")
+
+
+def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root after edges between roots, or nodes that have none, are joined, too; only those are gone through again."""
+    more = cut(components(edges)).select(F.col("node").alias("more"), F.col("root").alias("to"))
+    moved = roots.join(more, F.col("root") == F.col("more"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    new = more.join(roots.select("node"), F.col("more") == F.col("node"), "left_anti")
+    return moved.unionByName(new.select(F.col("more").alias("node"), F.col("to").alias("root")))
 
 
 def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -366,17 +373,16 @@ def _sets(members: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _links(sets: DataFrame) -> DataFrame:
-    """Links that connect what the links of each family connect."""
-    found = cut(_compared(sets.withColumn("label", F.col("class_id")), Sets))
+    """node, root of the classes that links connect."""
+    roots = components(_compared(sets.withColumn("label", F.col("class_id")), Sets))
     large = sets.where("blocks > 1")
     if large.isEmpty():
-        return found
-    roots = cut(components(found))
+        return roots
+    roots = cut(roots)
     named = _labelled(large, roots)
     several = _several(named.select("grp", "label")).select("open_grp", "main")
     rest = named.drop("loose").join(several, F.col("grp") == F.col("open_grp")).withColumn("loose", F.col("label") != F.col("main"))
-    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return stars.unionByName(_compared(rest, Sets, inside=False))
+    return _joined(roots, _compared(rest, Sets, inside=False))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -388,9 +394,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     classes = cut(classes)
     shared = _shared(classes)
     roots = cut(components(_close(_ties(shared), classes)))
-    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    families = cut(components(stars.unionByName(_across(shared, roots, classes))))
-    found = components(_links(cut(_sets(_members(families, classes, shared), docs))))
+    families = cut(_joined(roots, _across(shared, roots, classes)))
+    found = cut(_links(cut(_sets(_members(families, classes, shared), docs))))
     least = found.groupBy("root").agg(F.min("node").alias("component_id")).select(F.col("root").alias("least_root"), "component_id")
     linked = cut(found.join(least, F.col("root") == F.col("least_root")).select(F.col("node"), F.col("component_id")))
     named = classes.select(F.col("digest").alias("class_digest"), "class_id").join(linked, F.col("class_id") == F.col("node"), "left")
