@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 
 from tallyfield.llm.common import SPACE
+from tallyfield.llm.line_dedup import MIN_CHARS, MIN_DOCS
 from tallyfield.llm.licences import COPYRIGHT, GAPS, LINES, MARKS, NOTICE, RULES, SENTENCES, WORDS
 from tallyfield.llm.mixing import MOST, NEXT, SEED
 from tallyfield.llm import urls
@@ -201,4 +202,52 @@ SELECT page_id, host, path, CASE {" ".join(f"{c}'{h}{x}'" for c, (_, h, x) in zi
 FROM p JOIN f ON fh = host AND fr = route
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op2_quality_divergence": OP2, "op3_pareto_mixing": OP3, "op4_licence_scan": OP4, "op5_substring_dedup": OP5, "op7_near_dedup": OP7, "op8_exact_dedup": OP8, "op10_url_templates": OP10}
+_NEAREST = """(SELECT vec_id, p.part, any_value(p.q) AS q,
+    min(list_sum(list_transform(list_zip(p.q, b.q), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) * 64 + b.entry) AS best
+  FROM p JOIN b{k} b ON b.part = p.part GROUP BY vec_id, p.part)"""
+_MEAN = "[" + ", ".join(f"CAST(floor(sum(q[{i}]) / count(*)) AS BIGINT)" for i in range(1, 5)) + "]"
+_ROUND = f"""n{{k}} AS {_NEAREST},
+m{{k}} AS (SELECT part, best % 64 AS entry, {_MEAN} AS q FROM n{{k}} GROUP BY 1, 2),
+b{{j}} AS (SELECT b.part, b.entry, coalesce(m.q, b.q) AS q FROM b{{k}} b LEFT JOIN m{{k}} m ON m.part = b.part AND m.entry = b.entry)"""
+OP11 = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, part, q[4 * part + 1:4 * part + 4] AS q FROM v CROSS JOIN range(16) AS t(part)),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < 64),
+b0 AS (SELECT part, entry, q FROM p JOIN s USING (vec_id)),
+{_ROUND.format(k=0, j=1)},
+{_ROUND.format(k=1, j=2)},
+n2 AS {_NEAREST.format(k=2)},
+e AS (SELECT vec_id, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM n2 GROUP BY 1),
+c AS (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN v USING (vec_id) CROSS JOIN c
+"""
+
+OP12 = rf"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[{SPACE}]+'), lambda x: x <> '') AS ws FROM documents),
+f AS (SELECT doc_id, part, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || d.c || g.c || h.c AS filter_order FROM x a, x b, x d, x g, x h WHERE len(list_distinct([a.c, b.c, d.c, g.c, h.c])) = 5),
+y AS (SELECT *, list_position(list_transform(string_split(filter_order, ''), lambda c: fails[ascii(c) - 64]), true) AS hit FROM m CROSS JOIN o),
+z AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS letter, fails, n, good, toxic, coalesce(nullif(hit, 0), 9) AS hit FROM y CROSS JOIN range(1, 6) AS s(step)),
+r AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (hit > step), 0) AS kept, coalesce(sum(n) FILTER (hit = step), 0) AS removed,
+    coalesce(sum(n) FILTER (fails[ascii(letter) - 64] AND hit < step), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails[ascii(letter) - 64] AND len(list_filter(fails, lambda b: b)) = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (hit = step), 0) AS good_lost, coalesce(sum(toxic) FILTER (hit = step), 0) AS toxic_lost FROM z GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS mark, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, mark, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS key FROM l),
+f AS (SELECT key AS long_key, max(doc_id) AS keeper FROM k WHERE length(key) >= {MIN_CHARS} GROUP BY 1 HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+j AS (SELECT doc_id, mark, line, place, long_key IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM k LEFT JOIN f ON key = long_key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id, mark
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op2_quality_divergence": OP2, "op3_pareto_mixing": OP3, "op4_licence_scan": OP4, "op5_substring_dedup": OP5, "op7_near_dedup": OP7, "op8_exact_dedup": OP8, "op10_url_templates": OP10, "op11_vector_codes": OP11, "op12_filter_audit": OP12, "op13_line_dedup": OP13}
