@@ -6,7 +6,7 @@ the ids that aren't the least. A task does the same with what it reads before it
 of all rows share one copy per task travels. Masks then meet the labels by doc_id, and combineByKey merges vectors of counts
 by mask, one per part and task. All orders are worked out from a part's vector.
 
-A partition of the router holds the texts of about one split of the input, as there are at least as many partitions.
+The router's partitions are sized by a count of the bytes of all texts, so that a task holds about ROUTED bytes of them.
 
 Defined results: a null text is empty, a null source the part of the empty name; a row without a doc_id isn't a copy and
 makes none, and has no label; rows that share doc_id and text aren't copies of each other, and are counted each; a document
@@ -29,6 +29,8 @@ from tallyfield.llm.common import partitions
 
 #: Bytes of text that a task holds of what it reads, before it sends them on.
 HELD = 64 << 20
+#: Bytes of text, copies included, that a partition of the router gets on average.
+ROUTED = 64 << 20
 UPPER, MARKS = bytes(range(65, 91)), b"#$%&*|"
 
 
@@ -130,7 +132,8 @@ def masks(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), source, text.cast("binary"), F.length(text)).rdd
-    size = max(partitions(docs.sparkSession), rows.getNumPartitions())
+    held = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    size = max(partitions(docs.sparkSession), -(-held // ROUTED))
     routed = rows.mapPartitions(_read).partitionBy(size, lambda key: key).mapPartitions(_route)
     return docs.sparkSession.createDataFrame(routed, "doc_id bigint, source string, mask int, n bigint", verifySchema=False)
 
