@@ -55,29 +55,32 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     return hits.groupBy("doc_id", "mark").agg(F.collect_set("place").alias("gone"))
 
 
-def _judged(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame, str, str, str]:
-    """`docs` with the number of lines, that of the lines which go, and the text of the others, and the names of these."""
-    n, gone, kept, lines, places = (unused(docs, x) for x in ("n_lines", "n_gone", "kept_text", "own_lines", "own_places"))
-    found = repeated_lines(docs, min_chars, min_docs)
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (text_mark(F.col("d.text")) == F.col("g.mark"))
-    rows = docs.alias("d").join(found.alias("g"), same, "left").select(*own_columns(docs, "d"), _lines(F.col("d.text")).alias(lines), F.col("g.gone").alias(places))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
-    text = F.when(F.col(places).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    size = F.when(F.col(places).isNull(), 0).otherwise(F.size(places)).cast("long")
-    return rows.select(*own_columns_of(docs), F.size(lines).cast("long").alias(n), size.alias(gone), text.alias(kept)), n, gone, kept
-
-
-def own_columns_of(docs: DataFrame) -> list[Column]:
-    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+def _plain(docs: DataFrame) -> list[str]:
+    return [f"`{c.replace('`', '``')}`" for c in docs.columns]
+
+
+def _judged(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame, str, str]:
+    """`docs` with their text cut down, null where it was, and the names of two more columns: how many lines there were, and
+    how many went. Texts are split before the join, so that each is split once."""
+    n, gone, lines, key, mark = (unused(docs, x) for x in ("n_lines", "n_gone", "own_lines", "own_id", "own_mark"))
+    others = [c for c, name in zip(_plain(docs), docs.columns) if name.lower() != "text"]
+    rows = docs.select(*others, F.split("text", "\n").alias(lines), F.col("doc_id").cast("long").alias(key), text_mark(F.col("text")).alias(mark))
+    found = repeated_lines(docs, min_chars, min_docs).alias("g")
+    rows = rows.alias("d").join(found, F.col(key).eqNullSafe(F.col("g.doc_id")) & (F.col(mark) == F.col("g.mark")), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("g.gone"))
+    text = F.when(F.col("g.gone").isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    went = F.when(F.col("g.gone").isNull(), 0).otherwise(F.size("g.gone")).cast("long")
+    size = F.when(F.col(lines).isNull(), 1).otherwise(F.size(lines)).cast("long")
+    own = [text.alias(name) if name.lower() == "text" else c for name, c in zip(docs.columns, own_columns(docs, "d"))]
+    return rows.select(*own, size.alias(n), went.alias(gone)), n, gone
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text that is left of every row."""
-    rows, n, gone, kept = _judged(docs.select("doc_id", "text"), min_chars, min_docs)
-    return rows.select("doc_id", n, F.col(gone).alias("n_dropped"), F.col(kept).alias("text"))
+    rows, n, gone = _judged(docs.select("doc_id", "text"), min_chars, min_docs)
+    return rows.select("doc_id", n, F.col(gone).alias("n_dropped"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of `docs` with their own columns, the text without the lines that go."""
-    rows, _, _, kept = _judged(docs, min_chars, min_docs)
-    return rows.withColumn("text", F.when(F.col("text").isNotNull(), F.col(kept))).select(*own_columns_of(docs))
+    return _judged(docs, min_chars, min_docs)[0].select(*_plain(docs))
