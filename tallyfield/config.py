@@ -98,3 +98,10 @@ FRICTION = (
     rf"(?i)\b(?:(?:willing|prepared|happy)\s+to\s+(?:{FRICTION_VERBS})|(?:must|have\s+to|need\s+to)\s+(?:{FRICTION_VERBS}|accept)|"
     r"can\s+tolerate|if\s+you\s+can\s+overlook|provided\s+you\s+(?:accept|can))\b"
 )
+#: Parts of a failed request's message.
+REFUSED = ["401", "UNAUTHENTICATED", "PERMISSION_DENIED"]
+TOO_MANY = ["429", "RESOURCE_EXHAUSTED"]
+TRANSIENT = ["503", "UNAVAILABLE", "500", "INTERNAL", "504", "DEADLINE"]
+DAY_QUOTA = "PerDay"
+#: Sentences in which a word is tried on the prevalence guard.
+CARRIERS = ["the game has %s problems", "%s players report problems"]

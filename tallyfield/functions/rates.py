@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,12 +85,12 @@ def ledger_for(model: Column, asked: Column) -> Column:
 
 
 def error_class(message: Column) -> Column:
-    """What to do about a failed request."""
-    m = F.lower(message)
+    """What to do about a failed request: abort, if the credential was refused; retry, and with a lower ceiling if the rate
+    was too high, which it isn't where the allowance of a day is gone; or raise."""
+    holds = lambda *marks: F.coalesce(reduce(or_, [F.contains(message, F.lit(m)) for m in marks]), F.lit(False))
     return (
-        F.when(m.rlike("api key|permission|unauthenticated|401|403"), "abort")
-        .when(m.contains("429") & m.contains("perday"), "stop_for_the_day")
-        .when(m.contains("429") & m.contains("perminute"), "lower_the_ceiling")
-        .when(m.rlike("429|500|502|503|504|timeout|unavailable"), "retry")
+        F.when(holds(*C.REFUSED), "abort")
+        .when(holds(*C.TOO_MANY) & ~holds(C.DAY_QUOTA), "retry_with_lower_ceiling")
+        .when(holds(*C.TOO_MANY, *C.TRANSIENT), "retry")
         .otherwise("raise")
     )

@@ -11,21 +11,29 @@ from tallyfield.functions.text import block_pattern, leet
 
 
 def select_publishable(branch: DataFrame, main: DataFrame) -> DataFrame:
-    """key, take, why of every document on the branch (key, generated): taken if main has none or an older one."""
+    """key, take, why of every document on the branch (key, generated): taken if main has none that can be read, or an older
+    one. A document without a stamp can't be read, and is refused."""
     there = main.select(F.col("key").alias("main_key"), F.col("generated").alias("main_generated"))
     both = branch.join(there, F.col("key") == F.col("main_key"), "left")
-    why = F.when(F.col("main_key").isNull(), "absent").when(F.col("generated") > F.col("main_generated"), "newer").when(F.col("generated") == F.col("main_generated"), "same").otherwise("older")
+    mine, other = F.col("generated"), F.col("main_generated")
+    why = F.when(mine.isNull(), "unreadable").when(other.isNull(), "absent").when(mine > other, "newer").when(mine == other, "same").otherwise("older")
     return both.select("key", why.isin("absent", "newer").alias("take"), why.alias("why"))
 
 
 def prune(branch: DataFrame, main: DataFrame, appeared: DataFrame, now: Column) -> DataFrame:
-    """key, prune of every document on the branch: superseded by one on main, and first seen there (key, ts) long enough
-    ago. Documents without a date stay."""
+    """key, prune, keep_because of every document on the branch: one goes only if main has a newer one, which first appeared
+    there (key, ts) long enough ago. What may be published, ties, what can't be read, and documents whose appearance has no
+    date or is too recent, stay."""
     first = appeared.groupBy(F.col("key").alias("seen_key")).agg(F.min("ts").alias("first_seen"))
-    superseded = select_publishable(branch, main).select("key", (~F.col("take") & (F.col("why") != "absent")).alias("superseded"))
-    both = superseded.join(first, F.col("key") == F.col("seen_key"), "left")
-    old = F.col("first_seen") <= now - F.expr(f"INTERVAL {C.PRUNE_AFTER_HOURS} HOURS")
-    return both.select("key", F.coalesce(F.col("superseded") & old, F.lit(False)).alias("prune"))
+    both = select_publishable(branch, main).join(first, F.col("key") == F.col("seen_key"), "left")
+    recent = F.col("first_seen") > now - F.expr(f"INTERVAL {C.PRUNE_AFTER_HOURS} HOURS")
+    kept = (
+        F.when(F.col("take"), F.concat(F.lit("publishable:"), F.col("why")))
+        .when(F.col("why") != "older", F.col("why"))
+        .when(F.col("first_seen").isNull(), "no_promotion_date")
+        .when(recent, "inside_deploy_window")
+    )
+    return both.select("key", kept.isNull().alias("prune"), kept.alias("keep_because"))
 
 
 def safety_gate(citations: DataFrame, blocked: list[str]) -> DataFrame:

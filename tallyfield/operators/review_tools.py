@@ -85,13 +85,11 @@ def releasable(prunes: DataFrame, unpublished: DataFrame, forced: bool, ref: str
 
 
 def banned_words() -> list[str]:
-    """Plain words that the prevalence guard rejects on their own, found in its patterns and tried on them."""
-    found = set()
-    for pattern, _ in C.PREVALENCE:
-        for word in re.findall(r"[a-z]{4,}", re.sub(r"\\[a-zA-Z]|\(\?[<!:=]*", " ", pattern)):
-            if any(re.search(p, word, re.I) for p, _ in C.PREVALENCE):
-                found.add(word)
-    return sorted(found)
+    """Plain words of the prevalence guard's patterns that it rejects on their own, or before a crowd of people: what a
+    writer has to be told, so that the guard and the prompt agree."""
+    words = set().union(*(re.findall("[a-z]{2,}", re.sub(r"\\[a-zA-Z]|\(\?[<!:=]*", " ", pattern)) for pattern, _ in C.PREVALENCE))
+    rejected = lambda text: any(re.search(pattern, text, re.I) for pattern, _ in C.PREVALENCE)
+    return sorted(w for w in words if any(rejected(carrier % w) for carrier in C.CARRIERS))
 
 
 def remote_ledger(spark: SparkSession, path: str, today: str) -> int:

@@ -36,16 +36,20 @@ def sourcing(citations: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def claim_balance(available: DataFrame, cited: DataFrame) -> DataFrame:
-    """game, bucket, available_pct, cited_pct, delta, n_available, n_cited: cited instances against what could be cited,
-    for cohorts with enough of both and games (bucket "all") with twice that."""
+    """game, bucket, available_pct, cited_pct, delta, n_available, n_cited: cited instances against what could be cited, for
+    games (bucket "all") with twice the least numbers of both, and their cohorts with enough of both. Reviews outside the
+    named cohorts don't count, and a null vote is no recommendation."""
 
     def rates(df: DataFrame, n: str, up: str) -> DataFrame:
-        sums = df.groupingSets([["game", "bucket"], ["game"]], "game", "bucket").agg(F.grouping("bucket").alias("g"), F.count("*").alias(n), count_where(F.col("voted_up")).alias(up))
+        named = df.where(F.col("bucket").isin(C.BUCKET_NAMES))
+        sums = named.groupingSets([["game", "bucket"], ["game"]], "game", "bucket").agg(F.grouping("bucket").alias("g"), F.count("*").alias(n), count_where(F.col("voted_up")).alias(up))
         return sums.select("game", F.when(F.col("g") == 1, "all").otherwise(F.col("bucket")).alias("bucket"), n, up)
 
     both = rates(available, "n_available", "a").join(rates(cited, "n_cited", "c"), ["game", "bucket"])
-    factor = F.when(F.col("bucket") == "all", 2).otherwise(1)
+    whole = F.col("bucket") == "all"
+    factor = F.when(whole, 2).otherwise(1)
     both = both.where((F.col("n_available") >= C.BALANCE_AVAILABLE * factor) & (F.col("n_cited") >= C.BALANCE_CITED * factor))
+    both = both.withColumn("measured", F.max(whole).over(Window.partitionBy("game"))).where("measured")  # five rows a game at most
     a, c = F.lit(100.0) * F.col("a") / F.col("n_available"), F.lit(100.0) * F.col("c") / F.col("n_cited")
     return both.select("game", "bucket", F.round(a, 1).alias("available_pct"), F.round(c, 1).alias("cited_pct"), F.round(c - a, 1).alias("delta"), "n_available", "n_cited")
 

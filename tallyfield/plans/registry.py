@@ -316,10 +316,13 @@ def binomial_sourcing(spark, d):
     return sourcing.sourcing(_citations(spark, d), pool.pool_rates(A.fact_reviews(spark, d)))
 
 
-@query(f"""WITH {O.FACT}, a AS (SELECT game, CASE WHEN grouping(bucket) = 1 THEN 'all' ELSE bucket END AS bucket, count(*) AS na, 100e0 * count(*) FILTER (voted_up) / count(*) AS pa FROM fact GROUP BY GROUPING SETS ((game, bucket), (game))),
- c AS (SELECT game, CASE WHEN grouping(bucket) = 1 THEN 'all' ELSE bucket END AS bucket, count(*) AS nc, 100e0 * count(*) FILTER (voted_up) / count(*) AS pc FROM fact WHERE {_CITE} GROUP BY GROUPING SETS ((game, bucket), (game)))
- SELECT game, bucket, round(pa, 1) AS available_pct, round(pc, 1) AS cited_pct, round(pc - pa, 1) + 0 AS delta, na AS n_available, nc AS n_cited FROM a JOIN c USING (game, bucket)
- WHERE na >= CASE WHEN bucket = 'all' THEN 20 ELSE 10 END AND nc >= CASE WHEN bucket = 'all' THEN 10 ELSE 5 END""")
+_NAMED = "bucket IN ('refund_window', 'early', 'mid', 'veteran')"
+
+
+@query(f"""WITH {O.FACT}, a AS (SELECT game, bucket, count(*) AS na, count(*) FILTER (voted_up) AS ua FROM fact WHERE {_NAMED} GROUP BY 1, 2), c AS (SELECT game, bucket, count(*) AS nc, count(*) FILTER (voted_up) AS uc FROM fact WHERE {_CITE} AND {_NAMED} GROUP BY 1, 2),
+ aa AS (SELECT game, sum(na) AS na, sum(ua) AS ua FROM a GROUP BY 1), cc AS (SELECT game, sum(nc) AS nc, sum(uc) AS uc FROM c GROUP BY 1), w AS (SELECT game, na, ua, nc, uc FROM aa JOIN cc USING (game) WHERE na >= 20 AND nc >= 10),
+ r AS (SELECT game, 'all' AS bucket, na, ua, nc, uc FROM w UNION ALL SELECT game, bucket, na, ua, nc, uc FROM a JOIN c USING (game, bucket) WHERE na >= 10 AND nc >= 5 AND game IN (SELECT game FROM w))
+ SELECT game, bucket, round(100e0 * ua / na, 1) AS available_pct, round(100e0 * uc / nc, 1) AS cited_pct, round(100e0 * uc / nc - 100e0 * ua / na, 1) + 0 AS delta, CAST(na AS BIGINT) AS n_available, CAST(nc AS BIGINT) AS n_cited FROM r""")
 def claim_balance(spark, d):
     return sourcing.claim_balance(A.fact_reviews(spark, d), _citations(spark, d))
 
@@ -404,15 +407,16 @@ def index_verify(spark, d):
     return catalog.verify_index(damaged.unionByName(ranked.where(size == 7).select("appid", "reviews", "rank", "shard")), entries)
 
 
-_SNAP = """b AS (SELECT o_orderkey AS key, o_orderdate AS generated FROM orders WHERE o_orderkey % 3 <> 0), m AS (SELECT o_orderkey AS key, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate WHEN 1 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate + INTERVAL 1 DAY END AS generated FROM orders WHERE o_orderkey % 5 <> 0),
- y AS (SELECT b.key, CASE WHEN m.key IS NULL THEN 'absent' WHEN b.generated > m.generated THEN 'newer' WHEN b.generated = m.generated THEN 'same' ELSE 'older' END AS why FROM b LEFT JOIN m USING (key))"""
+_SNAP = """b AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS generated FROM orders WHERE o_orderkey % 3 <> 0),
+ m AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN o_orderdate WHEN o_orderkey % 4 = 1 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate + INTERVAL 1 DAY END AS generated FROM orders WHERE o_orderkey % 5 <> 0),
+ y AS (SELECT b.key, CASE WHEN b.generated IS NULL THEN 'unreadable' WHEN m.generated IS NULL THEN 'absent' WHEN b.generated > m.generated THEN 'newer' WHEN b.generated = m.generated THEN 'same' ELSE 'older' END AS why FROM b LEFT JOIN m USING (key))"""
 
 
 def _snapshots(spark, d):
     o = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("generated"))
-    day = F.expr("INTERVAL 1 DAY")
-    moved = F.when(F.col("key") % 4 == 0, F.col("generated")).when(F.col("key") % 4 == 1, F.col("generated") - day).otherwise(F.col("generated") + day)
-    return o.where("key % 3 <> 0"), o.where("key % 5 <> 0").withColumn("generated", moved)
+    day, key, stamp = F.expr("INTERVAL 1 DAY"), F.col("key"), F.col("generated")
+    moved = F.when(key % 13 == 0, None).when(key % 4 == 0, stamp).when(key % 4 == 1, stamp - day).otherwise(stamp + day)
+    return o.where("key % 3 <> 0").withColumn("generated", F.when(key % 11 != 0, stamp)), o.where("key % 5 <> 0").withColumn("generated", moved)
 
 
 @query(f"WITH {_SNAP} SELECT key, why IN ('absent', 'newer') AS take, why FROM y")
@@ -420,7 +424,9 @@ def publish_select(spark, d):
     return publish.select_publishable(*_snapshots(spark, d))
 
 
-@query(f"WITH {_SNAP} SELECT key, coalesce(why IN ('same', 'older') AND o.o_orderdate <= TIMESTAMP '1996-01-01' - INTERVAL 48 HOUR, false) AS prune FROM y LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 7 <> 0) o ON o.o_orderkey = key")
+@query(f"""WITH {_SNAP}, k AS (SELECT key, CASE WHEN why IN ('absent', 'newer') THEN 'publishable:' || why WHEN why <> 'older' THEN why WHEN o.o_orderdate IS NULL THEN 'no_promotion_date'
+ WHEN epoch(TIMESTAMP '1996-01-01') - epoch(o.o_orderdate) < 48 * 3600 THEN 'inside_deploy_window' END AS keep_because FROM y LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 7 <> 0) o ON o.o_orderkey = key)
+ SELECT key, keep_because IS NULL AS prune, keep_because FROM k""")
 def prune(spark, d):
     branch, main = _snapshots(spark, d)
     seen = A.table(spark, d, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("ts"))
@@ -581,12 +587,28 @@ def stateful_limiter(spark, d):
     return limits.run_to_end(limits.limiter(limits.log_stream(spark, d)), "append")
 
 
-@query(r"SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'flash' WHEN event_type = 'click' THEN 'live' ELSE 'batch' END AS ledger, CASE event_id % 4 WHEN 0 THEN 'abort' WHEN 1 THEN 'stop_for_the_day' WHEN 2 THEN 'lower_the_ceiling' ELSE 'retry' END AS class FROM events")
+#: Models, the ledgers asked for, and messages of failed requests, on both sides of each rule.
+_MODELS = ["model-flash", "model-flash-lite", "gemma", "flash-8b", "lite-flash", "", "pro"]
+_ASKED = ["live", "batch", "", None]
+_MESSAGES = [
+    "401 key refused", "UNAUTHENTICATED: no credential", "status PERMISSION_DENIED", "API key not valid", "403 forbidden", "unauthenticated", "429 quota PerDay", "429 quota PerMinute", "429 Too Many Requests", "RESOURCE_EXHAUSTED",
+    "RESOURCE_EXHAUSTED: GenerateRequestsPerDay", "RESOURCE_EXHAUSTED: perday", "500 error", "INTERNAL", "internal", "502 bad gateway", "503", "service UNAVAILABLE", "504 gateway", "DEADLINE_EXCEEDED", "timeout", "connection reset", "",
+    "401 after 429", "PerDay", "unavailable", None,
+]
+
+
+def _values(items):
+    return "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in items) + "]"
+
+
+@query(f"""WITH e AS (SELECT event_id AS id, {_values(_MODELS)}[event_id % {len(_MODELS)} + 1] AS model, {_values(_ASKED)}[event_id % {len(_ASKED)} + 1] AS asked, coalesce({_values(_MESSAGES)}[event_id % {len(_MESSAGES)} + 1], '') AS m FROM events),
+ r AS (SELECT *, regexp_matches(m, '429|RESOURCE_EXHAUSTED') AS many FROM e)
+ SELECT id, CASE WHEN contains(model, 'flash') AND NOT contains(model, 'lite') THEN 'flash' WHEN coalesce(asked, '') = '' THEN 'batch' ELSE asked END AS ledger,
+ CASE WHEN regexp_matches(m, '401|UNAUTHENTICATED|PERMISSION_DENIED') THEN 'abort' WHEN many AND NOT contains(m, 'PerDay') THEN 'retry_with_lower_ceiling'
+  WHEN many OR regexp_matches(m, '503|UNAVAILABLE|500|INTERNAL|504|DEADLINE') THEN 'retry' ELSE 'raise' END AS class FROM r""")
 def routing(spark, d):
-    log = A.request_log(spark, d)
-    model = F.when(F.col("id") % 2 == 0, "model-flash").otherwise("model-flash-lite")
-    message = F.element_at(F.array(*map(F.lit, ("API key not valid", "429 quota PerDay", "429 quota PerMinute", "503 unavailable"))), (F.col("id") % 4 + 1).cast("int"))
-    return log.select("id", R.ledger_for(model, F.when(F.col("ledger") == "click", "live")).alias("ledger"), R.error_class(message).alias("class"))
+    pick = lambda items: F.get(F.array(*[F.lit(x).cast("string") for x in items]), (F.col("id") % len(items)).cast("int"))
+    return A.request_log(spark, d).select("id", R.ledger_for(pick(_MODELS), pick(_ASKED)).alias("ledger"), R.error_class(pick(_MESSAGES)).alias("class"))
 
 
 from tallyfield.plans import documents, serving, tools  # noqa: E402, F401  they register their queries here

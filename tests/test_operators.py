@@ -144,14 +144,15 @@ def test_header_rules(spark):
 
 def test_publish_and_prune(spark):
     day = lambda n: datetime(2026, 8, n)
-    branch = spark.createDataFrame([("older", day(1)), ("newer", day(9)), ("same", day(5)), ("absent", day(5))], "key string, generated timestamp")
-    main = spark.createDataFrame([(k, day(5)) for k in ("older", "newer", "same")], "key string, generated timestamp")
-    assert {r.key: r.take for r in publish.select_publishable(branch, main).collect()} == {"older": False, "newer": True, "same": False, "absent": True}
-    seen = spark.createDataFrame([("older", day(1)), ("older", day(9)), ("newer", day(1)), ("same", day(8)), ("absent", day(1))], "key string, ts timestamp")
-    now = F.lit(datetime(2026, 8, 9, 23)).cast("timestamp")
-    assert {r.key: r.prune for r in publish.prune(branch, main, seen, now).collect()} == {"older": True, "newer": False, "same": False, "absent": False}
-    later = F.lit(datetime(2026, 8, 10, 1)).cast("timestamp")
-    assert {r.key for r in publish.prune(branch, main, seen, later).where("prune").collect()} == {"older", "same"}
+    branch = spark.createDataFrame([("older", day(1)), ("newer", day(9)), ("same", day(5)), ("absent", day(5)), ("torn", None), ("undated", day(1)), ("unread", day(1))], "key string, generated timestamp")
+    main = spark.createDataFrame([*[(k, day(5)) for k in ("older", "newer", "same", "torn", "undated")], ("unread", None)], "key string, generated timestamp")
+    take = {"older": False, "newer": True, "same": False, "absent": True, "torn": False, "undated": False, "unread": True}
+    assert {r.key: r.take for r in publish.select_publishable(branch, main).collect()} == take
+    seen = spark.createDataFrame([("older", day(8)), ("older", day(9)), *[(k, day(1)) for k in ("newer", "same", "absent", "torn", "unread")]], "key string, ts timestamp")
+    why = {"older": "inside_deploy_window", "newer": "publishable:newer", "same": "same", "absent": "publishable:absent", "torn": "unreadable", "undated": "no_promotion_date", "unread": "publishable:absent"}
+    at = lambda *x: {r.key: (r.prune, r.keep_because) for r in publish.prune(branch, main, seen, F.lit(datetime(*x)).cast("timestamp")).collect()}
+    assert at(2026, 8, 9, 23) == {k: (False, v) for k, v in why.items()}
+    assert at(2026, 8, 10) == {k: (False, v) for k, v in why.items()} | {"older": (True, None)}  # ties stay for good
 
 
 def test_pacific_days(spark):
@@ -160,10 +161,13 @@ def test_pacific_days(spark):
 
 
 def test_balance(spark):
-    rows = lambda up, n: [("g", "mid", i < up) for i in range(n)]
+    rows = lambda up, n, game="g", bucket="mid": [(game, bucket, i < up) for i in range(n)]
     schema = "game string, bucket string, voted_up boolean"
-    got = {r.bucket: (r.available_pct, r.cited_pct, r.delta) for r in sourcing.claim_balance(spark.createDataFrame(rows(16, 20), schema), spark.createDataFrame(rows(2, 10), schema)).collect()}
-    assert got == {"mid": (80.0, 20.0, -60.0), "all": (80.0, 20.0, -60.0)}
+    # "h" lacks one cited review, so its cohorts don't count either; unknown cohorts count for nothing
+    available = rows(16, 20) + rows(9, 30, bucket="unknown") + rows(5, 40, "h") + rows(3, 19, "i", "early") + rows(0, 9, "i", "unknown") + rows(5, 10, "k", "early") + rows(5, 10, "k", "mid")
+    cited = rows(2, 10) + rows(0, 20, bucket="unknown") + rows(5, 9, "h") + rows(1, 30, "i", "early") + rows(4, 4, "k", "early") + rows(0, 6, "k", "mid") + [("k", "unknown", None)]
+    got = {(r.game, r.bucket): (r.available_pct, r.cited_pct, r.delta) for r in sourcing.claim_balance(spark.createDataFrame(available, schema), spark.createDataFrame(cited, schema)).collect()}
+    assert got == {("g", "mid"): (80.0, 20.0, -60.0), ("g", "all"): (80.0, 20.0, -60.0), ("k", "all"): (50.0, 40.0, -10.0), ("k", "mid"): (50.0, 0.0, -50.0)}
 
 
 def test_ledgers(spark):
@@ -247,7 +251,9 @@ def test_releases_are_refused(spark):
 def test_banned_words():
     from tallyfield.operators import review_tools as tools
 
-    assert {"majority", "most", "consensus", "numerous"} <= set(tools.banned_words()) and "players" not in tools.banned_words()
+    words = set(tools.banned_words())
+    assert {"majority", "most", "consensus", "numerous", "many", "few", "some", "several", "half", "everyone", "none"} <= words
+    assert not {"players", "third", "vast", "number", "than", "two", "of"} & words
 
 
 def test_remote_ledger_fails_closed(spark, tmp_path):
