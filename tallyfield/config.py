@@ -105,3 +105,5 @@ TRANSIENT = ["503", "UNAVAILABLE", "500", "INTERNAL", "504", "DEADLINE"]
 DAY_QUOTA = "PerDay"
 #: Sentences in which a word is tried on the prevalence guard.
 CARRIERS = ["the game has %s problems", "%s players report problems"]
+#: After so long a request that no run answered counts as lost.
+DISPATCH_GRACE_SECONDS = 90

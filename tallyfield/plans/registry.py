@@ -15,7 +15,7 @@ from tallyfield.operators import catalog, claims, evals, filtering, ledger, pool
 from tallyfield.plans import oracles as O
 from tallyfield.sources import adapters as A
 from tallyfield.sources.files import memo_key
-from tallyfield.streaming import limits
+from tallyfield.streaming import limits, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -587,6 +587,26 @@ def stateful_limiter(spark, d):
     return limits.run_to_end(limits.limiter(limits.log_stream(spark, d)), "append")
 
 
+#: What the watermark has passed at the end, in microseconds.
+_PASSED = "(SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM events)"
+
+
+@query(f"""WITH e AS (SELECT event_id AS id, user_id AS key, epoch_us(ts) AS us, event_type IN ('click', 'view') AS request FROM events WHERE epoch_us(ts) < {_PASSED}),
+ n AS (SELECT *, lead(us) OVER w - us AS gap, lead(request) OVER w AS again FROM e WINDOW w AS (PARTITION BY key ORDER BY us, id)),
+ o AS (SELECT id, key, CASE WHEN gap <= 90000000 THEN CASE WHEN again THEN 'superseded' ELSE 'answered' END WHEN us + 90000000 < {_PASSED} THEN 'lost' END AS outcome, CASE WHEN gap <= 90000000 THEN gap / 1e6 END AS seconds FROM n WHERE request)
+ SELECT * FROM o WHERE outcome IS NOT NULL""")
+def unanswered_requests(spark, d):
+    with state.expiring_state(spark):
+        return limits.run_to_end(state.unanswered(limits.log_stream(spark, d), "ledger IN ('click', 'view')"), "append")
+
+
+@query(f"""WITH e AS (SELECT event_id AS id, user_id AS key, {O.pacific('ts', '%Y-%m-%d %H')} AS hour, row_number() OVER (PARTITION BY user_id, {O.pacific('ts', '%Y-%m-%d %H')} ORDER BY ts, event_id) - 1 AS k FROM events)
+ SELECT id, key, hour, CAST(least(k, 5) AS INTEGER) AS used, k < 5 AS allowed FROM e""")
+def hour_admission(spark, d):
+    with state.expiring_state(spark, by_clock=True):
+        return limits.run_to_end(state.hour_admission(limits.log_stream(spark, d)), "append")
+
+
 #: Models, the ledgers asked for, and messages of failed requests, on both sides of each rule.
 _MODELS = ["model-flash", "model-flash-lite", "gemma", "flash-8b", "lite-flash", "", "pro"]
 _ASKED = ["live", "batch", "", None]

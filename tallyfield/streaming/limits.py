@@ -65,12 +65,12 @@ def limiter(log: DataFrame, ceiling: int = C.REQUESTS_PER_MINUTE) -> DataFrame:
     return rows.groupBy("ledger").applyInPandasWithState(run, "id bigint, ledger string, wait_seconds double", "stamps string", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """The rows of a stream over what is there now. Each micro-batch writes files of its own to the shared folder, which
+def run_to_end(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+    """The rows of a stream over what is there now; one that ran with this folder before goes on where it stopped. Each micro-batch writes files of its own to the shared folder, which
     holds the query's checkpoint, too; a batch that runs again writes the same ones anew. In complete mode the last batch
     has all rows."""
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
