@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,8 +15,9 @@ from tallyfield.functions.broadcasts import small
 from tallyfield.operators import catalog, claims, evals, filtering, ledger, pool, publish, sourcing, verdict
 from tallyfield.plans import oracles as O
 from tallyfield.sources import adapters as A
+from tallyfield.package import shared_folder
 from tallyfield.sources.files import memo_key
-from tallyfield.streaming import limits, state
+from tallyfield.streaming import facts, limits, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -607,6 +609,31 @@ def hour_admission(spark, d):
         return limits.run_to_end(state.hour_admission(limits.log_stream(spark, d)), "append")
 
 
+_FACTS = """f AS (SELECT user_id AS appid, CAST(floor(value) AS BIGINT) % 7 AS run, CASE WHEN event_type <> 'error' THEN CAST(floor(value) AS BIGINT) % 15 END AS cost, ts AS stamp FROM events),
+ k AS (SELECT *, row_number() OVER (PARTITION BY appid, run ORDER BY (cost IS NOT NULL) DESC, stamp DESC, cost DESC) AS place FROM f)"""
+
+
+def _facts(spark, d):
+    """A fact table that followed the log as a stream of runs and their costs; errors leave a cost unknown."""
+    folder = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
+    log, whole = limits.log_stream(spark, d), F.floor("cost").cast("long")
+    rows = log.select(F.col("key").alias("appid"), (whole % 7).alias("run"), F.when(F.col("ledger") != "error", whole % 15).alias("cost"), F.col("ts").alias("at"))
+    table = facts.FactTable(spark, folder)
+    facts.follow(rows, table, f"{folder}/checkpoint")
+    return table.read()
+
+
+@query(f"WITH {_FACTS} SELECT appid, run, cost, strftime(stamp, '%Y-%m-%d %H:%M:%S') AS seen FROM k WHERE place = 1")
+def merged_facts(spark, d):
+    return _facts(spark, d).select("appid", "run", "cost", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("seen"))
+
+
+@query(f"WITH {_FACTS} SELECT {O.pacific('stamp', '%Y-%m-%d')} AS day, greatest(0, CAST(sum(13) - sum(CASE WHEN cost IS NOT NULL THEN 13 - cost ELSE 0 END) AS BIGINT)) AS effective FROM k WHERE place = 1 GROUP BY 1")
+def merged_effective(spark, d):
+    """What the days really cost: every run is charged its reservation once, and corrected by its fact, if that is known."""
+    return ledger.effective_used(_facts(spark, d).select(R.pacific_day(F.col("at")).alias("day"), F.lit(C.RESERVED).alias("used"), F.col("cost").alias("actual")))
+
+
 #: Models, the ledgers asked for, and messages of failed requests, on both sides of each rule.
 _MODELS = ["model-flash", "model-flash-lite", "gemma", "flash-8b", "lite-flash", "", "pro"]
 _ASKED = ["live", "batch", "", None]
@@ -631,4 +658,4 @@ def routing(spark, d):
     return A.request_log(spark, d).select("id", R.ledger_for(pick(_MODELS), pick(_ASKED)).alias("ledger"), R.error_class(pick(_MESSAGES)).alias("class"))
 
 
-from tallyfield.plans import documents, serving, tools  # noqa: E402, F401  they register their queries here
+from tallyfield.plans import documents, serving, sources, tools  # noqa: E402, F401  they register their queries here

@@ -9,7 +9,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
-from tallyfield.streaming import limits, state
+from tallyfield.streaming import facts, limits, state
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 LOG = "id bigint, ts timestamp, key bigint, ledger string, cost double"
@@ -91,3 +91,77 @@ def test_hours_expire(spark, tmp_path):
         time.sleep(6)
         write(spark, rows[8:], folder)  # by now its tally is gone
         assert {x.id: (x.used, x.allowed) for x in tally(5).where(F.col("id") >= 8).collect()} == {8 + k: (k, True) for k in range(4)}
+
+
+# --- facts
+
+FACT = "appid bigint, run bigint, cost bigint, at timestamp"
+
+
+def fact(appid, run, cost, minutes):
+    return appid, run, cost, START + timedelta(minutes=minutes)
+
+
+BATCHES = [
+    [fact(1, 1, 9, 0), fact(1, 2, None, 0), fact(2, 1, 14, 5), fact(2, 1, 13, 5)],
+    [fact(1, 1, None, 9), fact(1, 2, 7, 1), fact(3, 1, None, 0), fact(1, 1, 8, -1)],
+    [fact(1, 2, 7, 1), fact(3, 1, None, 4), fact(9, 9, 0, 0)],
+]
+MERGED = [fact(1, 1, 9, 0), fact(1, 2, 7, 1), fact(2, 1, 14, 5), fact(3, 1, None, 4), fact(9, 9, 0, 0)]
+
+
+def state_of(table):
+    return sorted((r.appid, r.run, r.cost, r.at.replace(tzinfo=None) if r.at.tzinfo else r.at.astimezone(timezone.utc).replace(tzinfo=None)) for r in table.read().collect())
+
+
+def test_facts_in_any_order_and_again(spark, tmp_path):
+    want = [(a, b, c, t.replace(tzinfo=None)) for a, b, c, t in MERGED]
+    for name, order in (("one", [0, 1, 2]), ("two", [2, 1, 0]), ("three", [1, 0, 2])):
+        table = facts.FactTable(spark, str(tmp_path / name), buckets=4)
+        for k in order:  # each batch from a writer of its own
+            assert table.merge(spark.createDataFrame(BATCHES[k], FACT), f"w{k}", 0)
+        version, files = table.version(), table._version()[1]["files"]
+        for k in order:
+            assert not table.merge(spark.createDataFrame(BATCHES[k], FACT), f"w{k}", 0)
+        assert table.version() == version and state_of(table) == want
+        assert table.merge(spark.createDataFrame([fact(9, 9, 0, 0)], FACT), "w0", 1)
+        after = table._version()[1]["files"]
+        assert sum(after[b] != files.get(b) for b in after) == 1  # only the bucket of that key has new files
+        assert table.merge(spark.createDataFrame([], FACT), "w0", 2) and state_of(table) == want
+        table.vacuum()
+        assert state_of(facts.FactTable(spark, str(tmp_path / name))) == want
+        assert len(list((tmp_path / name / "log").glob("*.json"))) == 1
+
+
+def test_no_update_is_lost_between_two_writers(spark, tmp_path, monkeypatch):
+    table = facts.FactTable(spark, str(tmp_path / "t"), buckets=2)
+    other = facts.FactTable(spark, str(tmp_path / "t"), buckets=2)
+    create, cut_in = facts._Store.create, []
+
+    def slow(self, file, content):
+        if not cut_in:  # another writer commits between the read and the commit of this one
+            cut_in.append(True)
+            assert other.merge(spark.createDataFrame(BATCHES[1], FACT), "other", 0)
+        return create(self, file, content)
+
+    monkeypatch.setattr(facts._Store, "create", slow)
+    assert table.merge(spark.createDataFrame(BATCHES[0], FACT), "mine", 0)
+    assert table.version() == 2 and table.merge(spark.createDataFrame(BATCHES[2], FACT), "mine", 1)
+    assert state_of(table) == [(a, b, c, t.replace(tzinfo=None)) for a, b, c, t in MERGED]
+
+
+def test_facts_follow_a_stream_and_its_replay(spark, tmp_path):
+    want = [(a, b, c, t.replace(tzinfo=None)) for a, b, c, t in MERGED]
+    table = facts.FactTable(spark, str(tmp_path / "t"))
+    stream = lambda: spark.readStream.schema(FACT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for k, rows in enumerate(BATCHES):
+        spark.createDataFrame(rows, FACT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if k:
+            facts.follow(stream(), table, str(tmp_path / "log"))
+    assert state_of(table) == want
+    version = table.version()
+    for commit in (tmp_path / "log" / "commits").glob("*"):  # the last batch runs again, as after a crash before its commit
+        if commit.name.strip(".").split(".")[0] == str(len(BATCHES) - 1):
+            commit.unlink()
+    facts.follow(stream(), table, str(tmp_path / "log"))
+    assert table.version() == version and state_of(table) == want
