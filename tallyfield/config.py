@@ -107,3 +107,5 @@ DAY_QUOTA = "PerDay"
 CARRIERS = ["the game has %s problems", "%s players report problems"]
 #: After so long a request that no run answered counts as lost.
 DISPATCH_GRACE_SECONDS = 90
+#: Points below the pool that the summary of deltas counts at, or below.
+DELTA_THRESHOLDS = [40, 50, 60]

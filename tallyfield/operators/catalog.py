@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyfield import config as C
 from tallyfield.functions.rates import count_where
 from tallyfield.functions.text import normal_title, unescape
+from tallyfield.operators.ranks import by_range, ranked, running
 
 
 def html_rows(pages: DataFrame) -> DataFrame:
@@ -61,22 +62,22 @@ def add_extra(chosen: DataFrame, extra: DataFrame, have: DataFrame, duplicates:
 
 
 def rank_entries(entries: DataFrame, floor: int = C.REVIEW_FLOOR) -> DataFrame:
-    """appid, title, reviews, rank, shard of the entries above the floor; ranks are by reviews, then appid. The catalog is
-    a dimension table: one window over all of it."""
-    rank = F.row_number().over(Window.orderBy(F.desc("reviews"), "appid"))
+    """appid, title, reviews, rank, shard of the entries above the floor; ranks are by reviews, then appid, then title."""
+    order = F.desc("reviews"), F.asc("appid"), F.asc("title")
+    dealt = by_range(entries.where(F.col("reviews") >= floor).select("appid", "title", "reviews"), *order)
     shard = F.when(F.col("reviews") >= C.CORE_FLOOR, "core").otherwise("tail")
-    return entries.where(F.col("reviews") >= floor).select("appid", "title", "reviews", rank.alias("rank"), shard.alias("shard"))
+    return ranked(dealt, *order).select("appid", "title", "reviews", "rank", shard.alias("shard"))
 
 
-def select_capped(ranked: DataFrame, target: int, cap: int, first_night: int) -> DataFrame:
+def select_capped(entries: DataFrame, target: int, cap: int, first_night: int) -> DataFrame:
     """The walk down the ranking (appid, rank, live, have, duplicate): premium titles and at most `cap` live ones fill the
     slots until there are `target`; what is beyond the cap before that is reported as skipped, duplicates as dropped, and
-    titles that are there already are passed over. outcome: chosen, skipped, dropped; night for the chosen."""
-    by_rank = Window.orderBy("rank")
+    titles that are there already are passed over. outcome: chosen, skipped, dropped; night for the chosen. The walk is two
+    running sums over ranges of the ranking."""
     open_ = ~F.col("duplicate") & ~F.col("have")
-    rows = ranked.withColumn("live_before", F.coalesce(F.sum((open_ & F.col("live")).cast("int")).over(by_rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = running(by_range(entries, "rank"), {"live_before": (open_ & F.col("live")).cast("int")}, "rank")
     rows = rows.withColumn("fits", open_ & (~F.col("live") | (F.col("live_before") < cap)))
-    rows = rows.withColumn("before", F.coalesce(F.sum(F.col("fits").cast("int")).over(by_rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = running(rows, {"before": F.col("fits").cast("int")}, "rank")
     rows = rows.where(F.col("before") < target).where(F.col("duplicate") | ~F.col("have"))
     outcome = F.when(F.col("duplicate"), "dropped").when(F.col("fits"), "chosen").otherwise("skipped")
     night = F.when(outcome == "chosen", F.when(F.col("before") < first_night, 1).otherwise(2))
@@ -92,21 +93,37 @@ def search(ranked: DataFrame, query: str, limit: int = 8) -> DataFrame:
     return ranked.withColumn("tier", F.when(q != "", tier)).where("tier IS NOT NULL").orderBy("tier", "rank").limit(limit).select("appid", "title", "rank", "tier")
 
 
-def verify_index(ranked: DataFrame, source: DataFrame) -> DataFrame:
+def verify_index(entries: DataFrame, source: DataFrame, seeds: DataFrame | None = None, spots: DataFrame | None = None) -> DataFrame:
     """problem, n: duplicate ids, entries below the floor, ranks out of order, a shard on the wrong side, and source rows
-    that neither the index nor the floor accounts for."""
-    checks = ranked.agg(
+    that neither the index nor the floor accounts for; of `seeds` (appid) those that are missing, and of `spots` (appid,
+    title) those that are absent or have another title, which alone tells that titles and ids were paired wrongly."""
+    order = F.asc("rank"), F.asc("appid"), F.desc("reviews")
+    dealt = by_range(entries, *order)
+    checks = dealt.agg(
         (F.count("*") - F.count_distinct("appid")).alias("duplicate_ids"),
         count_where(F.col("reviews") < C.REVIEW_FLOOR).alias("below_floor"),
         count_where((F.col("shard") == "core") != (F.col("reviews") >= C.CORE_FLOOR)).alias("wrong_shard"),
         (F.max("rank") - F.count("*")).alias("rank_gaps"),
         (-F.count_distinct("appid")).alias("unaccounted"),
     )
-    before = F.lag("reviews").over(Window.orderBy("rank", "appid", F.desc("reviews")))
-    order = ranked.select((F.col("reviews") > before).alias("bad")).agg(count_where(F.col("bad")).alias("out_of_order"))
-    whole = source.agg(count_where(F.col("reviews") >= C.REVIEW_FLOOR).alias("unaccounted"))
-    parts = []
-    for sums in (checks, order, whole):
-        pairs = [F.struct(F.lit(n).alias("problem"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("n")) for n in sums.columns]
-        parts.append(sums.select(F.explode(F.array(*pairs)).alias("x")).select("x.problem", "x.n"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("problem").agg(F.sum("n").alias("n"))
+    # within a range by the row before, between ranges by the last row of the one before
+    before = F.lag("reviews").over(Window.partitionBy("range").orderBy(*order))
+    place = F.struct("rank", "appid", -F.col("reviews"))
+    marked = dealt.withColumn("bad", F.coalesce(F.col("reviews") > before, F.lit(False)))
+    ranges = marked.groupBy("range").agg(count_where(F.col("bad")).alias("bad"), F.min_by("reviews", place).alias("first"), F.max_by("reviews", place).alias("last")).collect()
+    ranges.sort(key=lambda r: r["range"])
+    bad = sum(r.bad for r in ranges) + sum(b.first > a.last for a, b in zip(ranges, ranges[1:]) if a.last is not None and b.first is not None)
+    whole = source.agg(count_where(F.col("reviews") >= C.REVIEW_FLOOR).alias("unaccounted"), F.lit(bad).cast("long").alias("out_of_order"))
+    titles = entries.groupBy(F.col("appid").alias("there")).agg(F.min("title").alias("has")) if "title" in entries.columns else entries.select(F.col("appid").alias("there"), F.lit(None).cast("string").alias("has")).distinct()
+    sums = [checks, whole]
+    if seeds is not None:
+        sums.append(seeds.join(titles, F.col("appid") == F.col("there"), "left_anti").agg(F.count("*").alias("missing_seeds")))
+    if spots is not None:
+        both = spots.join(titles, F.col("appid") == F.col("there"), "left")
+        sums.append(both.agg(count_where(F.col("there").isNull()).alias("spot_absent"), count_where(F.col("there").isNotNull() & ~F.col("has").eqNullSafe(F.col("title"))).alias("spot_title")))
+    parts = None
+    for one in sums:
+        pairs = [F.struct(F.lit(n).alias("problem"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("n")) for n in one.columns]
+        rows = one.select(F.explode(F.array(*pairs)).alias("x")).select("x.problem", "x.n")
+        parts = rows if parts is None else parts.unionByName(rows)
+    return parts.groupBy("problem").agg(F.sum("n").alias("n"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tallyfield import config as C
 from tallyfield.functions.broadcasts import small
 from tallyfield.functions.rates import citation_verdict, count_where
-from tallyfield.functions.text import collapse, coverage, fuzzy_hits, prevalence, tokens
+from tallyfield.functions.text import collapse, fuzzy_hits, prevalence, tokens
+from tallyfield.operators.token_index import hits
+from tallyfield.package import cut
 
 
 def claim_id(bucket: Column, text: Column) -> Column:
@@ -46,23 +48,41 @@ def enforce(claims: DataFrame, reviews: DataFrame) -> DataFrame:
     )
 
 
+def coverages(cited: DataFrame, claims: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(claim_key, rid, share) of each citation of a known review, and (claim_key, union_share) of each claim with any: the
+    share of a claim's tokens that are alike to one of the review's, or of any of them. `cited` has claim_key, rid, `claims`
+    claim_key and tokens, `reviews` rid and tokens."""
+    size = F.size("tokens")
+    sizes = claims.select("claim_key", size.alias("size"))
+    own = claims.select(F.col("claim_key").alias("left_key"), F.explode("tokens").alias("token"))
+    shown = reviews.select(F.col("rid").alias("right_key"), F.explode("tokens").alias("token"))
+    found = cut(hits(cited.select(F.col("claim_key").alias("left_key"), F.col("rid").alias("right_key")), own, shown))
+    share = F.round(F.when(F.col("size") > 0, F.coalesce("n", F.lit(0)) / F.col("size")).otherwise(0.0), 3)
+    each = found.groupBy(F.col("left_key").alias("claim_key"), F.col("right_key").alias("rid")).agg(F.count("*").alias("n"))
+    known = cited.join(reviews.select("rid"), "rid", "left_semi").select("claim_key", "rid").distinct()
+    any_ = found.groupBy(F.col("left_key").alias("claim_key")).agg(F.count_distinct("token").alias("n"))
+    one = known.join(sizes, "claim_key").join(each, ["claim_key", "rid"], "left").select("claim_key", "rid", share.alias("share"))
+    return one, sizes.join(any_, "claim_key", "left").select("claim_key", share.alias("union_share"))
+
+
 def ground(claims: DataFrame, reviews: DataFrame) -> DataFrame:
-    """claim_key, union_coverage, supporting, failures and passed of every claim (claim_key, claim, bucket, ids). The
-    claims' few ids are exploded and joined; tokens meet only within a claim and the reviews that it cites."""
-    rows = claims.select("claim_key", "claim", "bucket", tokens(F.col("claim")).alias("claim_tokens"), F.explode_outer("ids").alias("rid"))
-    # only the reviews that are cited are tokenised
+    """claim_key, union_coverage, supporting, failures and passed of every claim (claim_key, claim, bucket, ids), whose keys
+    are unique. The claims' few ids are exploded and joined; only the reviews that are cited are tokenised, and their tokens
+    meet those of the claims by an index."""
+    told = cut(claims.select("claim_key", "claim", "bucket", "ids", tokens(F.col("claim")).alias("tokens")))
+    rows = told.select("claim_key", "bucket", F.explode_outer("ids").alias("rid"))
     cited = small(rows.where("rid IS NOT NULL").select(F.col("rid").alias("cited")).distinct())
     corpus = reviews.join(cited, F.col("rid") == F.col("cited"), "left_semi")
-    corpus = corpus.select(F.col("rid").alias("known"), F.col("bucket").alias("found_bucket"), tokens(F.col("text")).alias("review_tokens"))
-    found = rows.join(corpus, F.col("rid") == F.col("known"), "left").withColumn("share", F.round(coverage(F.col("claim_tokens"), F.coalesce("review_tokens", F.array().cast("array<string>"))), 3))
+    corpus = cut(corpus.select("rid", F.col("bucket").alias("found_bucket"), tokens(F.col("text")).alias("tokens")))
+    shares, unions = coverages(rows.where("rid IS NOT NULL").select("claim_key", "rid"), told, corpus)
+    found = rows.join(corpus.select(F.col("rid").alias("known"), "found_bucket"), F.col("rid") == F.col("known"), "left").join(shares, ["claim_key", "rid"], "left")
     missing, outside = F.col("rid").isNotNull() & F.col("known").isNull(), F.col("known").isNotNull() & (F.col("found_bucket") != F.col("bucket"))
-    sums = found.groupBy("claim_key", "claim", "claim_tokens").agg(
+    sums = found.groupBy("claim_key").agg(
         F.array_sort(F.collect_set(F.when(missing, F.col("rid").cast("string")))).alias("missing"),
         F.array_sort(F.collect_set(F.when(outside, F.col("rid").cast("string")))).alias("outside"),
-        F.array_distinct(F.flatten(F.collect_list("review_tokens"))).alias("union"),
         count_where(F.col("known").isNotNull() & (F.col("share") >= C.MIN_CITATION_COVERAGE)).cast("long").alias("supporting"),
     )
-    sums = sums.withColumn("union_coverage", F.round(coverage(F.col("claim_tokens"), F.col("union")), 3)).withColumn("people", prevalence(F.col("claim")))
+    sums = sums.join(told.select("claim_key", prevalence(F.col("claim")).alias("people")), "claim_key").join(unions, "claim_key").withColumnRenamed("union_share", "union_coverage")
     codes = F.array_compact(
         F.array(
             F.when(F.size("missing") > 0, F.concat(F.lit("ids_not_in_corpus:"), F.array_join("missing", ","))),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield import config as C
+from tallyfield.operators.ranks import exclusive_quantiles
 from tallyfield.functions.rates import binomial_tail, count_where, percent, significant
 
 
@@ -63,19 +64,17 @@ def source_delta(citations: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def delta_summary(deltas: DataFrame) -> DataFrame:
-    """n, mean, median, least, p10 (exclusive: at (n + 1) / 10 between the ordered values), below_40. The values are one
-    per cohort, already aggregated."""
-    order = Window.orderBy("delta_pool")
-    rows = deltas.where("delta_pool IS NOT NULL").select("delta_pool", F.row_number().over(order).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
-    place = (F.col("n") + 1) * 0.1
-    low, part = F.floor(place), place - F.floor(place)
-    return rows.groupBy("n").agg(
+    """n, mean, median, least, p10 (exclusive), and how many cohorts lie at or below -40, -50 and -60; no row without any."""
+    known = deltas.where("delta_pool IS NOT NULL")
+    sums = known.agg(
+        F.count("*").alias("n"),
         F.round(F.avg("delta_pool"), 3).alias("mean"),
-        F.round(F.percentile("delta_pool", 0.5), 3).alias("median"),
         F.min("delta_pool").alias("least"),
-        F.round(F.sum(F.when(F.col("i") == F.greatest(low, F.lit(1)), F.col("delta_pool") * (1 - part)).when(F.col("i") == low + 1, F.col("delta_pool") * part).otherwise(0.0)), 3).alias("p10"),
-        count_where(F.col("delta_pool") < -40).alias("below_40"),
+        *[count_where(F.col("delta_pool") <= -t).alias(f"below_{t}") for t in C.DELTA_THRESHOLDS],
     )
+    places = exclusive_quantiles(known, "delta_pool", [0.1, 0.5])
+    median, p10 = (F.round(F.lit(places.get(s)).cast("double"), 3) for s in (0.5, 0.1))
+    return sums.where("n > 0").select("n", "mean", median.alias("median"), "least", p10.alias("p10"), *[f"below_{t}" for t in C.DELTA_THRESHOLDS])
 
 
 def drift(stored: DataFrame, recomputed: DataFrame, keys: list[str]) -> DataFrame:

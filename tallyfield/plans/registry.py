@@ -15,7 +15,7 @@ from tallyfield.functions.broadcasts import small
 from tallyfield.operators import catalog, claims, evals, filtering, ledger, pool, publish, sourcing, verdict
 from tallyfield.plans import oracles as O
 from tallyfield.sources import adapters as A
-from tallyfield.package import shared_folder
+from tallyfield.package import cut, shared_folder
 from tallyfield.sources.files import memo_key
 from tallyfield.streaming import facts, limits, state
 
@@ -205,23 +205,27 @@ def bare_digits(spark, d):
     return A.table(spark, d, "documents").select(F.col("doc_id").alias("rid"), X.has_bare_digit(F.col("text")).alias("digit"))
 
 
-#: Words of the run by which a claim is looked for in a text.
-_RUN = 8
+#: Words of the run by which a claim is looked for in a text; no claim has fewer.
+_RUN = 4
 
 
 def _cited(spark, d):
     """Claims from the benchmark with the documents that hold them, word by word: those that have the hash of a claim's
-    first words among the hashes of their runs, then by the whole claim."""
-    spaced = lambda c: F.array_join(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != ""), " ")
-    items = A.table(spark, d, "benchmark").select(F.col("item_id").alias("claim_key"), F.col("text").alias("claim"), spaced(F.col("text")).alias("words"))
-    first = items.select(F.col("claim_key").alias("key"), "words", F.xxhash64(F.slice(F.split("words", " "), 1, _RUN)).alias("run"))
-    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("rid"), spaced(F.col("text")).alias("body")).withColumn("w", F.split("body", " "))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - _RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, _RUN)))
-    found = docs.select("rid", "body", F.explode(F.array_distinct(runs)).alias("at")).join(small(first), F.col("at") == F.col("run"))
-    found = found.where(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "words", F.lit(" "))))
-    cited = found.groupBy("key").agg(F.array_sort(F.collect_set("rid")).alias("ids"))
+    first words among the hashes of their runs, then by the whole claim. Only ids and hashes travel before that."""
+    split = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(split(c), " "), F.lit(" "))
+    items = A.table(spark, d, "benchmark").select(F.col("item_id").alias("claim_key"), F.col("text").alias("claim"), split(F.col("text")).alias("w"))
+    run_at = lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(_RUN)])
+    first = items.select(F.col("claim_key").alias("key"), spaced(F.col("claim")).alias("words"), run_at(F.lit(0)).alias("run"))
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("rid"), "text")
+    rows = docs.select("rid", split(F.col("text")).alias("w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - _RUN, F.lit(0)))
+    maybe = cut(rows.select("rid", F.explode(F.transform(starts, run_at)).alias("run")).join(small(first.select("key", "run")), "run").select("key", "rid").distinct())
+    texts = docs.join(small(maybe.select(F.col("rid").alias("of")).distinct()), F.col("rid") == F.col("of"), "left_semi").select(F.col("rid").alias("of"), spaced(F.col("text")).alias("body"))
+    both = maybe.join(texts, F.col("rid") == F.col("of")).join(first.select(F.col("key").alias("k"), "words"), F.col("key") == F.col("k")).where(F.contains("body", "words"))
+    cited = both.groupBy("key").agg(F.array_sort(F.collect_set("rid")).alias("ids"))
     rows = items.join(cited, F.col("claim_key") == F.col("key"), "left")
-    return rows.select("claim_key", "claim", F.lit("mid").alias("bucket"), F.concat(F.coalesce("ids", F.array().cast("array<bigint>")), F.array(F.col("claim_key") * 3)).alias("ids"))
+    return cut(rows.select("claim_key", "claim", F.lit("mid").alias("bucket"), F.concat(F.coalesce("ids", F.array().cast("array<bigint>")), F.array(F.col("claim_key") * 3)).alias("ids")))
 
 
 _SPACED = "array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), ' ')"
@@ -234,10 +238,11 @@ _GROUND = f"""i AS (SELECT item_id, text AS claim, ' ' || {_SPACED} || ' ' AS wo
 
 @query(f"WITH {_GROUND} SELECT item_id AS claim_key, rid, share FROM h WHERE doc_id IS NOT NULL")
 def token_coverage(spark, d):
-    rows = _cited(spark, d).select("claim_key", X.tokens(F.col("claim")).alias("ct"), F.explode("ids").alias("rid"))
-    docs = A.table(spark, d, "documents").join(small(rows.select(F.col("rid").alias("cited")).distinct()), F.col("doc_id") == F.col("cited"), "left_semi")
-    docs = docs.select(F.col("doc_id").alias("of"), X.tokens(F.col("text")).alias("rt"))
-    return rows.join(docs, F.col("rid") == F.col("of")).select("claim_key", "rid", F.round(X.coverage(F.col("ct"), F.col("rt")), 3).alias("share"))
+    told = _cited(spark, d)
+    cited = told.select("claim_key", F.explode("ids").alias("rid"))
+    docs = A.table(spark, d, "documents").join(small(cited.select(F.col("rid").alias("cited")).distinct()), F.col("doc_id") == F.col("cited"), "left_semi")
+    reviews = cut(docs.select(F.col("doc_id").alias("rid"), X.tokens(F.col("text")).alias("tokens")))
+    return claims.coverages(cited, told.select("claim_key", X.tokens(F.col("claim")).alias("tokens")), reviews)[0]
 
 
 _ITEM_LABELS = _LABELS.replace("text", "i.claim")
@@ -343,8 +348,10 @@ def source_delta(spark, d):
     return _deltas(spark, d)
 
 
-@query(f"""WITH {_DELTA}, r AS (SELECT delta_pool AS x, row_number() OVER (ORDER BY delta_pool) AS i, count(*) OVER () AS n FROM dl), z AS (SELECT *, floor((n + 1) * 0.1) AS lo, (n + 1) * 0.1 - floor((n + 1) * 0.1) AS fr FROM r)
- SELECT n, round(avg(x), 3) AS mean, round(median(x), 3) AS median, min(x) AS least, round(sum(CASE WHEN i = greatest(lo, 1) THEN x * CAST(1 - fr AS DOUBLE) WHEN i = lo + 1 THEN x * CAST(fr AS DOUBLE) ELSE 0 END), 3) AS p10, count(*) FILTER (x < -40) AS below_40 FROM z GROUP BY n""")
+@query(f"""WITH {_DELTA}, r AS (SELECT delta_pool AS x, row_number() OVER (ORDER BY delta_pool) AS i, count(*) OVER () AS n FROM dl WHERE delta_pool IS NOT NULL),
+ z AS (SELECT *, greatest(1, least(n - 1, (n + 1) // 10)) AS j FROM r), q AS (SELECT *, (n + 1) - j * 10 AS tenths FROM z)
+ SELECT n, round(avg(x), 3) AS mean, round(median(x), 3) AS median, min(x) AS least, round(CASE WHEN n = 1 THEN min(x) ELSE sum(CASE WHEN i = j THEN x * (10 - tenths) WHEN i = j + 1 THEN x * tenths ELSE 0 END) / 10 END, 3) AS p10,
+ count(*) FILTER (x <= -40) AS below_40, count(*) FILTER (x <= -50) AS below_50, count(*) FILTER (x <= -60) AS below_60 FROM q GROUP BY n""")
 def delta_summary(spark, d):
     return sourcing.delta_summary(_deltas(spark, d))
 
@@ -390,23 +397,33 @@ def search_topk(spark, d):
     return catalog.search(catalog.rank_entries(A.catalog_entries(spark, d)), " RED  ring")
 
 
-_DAMAGED = f"""{_RANKED}, dm AS (SELECT appid, CASE WHEN size = 13 THEN 10 ELSE reviews END AS reviews, rank + CASE WHEN size = 19 THEN 1 ELSE 0 END AS rank, CASE WHEN size = 11 THEN 'tail' ELSE shard END AS shard FROM ranked WHERE size <> 17
- UNION ALL SELECT appid, reviews, rank, shard FROM ranked WHERE size = 7)"""
+_DAMAGED = f"""{_RANKED}, dm AS (SELECT appid, CASE WHEN size = 29 THEN upper(title) ELSE title END AS title, CASE WHEN size = 13 THEN 10 ELSE reviews END AS reviews, rank + CASE WHEN size = 19 THEN 1 ELSE 0 END AS rank, CASE WHEN size = 11 THEN 'tail' ELSE shard END AS shard FROM ranked WHERE size <> 17
+ UNION ALL SELECT appid, title, reviews, rank, shard FROM ranked WHERE size = 7)"""
 
 
-@query(f"""WITH {_DAMAGED}, o AS (SELECT reviews > lag(reviews) OVER (ORDER BY rank, appid, reviews DESC) AS bad FROM dm)
+@query(f"""WITH {_DAMAGED}, o AS (SELECT reviews > lag(reviews) OVER (ORDER BY rank, appid, reviews DESC) AS bad FROM dm),
+ sp AS (SELECT s.p_partkey AS appid, max(t.title) AS has, max(s.p_name) AS title FROM part s LEFT JOIN dm t ON t.appid = s.p_partkey WHERE s.p_size IN (5, 23, 29) AND trunc(s.p_retailprice) >= 70 GROUP BY 1)
  SELECT 'duplicate_ids' AS problem, count(*) - count(DISTINCT appid) AS n FROM dm UNION ALL SELECT 'below_floor', count(*) FILTER (reviews < 70) FROM dm
  UNION ALL SELECT 'wrong_shard', count(*) FILTER ((shard = 'core') <> (reviews >= 1000)) FROM dm UNION ALL SELECT 'rank_gaps', max(rank) - count(*) FROM dm
- UNION ALL SELECT 'out_of_order', count(*) FILTER (bad) FROM o UNION ALL SELECT 'unaccounted', (SELECT count(*) FROM part WHERE trunc(p_retailprice) >= 70) - count(DISTINCT appid) FROM dm""")
+ UNION ALL SELECT 'out_of_order', count(*) FILTER (bad) FROM o UNION ALL SELECT 'unaccounted', (SELECT count(*) FROM part WHERE trunc(p_retailprice) >= 70) - count(DISTINCT appid) FROM dm
+ UNION ALL SELECT 'missing_seeds', count(*) FROM part WHERE p_size IN (17, 31) AND p_partkey NOT IN (SELECT appid FROM dm)
+ UNION ALL SELECT 'spot_absent', count(*) FILTER (has IS NULL) FROM sp UNION ALL SELECT 'spot_title', count(*) FILTER (has <> title) FROM sp""")
 def index_verify(spark, d):
-    """An index with doubled rows, a row without its reviews, a wrong shard, a shifted rank and rows that are missing."""
+    """An index with doubled rows, a row without its reviews, a wrong shard, a shifted rank, wrong titles, and rows that are
+    missing; some sizes of parts are its seeds, and others its known pairs."""
     entries = A.catalog_entries(spark, d)
     size = F.col("size")
-    ranked = catalog.rank_entries(entries).join(entries.select("appid", "size"), "appid")
-    damaged = ranked.where(size != 17).select(
-        "appid", F.when(size == 13, 10).otherwise(F.col("reviews")).alias("reviews"), (F.col("rank") + (size == 19).cast("int")).alias("rank"), F.when(size == 11, "tail").otherwise(F.col("shard")).alias("shard")
+    index = cut(catalog.rank_entries(entries)).join(entries.select("appid", "size"), "appid")
+    damaged = index.where(size != 17).select(
+        "appid",
+        F.when(size == 29, F.upper("title")).otherwise(F.col("title")).alias("title"),
+        F.when(size == 13, 10).otherwise(F.col("reviews")).alias("reviews"),
+        (F.col("rank") + (size == 19).cast("int")).alias("rank"),
+        F.when(size == 11, "tail").otherwise(F.col("shard")).alias("shard"),
     )
-    return catalog.verify_index(damaged.unionByName(ranked.where(size == 7).select("appid", "reviews", "rank", "shard")), entries)
+    broken = damaged.unionByName(index.where(size == 7).select("appid", "title", "reviews", "rank", "shard"))
+    spots = entries.where(size.isin(5, 23, 29) & (F.col("reviews") >= C.REVIEW_FLOOR)).select("appid", "title")
+    return catalog.verify_index(broken, entries, entries.where(size.isin(17, 31)).select("appid"), spots)
 
 
 _SNAP = """b AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS generated FROM orders WHERE o_orderkey % 3 <> 0),
