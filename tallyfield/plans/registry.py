@@ -12,7 +12,7 @@ from tallyfield import config as C
 from tallyfield.functions import rates as R
 from tallyfield.functions import text as X
 from tallyfield.functions.broadcasts import small
-from tallyfield.operators import catalog, claims, evals, filtering, ledger, pool, publish, sourcing, verdict
+from tallyfield.operators import catalog, claims, evals, filtering, ledger, pool, publish, sourcing, typeahead, verdict
 from tallyfield.plans import oracles as O
 from tallyfield.sources import adapters as A
 from tallyfield.package import cut, shared_folder
@@ -397,6 +397,18 @@ def search_topk(spark, d):
     return catalog.search(catalog.rank_entries(A.catalog_entries(spark, d)), " RED  ring")
 
 
+@query(f"""WITH {_RANKED}, n AS (SELECT appid, title, rank, trim(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', ' ', 'g')) AS t FROM ranked),
+ k AS (SELECT DISTINCT title[:i] AS query FROM ranked, range(1, 60) AS r(i) WHERE i <= length(title)), q AS (SELECT query, trim(regexp_replace(lower(strip_accents(query)), '[^a-z0-9]+', ' ', 'g')) AS q FROM k),
+ d AS (SELECT DISTINCT q FROM q WHERE q <> ''),
+ m AS (SELECT q, appid, title, rank, CASE WHEN t = q THEN 0 WHEN starts_with(t, q) THEN 1 WHEN t[strpos(t, q) - 1] = ' ' THEN 2 ELSE 3 END AS tier FROM d JOIN n ON contains(t, q)),
+ p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, rank, appid) AS place FROM m) SELECT query, place, appid, title, rank, tier FROM q JOIN p USING (q) WHERE place <= 8""")
+def typeahead_prefixes(spark, d):
+    """Every beginning of every title, as it is typed."""
+    index = cut(catalog.rank_entries(A.catalog_entries(spark, d)))
+    typed = F.transform(F.sequence(F.lit(1), F.greatest(F.length("title"), F.lit(1))), lambda i: F.col("title").substr(F.lit(1), i))
+    return typeahead.typeahead(index, index.select(F.explode(typed).alias("query")).distinct())
+
+
 _DAMAGED = f"""{_RANKED}, dm AS (SELECT appid, CASE WHEN size = 29 THEN upper(title) ELSE title END AS title, CASE WHEN size = 13 THEN 10 ELSE reviews END AS reviews, rank + CASE WHEN size = 19 THEN 1 ELSE 0 END AS rank, CASE WHEN size = 11 THEN 'tail' ELSE shard END AS shard FROM ranked WHERE size <> 17
  UNION ALL SELECT appid, title, reviews, rank, shard FROM ranked WHERE size = 7)"""
 

@@ -8,7 +8,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.operators import catalog, claims, ranks, token_index
+from tallyfield.operators import catalog, claims, ranks, token_index, typeahead
 
 
 def alike(c, r):
@@ -117,3 +117,38 @@ def test_index_is_verified_against_seeds_and_pairs(spark):
     swapped = good.withColumn("reviews", F.when(F.col("rank") == 90, 5000).otherwise(F.col("reviews")))
     assert found(swapped)["out_of_order"] == 1
     assert "spot_title" not in {x.problem for x in catalog.verify_index(good, entries).collect()}
+
+
+# --- typeahead
+
+
+def test_typeahead_finds_what_a_scan_finds(spark):
+    r = random.Random(7)
+    words = ["half", "halo", "life", "the", "of", "Ömega", "a", "x2", "life's"]
+    titles = [" ".join(r.choice(words) for _ in range(r.randrange(1, 4))) for _ in range(120)] + ["!!!", ""]
+    rows = [(k, t, k + 1) for k, t in enumerate(titles)]
+    entries = spark.createDataFrame(rows, "appid int, title string, rank int")
+    queries = sorted({t[:k] for t in titles for k in range(1, len(t) + 1)} | {"alf li", "zzz", "  ", "?", "A", "omega", "e", "fe of", "HALF!  life"})
+    got = typeahead.typeahead(entries.repartition(4), spark.createDataFrame([(q,) for q in [*queries, None]], "query string"), 5)
+    by = {}
+    for x in sorted(got.collect(), key=lambda x: x.place):
+        by.setdefault(x.query, []).append((x.title, x.rank, x.tier))
+    for q in queries:
+        want = [(x.title, x.rank, x.tier) for x in catalog.search(entries, q, 5).collect()] if q in ("HALF!  life", "e", "alf li", "zzz", "  ", "?") else None
+        assert want is None or by.get(q, []) == want
+    plain = lambda t: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in t.lower().replace("ö", "o")).split())
+    for q in queries:
+        n, found = plain(q), []
+        for _, title, rank in rows:
+            t = plain(title)
+            if n and n in t:
+                at = t.index(n)
+                found.append((0 if t == n else 1 if at == 0 else 2 if t[at - 1] == " " else 3, rank, title))
+        assert by.get(q, []) == [(title, rank, tier) for tier, rank, title in sorted(found)[:5]]
+
+
+def test_typeahead_cuts_hits_before_they_are_gathered(spark):
+    entries = spark.range(1000).select(F.col("id").alias("appid"), F.lit("the same title").alias("title"), F.col("id").cast("int").alias("rank"))
+    got = typeahead.typeahead(entries, spark.createDataFrame([("the",), ("same",)], "query string"), 3)
+    assert sorted((x.query, x.appid) for x in got.collect()) == [(q, k) for q in ("same", "the") for k in range(3)]
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
