@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
+import sys
+import unicodedata
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,16 +110,61 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-#: Letters of Latin with a mark, and without.
-MARKED, BARE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+_MARKS = re.compile("[\u0300-\u036f]")
+
+
+def _bare() -> tuple[str, str]:
+    """Every character that comes down to one letter or digit of ASCII when its marks go, and that; then the marks."""
+    found = {}
+    for code in range(0x80, sys.maxunicode + 1):
+        plain = _MARKS.sub("", unicodedata.normalize("NFD", chr(code)).lower())
+        if len(plain) == 1 and plain.isascii() and plain.isalnum() and not 0xD800 <= code < 0xE000:
+            found[chr(code)] = plain
+    return "".join([*found, *map(chr, range(0x300, 0x370))]), "".join(found.values())
+
+
+MARKED, BARE = _bare()
 
 
 def normal_title(title: Column) -> Column:
+    """Lower case, without marks on letters; all else but letters and digits of ASCII becomes single spaces."""
     return F.trim(F.regexp_replace(F.translate(F.lower(title), MARKED, BARE), "[^a-z0-9]+", " "))
 
 
-def unescape(html: Column) -> Column:
-    """The five common entities; the ampersand last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        html = F.replace(html, F.lit(entity), F.lit(char))
-    return html
+def _character(code: Column) -> Column:
+    """The character that a numeric entity stands for, as HTML has it: bytes of an old code page are meant by it, and what is
+    no character is replaced or dropped."""
+    page = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)]
+    control = code.between(1, 8) | code.between(0xE, 0x1F) | (code == 0xB) | (code == 0x7F)
+    none = control | code.between(0xFDD0, 0xFDEF) | (code % 0x10000 >= 0xFFFE)
+    return (
+        F.when(code.between(0x80, 0x9F), F.get(F.array(*map(F.lit, page)), (code - 0x80).cast("int")))
+        .when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd")
+        .when(none, "")
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    )
+
+
+def unescape(text: Column) -> Column:
+    """All named and numeric entities in one pass, so that what an entity yields isn't read again. Old names need no
+    semicolon, and the longest that fits counts."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    old = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+
+    def decoded(part: Column) -> Column:
+        rest = lambda found: F.substring(part, F.length(found) + 1, F.length(part))
+        name, prefix = F.regexp_extract(part, "^[^\\t\\n\\f <&#;]{1,32};?", 0), F.regexp_extract(part, f"^(?:{'|'.join(old)})", 0)
+        named = F.when(name == "amp;", "&").when(name == "lt;", "<").when(name == "gt;", ">").when(name == "quot;", '"').otherwise(F.try_element_at(names, name))
+        tens, hexes = F.regexp_extract(part, "^#0*([0-9]+);?", 1), F.regexp_extract(part, "^#[xX]0*([0-9a-fA-F]+);?", 1)
+        code = F.when(F.length(tens) > 7, 0x110000).when(tens != "", tens.cast("int")).when(F.length(hexes) > 6, 0x110000).otherwise(F.conv(hexes, 16, 10).cast("int"))
+        number = F.regexp_extract(part, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        return (
+            F.when(number != "", F.concat(_character(code), rest(number)))
+            .when(named.isNotNull(), F.concat(named, rest(name)))
+            .when(prefix != "", F.concat(F.try_element_at(names, prefix), rest(prefix)))
+            .otherwise(F.concat(F.lit("&"), part))
+        )
+
+    parts = F.split(text, "&")
+    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), decoded), ""))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
