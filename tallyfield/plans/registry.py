@@ -687,4 +687,4 @@ def routing(spark, d):
     return A.request_log(spark, d).select("id", R.ledger_for(pick(_MODELS), pick(_ASKED)).alias("ledger"), R.error_class(pick(_MESSAGES)).alias("class"))
 
 
-from tallyfield.plans import documents, serving, sources, tools  # noqa: E402, F401  they register their queries here
+from tallyfield.plans import documents, responses, serving, sources, tools  # noqa: E402, F401  they register their queries here
