@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -82,10 +83,13 @@ def usable_cost(value: Column) -> Column:
     return F.when(value.rlike("^[0-9]+$") & (n > 0), n)
 
 
-def describe_divergence(flags: DataFrame) -> DataFrame:
-    """game, line of flags (game, shape, gap_pts, sequence of label and pct)."""
-    steps = F.transform("sequence", lambda s: F.format_string("%s %.1f%%", s["label"], s["pct"]))
-    return flags.select("game", F.format_string("segmentation [%s], spread %.1f pts: %s", "shape", "gap_pts", F.array_join(steps, " -> ")).alias("line"))
+def describe_divergence(flags: DataFrame, label: Callable[[Column], Column]) -> DataFrame:
+    """game, line of flags, as cohort_divergence finds them; `label` names a cohort."""
+    steps = F.transform("sequence", lambda s: F.format_string("%s %.1f%% (pool_n %d)", label(s["cohort"]), s["pct"], s["pool_n"]))
+    head = F.format_string("segmentation [%s], spread %.1f pts: %s", "shape", "gap_pts", F.array_join(steps, " -> "))
+    peak = F.format_string("; peaks at %s and falls %.1f pts to %s", label(F.col("peak_cohort")), "drop_after_peak_pts", label(F.col("after_peak_cohort")))
+    trough = F.format_string("; troughs at %s", label(F.col("trough_cohort")))
+    return flags.select("game", F.concat(head, F.when(F.col("shape") == "rise_then_fall", peak).when(F.col("shape") == "fall_then_rise", trough).otherwise("")).alias("line"))
 
 
 def model_for(flash_day: Column, scheduled_day: Column, override: Column, force_lite: Column) -> Column:

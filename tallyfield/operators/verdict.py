@@ -25,7 +25,7 @@ def post_refund_mean(rates: DataFrame, min_pool: int = C.MEAN_MIN_POOL) -> DataF
 
 def shape_of(rates: Column) -> Column:
     """The shape of an array of rates; steps within the tolerance are flat, and ties take the first place."""
-    steps = F.transform(F.slice(rates, 2, 100), lambda x, i: F.round(x - F.get(rates, i), 1))
+    steps = F.transform(F.slice(rates, F.lit(2), F.greatest(F.size(rates) - 1, F.lit(0))), lambda x, i: F.round(x - F.get(rates, i), 1))
     ups, downs = F.exists(steps, lambda s: s > C.SHAPE_TOLERANCE), F.exists(steps, lambda s: s < -C.SHAPE_TOLERANCE)
     n = F.size(rates)
     peak, trough = F.array_position(rates, F.array_max(rates)), F.array_position(rates, F.array_min(rates))
@@ -40,15 +40,33 @@ def shape_of(rates: Column) -> Column:
 
 
 def cohort_divergence(rates: DataFrame) -> DataFrame:
-    """game, cohorts, gap_pts, shape, low_cohort, high_cohort of the games whose cohorts lie far apart."""
+    """game, cohorts, gap_pts, shape, low_cohort, high_cohort, sequence (cohort, pct, pool_n) of the games whose cohorts lie
+    far apart; of a shape that rises and falls the peak, the lowest cohort after it and the fall, of one that falls and
+    rises the trough. Ties take the first cohort."""
     fits = (F.col("pool_n") >= C.DIVERGENCE_MIN_POOL) & F.col("pct_positive").isNotNull() & F.col("bucket").isin(C.BUCKET_NAMES)
-    item = F.struct(bucket_rank(F.col("bucket")).alias("rank"), F.col("bucket").alias("bucket"), F.col("pct_positive").alias("pct"))
-    rows = rates.where(fits).groupBy("game").agg(F.array_sort(F.collect_list(item)).alias("sequence"))
-    rows = rows.select("game", F.col("sequence.bucket").alias("names"), F.col("sequence.pct").alias("pcts")).where(F.size("pcts") >= 2)
+    item = F.struct(bucket_rank(F.col("bucket")).alias("rank"), F.col("bucket").alias("cohort"), F.col("pct_positive").alias("pct"), "pool_n")
+    rows = rates.where(fits).groupBy("game").agg(F.array_sort(F.collect_list(item)).alias("ranked"))
+    sequence = F.transform("ranked", lambda x: F.struct(x["cohort"].alias("cohort"), x["pct"].alias("pct"), x["pool_n"].alias("pool_n")))
+    rows = rows.select("game", sequence.alias("sequence"), F.col("ranked.cohort").alias("names"), F.col("ranked.pct").alias("pcts")).where(F.size("pcts") >= 2)
     low, high = F.array_min("pcts"), F.array_max("pcts")
-    rows = rows.withColumn("gap_pts", F.round(high - low, 1)).where(F.col("gap_pts") >= C.DIVERGENCE_MIN_GAP)
-    at = lambda x: F.element_at("names", F.array_position("pcts", x).cast("int"))
-    return rows.select("game", F.array_join("names", ",").alias("cohorts"), "gap_pts", shape_of(F.col("pcts")).alias("shape"), at(low).alias("low_cohort"), at(high).alias("high_cohort"))
+    rows = rows.withColumn("gap_pts", F.round(high - low, 1)).where(F.col("gap_pts") >= C.DIVERGENCE_MIN_GAP).withColumn("shape", shape_of(F.col("pcts")))
+    place = lambda x: F.array_position("pcts", x).cast("int")
+    after = F.slice("pcts", place(high), F.size("pcts"))
+    lowest = F.element_at("names", (place(high) - 1 + F.array_position(after, F.array_min(after))).cast("int"))
+    falls, rises = F.col("shape") == "rise_then_fall", F.col("shape") == "fall_then_rise"
+    return rows.select(
+        "game",
+        F.array_join("names", ",").alias("cohorts"),
+        "gap_pts",
+        "shape",
+        F.element_at("names", place(low)).alias("low_cohort"),
+        F.element_at("names", place(high)).alias("high_cohort"),
+        F.when(falls, F.element_at("names", place(high))).alias("peak_cohort"),
+        F.when(falls, lowest).alias("after_peak_cohort"),
+        F.when(falls, F.round(high - F.array_min(after), 1)).alias("drop_after_peak_pts"),
+        F.when(rises, F.element_at("names", place(low))).alias("trough_cohort"),
+        "sequence",
+    )
 
 
 def recency_shift(split: DataFrame, lifetime: DataFrame) -> DataFrame:

@@ -12,6 +12,9 @@ from tallyfield import config as C
 from tallyfield.functions import rates as R
 from tallyfield.functions import text as X
 from tallyfield.functions.broadcasts import small
+from tallyfield.operators import serving as serving_operators
+from tallyfield.operators.documents import LABELS as documents_labels
+from tallyfield.operators.documents import cohort_label
 from tallyfield.operators import catalog, claims, evals, filtering, ledger, pool, publish, sourcing, typeahead, verdict
 from tallyfield.plans import oracles as O
 from tallyfield.sources import adapters as A
@@ -137,14 +140,36 @@ def cohort_structure(spark, d):
     return pool.cohort_structure(A.fact_reviews(spark, d))
 
 
-@query(f"""WITH {O.RATES}, q AS (SELECT game, list(bucket ORDER BY {O.RANK.format(b="bucket")}) AS names, list(pct_positive ORDER BY {O.RANK.format(b="bucket")}) AS p FROM rates WHERE pool_n >= 30 GROUP BY 1 HAVING count(*) >= 2),
+_FAR = f"""{O.RATES}, q AS (SELECT game, list(bucket ORDER BY {O.RANK.format(b="bucket")}) AS names, list(pct_positive ORDER BY {O.RANK.format(b="bucket")}) AS p, list(pool_n ORDER BY {O.RANK.format(b="bucket")}) AS ns FROM rates WHERE pool_n >= 30 AND bucket <> 'unknown' GROUP BY 1 HAVING count(*) >= 2),
  s AS (SELECT *, list_transform(range(1, len(p)), lambda i: round(p[i + 1] - p[i], 1)) AS steps, list_position(p, list_max(p)) AS hi, list_position(p, list_min(p)) AS lo FROM q WHERE round(list_max(p) - list_min(p), 1) >= 25),
- u AS (SELECT *, len(list_filter(steps, lambda x: x > 3)) > 0 AS up, len(list_filter(steps, lambda x: x < -3)) > 0 AS down FROM s)
- SELECT game, array_to_string(names, ',') AS cohorts, round(list_max(p) - list_min(p), 1) AS gap_pts, CASE WHEN NOT up AND NOT down THEN 'flat' WHEN up AND NOT down THEN 'monotonic_increase' WHEN down AND NOT up THEN 'monotonic_decrease'
- WHEN hi > 1 AND hi < len(p) THEN 'rise_then_fall' WHEN lo > 1 AND lo < len(p) THEN 'fall_then_rise' ELSE 'mixed' END AS shape, names[lo] AS low_cohort, names[hi] AS high_cohort FROM u""".replace("fact AS (", "fact0 AS (").replace("FROM fact GROUP", "FROM (SELECT * REPLACE ((l_x * 31) % 100 < 95 - minutes // 90 AS voted_up) FROM (SELECT *, rid AS l_x FROM fact0)) GROUP"))
+ u AS (SELECT *, len(list_filter(steps, lambda x: x > 3)) > 0 AS up, len(list_filter(steps, lambda x: x < -3)) > 0 AS down FROM s),
+ v AS (SELECT *, round(list_max(p) - list_min(p), 1) AS gap_pts, CASE WHEN NOT up AND NOT down THEN 'flat' WHEN up AND NOT down THEN 'monotonic_increase' WHEN down AND NOT up THEN 'monotonic_decrease'
+ WHEN hi > 1 AND hi < len(p) THEN 'rise_then_fall' WHEN lo > 1 AND lo < len(p) THEN 'fall_then_rise' ELSE 'mixed' END AS shape FROM u),
+ y AS (SELECT *, CASE WHEN shape = 'rise_then_fall' THEN names[hi] END AS peak_cohort, CASE WHEN shape = 'rise_then_fall' THEN names[hi - 1 + list_position(p[hi:], list_min(p[hi:]))] END AS after_peak_cohort,
+  CASE WHEN shape = 'rise_then_fall' THEN round(list_max(p) - list_min(p[hi:]), 1) END AS drop_after_peak_pts, CASE WHEN shape = 'fall_then_rise' THEN names[lo] END AS trough_cohort FROM v)""".replace("fact AS (", "fact0 AS (").replace(
+    "FROM fact GROUP", "FROM (SELECT * REPLACE ((rid * 31) % 100 < 50 + (game * 7) % 45 - abs(minutes // 90 - (game * 11) % 80) // 2 * (game % 3 - 1) AS voted_up) FROM fact0) GROUP"
+)
+
+
+def _far_apart(spark, d):
+    """Games whose votes rise, fall or bend with the time played, each in its own way."""
+    game, played = F.col("game"), F.floor(F.col("minutes") / 90)
+    bent = 50 + (game * 7) % 45 - F.floor(F.abs(played - (game * 11) % 80) / 2) * (game % 3 - 1)
+    return verdict.cohort_divergence(pool.pool_rates(A.fact_reviews(spark, d).withColumn("voted_up", (F.col("rid") * 31) % 100 < bent)))
+
+
+@query(f"WITH {_FAR} SELECT game, array_to_string(names, ',') AS cohorts, gap_pts, shape, names[lo] AS low_cohort, names[hi] AS high_cohort, peak_cohort, after_peak_cohort, drop_after_peak_pts, trough_cohort FROM y")
 def cohort_divergence(spark, d):
-    rows = A.fact_reviews(spark, d).withColumn("voted_up", (F.col("rid") * 31) % 100 < 95 - F.floor(F.col("minutes") / 90))
-    return verdict.cohort_divergence(pool.pool_rates(rows))
+    return _far_apart(spark, d).drop("sequence")
+
+
+_SHOWN = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in documents_labels.items()) + " END"
+
+
+@query(f"""WITH {_FAR} SELECT game, 'segmentation [' || shape || '], spread ' || printf('%.1f', gap_pts) || ' pts: ' || array_to_string(list_transform(range(1, len(p) + 1), lambda i: {_SHOWN.format("names[i]")} || ' ' || printf('%.1f', p[i]) || '% (pool_n ' || ns[i] || ')'), ' -> ')
+ || CASE shape WHEN 'rise_then_fall' THEN '; peaks at ' || {_SHOWN.format("peak_cohort")} || ' and falls ' || printf('%.1f', drop_after_peak_pts) || ' pts to ' || {_SHOWN.format("after_peak_cohort")} WHEN 'fall_then_rise' THEN '; troughs at ' || {_SHOWN.format("trough_cohort")} ELSE '' END AS line FROM y""")
+def divergence_lines(spark, d):
+    return serving_operators.describe_divergence(_far_apart(spark, d), cohort_label)
 
 
 _CLASS = O.classified(BLOCKED, SOFT)

@@ -155,6 +155,23 @@ def test_publish_and_prune(spark):
     assert at(2026, 8, 10) == {k: (False, v) for k, v in why.items()} | {"older": (True, None)}  # ties stay for good
 
 
+def test_shapes_and_their_sentences(spark):
+    from tallyfield.operators import serving
+    from tallyfield.operators.documents import cohort_label
+
+    seen = {"bent": [50.0, 88.0, 85.0, 66.0], "dip": [80.0, 40.0, 40.0, 90.0], "up": [10.0, 20.0, 30.0, 40.5], "near": [50.0, 60.0, 55.0, 52.0]}
+    rows = [(g, b, 40 + k, p) for g, ps in seen.items() for k, (b, p) in enumerate(zip(C.BUCKET_NAMES, ps))] + [("bent", "unknown", 99, 1.0), ("dip", "x", 99, 1.0)]
+    found = verdict.cohort_divergence(spark.createDataFrame(rows, "game string, bucket string, pool_n int, pct_positive double"))
+    got = {r.game: (r["shape"], r.low_cohort, r.high_cohort, r.peak_cohort, r.after_peak_cohort, r.drop_after_peak_pts, r.trough_cohort) for r in found.collect()}
+    assert got == {
+        "bent": ("rise_then_fall", "refund_window", "early", "early", "veteran", 22.0, None),
+        "dip": ("fall_then_rise", "early", "veteran", None, None, None, "early"),
+        "up": ("monotonic_increase", "refund_window", "veteran", None, None, None, None),
+    }
+    lines = {r.game: r.line for r in serving.describe_divergence(found, cohort_label).collect()}
+    assert lines["bent"].endswith("100h+ 66.0% (pool_n 43); peaks at 2-20h and falls 22.0 pts to 100h+") and lines["dip"].endswith("; troughs at 2-20h") and lines["up"].endswith("40.5% (pool_n 43)")
+
+
 def test_pacific_days(spark):
     times = [("2026-08-02 06:59:00",), ("2026-08-02 07:00:00",), ("2026-01-15 07:59:00",), ("2026-01-15 08:00:00",)]
     assert values(spark, R.pacific_day(F.col("t").cast("timestamp")), times, "t string") == ["2026-08-01", "2026-08-02", "2026-01-14", "2026-01-15"]
