@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tallyfield import config as C
 from tallyfield.functions.broadcasts import small
 from tallyfield.functions.rates import citation_verdict, count_where
 from tallyfield.functions.text import collapse, fuzzy_hits, prevalence, tokens
+from tallyfield.operators.documents import cohort_hours, cohort_label
 from tallyfield.operators.token_index import hits
 from tallyfield.package import cut
 
@@ -126,3 +129,16 @@ def prompts(sample: DataFrame) -> DataFrame:
     line = F.concat(F.lit("["), F.col("rid").cast("string"), F.lit("] ("), F.format_string("%.1f", F.coalesce("hours", F.lit(0.0))), F.lit("h, "), says, F.lit(") "), shown)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "rid", line.alias("line")))), lambda x: x["line"])
     return sample.groupBy("game", "bucket").agg(F.array_join(lines, "\n\n").alias("prompt"))
+
+
+def build_prompts(sample: DataFrame, system: str, user: str) -> DataFrame:
+    """game, bucket, system, user: the two turns about each cohort of a quota sample. The texts may name {cohort_label},
+    {cohort_range}, {game} and {reviews}; what is put in isn't read again."""
+    found = prompts(sample)
+    parts = {"cohort_label": cohort_label(F.col("bucket")), "cohort_range": cohort_hours(F.col("bucket")), "game": F.col("game").cast("string"), "reviews": F.col("prompt")}
+
+    def filled(text: str) -> Column:
+        pieces = re.split(r"\{(\w+)\}", text)
+        return F.concat(*[F.coalesce(parts[x], F.lit("")) if k % 2 else F.lit(x) for k, x in enumerate(pieces)])
+
+    return found.select("game", "bucket", filled(system).alias("system"), filled(user).alias("user"))

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from tallyfield import config as C
 from tallyfield.functions.rates import pacific_day
 
-#: The sentence for each failure code, as a writer is told.
+#: The sentence for each failure code, as a writer is told; {} is what the code names. None speaks of shared
+#: words, which would teach a writer to repeat the reviews.
 PROBLEMS = {
     "ids_not_in_corpus": "it cites reviews that do not exist",
     "cited_outside_bucket": "it cites reviews of another cohort",
     "low_union_coverage": "the cited reviews do not mention it",
     "only": "too few of the cited reviews mention it",
-    "prevalence_language": "it says how many people think so",
+    "prevalence_language": "it says how many people think so ({})",
 }
 
 
@@ -55,14 +56,22 @@ def settle(facts: DataFrame) -> DataFrame:
 
 
 def explain(failure: Column) -> Column:
-    """A failure code as a sentence."""
-    code = F.regexp_extract(failure, "^(only|[a-z_]+)", 1)
+    """A failure code as a sentence, with what it names; another code stays as it is."""
+    code, names = F.regexp_extract(failure, "^(only|[a-z_]+)", 1), F.regexp_extract(failure, "^[^:]*:(.*)$", 1)
     out = failure
-    for prefix, sentence in PROBLEMS.items():
-        out = F.when(code.startswith(prefix), sentence).otherwise(out)
+    for known, sentence in PROBLEMS.items():
+        head, named, tail = sentence.partition("{}")
+        out = F.when(code == known, F.concat(F.lit(head), names, F.lit(tail)) if named else F.lit(sentence)).otherwise(out)
     return out
 
 
+def problem_lines(claims: DataFrame) -> DataFrame:
+    """claim_key, line: what a writer is told about each claim (claim_key, claim, failures) that failed, in the order of its
+    failures, which semicolons part."""
+    told = F.array_join(F.transform(F.split("failures", ";"), explain), "; ")
+    return claims.where("failures <> ''").select("claim_key", F.concat(F.lit('- "'), "claim", F.lit('"\n    problem: '), told).alias("line"))
+
+
 def cost_block(log: DataFrame) -> DataFrame:
     """key, day, model_calls, basis: what a title was charged on a day."""
     sums = log.groupBy("key", pacific_day(F.col("ts")).alias("day")).agg(F.count("*").alias("model_calls"))

@@ -317,15 +317,24 @@ def fuzzy_merge(spark, d):
 _TEXT_SAMPLE = f"""{O.TEXT}, pb AS (SELECT game, rid, bucket, lang AS prim, rid AS seq FROM texts), {_quota_sql(60, 20, ['en', 'de'])}"""
 
 
+#: The two turns of a prompt.
+_SYSTEM, _USER = "You read reviews of {cohort_label} players ({cohort_range}).", "Game: {game}\nCohort: {cohort_label}, {cohort_range}\n\n{reviews}"
+_HOURS = "CASE bucket WHEN 'refund_window' THEN '0-2 hours played' WHEN 'early' THEN '2-20 hours played' WHEN 'mid' THEN '20-100 hours played' WHEN 'veteran' THEN '100+ hours played' END"
+_LABEL = "CASE bucket WHEN 'refund_window' THEN '<2h refund window' WHEN 'early' THEN '2-20h' WHEN 'mid' THEN '20-100h' WHEN 'veteran' THEN '100h+' END"
+
+
 @query(rf"""WITH {_TEXT_SAMPLE}, t AS (SELECT s.game, s.bucket, s.seq, s.rid, trim(regexp_replace(text, '\s+', ' ', 'g')) AS plain, voted_up, minutes FROM sample s JOIN texts USING (rid)),
  u AS (SELECT *, '[' || rid || '] (' || printf('%.1f', round(minutes / 60e0, 1)) || 'h, ' || CASE WHEN voted_up THEN 'recommends' ELSE 'does not recommend' END || ') '
    || CASE WHEN length(plain) > 1500 THEN plain[:1500] || ' ...[truncated]' ELSE plain END AS line FROM t)
- SELECT game, bucket, sha256(string_agg(line, chr(10) || chr(10) ORDER BY seq)) AS prompt_sha256 FROM u GROUP BY 1, 2""")
+ SELECT game, bucket, 'You read reviews of ' || {_LABEL} || ' players (' || {_HOURS} || ').' AS system, sha256('Game: ' || game || chr(10) || 'Cohort: ' || {_LABEL} || ', ' || {_HOURS} || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) ORDER BY seq)) AS user_sha256,
+ sha256(string_agg(line, chr(10) || chr(10) ORDER BY seq)) AS prompt_sha256 FROM u GROUP BY 1, 2""")
 def extraction_prompts(spark, d):
     reviews = A.text_reviews(spark, d)
     chosen = pool.quota_sample(reviews.select("game", "rid", "bucket", F.col("lang").alias("primary"), F.col("rid").alias("seq")), 60, 20, ["en", "de"])
     texts = reviews.select(F.col("rid").alias("of"), "text", "voted_up", F.round(F.col("minutes") / 60, 1).alias("hours"))
-    return claims.prompts(chosen.join(texts, F.col("rid") == F.col("of"))).select("game", "bucket", F.sha2("prompt", 256).alias("prompt_sha256"))
+    turns = claims.build_prompts(chosen.join(texts, F.col("rid") == F.col("of")), _SYSTEM, _USER)
+    told = F.element_at(F.split("user", "\n\n", 2), 2)
+    return turns.select("game", "bucket", "system", F.sha2("user", 256).alias("user_sha256"), F.sha2(told, 256).alias("prompt_sha256"))
 
 
 #: The reviews that count as cited are those that one of the sweeps saw.

@@ -54,11 +54,21 @@ def settled_runs(spark, d):
     return T.settle(A.request_log(spark, d).select(F.col("key").alias("appid"), (i % 7).alias("run"), F.when(i % 3 != 0, i % 20).alias("actual"), i.alias("seen")))
 
 
-@query("""SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'it cites reviews that do not exist' WHEN 1 THEN 'it cites reviews of another cohort' WHEN 2 THEN 'the cited reviews do not mention it' WHEN 3 THEN 'too few of the cited reviews mention it'
- WHEN 4 THEN 'it says how many people think so' ELSE 'other:code' END AS sentence FROM events""")
+#: Failure codes with and without names, unknown ones, and some that only begin like known ones.
+_CODES = [
+    "ids_not_in_corpus:1", "ids_not_in_corpus:1,2,3", "ids_not_in_corpus", "cited_outside_bucket:2", "cited_outside_bucket:", "low_union_coverage", "low_union_coverage:0.1", "only_0_supporting_citations",
+    "only_1_supporting_citations", "only", "only_12", "prevalence_language:ratio", "prevalence_language:percentage,ratio in words", "prevalence_language:a:b", "prevalence_language", "prevalence_language_too:x", "prevalence", "other:code",
+    "other", "", "Only_1", " only_1", "low_union", "ids_not_in_corpus_2:7",
+]
+_KNOWN = r"regexp_extract(c, '^(only|[a-z_]+)', 1)"
+
+
+@query(f"""WITH e AS (SELECT event_id AS id, [{", ".join(f"'{c}'" for c in _CODES)}][event_id % {len(_CODES)} + 1] AS c FROM events)
+ SELECT id, c AS code, CASE {_KNOWN} WHEN 'ids_not_in_corpus' THEN 'it cites reviews that do not exist' WHEN 'cited_outside_bucket' THEN 'it cites reviews of another cohort' WHEN 'low_union_coverage' THEN 'the cited reviews do not mention it'
+ WHEN 'only' THEN 'too few of the cited reviews mention it' WHEN 'prevalence_language' THEN 'it says how many people think so (' || CASE WHEN contains(c, ':') THEN substr(c, strpos(c, ':') + 1) ELSE '' END || ')' ELSE c END AS sentence FROM e""")
 def explained_failures(spark, d):
-    codes = ["ids_not_in_corpus:1", "cited_outside_bucket:2", "low_union_coverage", "only_1_supporting_citations", "prevalence_language:ratio", "other:code"]
-    return A.request_log(spark, d).select("id", T.explain(F.element_at(F.array(*map(F.lit, codes)), (F.col("id") % 6 + 1).cast("int"))).alias("sentence"))
+    code = F.get(F.array(*map(F.lit, _CODES)), (F.col("id") % len(_CODES)).cast("int"))
+    return A.request_log(spark, d).select("id", code.alias("code"), T.explain(code).alias("sentence"))
 
 
 @query(f"SELECT user_id AS key, {_DAY} AS day, count(*) AS model_calls, count(*) || ' calls charged on ' || {_DAY} AS basis FROM events GROUP BY 1, 2")

@@ -172,6 +172,17 @@ def test_shapes_and_their_sentences(spark):
     assert lines["bent"].endswith("100h+ 66.0% (pool_n 43); peaks at 2-20h and falls 22.0 pts to 100h+") and lines["dip"].endswith("; troughs at 2-20h") and lines["up"].endswith("40.5% (pool_n 43)")
 
 
+def test_problem_lines_and_prompts(spark):
+    from tallyfield.operators import review_tools as tools
+
+    rows = [(1, "Most say so.", "prevalence_language:most;only_1_supporting_citations"), (2, "fine", ""), (3, "x", "ids_not_in_corpus:9;new_code:1")]
+    lines = {r.claim_key: r.line for r in tools.problem_lines(spark.createDataFrame(rows, "claim_key int, claim string, failures string")).collect()}
+    assert lines == {1: '- "Most say so."\n    problem: it says how many people think so (most); too few of the cited reviews mention it', 3: '- "x"\n    problem: it cites reviews that do not exist; new_code:1'}
+    sample = spark.createDataFrame([("g {game}", "early", 1, 0, 3.0, True, "a {reviews}  b")], "game string, bucket string, rid int, seq int, hours double, voted_up boolean, text string")
+    got = claims.build_prompts(sample, "About {cohort_label}.", "{game} ({cohort_range}):\n{reviews}").first()
+    assert (got.system, got.user) == ("About 2-20h.", "g {game} (2-20 hours played):\n[1] (3.0h, recommends) a {reviews} b")
+
+
 def test_pacific_days(spark):
     times = [("2026-08-02 06:59:00",), ("2026-08-02 07:00:00",), ("2026-01-15 07:59:00",), ("2026-01-15 08:00:00",)]
     assert values(spark, R.pacific_day(F.col("t").cast("timestamp")), times, "t string") == ["2026-08-01", "2026-08-02", "2026-01-14", "2026-01-15"]
