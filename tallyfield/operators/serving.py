@@ -118,11 +118,6 @@ def extract(candidates: DataFrame, valid, ask, retries: int = 2) -> DataFrame:
     return reduce(DataFrame.unionByName, accepted)
 
 
-def withheld_fields(columns: list[str], forbidden: list[str]) -> list[str]:
-    """The columns of a payload that must not leave."""
-    return [c for c in columns if c in set(forbidden)]
-
-
 def failure_report(codes: DataFrame) -> DataFrame:
     """code, subject, n of failure codes (code:subject:...)."""
     parts = F.split("failure", ":")

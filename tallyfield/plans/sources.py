@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyfield.operators import documents, ingest, pool
 from tallyfield.package import shared_folder
 from tallyfield.plans import oracles as O
 from tallyfield.plans.registry import _CLASS, _classified, query
@@ -76,3 +77,24 @@ def dropped_reports(spark, d):
     folder = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
     entity_files.write_entities(entity_files.dropped_pieces(_classified(spark, d), REASONS), folder)
     return entity_files.read_entities(spark, folder).select("name", F.sha2("content", 256).alias("content_sha256"))
+
+
+#: Art addresses of a page: with and without a segment of its own, several of a title, with a query after them.
+_ART = "html || ' src=\"https://cdn/store_item_assets/steam/apps/' || page_id % 40 || '/' || CASE WHEN page_id % 3 = 0 THEN '' ELSE {hash} || '/' END || 'capsule_231x87.jpg?t=' || page_id || '\" src=\"store_item_assets/steam/apps/' || page_id % 7 || '/' || {hash} || '/header.jpg\"'"
+
+
+@query(f"""WITH a AS (SELECT page_id, {_ART.format(hash="substr(md5(url), 1, 8)")} AS html FROM pages), m AS (SELECT page_id, unnest(regexp_extract_all(html, 'store_item_assets/steam/apps/[0-9]+/[^"?]+')) AS m FROM a),
+ p AS (SELECT page_id, split_part(m, '/', 4) AS appid, array_to_string(string_split(m, '/')[5:], '/') AS suffix FROM m)
+ SELECT appid, arg_max(suffix, lpad(CAST(page_id AS VARCHAR), 12, '0') || suffix) AS suffix FROM p WHERE contains(suffix, '/') GROUP BY 1""")
+def capsule_suffixes(spark, d):
+    pages = A.table(spark, d, "pages").where("url IS NOT NULL AND html IS NOT NULL")
+    return ingest.capsules(pages.select("page_id", F.expr(_ART.format(hash="substr(md5(cast(url AS binary)), 1, 8)")).alias("html")))
+
+
+@query(f"""WITH {O.RATES}, r AS (SELECT game, bucket, count(*) AS pool_n, count(*) FILTER (voted_up) AS up FROM fact WHERE source_filter = 'R' AND game % 2 = 1 GROUP BY 1, 2),
+ f AS (SELECT game, bucket, pool_n, round(100e0 * pool_n / sum(pool_n) OVER (PARTITION BY game), 1) AS share_of_pool_pct, round(100e0 * up / pool_n, 1) AS pct_positive FROM r)
+ SELECT * FROM f UNION ALL SELECT game, bucket, pool_n, share_of_pool_pct, pct_positive FROM rates WHERE game NOT IN (SELECT game FROM f)""")
+def pool_preference(spark, d):
+    """Rates of one sweep where a game has them, else those of its whole pool."""
+    facts = A.fact_reviews(spark, d)
+    return documents.prefer(pool.pool_rates(facts.where("source_filter = 'R' AND game % 2 = 1")), pool.pool_rates(facts), ["game"])

@@ -39,11 +39,6 @@ def write_json_documents(df: DataFrame, path: str, pretty: bool = False) -> None
     df.select(F.to_json(F.struct(*df.columns), options)).write.mode("overwrite").text(path)
 
 
-def write_report(lines: DataFrame, path: str) -> None:
-    """The lines (ordinal, line) as text, in order, a file for each partition of the range."""
-    lines.repartitionByRange("ordinal").sortWithinPartitions("ordinal").select("line").write.mode("overwrite").text(path)
-
-
 def memo_key(tag: str, *parts) -> F.Column:
     """The key of a remembered response: 16 hexadecimal digits of a hash of its parts; a null part is no empty one."""
     told = [F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("\x00\x00")) for p in parts]

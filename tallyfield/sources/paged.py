@@ -1,18 +1,13 @@
-"""A cursor-paginated review service as a Spark data source, with a replayable page cache.
-
-The transport is a callable, so that tests and replays need no network; the default refuses to go out.
-"""
+"""Requests to a paged service that are tried again, and what a cache of its pages would be read as."""
 
 from __future__ import annotations
 
-import json
 import random
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ATTEMPTS, BASE_SECONDS = 5, 2.0
 PAGES = "appid string, filter string, page int, cursor string, next_cursor string, payload string"
@@ -38,57 +33,6 @@ def with_backoff(call: Callable[[], dict], sleep: Callable[[float], None] = time
     raise AssertionError
 
 
-def sweep(fetch: Callable[[str, str, str], dict], appid: str, filter_: str, max_pages: int, min_pages: int = 0, enough: Callable[[list[dict]], bool] = lambda reviews: False) -> Iterator[tuple]:
-    """Pages until one is empty, the cursor is missing or stands still, there are `max_pages`, or, after `min_pages`, the
-    reviews are enough."""
-    cursor, reviews = "*", []
-    for page in range(max_pages):
-        body = with_backoff(lambda c=cursor: fetch(appid, filter_, c))
-        batch, after = body.get("reviews") or [], body.get("cursor")
-        yield appid, filter_, page, cursor, after, json.dumps(body, sort_keys=True)
-        reviews += batch
-        if not batch or not after or after == cursor or page + 1 >= min_pages and enough(reviews):
-            return
-        cursor = after
-
-
-class ReviewPages(DataSource):
-    """Options: appids and filters by commas, max_pages, and transport as "module:function"."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "review_pages"
-
-    def schema(self) -> str:
-        return PAGES
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.options = dict(options)
-
-    def partitions(self) -> list[InputPartition]:
-        pairs = [(a, f) for a in self.options["appids"].split(",") for f in self.options["filters"].split(",")]
-        return [InputPartition(p) for p in pairs]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import importlib
-
-        module, _, function = self.options["transport"].partition(":")
-        fetch = getattr(importlib.import_module(module), function)
-        yield from sweep(fetch, *partition.value, int(self.options.get("max_pages", 20)))
-
-
-def read_pages(spark: SparkSession, appids: list[str], filters: list[str], transport: str, max_pages: int = 20) -> DataFrame:
-    """The pages of a live sweep, one partition per title and filter."""
-    spark.dataSource.register(ReviewPages)
-    options = {"appids": ",".join(appids), "filters": ",".join(filters), "transport": transport, "max_pages": str(max_pages)}
-    return spark.read.format("review_pages").options(**options).load()
-
-
 def replay_pages(cached: DataFrame) -> DataFrame:
     """The cached pages that a sweep would read again: those whose cursor is the one the page before led to."""
     before = cached.select(F.col("appid").alias("a"), F.col("filter").alias("f"), (F.col("page") + 1).alias("p"), F.col("next_cursor").alias("led_to"))
