@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +69,26 @@ def run_stages(titles: DataFrame, stages: list[tuple[str, Callable[[DataFrame],
     return ok if done is None else done.unionByName(ok)
 
 
+def per_title(call: Callable[[object], str | None]) -> Callable[[DataFrame], DataFrame]:
+    """A stage out of a function of one appid, which gives its code or null; tasks call it, and what it raises for a title is
+    that title's code and ends nothing else. An interruption isn't caught."""
+
+    def stage(titles: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                codes = []
+                for appid in batch.column(0).to_pylist():
+                    try:
+                        codes.append(call(appid))
+                    except Exception as e:  # noqa: BLE001  whatever a stage raises
+                        codes.append(f"crashed:{type(e).__name__}")
+                yield pa.record_batch([batch.column(0), pa.array(codes, pa.string())], names=["appid", "code"])
+
+        return titles.select("appid").mapInArrow(run, f"appid {dict(titles.dtypes)['appid']}, code string")
+
+    return stage
+
+
 def answer(requests: DataFrame, memo: DataFrame, ask: Callable[[DataFrame], DataFrame], attempt: int) -> DataFrame:
     """key, response, remembered: the first attempt takes what is remembered and asks for the rest; later ones ask for all,
     as a remembered answer is what failed."""

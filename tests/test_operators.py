@@ -183,6 +183,18 @@ def test_problem_lines_and_prompts(spark):
     assert (got.system, got.user) == ("About 2-20h.", "g {game} (2-20 hours played):\n[1] (3.0h, recommends) a {reviews} b")
 
 
+def test_a_stage_that_raises_stops_its_title_only(spark):
+    def fetch(appid):
+        if appid % 5 == 0:
+            raise KeyError(appid)
+        return "no_reviews" if appid % 7 == 0 else None
+
+    titles = spark.createDataFrame([(k,) for k in range(1, 36)], "appid bigint")
+    stages = [("fetch", admission.per_title(fetch)), ("check", admission.per_title(lambda appid: None if appid != 3 else 1 / 0))]
+    got = {r.appid: r.outcome for r in admission.run_stages(titles, stages).collect()}
+    assert got == {k: "crashed:KeyError" if k % 5 == 0 else "no_reviews" if k % 7 == 0 else "crashed:ZeroDivisionError" if k == 3 else "ok" for k in range(1, 36)}
+
+
 def test_pacific_days(spark):
     times = [("2026-08-02 06:59:00",), ("2026-08-02 07:00:00",), ("2026-01-15 07:59:00",), ("2026-01-15 08:00:00",)]
     assert values(spark, R.pacific_day(F.col("t").cast("timestamp")), times, "t string") == ["2026-08-01", "2026-08-02", "2026-01-14", "2026-01-15"]
