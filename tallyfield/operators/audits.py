@@ -51,23 +51,30 @@ def leaks(payloads: DataFrame, forbidden: list[str]) -> DataFrame:
 
 
 def aggregate_scores(scores: DataFrame) -> DataFrame:
-    """One row of scores (case_id, score, in_cohort, safe): n, pct_two, mean, distribution, zero_ids, in_cohort_pct, outside_ids,
-    unsafe_ids, result. The lists hold the failures of an evaluation round, which is of bounded size."""
-    ids = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("case_id"))))
+    """One row of scores (case_id, score, in_cohort, safe): n, pct_two, mean, distribution, in_cohort_pct, how many scored zero,
+    lie outside their cohort or aren't safe, and result. `failing_cases` names them."""
     n = F.count("*")
     return scores.agg(
         n.alias("n"),
         percent(count_where(F.col("score") == 2), n).alias("pct_two"),
         F.round(F.avg("score"), 2).alias("mean"),
         F.concat_ws("/", *[count_where(F.col("score") == k).cast("string") for k in (0, 1, 2)]).alias("distribution"),
-        ids(F.col("score") == 0).alias("zero_ids"),
         percent(count_where(F.col("in_cohort")), n).alias("in_cohort_pct"),
-        ids(~F.col("in_cohort")).alias("outside_ids"),
-        ids(~F.col("safe")).alias("unsafe_ids"),
+        *[count_where(c).alias(name) for name, c in _failing().items()],
         F.when(count_where(~F.col("safe")) > 0, "fail").otherwise("pass").alias("result"),
     )
 
 
+def _failing() -> dict[str, Column]:
+    return {"zeros": F.col("score") == 0, "outside": ~F.col("in_cohort"), "unsafe": ~F.col("safe")}
+
+
+def failing_cases(scores: DataFrame) -> DataFrame:
+    """failing, case_id: a row for each case and each way in which it fails."""
+    ways = [F.when(c, F.lit("zero" if name == "zeros" else name)) for name, c in _failing().items()]
+    return scores.select(F.explode(F.array_compact(F.array(*ways))).alias("failing"), "case_id")
+
+
 def batch_report(titles: DataFrame) -> DataFrame:
     """outcome, n, calls, share_pct and requests per minute of titles (outcome, calls, seconds)."""
     sums = titles.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("calls").alias("calls"), F.sum("seconds").alias("seconds"))

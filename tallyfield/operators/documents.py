@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfield import config as C
 from tallyfield.functions.rates import bucket_rank
+from tallyfield.sources.entity_files import envelope_pieces
 
 #: How cohorts are called.
 LABELS = {"refund_window": "<2h refund window", "early": "2-20h", "mid": "20-100h", "veteran": "100h+"}
@@ -156,12 +157,13 @@ def card(documents: DataFrame, site: str, cdn: str) -> DataFrame:
     )
 
 
-def art_payload(capsules: DataFrame, indexed: DataFrame) -> DataFrame:
-    """n, payload: the art suffixes of the titles in the index as one JSON envelope; readers load the file whole."""
+def art_pieces(capsules: DataFrame, indexed: DataFrame, name: str = "art.json") -> DataFrame:
+    """The pieces of a file with the art suffixes (appid, suffix) of the titles in the index, in the order of appid."""
     kept = capsules.join(indexed.select("appid").distinct(), "appid", "left_semi")
-    pairs = F.array_sort(F.collect_list(F.struct("appid", "suffix")))
-    rows = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["appid"].cast("string"), p["suffix"])))
-    return kept.agg(F.count("*").alias("n"), rows.alias("c")).select("n", F.to_json(F.struct(F.lit(1).alias("v"), "n", "c")).alias("payload"))
+    quoted = F.regexp_extract(F.to_json(F.array("suffix")), r"^\[(.*)\]$", 1)
+    items = kept.select(F.lit(name).alias("name"), F.col("appid").alias("seq"), F.concat(F.lit('"'), F.col("appid").cast("string"), F.lit('":'), quoted).alias("piece"))
+    heads = kept.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.format_string('{"v":1,"n":%d,"c":{', "n").alias("head"))
+    return envelope_pieces(heads, items, "}}")
 
 
 def art_changes(stored: DataFrame, found: DataFrame) -> DataFrame:

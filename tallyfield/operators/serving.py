@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyfield import config as C
 from tallyfield.functions.rates import count_where
+from tallyfield.sources.entity_files import envelope_pieces
 
 
 def art(header: Column, capsule: Column, grid: Column, fallback: Column) -> tuple[Column, Column]:
@@ -97,13 +98,18 @@ def model_for(flash_day: Column, scheduled_day: Column, override: Column, force_
     return F.coalesce(override, F.when(~force_lite & (flash_day == scheduled_day), "flash").otherwise("flash-lite"))
 
 
-def shards(ranked: DataFrame) -> DataFrame:
-    """shard, n, payload: the rows of a shard in the order of rank as one JSON envelope; shards are files that readers
-    load whole."""
-    item = F.struct("rank", F.array(F.col("appid").cast("string"), F.col("title")).alias("row"))
-    rows = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["row"])
-    out = ranked.groupBy("shard").agg(F.count("*").alias("n"), rows.alias("t"))
-    return out.select("shard", "n", F.to_json(F.struct(F.lit(1).alias("v"), "n", "t")).alias("payload"))
+def shard_pieces(ranked: DataFrame, source: str) -> DataFrame:
+    """The pieces of core.json and tail.json, the titles of an index (appid, title, rank, shard) in the order of rank, with
+    the bounds of each shard. A shard without titles has its file, too."""
+    bounds = [("core", C.CORE_FLOOR, None), ("tail", C.REVIEW_FLOOR, C.CORE_FLOOR - 1)]
+    known = ranked.sparkSession.createDataFrame(bounds, "shard string, min_reviews int, max_reviews int")
+    counts = ranked.groupBy(F.col("shard").alias("of")).agg(F.count("*").alias("n"))
+    order = F.lit("review count descending; the position is the rank").alias("order")
+    head = F.to_json(F.struct(F.lit(1).alias("v"), F.lit(source).alias("source"), "min_reviews", "max_reviews", order, F.coalesce("n", F.lit(0)).alias("n")), {"ignoreNullFields": "false"})
+    name = F.concat("shard", F.lit(".json")).alias("name")
+    heads = known.join(counts, F.col("shard") == F.col("of"), "left").select(name, F.regexp_replace(head, r"\}$", ',"t":[').alias("head"))
+    items = ranked.select(name, F.col("rank").alias("seq"), F.to_json(F.array(F.col("appid").cast("string"), "title")).alias("piece"))
+    return envelope_pieces(heads, items, "]}")
 
 
 def extract(candidates: DataFrame, valid, ask, retries: int = 2) -> DataFrame:

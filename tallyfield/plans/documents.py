@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyfield.operators import admission, audits, catalog, documents, pool, serving, sourcing, verdict
 from tallyfield.plans import oracles as O
 from tallyfield.plans.registry import _CITE, _LAST, _TITLES, _citations, _deltas, _DELTA, _titles, query
+from tallyfield.package import shared_folder
 from tallyfield.sources import adapters as A
+from tallyfield.sources.entity_files import read_entities, write_entities
 
 
 def _documents(spark, d):
@@ -183,15 +187,24 @@ def payload_leaks(spark, d):
     return audits.leaks(rows, ["citation_verdict", "citation_split"])
 
 
-@query("""WITH s AS (SELECT doc_id, quality + quality * (1 - toxic) AS score, doc_id <> 17 AS inside, NOT (toxic = 1 AND quality = 1) AS safe FROM labels)
- SELECT count(*) AS n, round(100e0 * count(*) FILTER (score = 2) / count(*), 1) AS pct_two, round(avg(score), 2) AS mean, count(*) FILTER (score = 0) || '/' || count(*) FILTER (score = 1) || '/' || count(*) FILTER (score = 2) AS distribution,
- string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (score = 0) AS zero_ids, round(100e0 * count(*) FILTER (inside) / count(*), 1) AS in_cohort_pct, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (NOT inside), '') AS outside_ids,
- coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (NOT safe), '') AS unsafe_ids, CASE WHEN count(*) FILTER (NOT safe) > 0 THEN 'fail' ELSE 'pass' END AS result FROM s""")
-def score_summary(spark, d):
-    rows = A.table(spark, d, "labels")
+_SCORES = "s AS (SELECT doc_id, quality + quality * (1 - toxic) AS score, doc_id <> 17 AS inside, NOT (toxic = 1 AND quality = 1) AS safe FROM labels)"
+
+
+def _scores(spark, d):
     q, t = F.col("quality"), F.col("toxic")
-    out = audits.aggregate_scores(rows.select(F.col("doc_id").alias("case_id"), (q + q * (1 - t)).alias("score"), (F.col("doc_id") != 17).alias("in_cohort"), (~((t == 1) & (q == 1))).alias("safe")))
-    return out.select(*[F.array_join(c, ",").alias(c) if c.endswith("_ids") else c for c in out.columns])
+    return A.table(spark, d, "labels").select(F.col("doc_id").alias("case_id"), (q + q * (1 - t)).alias("score"), (F.col("doc_id") != 17).alias("in_cohort"), (~((t == 1) & (q == 1))).alias("safe"))
+
+
+@query(f"""WITH {_SCORES} SELECT count(*) AS n, round(100e0 * count(*) FILTER (score = 2) / count(*), 1) AS pct_two, round(avg(score), 2) AS mean, count(*) FILTER (score = 0) || '/' || count(*) FILTER (score = 1) || '/' || count(*) FILTER (score = 2) AS distribution,
+ round(100e0 * count(*) FILTER (inside) / count(*), 1) AS in_cohort_pct, CAST(count(*) FILTER (score = 0) AS BIGINT) AS zeros, CAST(count(*) FILTER (NOT inside) AS BIGINT) AS outside, CAST(count(*) FILTER (NOT safe) AS BIGINT) AS unsafe,
+ CASE WHEN count(*) FILTER (NOT safe) > 0 THEN 'fail' ELSE 'pass' END AS result FROM s""")
+def score_summary(spark, d):
+    return audits.aggregate_scores(_scores(spark, d))
+
+
+@query(f"WITH {_SCORES} SELECT 'zero' AS failing, doc_id AS case_id FROM s WHERE score = 0 UNION ALL SELECT 'outside', doc_id FROM s WHERE NOT inside UNION ALL SELECT 'unsafe', doc_id FROM s WHERE NOT safe")
+def score_failures(spark, d):
+    return audits.failing_cases(_scores(spark, d))
 
 
 @query("""WITH s AS (SELECT event_type AS outcome, count(*) AS n, CAST(sum(event_id % 14) AS BIGINT) AS calls, sum(event_id % 40) AS seconds FROM events GROUP BY 1)
@@ -294,8 +307,10 @@ def extended_catalog(spark, d):
 @query("SELECT count(*) AS n, sha256('{\"v\":1,\"n\":' || count(*) || ',\"c\":{' || coalesce(string_agg('\"' || p_partkey || '\":\"' || p_brand || '\"', ',' ORDER BY p_partkey), '') || '}}') AS payload_sha256 FROM part WHERE p_size > 25 AND p_retailprice > 950")
 def art_shard(spark, d):
     p = A.table(spark, d, "part").withColumnRenamed("p_partkey", "appid")
-    out = documents.art_payload(p.where("p_size > 25").select("appid", F.col("p_brand").alias("suffix")), p.where("p_retailprice > 950"))
-    return out.select("n", F.sha2("payload", 256).alias("payload_sha256"))
+    folder = f"{shared_folder(spark)}/art-{uuid.uuid4().hex}"
+    write_entities(documents.art_pieces(p.where("p_size > 25").select("appid", F.col("p_brand").alias("suffix")), p.where("p_retailprice > 950")), folder)
+    files = read_entities(spark, folder)
+    return files.select(F.get_json_object("content", "$.n").cast("long").alias("n"), F.sha2("content", 256).alias("payload_sha256"))
 
 
 @query("SELECT p_partkey AS appid, p_brand AS art FROM part WHERE p_size > 30 AND p_size <> 40")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyfield import config as C
 from tallyfield.functions import rates as R
 from tallyfield.functions import text as X
 from tallyfield.operators import evals, filtering, ingest, ledger, pool, serving, sourcing, verdict
+from tallyfield.package import cut, shared_folder
 from tallyfield.plans import oracles as O
 from tallyfield.plans.registry import BLOCKED, query
 from tallyfield.sources import adapters as A
+from tallyfield.sources.entity_files import read_entities, write_entities
 
 
 def raw_pages(spark, d):
@@ -145,13 +149,17 @@ def model_routing(spark, d):
     return A.catalog_entries(spark, d).select("appid", model.alias("model"))
 
 
-@query("""WITH r AS (SELECT p_partkey, p_name, trunc(p_retailprice) AS n, row_number() OVER (ORDER BY trunc(p_retailprice) DESC, p_partkey) AS rank FROM part WHERE trunc(p_retailprice) >= 70), s AS (SELECT CASE WHEN n >= 1000 THEN 'core' ELSE 'tail' END AS shard, count(*) AS n, string_agg('["' || p_partkey || '","' || p_name || '"]', ',' ORDER BY rank) AS t FROM r GROUP BY 1)
- SELECT shard, n, sha256('{"v":1,"n":' || n || ',"t":[' || t || ']}') AS payload_sha256 FROM s""")
+@query("""WITH r AS (SELECT p_partkey, p_name, trunc(p_retailprice) AS n, row_number() OVER (ORDER BY trunc(p_retailprice) DESC, p_partkey) AS rank FROM part WHERE trunc(p_retailprice) >= 70),
+ b(shard, lo, hi) AS (VALUES ('core', '1000', 'null'), ('tail', '70', '999')), s AS (SELECT CASE WHEN n >= 1000 THEN 'core' ELSE 'tail' END AS shard, count(*) AS n, string_agg('["' || p_partkey || '","' || p_name || '"]', ',' ORDER BY rank) AS t FROM r GROUP BY 1)
+ SELECT shard, coalesce(n, 0) AS n, sha256('{"v":1,"source":"part","min_reviews":' || lo || ',"max_reviews":' || hi || ',"order":"review count descending; the position is the rank","n":' || coalesce(n, 0) || ',"t":[' || coalesce(t, '') || ']}') AS payload_sha256 FROM b LEFT JOIN s USING (shard)""")
 def search_shards(spark, d):
+    """Both shards as files, read again."""
     from tallyfield.operators import catalog
 
-    rows = serving.shards(catalog.rank_entries(A.catalog_entries(spark, d)))
-    return rows.select("shard", "n", F.sha2("payload", 256).alias("payload_sha256"))
+    folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    write_entities(serving.shard_pieces(cut(catalog.rank_entries(A.catalog_entries(spark, d))), "part"), folder)
+    files = read_entities(spark, folder)
+    return files.select(F.regexp_replace("name", ".json$", "").alias("shard"), F.get_json_object("content", "$.n").cast("long").alias("n"), F.sha2("content", 256).alias("payload_sha256"))
 
 
 @query("""WITH c AS (SELECT 'fit_clause_too_long:' || lang || ':' || n_chars AS f FROM documents UNION ALL SELECT 'missing_tagline' FROM documents WHERE doc_id % 3 = 0) SELECT split_part(f, ':', 1) AS code, split_part(f, ':', 2) AS subject, count(*) AS n, count(*) FILTER (split_part(f, ':', 3) <> '') AS with_detail FROM c GROUP BY 1, 2""")

@@ -151,6 +151,15 @@ def json_pieces(documents: DataFrame, name: str) -> DataFrame:
     return documents.select(F.concat(F.col(name).cast("string"), F.lit(".json")).alias("name"), F.lit(0).alias("rank"), F.lit(0).alias("seq"), body.alias("piece"))
 
 
+def envelope_pieces(heads: DataFrame, items: DataFrame, closing: str) -> DataFrame:
+    """Files of JSON that hold long lists: `heads` has name, head, up to where the list begins, `items` name, seq, piece. The
+    items of a file are never gathered."""
+    first = items.groupBy("name").agg(F.min("seq").alias("first"))
+    listed = items.join(first, "name").select("name", F.lit(1).alias("rank"), "seq", F.when(F.col("seq") == F.col("first"), F.col("piece")).otherwise(F.concat(F.lit(","), "piece")).alias("piece"))
+    end = lambda rank, piece: heads.select("name", F.lit(rank).alias("rank"), F.lit(0).cast("long").alias("seq"), piece.alias("piece"))
+    return end(0, F.col("head")).unionByName(listed.withColumn("seq", F.col("seq").cast("long"))).unionByName(end(2, F.lit(closing)))
+
+
 def dropped_pieces(classified: DataFrame, reasons: list[str]) -> DataFrame:
     """The report of a game's dropped reviews (game, rid, bucket, reason, text), grouped by reason, for someone to read. A
     group's reviews are in the order of rid; each is a piece of its own."""
