@@ -51,17 +51,26 @@ def leaks(payloads: DataFrame, forbidden: list[str]) -> DataFrame:
 
 
 def aggregate_scores(scores: DataFrame) -> DataFrame:
-    """One row of scores (case_id, score, in_cohort, safe): n, pct_two, mean, distribution, in_cohort_pct, how many scored zero,
-    lie outside their cohort or aren't safe, and result. `failing_cases` names them."""
-    n = F.count("*")
-    return scores.agg(
-        n.alias("n"),
-        percent(count_where(F.col("score") == 2), n).alias("pct_two"),
-        F.round(F.avg("score"), 2).alias("mean"),
-        F.concat_ws("/", *[count_where(F.col("score") == k).cast("string") for k in (0, 1, 2)]).alias("distribution"),
-        percent(count_where(F.col("in_cohort")), n).alias("in_cohort_pct"),
-        *[count_where(c).alias(name) for name, c in _failing().items()],
-        F.when(count_where(~F.col("safe")) > 0, "fail").otherwise("pass").alias("result"),
+    """One row of scores (case_id, score, in_cohort, safe): n, pct_two, mean, distribution, zero_ids, in_cohort_pct, outside_ids,
+    unsafe_ids, how many scored zero, lie outside their cohort or aren't safe, and result. The ids are in order, joined by commas, null where there are
+    none; ranges of them are put in order and joined each in a task, so the last one only puts texts together."""
+    ids = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("case_id")))), ",")
+    ranges = scores.repartitionByRange("case_id").withColumn("slice", F.spark_partition_id())
+    counts = {"n": F.lit(True), "inside": F.col("in_cohort")} | {f"score_{k}": F.col("score") == k for k in (0, 1, 2)} | _failing()
+    parts = ranges.groupBy("slice").agg(F.sum("score").alias("total"), F.count("score").alias("scored"), *[count_where(c).alias(name) for name, c in counts.items()], *[ids(c).alias(f"{name}_ids") for name, c in _failing().items()])
+    joined = lambda name: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(f"{name}_ids") != "", F.struct("slice", f"{name}_ids")))), lambda x: x[f"{name}_ids"]), ","), F.lit(""))
+    sums = parts.agg(F.sum("total").alias("total"), F.sum("scored").alias("scored"), *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counts], *[joined(name).alias(f"{name}_ids") for name in _failing()])
+    return sums.select(
+        "n",
+        percent(F.col("score_2"), F.col("n")).alias("pct_two"),
+        F.round(F.col("total") / F.col("scored"), 2).alias("mean"),
+        F.concat_ws("/", *[F.col(f"score_{k}").cast("string") for k in (0, 1, 2)]).alias("distribution"),
+        F.col("zeros_ids").alias("zero_ids"),
+        percent(F.col("inside"), F.col("n")).alias("in_cohort_pct"),
+        "outside_ids",
+        "unsafe_ids",
+        *_failing(),
+        F.when(F.col("unsafe") > 0, "fail").otherwise("pass").alias("result"),
     )
 
 

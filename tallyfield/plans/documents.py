@@ -196,10 +196,11 @@ def _scores(spark, d):
 
 
 @query(f"""WITH {_SCORES} SELECT count(*) AS n, round(100e0 * count(*) FILTER (score = 2) / count(*), 1) AS pct_two, round(avg(score), 2) AS mean, count(*) FILTER (score = 0) || '/' || count(*) FILTER (score = 1) || '/' || count(*) FILTER (score = 2) AS distribution,
- round(100e0 * count(*) FILTER (inside) / count(*), 1) AS in_cohort_pct, CAST(count(*) FILTER (score = 0) AS BIGINT) AS zeros, CAST(count(*) FILTER (NOT inside) AS BIGINT) AS outside, CAST(count(*) FILTER (NOT safe) AS BIGINT) AS unsafe,
+ string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (score = 0) AS zero_ids, round(100e0 * count(*) FILTER (inside) / count(*), 1) AS in_cohort_pct, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (NOT inside), '') AS outside_ids,
+ coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (NOT safe), '') AS unsafe_ids, CAST(count(*) FILTER (score = 0) AS BIGINT) AS zeros, CAST(count(*) FILTER (NOT inside) AS BIGINT) AS outside, CAST(count(*) FILTER (NOT safe) AS BIGINT) AS unsafe,
  CASE WHEN count(*) FILTER (NOT safe) > 0 THEN 'fail' ELSE 'pass' END AS result FROM s""")
 def score_summary(spark, d):
-    return audits.aggregate_scores(_scores(spark, d))
+    return audits.aggregate_scores(_scores(spark, d)).fillna("", ["outside_ids", "unsafe_ids"])
 
 
 @query(f"WITH {_SCORES} SELECT 'zero' AS failing, doc_id AS case_id FROM s WHERE score = 0 UNION ALL SELECT 'outside', doc_id FROM s WHERE NOT inside UNION ALL SELECT 'unsafe', doc_id FROM s WHERE NOT safe")

@@ -447,3 +447,13 @@ def test_schedules_and_responses(spark, tmp_path):
     df = spark.createDataFrame([('{"word": "Buy"}',), ('{"word": ',), ("[]",), (None,), ('{"x": 1}',)], "t string")
     got = [(r[0].parsed.word if r[0].parsed else None, r[0].code) for r in df.select(audits.parse_response(F.col("t"), "word string", "word")).collect()]
     assert got[0] == ("Buy", None) and got[1] == got[3] == (None, "invalid_json") and got[2][1] is not None and got[4] == (None, "missing:word")
+
+
+def test_score_summary_names_the_failing_cases(spark):
+    rows = [(k, 0 if k % 3 == 0 else 2, k != 17, k % 50 != 1) for k in range(200, 0, -1)]
+    schema = "case_id long, score int, in_cohort boolean, safe boolean"
+    got = audits.aggregate_scores(spark.createDataFrame(rows, schema).repartition(7)).collect()
+    named = lambda keep: ",".join(str(r[0]) for r in reversed(rows) if keep(r))
+    assert [(r.n, r.zero_ids, r.outside_ids, r.unsafe_ids, r.zeros, r.outside, r.unsafe, r.result) for r in got] == [(200, named(lambda r: r[1] == 0), "17", named(lambda r: not r[3]), 66, 1, 4, "fail")]
+    none = audits.aggregate_scores(spark.createDataFrame([], schema)).first()
+    assert (none.n, none.mean, none.distribution, none.zero_ids, none.outside, none.result) == (0, None, "0/0/0", None, 0, "pass")
