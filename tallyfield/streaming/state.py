@@ -120,21 +120,30 @@ ADMITTED = "id bigint, key bigint, hour string, used int, allowed boolean"
 
 
 class HourTally(StatefulProcessor):
-    """How many requests of a key an hour has allowed so far. The tally of an hour is dropped by the state store when it
-    hasn't changed for `keep` milliseconds, so a key that never comes back leaves nothing behind."""
+    """How many requests each hour of a key has allowed so far. A micro-batch appends one row, the tallies of the
+    hours that it changed, and the highest one of an hour holds. The state store drops a row when it is `keep` milliseconds old, so an hour
+    that hasn't changed for so long is forgotten, and a key that never comes back leaves nothing behind. The group is the key
+    and not its hour: most hours of a key hold a request or two, and every group costs calls to the state store."""
 
     def __init__(self, limit: int, keep: int) -> None:
         self.limit, self.keep = limit, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.used = handle.getValueState("used", "n int", self.keep)
+        self.used = handle.getListState("used", "hours array<string>, used array<int>", self.keep)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        used = self.used.get()[0] if self.used.exists() else 0
-        frame = pd.concat(list(rows)).sort_values(["at", "id"])  # one hour of one key
-        before = [min(used + k, self.limit) for k in range(len(frame))]
-        self.used.update((min(used + len(frame), self.limit),))
-        yield pd.DataFrame({"id": frame["id"], "key": key[0], "hour": key[1], "used": before, "allowed": [n < self.limit for n in before]})
+        used: dict[str, int] = {}
+        for hours, tallies in self.used.get():
+            for hour, n in zip(hours, tallies):
+                used[hour] = max(n, used.get(hour, 0))
+        found = sorted(x for frame in rows for x in zip(frame["at"].tolist(), frame["id"].tolist(), frame["hour"].tolist()))
+        before = []
+        for _, _, hour in found:
+            before.append(used.get(hour, 0))
+            used[hour] = min(before[-1] + 1, self.limit)
+        changed = list(dict.fromkeys(x[2] for x in found))
+        self.used.appendValue((changed, [used[hour] for hour in changed]))
+        yield pd.DataFrame({"id": [x[1] for x in found], "key": key[0], "hour": [x[2] for x in found], "used": before, "allowed": [n < self.limit for n in before]})
 
     def close(self) -> None:
         pass
@@ -145,4 +154,4 @@ def hour_admission(log: DataFrame, limit: int = C.HOURLY_PER_IP, keep_seconds: i
     time within a micro-batch."""
     ship(log.sparkSession)
     rows = log.select("key", pacific_hour(F.col("ts")).alias("hour"), "id", F.unix_micros("ts").alias("at"))
-    return rows.groupBy("key", "hour").transformWithStateInPandas(HourTally(limit, keep_seconds * 1000), ADMITTED, "append", "ProcessingTime")
+    return rows.groupBy("key").transformWithStateInPandas(HourTally(limit, keep_seconds * 1000), ADMITTED, "append", "ProcessingTime")

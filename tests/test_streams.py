@@ -7,6 +7,7 @@ import time
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyfield.streaming import facts, limits, state
@@ -93,6 +94,37 @@ def test_hours_expire(spark, tmp_path):
         assert {x.id: (x.used, x.allowed) for x in tally(5).where(F.col("id") >= 8).collect()} == {8 + k: (k, True) for k in range(4)}
 
 
+def test_hours_go_on_in_later_runs(spark, tmp_path):
+    folder, run = tmp_path / "log", str(tmp_path / "run")
+    rows = [(k, START + timedelta(seconds=1200 * k), k % 2, "ask", 1.0) for k in range(18)]  # three of an hour, of both keys
+    with state.expiring_state(spark, by_clock=True):
+        for part in (rows[::2], rows[1::2]):
+            write(spark, [(10 * r[0] + k, *r[1:]) for r in part for k in range(2)], folder)
+            write(spark, [(10 * r[0] + k, *r[1:]) for r in part for k in range(2, 4)], folder)
+            found = limits.run_to_end(state.hour_admission(stream_of(spark, folder), 3, 600), "append", run)
+    tallies = defaultdict(list)
+    for r in found.collect():
+        tallies[r.key, r.hour].append(r.used)
+    assert found.count() == 72 and all(sorted(v) == [min(k, 3) for k in range(len(v))] for v in tallies.values())
+
+
+def test_hours_of_a_key_are_one_group():
+    class Kept:
+        rows = []
+
+        def get(self):
+            return iter(self.rows)
+
+        def appendValue(self, row):
+            self.rows = [*self.rows, row]
+
+    tally = state.HourTally(2, 1000)
+    tally.used = Kept()
+    ask = lambda *rows: [tuple(x) for f in tally.handleInputRows((7,), iter([pd.DataFrame(rows, columns=["hour", "id", "at"])]), None) for x in f[["id", "hour", "used", "allowed"]].values.tolist()]
+    assert ask(("b", 3, 30), ("a", 1, 10), ("b", 2, 20), ("a", 4, 11), ("a", 5, 12)) == [(1, "a", 0, True), (4, "a", 1, True), (5, "a", 2, False), (2, "b", 0, True), (3, "b", 1, True)]
+    assert ask(("b", 6, 40), ("c", 7, 50)) == [(6, "b", 2, False), (7, "c", 0, True)]
+
+
 # --- facts
 
 FACT = "appid bigint, run bigint, cost bigint, at timestamp"
