@@ -27,6 +27,8 @@ from tallyfield.package import ship
 from tallyfield.sources.entity_files import located, replace_file
 from tallyfield.sources.paged import with_backoff
 
+#: Partitions of a sweep at most, where the caller names no number.
+SLICES = 256
 SWEPT = "appid string, filter string, page int, cursor string, next_cursor string, payload string, cached boolean"
 
 
@@ -115,7 +117,7 @@ def _transport(named: str) -> Callable[[str, str, str], dict]:
 
 class Sweep(DataSource):
     """Options: appids and filters by commas, transport, cache (a folder), max_pages, min_pages, quota, mode, and for streams
-    pages, the number of pages of each title that a micro-batch gives on."""
+    pages, the number of pages of each title that a micro-batch gives on; slices, the number of partitions at most."""
 
     @classmethod
     def name(cls) -> str:
@@ -136,10 +138,17 @@ class _Titles:
         self.options = dict(options)
 
     def titles(self, first: int, last: int | None) -> list[InputPartition]:
-        return [InputPartition((appid, first, last)) for appid in self.options["appids"].split(",") if appid]
+        """Slices of the titles: a task for each title costs more than its pages, where there are many."""
+        named = [appid for appid in self.options["appids"].split(",") if appid]
+        n = min(int(self.options.get("slices", SLICES)), len(named))
+        return [InputPartition((named[k::n], first, last)) for k in range(n)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        appid, first, last = partition.value
+        appids, first, last = partition.value
+        for appid in appids:
+            yield from self._title(appid, first, last)
+
+    def _title(self, appid: str, first: int, last: int | None) -> Iterator[tuple]:
         o = self.options
         limit, least, quota = int(o.get("max_pages", 20)), int(o.get("min_pages", 0)), o.get("quota")
         rows = sweep_title(_transport(o["transport"]), PageCache(o["cache"]), appid, o["filters"].split(","), limit, least, int(quota) if quota else None, o.get("mode", "live"))
@@ -179,7 +188,7 @@ def _options(appids: list[str], filters: list[str], transport: str, cache: str,
 
 
 def read_sweep(spark: SparkSession, appids: list[str], filters: list[str], transport: str, cache: str, **more: object) -> DataFrame:
-    """The pages of a sweep, a partition per title. `more`: max_pages, min_pages, quota, mode."""
+    """The pages of a sweep, whose titles are dealt to partitions. `more`: max_pages, min_pages, quota, mode, slices."""
     ship(spark)
     spark.dataSource.register(Sweep)
     return spark.read.format("review_sweep").options(**_options(appids, filters, transport, cache, **more)).load()

@@ -85,6 +85,14 @@ def test_sweep_as_a_stream(spark, tmp_path):
     assert whole.where(~F.col("cached")).count() == 0 and sorted(whole.select("appid", "filter", "page", "payload").collect()) == sorted(got.select("appid", "filter", "page", "payload").collect())
 
 
+def test_titles_of_a_sweep_share_partitions():
+    titles = [str(k) for k in range(1000)]
+    for reader in (sweeps._Reader({"appids": ",".join(titles), "slices": "7"}), sweeps._Reader({"appids": ",".join(titles)})):
+        dealt = [p.value[0] for p in reader.partitions()]
+        assert len(dealt) <= sweeps.SLICES and sorted(sum(dealt, [])) == sorted(titles)
+    assert sweeps._Reader({"appids": ""}).partitions() == [] and len(sweeps._Reader({"appids": "1,2"}).partitions()) == 2
+
+
 # --- files
 
 
