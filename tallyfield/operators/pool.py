@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from tallyfield import config as C
 from tallyfield.functions.rates import bucket_rank, count_where, percent
 
+#: Rows of a game that one task may take whole.
+GAME_ROWS = 1_000_000
 
-def dedup_pool(reviews: DataFrame) -> DataFrame:
+
+def dedup_pool(reviews: DataFrame, met: bool = False) -> DataFrame:
     """One row per (game, rid), the first of `order`; source_filters has the sweeps that saw it, as they came, n_seen how
-    often. The rows of a review meet by one exchange; of each sweep only the first goes on."""
+    often. The rows of a review meet by one exchange, or have `met` by their game; of each sweep only the first goes on."""
     by_sweep = Window.partitionBy("game", "rid", "source_filter")
-    rows = reviews.where("rid IS NOT NULL").repartition("game", "rid")
+    rows = reviews.where("rid IS NOT NULL")
+    if not met:
+        rows = rows.repartition("game", "rid")
     rows = rows.withColumn("place", F.row_number().over(by_sweep.orderBy("order"))).withColumn("seen", F.count("*").over(by_sweep)).where("place = 1")
     first = Window.partitionBy("game", "rid").orderBy("order")
     whole = first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -32,6 +37,16 @@ def numbered(pool: DataFrame, slices: Column) -> DataFrame:
     return placed.withColumn("seq", F.col("before") + own - 1).drop("g", "s", "before", "slice")
 
 
+def large_games(games: DataFrame) -> DataFrame:
+    """The values of the one column of `games`, a row a review, that have more than GAME_ROWS rows."""
+    return games.groupBy(*games.columns).agg(F.count("*").alias("n")).where(F.col("n") > GAME_ROWS).drop("n")
+
+
+def numbered_whole(pool: DataFrame) -> DataFrame:
+    """`numbered` where a game's rows have met: each game in one window."""
+    return pool.withColumn("seq", F.row_number().over(Window.partitionBy("game").orderBy("order", "rid")).cast("long") - 1)
+
+
 def _cohorts(games: DataFrame) -> DataFrame:
     """Every game with every cohort; four rows for each."""
     return games.select("game", F.explode(F.array(*map(F.lit, C.BUCKET_NAMES))).alias("bucket"))
@@ -65,26 +80,34 @@ def temporal_split(reviews: DataFrame, now: Column) -> DataFrame:
     return rated.withColumn("delta_pts", F.round(F.col("recent_pct") - F.col("older_pct"), 1))
 
 
-def quota_sample(pool: DataFrame, target: int, quota: int, filters: list[str]) -> DataFrame:
-    """(game, rid, bucket, seq): at most `quota` of each cohort, in turn from the sweeps; what is short of `target` comes
-    in turn from what the cohorts have left; then the first `target` by seq. `pool` has game, rid, bucket, primary (the
-    first sweep that saw the review) and seq. Windows are by game and cohort, never over all rows."""
+def _turns(pool: DataFrame, filters: list[str]) -> DataFrame:
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, filters)), F.col("primary")), F.lit(0)), F.lit(len(filters) + 1))
-    rows = pool.where(F.col("bucket").isin(C.BUCKET_NAMES)).withColumn("queue", place)
-    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("game", "bucket", "primary").orderBy("seq")))
-    # no queue gives more than its cohort's quota and all that can be short; this is cut before the rows meet
-    rows = rows.where(F.col("turn") <= target + quota)
+    return pool.withColumn("queue", place).withColumn("turn", F.row_number().over(Window.partitionBy("game", "bucket", "primary").orderBy("seq")))
+
+
+def _kept(rows: DataFrame, target: int, quota: int) -> DataFrame:
+    """`rows` with turns and whether the sample keeps them. Windows are by game and cohort, never over all rows."""
+    rows = rows.withColumn("known", F.coalesce(F.col("bucket").isin(C.BUCKET_NAMES), F.lit(False)))
     rows = rows.withColumn("pick", F.row_number().over(Window.partitionBy("game", "bucket").orderBy("turn", "queue", "primary")))
-    rows = rows.withColumn("chosen", F.col("pick") <= quota)
+    rows = rows.withColumn("chosen", F.col("known") & (F.col("pick") <= quota))
     # what is left of a cohort stays queue by queue
     left = Window.partitionBy("game", "bucket", "chosen").orderBy("queue", "primary", "turn")
     rows = rows.withColumn("left_turn", F.row_number().over(left))
     short = F.lit(target) - F.sum(F.col("chosen").cast("int")).over(Window.partitionBy("game"))
     rows = rows.withColumn("short", short).withColumn("rank", bucket_rank(F.col("bucket")))
-    extra = F.row_number().over(Window.partitionBy("game", "chosen").orderBy("left_turn", "rank"))
-    rows = rows.withColumn("extra", extra).where(F.col("chosen") | (F.col("extra") <= F.col("short")))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("game").orderBy("seq")))
-    return rows.where(F.col("place") <= target).select("game", "rid", "bucket", "seq")
+    extra = F.row_number().over(Window.partitionBy("game", "chosen", "known").orderBy("left_turn", "rank"))
+    rows = rows.withColumn("taken", F.col("chosen") | (F.col("known") & (extra <= F.col("short"))))
+    place = F.row_number().over(Window.partitionBy("game", "taken").orderBy("seq"))
+    return rows.withColumn("kept", F.col("taken") & (place <= target)).select("game", "rid", "bucket", "seq", "kept")
+
+
+def quota_sample(pool: DataFrame, target: int, quota: int, filters: list[str]) -> DataFrame:
+    """(game, rid, bucket, seq): at most `quota` of each cohort, in turn from the sweeps; what is short of `target` comes
+    in turn from what the cohorts have left; then the first `target` by seq. `pool` has game, rid, bucket, primary (the
+    first sweep that saw the review) and seq."""
+    rows = _turns(pool.where(F.col("bucket").isin(C.BUCKET_NAMES)), filters)
+    # no queue gives more than its cohort's quota and all that can be short; this is cut before the rows meet
+    return _kept(rows.where(F.col("turn") <= target + quota), target, quota).where("kept").drop("kept")
 
 
 def sample_report(sample: DataFrame, pool: DataFrame) -> DataFrame:

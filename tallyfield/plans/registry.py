@@ -90,12 +90,26 @@ def recency_shift(spark, d):
     return verdict.recency_shift(split, split.select("game", F.when(F.col("game") % 2 == 0, 50.0).otherwise(75.0).alias("lifetime_pct")))
 
 
-def _primary(spark, d):
-    rows = pool.dedup_pool(A.fact_reviews(spark, d))
-    rows = pool.numbered(rows, F.col("created"))
+def _primary(spark, d, lines=None):
+    return _first_sweep(pool.numbered(pool.dedup_pool(A.fact_reviews(spark, d, lines)), F.col("created")))
+
+
+def _first_sweep(rows):
     return rows.select("game", "rid", "bucket", F.element_at("source_filters", 1).alias("primary"), "seq")
 
 
+def _by_game(spark, d, whole, parts):
+    """whole(rows) of the games whose rows fit one task; parts(rows) of the others. The former meet once, as bare lines,
+    since what is derived from them would have to travel, too."""
+    lines = A.table(spark, d, "lineitem")
+    large = cut(pool.large_games(lines.select(F.col("l_suppkey").alias("large"))))
+    none = large.isEmpty()
+    same = F.col("l_suppkey").eqNullSafe(F.col("large"))
+    rest = (lines if none else lines.join(small(large), same, "left_anti")).repartition("l_suppkey")
+    out = whole(_first_sweep(pool.numbered_whole(pool.dedup_pool(A.fact_reviews(spark, d, rest), met=True))))
+    return out if none else out.unionByName(parts(_primary(spark, d, lines.join(small(large), same, "left_semi"))))
+
+
 def _quota_sql(target: int, quota: int, filters: list[str]) -> str:
     """sample, from pb (game, rid, bucket, prim, seq)."""
     queue = " ".join(f"WHEN '{f}' THEN {i + 1}" for i, f in enumerate(filters))
@@ -117,7 +131,8 @@ def first_seen_order(spark, d):
 
 @query(f"WITH {_QUOTA} SELECT * FROM sample")
 def quota_sample(spark, d):
-    return pool.quota_sample(_primary(spark, d), 150, 40, ["R", "A"])
+    sample = lambda rows: pool.quota_sample(rows, 150, 40, ["R", "A"])
+    return _by_game(spark, d, sample, sample)
 
 
 @query(f"""WITH {_QUOTA}, i AS (SELECT game, bucket, count(*) AS in_pool FROM pb GROUP BY 1, 2), k2 AS (SELECT game, bucket, count(*) AS kept FROM sample GROUP BY 1, 2)

@@ -12,12 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fact_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rid, game, minutes, hours, bucket, voted_up, created, source_filter, order (for ties) from lineitem; a rid can
-    come several times, as from several sweeps."""
+def fact_reviews(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """rid, game, minutes, hours, bucket, voted_up, created, source_filter, order (for ties) from lineitem, or from
+    `lines` of it; a rid can come several times, as from several sweeps."""
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
     minutes = ((F.col("l_quantity") - 1) * 150).cast("int")
-    return table(spark, sf_dir, "lineitem").select(
+    return (table(spark, sf_dir, "lineitem") if lines is None else lines).select(
         (key * 10 + line).alias("rid"),
         F.col("l_suppkey").alias("game"),
         minutes.alias("minutes"),

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tallyfield.operators import pool
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,3 +37,15 @@ def test_query_matches_sql(spark, views, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_the_sample_moves_reviews_once(spark, monkeypatch):
+    """One exchange where games fit a task; games that don't, here most or all, go by slices, with the same rows."""
+    for name in ("quota_sample",):
+        df = entry.queries()[name](spark, FOLDER)
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1, name
+        for rows in (600, 0):
+            monkeypatch.setattr(pool, "GAME_ROWS", rows)
+            other = entry.queries()[name](spark, FOLDER)
+            assert other.dtypes == df.dtypes and sorted(map(repr, other.collect())) == sorted(map(repr, df.collect())), (name, rows)
+        monkeypatch.undo()
