@@ -115,8 +115,18 @@ def sample_report(sample: DataFrame, pool: DataFrame) -> DataFrame:
     kept = sample.groupBy("game", "bucket").agg(F.count("*").alias("kept"))
     whole = pool.groupBy("game", "bucket").agg(F.count("*").alias("in_pool"))
     both = whole.join(kept, ["game", "bucket"], "left")
-    kept_n = F.coalesce("kept", F.lit(0))
-    return both.select("game", "bucket", kept_n.alias("kept"), "in_pool", F.floor(kept_n * 100 / F.col("in_pool")).alias("kept_pct"))
+    return _shares(both.withColumn("kept", F.coalesce("kept", F.lit(0))))
+
+
+def sample_report_whole(pool: DataFrame, target: int, quota: int, filters: list[str]) -> DataFrame:
+    """`sample_report` of `quota_sample` where a game's rows have met: the pool is read once, as each row tells whether it
+    is kept."""
+    rows = _kept(_turns(pool, filters), target, quota)
+    return _shares(rows.groupBy("game", "bucket").agg(count_where(F.col("kept")).alias("kept"), F.count("*").alias("in_pool")))
+
+
+def _shares(counts: DataFrame) -> DataFrame:
+    return counts.select("game", "bucket", "kept", "in_pool", F.floor(F.col("kept") * 100 / F.col("in_pool")).alias("kept_pct"))
 
 
 def quotas_met(reviews: DataFrame, quota: int) -> DataFrame:

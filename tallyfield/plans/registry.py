@@ -138,8 +138,8 @@ def quota_sample(spark, d):
 @query(f"""WITH {_QUOTA}, i AS (SELECT game, bucket, count(*) AS in_pool FROM pb GROUP BY 1, 2), k2 AS (SELECT game, bucket, count(*) AS kept FROM sample GROUP BY 1, 2)
  SELECT game, bucket, coalesce(kept, 0) AS kept, in_pool, CAST(floor(coalesce(kept, 0) * 100 / in_pool) AS BIGINT) AS kept_pct FROM i LEFT JOIN k2 USING (game, bucket)""")
 def sample_report(spark, d):
-    rows = _primary(spark, d)
-    return pool.sample_report(pool.quota_sample(rows, 150, 40, ["R", "A"]), rows)
+    args = 150, 40, ["R", "A"]
+    return _by_game(spark, d, lambda rows: pool.sample_report_whole(rows, *args), lambda rows: pool.sample_report(pool.quota_sample(rows, *args), rows))
 
 
 @query(f"""WITH {O.FACT}, {O.COUNTS} SELECT g.game, min(coalesce(pool_n, 0)) >= 10 AS quotas_met, sum(CASE WHEN b.bucket = 'refund_window' THEN coalesce(pool_n, 0) ELSE 0 END) > 0 AS has_refunds

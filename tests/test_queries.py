@@ -41,7 +41,7 @@ def test_entry(spark):
 
 def test_the_sample_moves_reviews_once(spark, monkeypatch):
     """One exchange where games fit a task; games that don't, here most or all, go by slices, with the same rows."""
-    for name in ("quota_sample",):
+    for name in ("quota_sample", "sample_report"):
         df = entry.queries()[name](spark, FOLDER)
         assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1, name
         for rows in (600, 0):
