@@ -47,6 +47,8 @@ LINK = 100, 75
 LEAST = 0.6
 #: Elements of a batch of documents, or of a slice of one; elements and classes of a block; guests of a family.
 BATCH, BLOCK, MEMBERS, HUBS = 200_000, 2_000_000, 128, 4
+#: Edges that one task may join, whatever the input.
+FEW = 4_096
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -139,14 +141,39 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield sent(keys, sets)
 
 
+def _united(edges: DataFrame) -> DataFrame:
+    """node, root of at most FEW edges, by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                one, two = top(a), top(b)
+                parent[max(one, two)] = min(one, two)
+        if parent:
+            yield pa.record_batch([pa.array(list(parent), pa.int64()), pa.array([top(x) for x in parent], pa.int64())], names=["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, "node bigint, root bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: of each node of the edges (a, b), one node of its component. Each round hooks every node to the
-    neighbour of least hash, or itself, and puts the edges between those; it takes about log(nodes) rounds."""
+    neighbour of least hash, or itself, and puts the edges between those; it takes about log(nodes) rounds. The last ones,
+    of FEW edges at most, are one task, since each round costs the driver eight exchanges, however few its edges."""
     least = lambda x: F.min_by(x, F.struct(F.xxhash64(x), x))
     edges = cut(edges.where("a != b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
     ends = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
     roots = None
-    while not edges.isEmpty():
+    while (n := edges.count()) > FEW:
         both = edges.select(F.inline(F.array(ends("a", "b"), ends("b", "a"), ends("a", "a"), ends("b", "b"))))
         hooks = cut(both.groupBy("a").agg(least(F.col("b")).alias("to")))
         if roots is None:
@@ -158,9 +185,11 @@ def components(edges: DataFrame) -> DataFrame:
         two = hooks.select(F.col("a").alias("b_from"), F.col("to").alias("b_to"))
         moved = edges.join(one, F.col("a") == F.col("a_from")).join(two, F.col("b") == F.col("b_from"))
         edges = cut(moved.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a != b").distinct())
-    if roots is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots
+    last = _united(edges) if n else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if roots is None or not n:
+        return last if roots is None else roots
+    again = last.select(F.col("node").alias("from"), F.col("root").alias("to"))
+    return roots.join(again, F.col("root") == F.col("from"), "left").select("node", F.coalesce("to", "root").alias("root"))
 
 
 def _shared(classes: DataFrame) -> DataFrame:

@@ -769,3 +769,21 @@ def test_queries_run_on_the_smallest_tables(spark):
         source = "pages" if name.startswith("op10") else "conversations" if name.startswith("op1_") else "documents"
         rows = table(spark, SMALL, source)
         assert count == (rows.select("conv_id").distinct().count() + 1 if source == "conversations" else rows.count()), name
+
+
+def test_few_edges_are_joined_in_one_task(spark, monkeypatch):
+    """The same components by rounds, by one task, and by rounds that end in one task; the latter two in fewer jobs."""
+    chain = [(7 * k % 601, 7 * (k + 1) % 601) for k in range(400)] + [(1000 + k, 1000) for k in range(1, 50)] + [(-5, 2**62), (3000, 3000)]
+    edges, jobs, found = spark.createDataFrame(chain, "a bigint, b bigint").repartition(4), [], []
+    for few in (0, 60, 4_096):
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        spark.sparkContext.setJobGroup(f"few-{few}", "components")
+        groups = defaultdict(set)
+        for node, root in rows_of(near_dedup.components(edges)):
+            groups[root].add(node)
+        assert all(root in nodes for root, nodes in groups.items())
+        found.append(sorted(map(sorted, groups.values())))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"few-{few}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3
+    assert 0 < jobs[2] < jobs[1] < jobs[0]
