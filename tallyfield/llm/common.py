@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.package import shared_folder, ship
 
-__all__ = ["SPACE", "WORD", "cut", "own_columns", "partitions", "shared_folder", "ship", "spread_keys", "table", "text_mark", "unused", "without", "word_count", "words"]
+__all__ = ["SPACE", "WORD", "counted", "cut", "own_columns", "partitions", "shared_folder", "ship", "spread_keys", "table", "text_mark", "unused", "without", "word_count", "words"]
 
 #: White space that separates words: space and U+0009 to U+000D.
 SPACE = "\\x20\\x09-\\x0D"
@@ -27,6 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """`cut(df)` and the number of its rows, found by the job that writes them."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A name like `name` that no column of `df` has, whatever the case."""
     taken = {c.lower() for c in df.columns}

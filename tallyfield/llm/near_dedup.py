@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import cut, text_mark, without
+from tallyfield.llm.common import counted, cut, text_mark, without
 from tallyfield.llm.word_hashes import WordHashes, rolling
 
 WIDTH = 5
@@ -165,48 +165,51 @@ def _united(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInArrow(run, "node bigint, root bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, ranks: tuple[str, str] | None = None) -> DataFrame:
     """node, root: of each node of the edges (a, b), one node of its component. Each round hooks every node to the
-    neighbour of least hash, or itself, and puts the edges between those; it takes about log(nodes) rounds. The last ones,
-    of FEW edges at most, are one task, since each round costs the driver eight exchanges, however few its edges."""
-    least = lambda x: F.min_by(x, F.struct(F.xxhash64(x), x))
-    edges = cut(edges.where("a != b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
-    ends = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
-    roots = None
-    while (n := edges.count()) > FEW:
-        both = edges.select(F.inline(F.array(ends("a", "b"), ends("b", "a"), ends("a", "a"), ends("b", "b"))))
-        hooks = cut(both.groupBy("a").agg(least(F.col("b")).alias("to")))
-        if roots is None:
-            roots = hooks.select(F.col("a").alias("node"), F.col("to").alias("root"))
-        else:
-            again = hooks.select(F.col("a").alias("from"), "to")
-            roots = cut(roots.join(again, F.col("root") == F.col("from"), "left").select("node", F.coalesce("to", "root").alias("root")))
+    neighbour of least hash, or itself, and puts the edges between those; it takes about log(nodes) rounds. With `ranks`,
+    columns of the edges, the first round hooks to the neighbour of least rank, so that a star becomes one node. The last
+    ones, of FEW edges at most, are one task, since each round costs the driver exchanges, however few its edges. The hooks
+    are followed from the last round to the first, each round's nodes once."""
+    edges, n = counted(edges.where("a != b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), *(ranks or ())))
+    least = F.min_by("b", F.struct("rank", F.xxhash64("b"), "b"))
+    hooked: list[DataFrame] = []
+    while n > FEW:
+        rank = dict(zip("ab", map(F.col, ranks))) if ranks and not hooked else dict.fromkeys("ab", F.lit(0))
+        ends = [F.struct(F.col(x).alias("a"), F.col(y).alias("b"), rank[y].alias("rank")) for x, y in ("ab", "ba", "aa", "bb")]
+        hooks = cut(edges.select(F.inline(F.array(*ends))).groupBy("a").agg(least.alias("to")))
+        hooked.append(hooks.select(F.col("a").alias("node"), "to"))
         one = hooks.select(F.col("a").alias("a_from"), F.col("to").alias("a_to"))
         two = hooks.select(F.col("a").alias("b_from"), F.col("to").alias("b_to"))
         moved = edges.join(one, F.col("a") == F.col("a_from")).join(two, F.col("b") == F.col("b_from"))
-        edges = cut(moved.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a != b").distinct())
-    last = _united(edges) if n else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    if roots is None or not n:
-        return last if roots is None else roots
-    again = last.select(F.col("node").alias("from"), F.col("root").alias("to"))
-    return roots.join(again, F.col("root") == F.col("from"), "left").select("node", F.coalesce("to", "root").alias("root"))
+        edges, n = counted(moved.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a != b").distinct())
+    if n:
+        roots = _united(edges.select("a", "b"))
+    elif hooked:
+        roots = hooked.pop().withColumnRenamed("to", "root")
+    else:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    for hooks in reversed(hooked):
+        after = roots.select(F.col("node").alias("from"), "root")
+        roots = hooks.join(after, F.col("to") == F.col("from"), "left").select("node", F.coalesce("root", "to").alias("root"))
+    return roots
 
 
 def _shared(classes: DataFrame) -> DataFrame:
     """class_id, band, popularity: the bands of each class that others have, too, and how many classes its bands hold."""
     rows = classes.select("class_id", F.explode("bands").alias("band"))
     full = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("full_band"), "n")
-    shared = cut(rows.join(full, F.col("band") == F.col("full_band")).select("class_id", "band", "n"))
-    sums = shared.groupBy("class_id").agg(F.sum("n").alias("popularity")).withColumnRenamed("class_id", "of")
-    return cut(shared.join(sums, F.col("class_id") == F.col("of")).select("class_id", "band", "popularity"))
+    # a class has at most BANDS of them
+    shared = rows.join(full, F.col("band") == F.col("full_band")).groupBy("class_id").agg(F.collect_list("band").alias("own"), F.sum("n").alias("popularity"))
+    return cut(shared.select("class_id", F.explode("own").alias("band"), "popularity"))
 
 
 def _ties(shared: DataFrame) -> DataFrame:
-    """(a, b): each class with the most popular of every band that it shares with others."""
-    first = F.max_by("class_id", F.struct("popularity", "class_id"))
-    heads = shared.groupBy("band").agg(first.alias("head")).select(F.col("band").alias("head_band"), "head")
-    tied = shared.join(heads, F.col("band") == F.col("head_band")).where("class_id != head")
-    return tied.select(F.col("class_id").alias("a"), F.col("head").alias("b")).distinct()
+    """(a, b, a_rank, b_rank): each class with the most popular of every band that it shares with others. The most popular
+    class has the least rank."""
+    heads = shared.groupBy("band").agg(F.max(F.struct("popularity", "class_id")).alias("head")).withColumnRenamed("band", "head_band")
+    tied = shared.join(heads, F.col("band") == F.col("head_band")).where("class_id != head.class_id")
+    return tied.select(F.col("class_id").alias("a"), F.col("head.class_id").alias("b"), (-F.col("popularity")).alias("a_rank"), (-F.col("head.popularity")).alias("b_rank")).distinct()
 
 
 def _close(ties: DataFrame, classes: DataFrame) -> DataFrame:
@@ -215,13 +218,13 @@ def _close(ties: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                one, two = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SLOTS) for c in batch.columns[2:])
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array((one == two).mean(axis=1) >= LEAST))
+                one, two = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SLOTS) for c in batch.columns[4:])
+                yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "a_rank", "b_rank"]).filter(pa.array((one == two).mean(axis=1) >= LEAST))
 
     one = classes.select(F.col("class_id").alias("one_id"), F.col("sketch").alias("one"))
     two = classes.select(F.col("class_id").alias("two_id"), F.col("sketch").alias("two"))
     both = ties.join(one, F.col("a") == F.col("one_id")).join(two, F.col("b") == F.col("two_id"))
-    return both.select("a", "b", "one", "two").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "a_rank", "b_rank", "one", "two").mapInArrow(run, "a bigint, b bigint, a_rank bigint, b_rank bigint")
 
 
 class Sketches:
@@ -249,6 +252,14 @@ class Sketches:
                 edges += self._join(self.label[x], self._near(self.rows[x], later))
         return edges
 
+    def roots(self) -> list[tuple[int, int]]:
+        """(label, root) of the labels that `inside` joins."""
+        before = self.label.copy()
+        self.inside()
+        pairs = np.unique(np.stack((before, self.label), axis=1), axis=0)
+        joined = pairs[pairs[:, 0] != pairs[:, 1], 1]
+        return [(a, b) for a, b in pairs[np.isin(pairs[:, 1], joined)].tolist()]
+
     def guest(self, label: int, payload: bytes) -> list[tuple[int, int]]:
         return self._join(label, self._near(np.frombuffer(payload, np.uint8), np.flatnonzero(self.label != label)))
 
@@ -300,28 +311,34 @@ class Sets(Sketches):
         return self._join(label, others[self.label[others] != label])
 
 
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("whole", pa.bool_())])
 
 
 def _compared(rows: DataFrame, kind: type, inside: bool = True) -> DataFrame:
-    """Edges (a, b) between the labels of the rows (grp, blocks, class_id, label, loose, payload) of a group. Each row belongs to one of
-    the group's blocks, loose rows are guests in all the others; a task holds one block and streams its guests."""
+    """Edges (a, b, whole) between the labels of the rows (grp, blocks, class_id, label, loose, payload) of a group. Each row belongs to one of
+    the group's blocks, loose rows are guests in all the others; a task holds one block and streams its guests. Where a group
+    is one block, `whole` is true and b is the root of a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, block = None, [], None
 
-        def opened() -> tuple[object, list[tuple[int, int]]]:
-            block = kind(*map(list, zip(*held))) if held else None
-            return block, block.inside() if block is not None and inside and len(held) > 1 else []
+        def opened() -> tuple[object, list[tuple[int, int, bool]]]:
+            block = kind(*map(list, zip(*held)))
+            whole = current[2]
+            return block, [(a, b, whole) for a, b in (block.roots() if whole else block.inside())] if inside and len(held) > 1 else []
+
+        def sent(edges: list[tuple[int, int, bool]]) -> Iterator[pa.RecordBatch]:
+            if edges:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*edges), _EDGES)], schema=_EDGES)
 
         for batch in batches:
-            edges: list[tuple[int, int]] = []
+            edges: list[tuple[int, int, bool]] = []
             *columns, payloads = batch.columns
-            for grp, at, guest, label, payload in zip(*(c.to_pylist() for c in columns), payloads):
-                if (grp, at) != current:
+            for *place, guest, label, payload in zip(*(c.to_pylist() for c in columns), payloads):
+                if place != current:
                     if block is None and held:
                         edges += opened()[1]
-                    current, held, block = (grp, at), [], None
+                    current, held, block = place, [], None
                 if not guest:
                     held.append((label, payload.as_py()))
                     continue
@@ -329,21 +346,19 @@ def _compared(rows: DataFrame, kind: type, inside: bool = True) -> DataFrame:
                     block, found = opened()
                     edges += found
                 if block is not None:
-                    edges += block.guest(label, payload.as_py())
-            if edges:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*edges)], schema=_EDGES)
+                    edges += [(a, b, False) for a, b in block.guest(label, payload.as_py())]
+            yield from sent(edges)
         if block is None and held:
-            edges = opened()[1]
-            if edges:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*edges)], schema=_EDGES)
+            yield from sent(opened()[1])
 
     place = lambda block, guest: F.struct(block.alias("block"), F.lit(guest).alias("guest"))
     own = F.pmod(F.xxhash64("class_id"), F.col("blocks"))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != own)
     places = F.when(F.col("loose") & (F.col("blocks") > 1), F.concat(F.array(place(own, False)), F.transform(others, lambda b: place(b, True)))).otherwise(F.array(place(own, False)))
-    placed = rows.select("grp", "class_id", "label", "payload", F.explode(places).alias("at")).select("grp", "at.block", "at.guest", "class_id", "label", "payload")
+    placed = rows.select("grp", (F.col("blocks") == 1).alias("whole"), "class_id", "label", "payload", F.explode(places).alias("at"))
+    placed = placed.select("grp", "at.block", "whole", "at.guest", "class_id", "label", "payload")
     dealt = placed.repartition("grp", "block").sortWithinPartitions("grp", "block", "guest", "class_id")
-    return dealt.drop("class_id").mapInArrow(run, "a bigint, b bigint")
+    return dealt.drop("class_id").mapInArrow(run, "a bigint, b bigint, whole boolean")
 
 
 def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -402,16 +417,17 @@ def _sets(members: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _links(sets: DataFrame) -> DataFrame:
-    """node, root of the classes that links connect."""
-    roots = components(_compared(sets.withColumn("label", F.col("class_id")), Sets))
+    """node, root of the classes that links connect. A family of one block is done by the task that compares it."""
+    edges = cut(_compared(sets.withColumn("label", F.col("class_id")), Sets))
+    small = edges.where("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
     large = sets.where("blocks > 1")
     if large.isEmpty():
-        return roots
-    roots = cut(roots)
+        return small
+    roots = cut(components(edges.where("NOT whole")))
     named = _labelled(large, roots)
     several = _several(named.select("grp", "label")).select("open_grp", "main")
     rest = named.drop("loose").join(several, F.col("grp") == F.col("open_grp")).withColumn("loose", F.col("label") != F.col("main"))
-    return _joined(roots, _compared(rest, Sets, inside=False))
+    return small.unionByName(_joined(roots, _compared(rest, Sets, inside=False)))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -422,11 +438,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("size"))
     classes = cut(classes)
     shared = _shared(classes)
-    roots = cut(components(_close(_ties(shared), classes)))
+    roots = cut(components(_close(_ties(shared), classes), ("a_rank", "b_rank")))
     families = cut(_joined(roots, _across(shared, roots, classes)))
     found = cut(_links(cut(_sets(_members(families, classes, shared), docs))))
     least = found.groupBy("root").agg(F.min("node").alias("component_id")).select(F.col("root").alias("least_root"), "component_id")
-    linked = cut(found.join(least, F.col("root") == F.col("least_root")).select(F.col("node"), F.col("component_id")))
+    linked = found.join(least, F.col("root") == F.col("least_root")).select("node", "component_id")
     named = classes.select(F.col("digest").alias("class_digest"), "class_id").join(linked, F.col("class_id") == F.col("node"), "left")
     named = named.select("class_digest", F.coalesce("component_id", "class_id").alias("component_id"))
     out = sketches.select("doc_id", "mark", "n_shingles", "digest").join(named, F.col("digest") == F.col("class_digest"), "left")

@@ -787,3 +787,18 @@ def test_few_edges_are_joined_in_one_task(spark, monkeypatch):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert found[0] == found[1] == found[2] and len(found[0]) == 3
     assert 0 < jobs[2] < jobs[1] < jobs[0]
+
+
+def test_near_dedup_of_many_edges_takes_few_jobs(spark, monkeypatch):
+    """Each job costs the driver memory. Stars are one round of the search, rows are counted as they are written, and
+    families of one block are joined where they are compared."""
+    monkeypatch.setattr(near_dedup, "FEW", 0)
+    rows, jobs = near_rows(), []
+    for members in (1000, 5):
+        monkeypatch.setattr(near_dedup, "MEMBERS", members)
+        spark.sparkContext.setJobGroup(f"many-{members}", "near_dedup")
+        got = near_of(docs_of(spark, rows))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"many-{members}")))
+        assert got == brute_near(rows)
+    assert jobs[0] < 95 and jobs[1] < 147, jobs
